@@ -50,3 +50,13 @@ def fields(df: DataFrame, *names: str) -> str:
     """DDL of the named columns of ``df``, for the schema of a ``mapInArrow``."""
     kinds = dict(df.dtypes)
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """``b, y`` of at most ``rows`` labelled documents outside fold 0: those whose doc_id hashes lowest.
+
+    The bound makes the label side small enough to broadcast and the result small enough for the driver.
+    """
+    known = labels.where(F.col(label).isNotNull() & (fold_of() != 0)).select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("y"))
+    first = known.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(rows)
+    return docs.select("doc_id", text_bytes().alias("b")).join(F.broadcast(first), F.col("doc_id") == F.col("l_id")).select("doc_id", "b", "y")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopgrade.llm import mixing, quality_rules, simhash
+from loopgrade.llm import mixing, quality_classifier, quality_rules, simhash, toxicity
 from loopgrade.llm.common import table
 
 
@@ -24,5 +24,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_simhash, op9_mixing)}
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.score(docs, quality_classifier.train(docs, labels))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op6_simhash, op9_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
