@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopgrade.llm import mixing, quality_classifier, quality_rules, simhash, toxicity
+from loopgrade.llm import decontamination, mixing, quality_classifier, quality_rules, simhash, token_counts, toxicity
 from loopgrade.llm.common import table
 
 
+#: Folder of public vocabulary files; a parameter of every tokenizer query.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "start_word", "end_word")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judge(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), token_counts.load_pieces(f"{tokenizers}/piece_bpe_32k.model"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.components(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -34,5 +47,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op6_simhash, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_token_counts, op6_simhash, op9_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
