@@ -232,5 +232,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits: float) -> Dat
     """The rows of ``docs`` that hold no test item."""
     dirty = leaks(docs, benchmark, **limits).select("key_1", "key_2").distinct()
     key_1, key_2 = row_keys()
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), key_1.alias("key_1"), key_2.alias("key_2"))
+    keyed = docs.select(F.struct("*").alias("row"), key_1.alias("key_1"), key_2.alias("key_2"))
     return keyed.join(dirty, ["key_1", "key_2"], "left_anti").select("row.*")

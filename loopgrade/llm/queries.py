@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopgrade.llm import decontamination, mixing, quality_classifier, quality_rules, simhash, token_counts, toxicity
+from loopgrade.llm import decontamination, mixing, quality_classifier, quality_rules, sanitise, simhash, token_counts, toxicity
 from loopgrade.llm.common import table
 
 
@@ -32,6 +32,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.find(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(sanitise.KINDS[:4])]
+    return found.select("row.doc_id", *counts, F.sha2(sanitise.listed(F.col("base")), 256).alias("base_sha256"), sanitise.listed(F.col("spans")).alias("spans"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -47,5 +54,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_token_counts, op6_simhash, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_token_counts, op6_simhash, op7_sanitise, op9_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {}

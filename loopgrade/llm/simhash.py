@@ -171,5 +171,5 @@ def deduplicate(docs: DataFrame, limit: int = 4, shingle: int = 4) -> DataFrame:
     stay = components(docs, limit, shingle).groupBy("comp").agg(first)
     stay = stay.select(F.xxhash64(F.col("x.no_id"), F.col("x.id")).alias("key_1"), F.col("x.th").alias("key_2"))
     key_1, key_2 = row_keys()
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), key_1.alias("key_1"), key_2.alias("key_2"))
+    keyed = docs.select(F.struct("*").alias("row"), key_1.alias("key_1"), key_2.alias("key_2"))
     return keyed.join(stay, ["key_1", "key_2"]).dropDuplicates(["key_1", "key_2"]).select("row.*")
