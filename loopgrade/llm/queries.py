@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopgrade.llm import decontamination, mixing, quality_classifier, quality_rules, sanitise, simhash, token_counts, toxicity
+from loopgrade.llm import decontamination, mixing, quality_classifier, quality_rules, sanitise, simhash, token_counts, toxicity, transcripts
 from loopgrade.llm.common import table
 
 
@@ -27,6 +27,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     return token_counts.count(table(spark, sf_dir, "documents"), token_counts.load_pieces(f"{tokenizers}/piece_bpe_32k.model"))
 
 
+def op5_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles are hidden from the operator; the table's own are read only to fit the model, outside fold 0."""
+    convs = table(spark, sf_dir, "conversations")
+    return transcripts.render(convs, transcripts.fit(convs)).select("conv_id", "turn", "part", "role", "rendered")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.components(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,5 +60,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_token_counts, op6_simhash, op7_sanitise, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_token_counts, op5_transcripts, op6_simhash, op7_sanitise, op9_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
