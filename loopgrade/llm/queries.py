@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopgrade.llm import decontamination, mixing, quality_classifier, quality_rules, sanitise, simhash, token_counts, toxicity, transcripts
+from loopgrade.llm import decontamination, mixing, quality_classifier, quality_rules, sanitise, simhash, suffix_dedup, token_counts, toxicity, transcripts
 from loopgrade.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op7_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(sanitise.listed(F.col("base")), 256).alias("base_sha256"), sanitise.listed(F.col("spans")).alias("spans"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -60,5 +64,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_token_counts, op5_transcripts, op6_simhash, op7_sanitise, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_token_counts, op5_transcripts, op6_simhash, op7_sanitise, op8_suffix_dedup, op9_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
