@@ -150,7 +150,10 @@ def disclosing_terms(
     pairs = seen.select("key_1", "key_2", "value", F.xxhash64("near").alias("context"), F.explode(terms_of(F.col("near"))).alias("term"))
     support = pairs.groupBy("value", "term", "context").agg(F.count("*").alias("n")).groupBy("value", "term").agg(F.count("*").alias("contexts"))
     both = pairs.select("key_1", "key_2", "value", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("n_both"))
-    likely = cut(support.where(F.col("contexts") >= contexts).join(both, ["value", "term"]))
+    # a term stands in at least the documents that have it near any value: what can't reach the threshold goes before the corpus is counted
+    near_any = pairs.select("key_1", "key_2", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    likely = support.where(F.col("contexts") >= contexts).join(both, ["value", "term"]).join(near_any, "term")
+    likely = cut(likely.where(F.col("n_both") >= disclosure * F.col("n_near")).drop("n_near"))
     words = docs.select(F.explode(terms_of(text)).alias("term"))
     n_term = words.join(_bounded(likely.select("term").distinct(), most_terms), "term").groupBy("term").agg(F.count("*").alias("n_term"))
     n_value = seen.select("key_1", "key_2", "value").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
