@@ -19,3 +19,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are written once to the shared folder and the lineage ends there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast where it has at most ``rows`` rows; beyond that the join shuffles."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
