@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,19 +99,21 @@ def load_pieces(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
 
 
-_built: dict[int, Automaton] = {}
+#: The automaton of this worker process, by the name of the run that needs it.
+_built: dict[str, Automaton] = {}
 
 
 def count(docs: DataFrame, pieces: list[str], mark: str = MARK) -> DataFrame:
     """``doc_id, n_words, n_tokens, n_unknown`` per row; a map without a shuffle. The vocabulary, a file of fixed size, is broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
+    name = uuid4().hex
     base = docs.select("doc_id", text_bytes().alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sent.id not in _built:
+        if name not in _built:
             _built.clear()
-            _built[sent.id] = Automaton(sent.value)
-        auto, known = _built[sent.id], {}
+            _built[name] = Automaton(sent.value)
+        auto, known = _built[name], {}
         for batch in slices(batches):
             out: list[tuple[int, int, int]] = []
             for b in batch.column("b"):
