@@ -58,12 +58,12 @@ def saved(resolved: DataFrame) -> DataFrame:
     """Adds ``co2e_kg`` (2 decimals), ``co2e_tonnes`` (3, from the unrounded value), ``factor_label, note``; a negative quantity turns the outcome to an error."""
     bad, has = F.col("quantity_kg") < 0, F.col("factor").isNotNull()
     ok = has & ~bad
-    raw = F.col("quantity_kg") * F.col("factor")
+    raw = F.col("quantity_kg").cast("decimal(18,4)") * F.col("factor").cast("decimal(18,8)")  # exact, so rounding is too
     label = F.when(~has, "not available").when(F.col("is_proxy"), "proxy / conservative estimate").otherwise("sourced factor (still an estimate)")
     return (
         resolved.withColumn("outcome", F.when(bad, "error_negative").otherwise(F.col("outcome")))
-        .withColumn("co2e_kg", F.when(ok, F.round(raw, 2)))
-        .withColumn("co2e_tonnes", F.when(ok, F.round(raw / 1000, 3)))
+        .withColumn("co2e_kg", F.when(ok, F.round(raw, 2).cast("double")))
+        .withColumn("co2e_tonnes", F.when(ok, F.round(raw / 1000, 3).cast("double")))
         .withColumn("factor_label", label)
         .withColumn("note", F.when(ok & (F.col("factor") < LOW_FACTOR), "low carbon value: diversion is the main benefit").otherwise(""))
     )

@@ -16,7 +16,7 @@ RECYCLER_ROWS = 50_000
 
 def split_types(column: Column) -> Column:
     """``"a, b"`` to ``["a", "b"]``."""
-    return F.transform(F.split(column, ","), F.trim)
+    return F.transform(F.split(column, ","), lambda x: F.trim(x))
 
 
 def recyclers_by_type(recyclers: DataFrame) -> DataFrame:

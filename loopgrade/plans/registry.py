@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+from loopgrade.plans import learning, market
+
+_FAMILIES = (market, learning)
+QUERIES = {k: v for m in _FAMILIES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _FAMILIES for k, v in m.ORACLES.items()}
+FLAGSHIP = QUERIES["j_01_rank_recyclers"]
