@@ -113,7 +113,8 @@ def sample_per_class(rows: DataFrame, n: int, seed: str = "7", by: str = "leaf")
 
 def holdout(rows: DataFrame, key: str, least: int = 10) -> DataFrame:
     """Adds ``held_out``: the md5 of the key modulo 5 is 0 (the sum of its hex digits, as 16 is 1 modulo 5), where there are at least ``least`` rows."""
-    digits = F.transform(F.split(F.md5(F.col(key).cast("string").cast("binary")), "(?!^)"), lambda d: F.conv(d, 16, 10).cast("int"))
+    digest = F.md5(F.col(key).cast("string").cast("binary"))
+    digits = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.conv(F.substring(digest, i, F.lit(1)), 16, 10).cast("int"))
     total = F.aggregate(digits, F.lit(0), lambda s, x: s + x)
     n = rows.agg(F.count("*").alias("_n"))
     return rows.crossJoin(F.broadcast(n)).withColumn("held_out", (F.col("_n") >= least) & (total % 5 == 0)).drop("_n")

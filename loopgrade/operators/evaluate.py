@@ -89,7 +89,7 @@ def per_category(rows: DataFrame) -> DataFrame:
     low, high = wilson(F.col("correct").cast("double"), F.col("n").cast("double"))
     g = rows.rollup("truth").agg(
         F.count("*").alias("n"), F.count_if(ok).alias("correct"), F.count_if(a).alias("accepted"), F.count_if(ok & a).alias("strong"), F.count_if(ok & ~a).alias("weak"), F.count_if(~ok & a).alias("wrong_accepted"),
-        F.round(F.avg(c.cast("decimal(18,9)")), 6).cast("double").alias("conf_mean"), F.round(F.percentile("confidence", 0.5), 6).alias("conf_median"), F.min(c).alias("conf_min"), F.max(c).alias("conf_max"),
+        F.round(F.avg(c), 5).alias("conf_mean"), F.round(F.percentile("confidence", 0.5), 6).alias("conf_median"), F.min(c).alias("conf_min"), F.max(c).alias("conf_max"),
         share(c >= 0.9).alias("ge90"), share(c >= 0.8).alias("ge80"), share(c >= 0.5).alias("ge50"), F.count_if(~ok & (c >= 0.9)).alias("confidently_wrong"),
     )
     return g.withColumn("ci_low", F.round(low, 6)).withColumn("ci_high", F.round(high, 6))

@@ -204,7 +204,7 @@ def d_08(spark: SparkSession, d: str) -> DataFrame:
     "d_07_legacy_combine",
     """WITH t AS (SELECT id, waste_type, round(sum(CAST(p AS DECIMAL(28,12))), 4)::DOUBLE AS p FROM leaf_probs GROUP BY ALL), n AS (SELECT id // 3 AS item, count(DISTINCT id) AS n FROM t GROUP BY 1),
     k AS (SELECT *, id // 3 AS item FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY p DESC, waste_type) <= 3)
-    SELECT item, waste_type, round(sum(CAST(p AS DECIMAL(20,6)))::DOUBLE / any_value(n), 4) AS p FROM k JOIN n USING (item) GROUP BY ALL""",
+    SELECT item, waste_type, round(sum(CAST(p AS DECIMAL(20,6)))::DOUBLE / any_value(n), 5) AS p FROM k JOIN n USING (item) GROUP BY ALL""",
     "leaf_probs",
 )
 def d_07(spark: SparkSession, d: str) -> DataFrame:
@@ -212,7 +212,7 @@ def d_07(spark: SparkSession, d: str) -> DataFrame:
     top = predict.top_leaves(t, 3)
     n = t.groupBy(F.floor(F.col("id") / 3).alias("item")).agg(F.count_distinct("id").alias("n"))
     g = top.groupBy(F.floor(F.col("id") / 3).alias("item"), F.col("leaf").alias("waste_type")).agg(F.sum(F.col("p").cast("decimal(20,6)")).cast("double").alias("s"))
-    return g.join(n, "item").select("item", "waste_type", F.round(F.col("s") / F.col("n"), 4).alias("p"))
+    return g.join(n, "item").select("item", "waste_type", F.round(F.col("s") / F.col("n"), 5).alias("p"))
 
 
 MEMORY_T = 0.55
@@ -425,7 +425,7 @@ WILSON = "round((k / n + 3.8416 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n
 @query(
     "g_25_per_category",
     f"""WITH g AS (SELECT truth, count(*)::DOUBLE AS n, count(*) FILTER (truth = pred) AS k, count(*) FILTER (accepted) AS accepted, count(*) FILTER (truth = pred AND accepted) AS strong, count(*) FILTER (truth = pred AND NOT accepted) AS weak, count(*) FILTER (truth <> pred AND accepted) AS wrong_accepted,
-    round(avg(confidence), 6) AS conf_mean, round(quantile_cont(confidence, 0.5), 6) AS conf_median, min(confidence) AS conf_min, max(confidence) AS conf_max, round(avg((confidence >= 0.9)::INT), 6) AS ge90, round(avg((confidence >= 0.8)::INT), 6) AS ge80, round(avg((confidence >= 0.5)::INT), 6) AS ge50,
+    round(avg(confidence), 5) AS conf_mean, round(quantile_cont(confidence, 0.5), 6) AS conf_median, min(confidence) AS conf_min, max(confidence) AS conf_max, round(avg((confidence >= 0.9)::INT), 6) AS ge90, round(avg((confidence >= 0.8)::INT), 6) AS ge80, round(avg((confidence >= 0.5)::INT), 6) AS ge50,
     count(*) FILTER (truth <> pred AND confidence >= 0.9) AS confidently_wrong FROM classified GROUP BY ROLLUP (truth)) SELECT g.* EXCLUDE (n, k), n::BIGINT AS n, k AS correct, {WILSON} FROM g""",
     "classified",
 )
