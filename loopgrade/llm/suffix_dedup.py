@@ -13,8 +13,10 @@ To do this over a corpus, windows that can't be equal are kept apart and most ar
 3. The windows of a repeated anchor go, in up to three units, to the core of 3 * GRAM bytes that all
    windows of the unit contain. Units meet by the hash of their core; equal units are duplicates outright,
    and only cores with different units have their suffixes sorted, alignment by alignment.
-4. An anchor of more than ``hot`` places (a line that a third of all documents share) isn't gathered:
-   its windows are counted by a 128-bit hash, which combines before the shuffle.
+4. An anchor of more than ``hot`` places (a line that a third of all documents share) isn't gathered. Its
+   windows go to finer units with cores of LENGTH - 25 bytes; equal units are counted by a 128-bit hash,
+   which combines before the shuffle, and are duplicates outright. One unit of each kind goes on: to the
+   sort where its core has up to ``hot`` kinds, else its single windows are counted the same way.
 
 Defined results: a null or empty text has no bytes; repeated rows and equal texts are copies of each other,
 so all of them lose their windows; texts shorter than LENGTH lose nothing; an empty table gives an empty
@@ -37,6 +39,9 @@ from loopgrade.llm.common import add_columns, fields, row_keys, slices, text_byt
 
 LENGTH, GRAM = 200, 50
 HOT, SMALL, CHUNK = 4000, 150_000, 2 << 20
+#: Windows of a unit of a hot anchor.
+FINE = 25
+_UNIT = "core long, kind_1 long, kind_2 long, key_1 long, key_2 long, first int, count int, offset int, body binary"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPAN = LENGTH - GRAM  # a window of LENGTH bytes has _SPAN + 1 grams
 _BLOCK = 1 << 17
@@ -95,16 +100,21 @@ def anchors(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return p[keep], h[keep], first[keep], last[keep]
 
 
-def units(b: bytes, chosen: set[int]) -> Iterator[tuple[int, int, int, int, int]]:
-    """``(anchor hash, first window start, windows, core offset, core hash)`` of the windows whose anchor is chosen."""
+def units(b: bytes, steps: dict[int, int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """``(anchor hash, first window start, windows, core offset, core hash)`` of the windows of chosen anchors.
+
+    ``steps`` gives, per chosen anchor, how many windows a unit holds; its core is LENGTH - step bytes long.
+    """
     for p, h, first, last in zip(*(c.tolist() for c in anchors(b)), strict=True):
-        if h not in chosen:
+        if h not in steps:
             continue
-        for j in range(3):
-            core = p - j * GRAM
-            lo, hi = max(first, core - GRAM + 1 if j < 2 else core - GRAM), min(last, core)
+        step = steps[h]
+        for j in range(_SPAN // step):
+            core = p - j * step
+            furthest = p - _SPAN if (j + 1) * step >= _SPAN else core - step + 1
+            lo, hi = max(first, furthest), min(last, core)
             if lo <= hi:
-                key = xxhash.xxh64_intdigest(b[core : core + 3 * GRAM], j)
+                key = xxhash.xxh64_intdigest(b[core : core + LENGTH - step], j)
                 yield h, lo, hi - lo + 1, core - lo, key - (1 << 64) if key >> 63 else key
 
 
@@ -222,6 +232,17 @@ def _solve(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
                     yield r[1], r[2], a, b
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of units, with their 128-bit hashes."""
+    names = ("key_1", "key_2", "start", "w_1", "w_2")
+    for batch in slices(batches):
+        out: list[tuple] = []
+        for k1, k2, first, body in zip(*(batch.column(c).to_pylist() for c in ("key_1", "key_2", "first", "body")), strict=True):
+            for s in range(len(body) - LENGTH + 1):
+                out.append((k1, k2, first + s, *np.frombuffer(xxhash.xxh3_128_digest(body[s : s + LENGTH]), np.int64).tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=list(names))
+
+
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast where ``df`` has at most so many rows; otherwise the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -247,23 +268,31 @@ def repeats(docs: DataFrame, hot: int = HOT, small: int = SMALL) -> DataFrame:
     hold = base.select("key_1", "key_2", "b").join(_bounded(shared, small), ["key_1", "key_2"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
-        names = ["core", "core_2", "key_1", "key_2", "first", "count", "offset", "body"]
+        kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
         for batch in slices(batches, 64):
             out: list[tuple] = []
             for k1, k2, b, chosen in zip(*(batch.column(c).to_pylist() for c in ("key_1", "key_2", "b", "chosen")), strict=True):
-                is_hot = {c["anchor"]: c["hot"] for c in chosen}
-                for h, first, count, offset, core in units(b, is_hot.keys()):
-                    if not is_hot[h]:
-                        out.append((core, None, k1, k2, first, count, offset, b[first : first + count + LENGTH - 1]))
-                        continue
-                    for s in range(first, first + count):
-                        d = np.frombuffer(xxhash.xxh3_128_digest(b[s : s + LENGTH]), np.int64)
-                        out.append((int(d[0]), int(d[1]), k1, k2, s, 1, 0, None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
-
-    parts = hold.mapInArrow(expand, "core long, core_2 long, key_1 long, key_2 long, first int, count int, offset int, body binary")
-    cold = parts.where("core_2 is null").drop("core_2").repartition("core").sortWithinPartitions("core")
+                steps = {c["anchor"]: FINE if c["hot"] else GRAM for c in chosen}
+                for h, first, count, offset, core in units(b, steps):
+                    body = b[first : first + count + LENGTH - 1]
+                    d = np.frombuffer(xxhash.xxh3_128_digest(body, offset), np.int64).tolist() if steps[h] == FINE else (None, None)
+                    out.append((core, *d, k1, k2, first, count, offset, body))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=_UNIT.replace(" long", "").replace(" int", "").replace(" binary", "").split(", "))
+
+    parts = hold.mapInArrow(expand, _UNIT)
+    warm = cut(parts.where("kind_1 is not null").withColumn("uid", F.monotonically_increasing_id()))
+    kind = ["core", "kind_1", "kind_2"]
+    kinds = cut(warm.groupBy(kind).agg(F.count("*").alias("n"), F.min("uid").alias("uid")))
+    end = (F.col("first") + F.col("count") + (LENGTH - 1)).cast("long").alias("end")
+    equal = warm.join(kinds.where("n > 1").select(kind), kind).select("key_1", "key_2", F.col("first").cast("long").alias("start"), end)
+    several = kinds.groupBy("core").agg(F.count("*").alias("k")).where("k > 1")
+    one_each = warm.join(kinds.join(several, "core").select("uid", "k"), "uid")
+    single = one_each.where(F.col("k") > hot).mapInArrow(_windows, "key_1 long, key_2 long, start long, w_1 long, w_2 long")
+    place = F.xxhash64("key_1", "key_2", "start")
+    both = single.groupBy("w_1", "w_2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("w_1", "w_2")
+    hits = single.join(both, ["w_1", "w_2"]).select("key_1", "key_2", "start", (F.col("start") + LENGTH).alias("end"))
+    gathered = parts.where("kind_1 is null").drop("kind_1", "kind_2").unionByName(one_each.where(F.col("k") <= hot).select("core", "key_1", "key_2", "first", "count", "offset", "body"))
+    cold = gathered.repartition("core").sortWithinPartitions("core")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("core", "key_1", "key_2", "first", "count", "offset", "body")
@@ -284,11 +313,7 @@ def repeats(docs: DataFrame, hot: int = HOT, small: int = SMALL) -> DataFrame:
         yield out(held)
 
     spans = cold.mapInArrow(solve, "key_1 long, key_2 long, start long, end long")
-    warm = parts.where("core_2 is not null").select("core", "core_2", "key_1", "key_2", "first")
-    place = F.xxhash64("key_1", "key_2", "first")
-    both = warm.groupBy("core", "core_2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("core", "core_2")
-    hits = warm.join(both, ["core", "core_2"]).select("key_1", "key_2", F.col("first").cast("long").alias("start"), (F.col("first") + LENGTH).cast("long").alias("end"))
-    spans = cut(spans.unionByName(hits)).groupBy("key_1", "key_2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = cut(spans.unionByName(equal).unionByName(hits)).groupBy("key_1", "key_2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     copies = texts.where("copies > 1").select("key_2", "key_3")
     whole = rows.select("key_1", "key_2", "key_3").join(copies, ["key_2", "key_3"], "left_semi").select("key_1", "key_2").distinct()
     return cut(whole.withColumn("whole", F.lit(True)).join(spans, ["key_1", "key_2"], "full")).withColumn("whole", F.coalesce("whole", F.lit(False)))
