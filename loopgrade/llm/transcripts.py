@@ -12,7 +12,7 @@ of its first and last run; the runs, two rows per partition at most, are chained
 partition decodes its runs with the ends fixed. No conversation is gathered in one task.
 
 The model is fitted on at most ``rows`` records whose role is known, outside fold 0 of conv_id (a
-documented bound), with pseudo-counts that tie a marker to its role.
+documented bound). How often a role is marked is learned; that a marker names its role is given (OWN).
 
 Defined results: a null or empty text is one empty segment; a null conv_id is a conversation of that row
 alone; a null turn comes first; equal (conv_id, turn, text) rows are one record and all get its turns; an
@@ -48,6 +48,8 @@ _HEADING = re.compile(rf"^[ \t]*#+[ \t]*({'|'.join(sorted(_ROLE_OF, key=len, rev
 _LIST = re.compile(r"^[ \t]*(?:[-*•]|\d+[.)]|```)")
 #: Number of values of each feature: marker, words of the line, question mark, list or code, lines of the segment.
 SIZES = (K + 1, 8, 2, 2, 8)
+#: Chance that a marker names the role that speaks.
+OWN = 0.998
 TEMPLATE = "<|{role}|>\n{text}\n<|end|>"
 
 
@@ -106,7 +108,7 @@ def train(rows: list[tuple[object, int, list[list[int]]]]) -> Model:
     """Counts with add-one smoothing from ``(conv_id, role, features of the record's first segment)`` in order."""
     start, move = np.ones(K), np.ones((K, K))
     emit = [np.ones((K, n)) for n in SIZES]
-    emit[0][:, :K] += 50 * np.eye(K)  # a marker speaks for its role, whether or not the sample has markers
+    marked = np.ones((K, 2))
     last, before = object(), 0
     for conv, role, lines in rows:
         if conv == last:
@@ -114,11 +116,14 @@ def train(rows: list[tuple[object, int, list[list[int]]]]) -> Model:
         else:
             start[role] += 1
         last, before = conv, role
-        emit[0][role, lines[0][0]] += 1
+        marked[role, int(lines[0][0] < K)] += 1
         emit[4][role, lines[0][4]] += 1
         for x in lines:
             for k in (1, 2, 3):
                 emit[k][role, x[k]] += 1
+    rate = marked / marked.sum(axis=1, keepdims=True)
+    named = np.where(np.eye(K, dtype=bool), OWN, (1 - OWN) / (K - 1))
+    emit[0] = np.hstack([rate[:, 1:] * named, rate[:, :1]])
     log = lambda a: np.log(a / a.sum(axis=-1, keepdims=True))
     return Model(log(start), log(move), [log(e) for e in emit])
 
