@@ -51,7 +51,8 @@ def photo_verdict(short_side: Column, low: int = 160, fair: int = 224) -> Column
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson score interval of k of n; null where n is 0."""
-    p = k / F.nullif(n, F.lit(0))
+    n = F.nullif(n, F.lit(0).cast("double"))
+    p = k / n
     mid, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     scale = 1 + z * z / n
     return (mid - half) / scale, (mid + half) / scale
