@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loopgrade.llm import decontamination, mixing, quality_classifier, quality_rules, sanitise, simhash, suffix_dedup, token_counts, toxicity, transcripts
 from loopgrade.llm.common import table
+from loopgrade.llm.oracles import ORACLES  # noqa: F401
 
 
 #: Folder of public vocabulary files; a parameter of every tokenizer query.
@@ -65,4 +66,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_token_counts, op5_transcripts, op6_simhash, op7_sanitise, op8_suffix_dedup, op9_mixing, op10_toxicity)}
-ORACLES: dict[str, str] = {}
