@@ -75,7 +75,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     queue = passes.withColumn("finish", finish).withColumn("slot", slot)
     slots = queue.groupBy("slot").agg(F.sum("size").alias("sum"))
     slot_start = F.coalesce(F.sum("sum").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slots = slots.select("slot", slot_start.alias("slot_start")).where(F.col("slot_start") < total)
+    slots = cut(slots.select("slot", slot_start.alias("slot_start")).where(F.col("slot_start") < total))
+    last = slots.agg(F.max("slot")).first()[0]
+    queue = queue.where(F.col("slot") <= F.lit(-1 if last is None else last))  # later slots begin beyond the budget: they aren't shuffled
     order = Window.partitionBy("slot").orderBy("finish", "sk", "key", "rid").rowsBetween(Window.unboundedPreceding, 0)
     taken = (
         queue.join(slots, "slot")
