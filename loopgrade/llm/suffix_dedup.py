@@ -243,9 +243,10 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=list(names))
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast where ``df`` has at most so many rows; otherwise the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bounded(df: DataFrame, arrays: str, most: int) -> DataFrame:
+    """A broadcast where ``df`` has at most so many rows and array elements together; otherwise the join shuffles."""
+    n = df.agg(F.count("*") + F.coalesce(F.sum(F.size(arrays)), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most else df
 
 
 def repeats(docs: DataFrame, hot: int = HOT, small: int = SMALL) -> DataFrame:
@@ -265,7 +266,7 @@ def repeats(docs: DataFrame, hot: int = HOT, small: int = SMALL) -> DataFrame:
     shared = one.join(twice, "anchor").groupBy("rid", "key_1", "key_2").agg(F.collect_set(F.struct("anchor", (F.col("places") > hot).alias("hot"))).alias("chosen"))
     shared = cut(shared.drop("rid"))
 
-    hold = base.select("key_1", "key_2", "b").join(_bounded(shared, small), ["key_1", "key_2"])
+    hold = base.select("key_1", "key_2", "b").join(_bounded(shared, "chosen", small), ["key_1", "key_2"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
@@ -334,7 +335,7 @@ def remove(docs: DataFrame, hot: int = HOT, small: int = SMALL) -> DataFrame:
     found = repeats(docs, hot, small)
     key_1, key_2 = row_keys()
     base = docs.select("doc_id", key_1.alias("key_1"), key_2.alias("key_2"), text_bytes().alias("b"))
-    both = base.join(_bounded(found, small), ["key_1", "key_2"], "left").drop("key_1", "key_2")
+    both = base.join(_bounded(found, "spans", small), ["key_1", "key_2"], "left").drop("key_1", "key_2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

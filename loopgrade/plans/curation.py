@@ -115,21 +115,32 @@ def c_01(spark: SparkSession, d: str) -> DataFrame:
     return shots(spark, d).select("id", vectors.gradient_hash(F.col("v")).alias("hash"))
 
 
-@query("j_09_near_hashes", f"WITH {SHOTS}, h AS (SELECT id, {BITS} AS hash FROM shots) SELECT a.id AS a, b.id AS b, bit_count(xor(a.hash, b.hash))::INT AS bits FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 4")
+PAIRS = f"""WITH {SHOTS}, h AS (SELECT id, {BITS} AS hash FROM shots), c AS (SELECT hash, min(id) AS id FROM h GROUP BY 1),
+    near AS (SELECT a.id AS a, b.id AS b, bit_count(xor(a.hash, b.hash))::INT AS bits FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 4 UNION ALL SELECT c.id, h.id, 0 FROM h JOIN c USING (hash) WHERE h.id <> c.id)"""
+
+
+@query("j_09_near_hashes", PAIRS + " SELECT a, b, bits FROM near")
 def j_09(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.near_rows(shots(spark, d).select("id", vectors.gradient_hash(F.col("v")).alias("hash")), 4).select("a", "b", "bits")
+    return vectors.near_rows(shots(spark, d).select("id", vectors.gradient_hash(F.col("v")).alias("hash")), 4)
+
+
+def _wide(k: int) -> str:
+    return f"list_sum(list_transform(range(0, 64), lambda i: CASE WHEN v[(i + {k}) % 64 + 1] > v[i + 1] THEN (1::UBIGINT << i)::HUGEINT ELSE 0 END))::UBIGINT"
 
 
 @query(
     "j_08_near_duplicates",
-    f"WITH {SHOTS}, h AS (SELECT id, v, {BITS} AS hash FROM shots) SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 4 AND list_sum(list_transform(range(1, 65), lambda i: abs(a.v[i]::DOUBLE - b.v[i]::DOUBLE))) / 64 <= 0.001",
+    f"""WITH {SHOTS}, h AS (SELECT id, v, {BITS} AS hash, {_wide(1)} AS w1, {_wide(2)} AS w2, {_wide(3)} AS w3, {_wide(4)} AS w4 FROM shots), c AS (SELECT v, any_value(hash) AS hash, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3, any_value(w4) AS w4, min(id) AS id FROM h GROUP BY v)
+    SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 10 AND bit_count(xor(a.w1, b.w1)) + bit_count(xor(a.w2, b.w2)) + bit_count(xor(a.w3, b.w3)) + bit_count(xor(a.w4, b.w4)) <= 22
+        AND list_sum(list_transform(range(1, 65), lambda i: abs(a.v[i]::DOUBLE - b.v[i]::DOUBLE))) / 64 <= 0.001
+    UNION ALL SELECT c.id, h.id FROM h JOIN c USING (v) WHERE h.id <> c.id""",
 )
 def j_08(spark: SparkSession, d: str) -> DataFrame:
-    rows = shots(spark, d).withColumn("hash", vectors.gradient_hash(F.col("v")))
-    return vectors.near_images(rows, 4, 0.001).select("a", "b")
+    rows = shots(spark, d).withColumn("hash", vectors.gradient_hash(F.col("v"))).withColumn("wide", vectors.wide_hash(F.col("v")))
+    return vectors.near_images(rows, mean_difference=0.001)  # the tables' vectors have unit length
 
 
-@query("g_40_pair_classes", f"WITH {SHOTS}, h AS (SELECT id, id % 4 AS dataset, id % 3 AS label, {BITS} AS hash FROM shots) SELECT CASE WHEN a.dataset <> b.dataset THEN 'cross_dataset' WHEN a.label <> b.label THEN 'cross_label' ELSE 'same_folder' END AS kind, count(*) AS n FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 4 GROUP BY 1")
+@query("g_40_pair_classes", PAIRS + " SELECT CASE WHEN a % 4 <> b % 4 THEN 'cross_dataset' WHEN a % 3 <> b % 3 THEN 'cross_label' ELSE 'same_folder' END AS kind, count(*) AS n FROM near GROUP BY 1")
 def g_40(spark: SparkSession, d: str) -> DataFrame:
     p = vectors.near_rows(shots(spark, d).select("id", vectors.gradient_hash(F.col("v")).alias("hash")), 4)
     kind = F.when(F.col("a") % 4 != F.col("b") % 4, "cross_dataset").when(F.col("a") % 3 != F.col("b") % 3, "cross_label").otherwise("same_folder")
