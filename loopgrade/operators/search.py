@@ -57,3 +57,23 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     """The k best ids per query, by similarity rounded to 9 digits, then id, with their rank."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id"))
     return scores.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def scores(queries: DataFrame, catalogue: DataFrame, backend: str) -> DataFrame:
+    """``query_id, id, similarity`` by the named backend; there is no silent fallback.
+
+    ``tfidf`` reads (id, text) on both sides; ``dense`` reads (id, embedding), with at most the bounded number of queries at once.
+    """
+    if backend == "tfidf":
+        counts = term_counts(catalogue)
+        idf = idf_table(counts, catalogue.count())
+        return similarity(weigh(term_counts(queries), idf), weigh(counts, idf))
+    if backend == "dense":
+        from loopgrade.operators.vectors import dot, unit
+
+        asked = queries.select(F.col("id").alias("query_id"), unit(F.col("embedding")).alias("q"))
+        if asked.limit(10_001).count() > 10_000:
+            raise ValueError("ask at most 10,000 dense queries at once")
+        every = catalogue.select("id", unit(F.col("embedding")).alias("v"))
+        return every.crossJoin(F.broadcast(asked)).select("query_id", "id", dot(F.col("q"), F.col("v")).alias("similarity"))
+    raise ValueError(f"unknown backend {backend!r}")

@@ -84,6 +84,13 @@ def g_31(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.retrieval(texts.join(q, "query_id").withColumn("relevant", F.contains("text", "asked")), 10)
 
 
+@query("a_12_backend", SCORES + " SELECT query_id, id FROM sim QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) = 1")
+def a_12(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return search.top(search.scores(asked, docs, "tfidf"), 1).select("query_id", "id")
+
+
 @query("a_07_listing_text", "SELECT waste_id, concat_ws(' ', replace(waste_type, '_', ' '), replace(sub_type, '_', ' '), quality, CASE waste_id % 3 WHEN 0 THEN 'clean polyethylene terephthalate flakes' WHEN 1 THEN 'PETS printed circuit board' ELSE 'high density polyethylene drums' END) AS text FROM listings", "listings")
 def a_07(spark: SparkSession, d: str) -> DataFrame:
     note = F.when(F.col("waste_id") % 3 == 0, "clean PET flakes").when(F.col("waste_id") % 3 == 1, "PETS PCB").otherwise("HDPE drums")
@@ -92,10 +99,9 @@ def a_07(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a_11_dense_similarity", "SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0")
 def a_11(spark: SparkSession, d: str) -> DataFrame:
-    v = read(spark, d, "embeddings")
-    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), vectors.unit(F.col("embedding")).alias("q"))  # the stated query set
-    every = v.select(F.col("vec_id").alias("id"), vectors.unit(F.col("embedding")).alias("m"))
-    return every.crossJoin(F.broadcast(asked)).select("query_id", "id", F.round(vectors.dot(F.col("q"), F.col("m")), 5).alias("similarity"))
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = v.where("id % 100 = 0")  # the stated query set
+    return search.scores(asked, v, "dense").select("query_id", "id", F.round("similarity", 5).alias("similarity"))
 
 
 # ---- near duplicates ----

@@ -271,6 +271,11 @@ def j_06(spark: SparkSession, d: str) -> DataFrame:
     return vectors.neighbours(*bank(spark, d), 1).select("id", "label", F.round("distance", 5).alias("distance"))
 
 
+@query("t_05_k_smallest", f"WITH {NN} SELECT id, bank_id FROM nn WHERE r <= 5")
+def t_05(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.neighbours(*bank(spark, d), 5).select("id", "bank_id")
+
+
 VAL = "val AS (SELECT id, milli::DOUBLE / 1001 AS confidence, ((id * 7919 % 10007)::DOUBLE / 10007) AS knn, truth AS waste_type, truth = pred AS correct FROM classified)"
 
 
