@@ -21,6 +21,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as compressed Parquet in the shared folder, read again: for rows with long texts that several jobs need."""
+    import uuid
+
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast where it has at most ``rows`` rows; beyond that the join shuffles."""
     from pyspark.sql import functions as F
