@@ -13,10 +13,11 @@ To do this over a corpus, windows that can't be equal are kept apart and most ar
 3. The windows of a repeated anchor go, in up to three units, to the core of 3 * GRAM bytes that all
    windows of the unit contain. Units meet by the hash of their core; equal units are duplicates outright,
    and only cores with different units have their suffixes sorted, alignment by alignment.
-4. An anchor of more than ``hot`` places (a line that a third of all documents share) isn't gathered. Its
-   windows go to finer units with cores of LENGTH - 25 bytes; equal units are counted by a 128-bit hash,
-   which combines before the shuffle, and are duplicates outright. One unit of each kind goes on: to the
-   sort where its core has up to ``hot`` kinds, else its single windows are counted the same way.
+4. An anchor of more than ``hot`` places (a line that a third of all documents share) isn't gathered. All
+   its windows at a place are one block; equal blocks are counted by a 128-bit hash, which combines before
+   the shuffle, and are duplicates outright. One block of each kind is cut into finer units with cores of
+   LENGTH - 25 bytes, treated alike. One unit of each kind goes on: to the sort where its core has up to
+   ``hot`` kinds, else its single windows are counted the same way.
 
 Defined results: a null or empty text has no bytes; repeated rows and equal texts are copies of each other,
 so all of them lose their windows; texts shorter than LENGTH lose nothing; an empty table gives an empty
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopgrade.functions.session import cut
+from loopgrade.functions.session import cut, written
 from loopgrade.llm.common import add_columns, fields, row_keys, slices, text_bytes
 
 LENGTH, GRAM = 200, 50
@@ -100,22 +101,20 @@ def anchors(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return p[keep], h[keep], first[keep], last[keep]
 
 
-def units(b: bytes, steps: dict[int, int]) -> Iterator[tuple[int, int, int, int, int]]:
-    """``(anchor hash, first window start, windows, core offset, core hash)`` of the windows of chosen anchors.
+def split(b: bytes, p: int, first: int, last: int, step: int) -> Iterator[tuple[int, int, int, int]]:
+    """``(first window start, windows, core offset, core hash)`` of the windows ``first`` to ``last`` of the anchor at ``p``,
+    in units of up to ``step`` windows whose core is LENGTH - step bytes long."""
+    for j in range(_SPAN // step):
+        core = p - j * step
+        furthest = p - _SPAN if (j + 1) * step >= _SPAN else core - step + 1
+        lo, hi = max(first, furthest), min(last, core)
+        if lo <= hi:
+            key = xxhash.xxh64_intdigest(b[core : core + LENGTH - step], j)
+            yield lo, hi - lo + 1, core - lo, key - (1 << 64) if key >> 63 else key
 
-    ``steps`` gives, per chosen anchor, how many windows a unit holds; its core is LENGTH - step bytes long.
-    """
-    for p, h, first, last in zip(*(c.tolist() for c in anchors(b)), strict=True):
-        if h not in steps:
-            continue
-        step = steps[h]
-        for j in range(_SPAN // step):
-            core = p - j * step
-            furthest = p - _SPAN if (j + 1) * step >= _SPAN else core - step + 1
-            lo, hi = max(first, furthest), min(last, core)
-            if lo <= hi:
-                key = xxhash.xxh64_intdigest(b[core : core + LENGTH - step], j)
-                yield h, lo, hi - lo + 1, core - lo, key - (1 << 64) if key >> 63 else key
+
+def kind_of(body: bytes, offset: int) -> list[int]:
+    return np.frombuffer(xxhash.xxh3_128_digest(body, offset), np.int64).tolist()
 
 
 class Suffixes:
@@ -249,6 +248,34 @@ def _bounded(df: DataFrame, arrays: str, most: int) -> DataFrame:
     return F.broadcast(df) if n <= most else df
 
 
+def _unit_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
+    names = [x.split()[0] for x in _UNIT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of hot anchors cut into finer units."""
+    for batch in slices(batches):
+        out: list[tuple] = []
+        for k1, k2, first, count, offset, body in zip(*(batch.column(c).to_pylist() for c in ("key_1", "key_2", "first", "count", "offset", "body")), strict=True):
+            for lo, n, at, core in split(body, offset, 0, count - 1, FINE):
+                part = body[lo : lo + n + LENGTH - 1]
+                out.append((core, *kind_of(part, at), k1, k2, first + lo, n, at, part))
+        yield _unit_batch(out)
+
+
+def _kinds(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row of each kind whose core has several kinds, with their number ``k``; and the spans of all rows whose kind stands twice."""
+    rows = cut(parts.withColumn("uid", F.monotonically_increasing_id()))
+    kind = ["core", "kind_1", "kind_2"]
+    kinds = cut(rows.groupBy(kind).agg(F.count("*").alias("n"), F.min("uid").alias("uid")))
+    several = kinds.groupBy("core").agg(F.count("*").alias("k")).where("k > 1")
+    end = (F.col("first") + F.col("count") + (LENGTH - 1)).cast("long").alias("end")
+    equal = rows.join(kinds.where("n > 1").select(kind), kind).select("key_1", "key_2", F.col("first").cast("long").alias("start"), end)
+    return rows.join(kinds.join(several, "core").select("uid", "k"), "uid"), equal
+
+
 def repeats(docs: DataFrame, hot: int = HOT, small: int = SMALL) -> DataFrame:
     """``key_1, key_2, whole, spans``: per row key with repeated bytes, either all windows (copies) or the [start, end) spans."""
     key_1, key_2 = row_keys()
@@ -266,33 +293,30 @@ def repeats(docs: DataFrame, hot: int = HOT, small: int = SMALL) -> DataFrame:
     shared = one.join(twice, "anchor").groupBy("rid", "key_1", "key_2").agg(F.collect_set(F.struct("anchor", (F.col("places") > hot).alias("hot"))).alias("chosen"))
     shared = cut(shared.drop("rid"))
 
-    hold = base.select("key_1", "key_2", "b").join(_bounded(shared, "chosen", small), ["key_1", "key_2"])
+    hold = written(base.select("key_1", "key_2", "b").join(_bounded(shared, "chosen", small), ["key_1", "key_2"]))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
         for batch in slices(batches, 64):
             out: list[tuple] = []
             for k1, k2, b, chosen in zip(*(batch.column(c).to_pylist() for c in ("key_1", "key_2", "b", "chosen")), strict=True):
-                steps = {c["anchor"]: FINE if c["hot"] else GRAM for c in chosen}
-                for h, first, count, offset, core in units(b, steps):
-                    body = b[first : first + count + LENGTH - 1]
-                    d = np.frombuffer(xxhash.xxh3_128_digest(body, offset), np.int64).tolist() if steps[h] == FINE else (None, None)
-                    out.append((core, *d, k1, k2, first, count, offset, body))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=_UNIT.replace(" long", "").replace(" int", "").replace(" binary", "").split(", "))
+                is_hot = {c["anchor"]: c["hot"] for c in chosen}
+                for p, h, first, last in zip(*(c.tolist() for c in anchors(b)), strict=True):
+                    if is_hot.get(h):
+                        body = b[first : last + LENGTH]
+                        out.append((h, *kind_of(body, p - first), k1, k2, first, last - first + 1, p - first, body))
+                    elif h in is_hot:
+                        out += [(core, None, None, k1, k2, lo, n, at, b[lo : lo + n + LENGTH - 1]) for lo, n, at, core in split(b, p, first, last, GRAM)]
+            yield _unit_batch(out)
 
     parts = hold.mapInArrow(expand, _UNIT)
-    warm = cut(parts.where("kind_1 is not null").withColumn("uid", F.monotonically_increasing_id()))
-    kind = ["core", "kind_1", "kind_2"]
-    kinds = cut(warm.groupBy(kind).agg(F.count("*").alias("n"), F.min("uid").alias("uid")))
-    end = (F.col("first") + F.col("count") + (LENGTH - 1)).cast("long").alias("end")
-    equal = warm.join(kinds.where("n > 1").select(kind), kind).select("key_1", "key_2", F.col("first").cast("long").alias("start"), end)
-    several = kinds.groupBy("core").agg(F.count("*").alias("k")).where("k > 1")
-    one_each = warm.join(kinds.join(several, "core").select("uid", "k"), "uid")
-    single = one_each.where(F.col("k") > hot).mapInArrow(_windows, "key_1 long, key_2 long, start long, w_1 long, w_2 long")
+    blocks, equal_blocks = _kinds(parts.where("kind_1 is not null"))
+    fine, equal_units = _kinds(blocks.mapInArrow(_refine, _UNIT))
+    single = fine.where(F.col("k") > hot).mapInArrow(_windows, "key_1 long, key_2 long, start long, w_1 long, w_2 long")
     place = F.xxhash64("key_1", "key_2", "start")
     both = single.groupBy("w_1", "w_2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("w_1", "w_2")
     hits = single.join(both, ["w_1", "w_2"]).select("key_1", "key_2", "start", (F.col("start") + LENGTH).alias("end"))
-    gathered = parts.where("kind_1 is null").drop("kind_1", "kind_2").unionByName(one_each.where(F.col("k") <= hot).select("core", "key_1", "key_2", "first", "count", "offset", "body"))
+    equal = equal_blocks.unionByName(equal_units)
+    gathered = parts.where("kind_1 is null").drop("kind_1", "kind_2").unionByName(fine.where(F.col("k") <= hot).select("core", "key_1", "key_2", "first", "count", "offset", "body"))
     cold = gathered.repartition("core").sortWithinPartitions("core")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
