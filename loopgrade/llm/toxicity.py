@@ -50,7 +50,7 @@ class Machine:
         return self.bias + float(self.linear[i].sum()) + 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
 
 
-def associated(docs: list[list[int]], y: np.ndarray, least: float = 12.0, min_docs: int = 3) -> np.ndarray:
+def associated(docs: list[np.ndarray] | list[list[int]], y: np.ndarray, least: float = 12.0, min_docs: int = 3) -> np.ndarray:
     """Terms, sorted, whose likelihood ratio G against the label is ``least`` or more (12: p of about 0.0005)."""
     flat = np.concatenate([np.array(d, np.int64) for d in docs] or [np.zeros(0, np.int64)])
     seen, place, n = np.unique(flat, return_inverse=True, return_counts=True)
@@ -61,7 +61,7 @@ def associated(docs: list[list[int]], y: np.ndarray, least: float = 12.0, min_do
     return seen[(g >= least) & (n >= min_docs)]
 
 
-def fit(docs: list[list[int]], y: np.ndarray, epochs: int = 200, rate: float = 0.05, decay: float = 1e-4, positive: float = 3.0, seed: int = 7) -> Machine:
+def fit(docs: list[np.ndarray] | list[list[int]], y: np.ndarray, epochs: int = 200, rate: float = 0.05, decay: float = 1e-4, positive: float = 3.0, seed: int = 7) -> Machine:
     """Adam on the log loss over all sampled documents at once; a toxic one weighs ``positive``."""
     place = associated(docs, y)
     mean = float(y.mean())
@@ -96,10 +96,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([terms(b.as_py()) for b in batch.column("b")], pa.list_(pa.int32())), batch.column("y")], names=["terms", "y"])
+            packed = [np.array(terms(b.as_py()), np.int32).tobytes() for b in batch.column("b")]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column("y")], names=["terms", "y"])
 
-    got = sorted({(tuple(r.terms), r.y) for r in sample.mapInArrow(run, "terms array<int>, y int").collect()})
-    return fit([t for t, _ in got], np.array([y for _, y in got], float)) if got else None
+    got = sorted({(bytes(r.terms), r.y) for r in sample.mapInArrow(run, "terms binary, y int").collect()})  # 4 bytes a term
+    return fit([np.frombuffer(t, np.int32) for t, _ in got], np.array([y for _, y in got], float)) if got else None
 
 
 def score(docs: DataFrame, machine: Machine | None, threshold: float = 0.5) -> DataFrame:
