@@ -42,7 +42,7 @@ LENGTH, GRAM = 200, 50
 HOT, SMALL, CHUNK = 4000, 150_000, 2 << 20
 #: Windows of a unit of a hot anchor.
 FINE = 25
-_UNIT = "core long, kind_1 long, kind_2 long, key_1 long, key_2 long, first int, count int, offset int, body binary"
+_UNIT = "core long, kind_1 long, kind_2 long, key_1 long, key_2 long, first int, count int, offset int, body binary, times int, runs array<int>"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPAN = LENGTH - GRAM  # a window of LENGTH bytes has _SPAN + 1 grams
 _BLOCK = 1 << 17
@@ -249,7 +249,7 @@ def _bounded(df: DataFrame, arrays: str, most: int) -> DataFrame:
 
 
 def _unit_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary(), pa.int32(), pa.list_(pa.int32())]
     names = [x.split()[0] for x in _UNIT.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
@@ -261,7 +261,7 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k1, k2, first, count, offset, body in zip(*(batch.column(c).to_pylist() for c in ("key_1", "key_2", "first", "count", "offset", "body")), strict=True):
             for lo, n, at, core in split(body, offset, 0, count - 1, FINE):
                 part = body[lo : lo + n + LENGTH - 1]
-                out.append((core, *kind_of(part, at), k1, k2, first + lo, n, at, part))
+                out.append((core, *kind_of(part, at), k1, k2, first + lo, n, at, part, 1, [first + lo, first + lo + len(part)]))
         yield _unit_batch(out)
 
 
@@ -269,10 +269,11 @@ def _kinds(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row of each kind whose core has several kinds, with their number ``k``; and the spans of all rows whose kind stands twice."""
     rows = cut(parts.withColumn("uid", F.monotonically_increasing_id()))
     kind = ["core", "kind_1", "kind_2"]
-    kinds = cut(rows.groupBy(kind).agg(F.count("*").alias("n"), F.min("uid").alias("uid")))
+    kinds = cut(rows.groupBy(kind).agg(F.sum("times").alias("n"), F.min("uid").alias("uid")))
     several = kinds.groupBy("core").agg(F.count("*").alias("k")).where("k > 1")
-    end = (F.col("first") + F.col("count") + (LENGTH - 1)).cast("long").alias("end")
-    equal = rows.join(kinds.where("n > 1").select(kind), kind).select("key_1", "key_2", F.col("first").cast("long").alias("start"), end)
+    pair = lambda i: F.struct(F.get("runs", 2 * i).cast("long").alias("start"), F.get("runs", 2 * i + 1).cast("long").alias("end"))
+    runs = F.explode(F.transform(F.sequence(F.lit(0), (F.size("runs") / 2 - 1).cast("int")), pair)).alias("x")
+    equal = rows.join(kinds.where("n > 1").select(kind), kind).select("key_1", "key_2", runs).select("key_1", "key_2", "x.start", "x.end")
     return rows.join(kinds.join(several, "core").select("uid", "k"), "uid"), equal
 
 
@@ -283,13 +284,15 @@ def repeats(docs: DataFrame, hot: int = HOT, small: int = SMALL) -> DataFrame:
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [anchors(b.as_py())[1] for b in batch.column("b")]
-            yield add_columns(batch, ["key_1", "key_2", "key_3"], {"found": pa.array(found, pa.list_(pa.int64()))})
+            found = [np.unique(anchors(b.as_py())[1], return_counts=True) for b in batch.column("b")]
+            new = {"found": pa.array([f for f, _ in found], pa.list_(pa.int64())), "times": pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))}
+            yield add_columns(batch, ["key_1", "key_2", "key_3"], new)
 
-    rows = cut(base.mapInArrow(seed, "key_1 long, key_2 long, key_3 int, found array<long>").withColumn("rid", F.monotonically_increasing_id()))
+    rows = cut(base.mapInArrow(seed, "key_1 long, key_2 long, key_3 int, found array<long>, times array<int>").withColumn("rid", F.monotonically_increasing_id()))
     texts = cut(rows.groupBy("key_2", "key_3").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")))
-    one = rows.join(texts.select("rid"), "rid", "left_semi").select("rid", "key_1", "key_2", F.explode("found").alias("anchor"))
-    twice = one.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1")
+    one = rows.join(texts.select("rid"), "rid", "left_semi").select("rid", "key_1", "key_2", F.explode(F.arrays_zip("found", "times")).alias("x"))
+    one = one.select("rid", "key_1", "key_2", F.col("x.found").alias("anchor"), F.col("x.times").alias("times"))
+    twice = one.groupBy("anchor").agg(F.sum("times").alias("places")).where("places > 1")
     shared = one.join(twice, "anchor").groupBy("rid", "key_1", "key_2").agg(F.collect_set(F.struct("anchor", (F.col("places") > hot).alias("hot"))).alias("chosen"))
     shared = cut(shared.drop("rid"))
 
@@ -300,12 +303,19 @@ def repeats(docs: DataFrame, hot: int = HOT, small: int = SMALL) -> DataFrame:
             out: list[tuple] = []
             for k1, k2, b, chosen in zip(*(batch.column(c).to_pylist() for c in ("key_1", "key_2", "b", "chosen")), strict=True):
                 is_hot = {c["anchor"]: c["hot"] for c in chosen}
+                own: dict[tuple, list] = {}  # equal blocks of one text are one row: how often they stand, and what they cover
                 for p, h, first, last in zip(*(c.tolist() for c in anchors(b)), strict=True):
                     if is_hot.get(h):
                         body = b[first : last + LENGTH]
-                        out.append((h, *kind_of(body, p - first), k1, k2, first, last - first + 1, p - first, body))
+                        row = own.setdefault((h, *kind_of(body, p - first)), [k1, k2, first, last - first + 1, p - first, body, 0, [first, first]])
+                        row[6] += 1
+                        if first <= row[7][-1]:
+                            row[7][-1] = last + LENGTH
+                        else:
+                            row[7] += [first, last + LENGTH]
                     elif h in is_hot:
-                        out += [(core, None, None, k1, k2, lo, n, at, b[lo : lo + n + LENGTH - 1]) for lo, n, at, core in split(b, p, first, last, GRAM)]
+                        out += [(core, None, None, k1, k2, lo, n, at, b[lo : lo + n + LENGTH - 1], 1, None) for lo, n, at, core in split(b, p, first, last, GRAM)]
+                out += [(*k, *row) for k, row in own.items()]
             yield _unit_batch(out)
 
     parts = hold.mapInArrow(expand, _UNIT)
@@ -316,7 +326,7 @@ def repeats(docs: DataFrame, hot: int = HOT, small: int = SMALL) -> DataFrame:
     both = single.groupBy("w_1", "w_2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("w_1", "w_2")
     hits = single.join(both, ["w_1", "w_2"]).select("key_1", "key_2", "start", (F.col("start") + LENGTH).alias("end"))
     equal = equal_blocks.unionByName(equal_units)
-    gathered = parts.where("kind_1 is null").drop("kind_1", "kind_2").unionByName(fine.where(F.col("k") <= hot).select("core", "key_1", "key_2", "first", "count", "offset", "body"))
+    gathered = parts.where("kind_1 is null").drop("kind_1", "kind_2", "times", "runs").unionByName(fine.where(F.col("k") <= hot).select("core", "key_1", "key_2", "first", "count", "offset", "body"))
     cold = gathered.repartition("core").sortWithinPartitions("core")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
