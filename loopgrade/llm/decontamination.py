@@ -11,7 +11,7 @@ The map knows the seeds as a sorted array of hashes while the table of items is
 (checked; 8 bytes each). A larger benchmark is looked up by a join of all document n-grams instead.
 
 Defined results: null and empty texts and items give no pair; items of fewer than ``n`` words are matched
-as one seed of all their words; repeated rows of documents give one pair; an empty table gives an empty
+as one seed of all their words, for which the documents give their shorter n-grams of these lengths, too; repeated rows of documents give one pair; an empty table gives an empty
 result; a null doc_id or item_id is reported as null.
 """
 
@@ -165,11 +165,11 @@ def rare_seeds(docs: DataFrame, items: DataFrame, n: int = N, expected: float =
     return chance.withColumn("place", place).where((F.col("chance") <= float(np.log(expected))) | (F.col("place") <= least)).select("item_no", "seed")
 
 
-def passages(docs: DataFrame, seeds: np.ndarray | None, longest: int, n: int = N) -> DataFrame:
+def passages(docs: DataFrame, seeds: np.ndarray | None, longest: int, lengths: tuple[int, ...] = (N,)) -> DataFrame:
     """``key_1, key_2, doc_id, start, hashes, hits``: overlapping chunks that hold a seed, and the seeds they hold.
 
     Chunks are ``2 * longest`` words and begin every ``longest`` words, so a passage as long as any item lies whole in one.
-    Without ``seeds`` every chunk comes with all its n-grams, for the join to choose.
+    ``lengths`` are those of the seeds in words. Without ``seeds`` every chunk comes with all its n-grams, for the join to choose.
     """
     sent = docs.sparkSession.sparkContext.broadcast(seeds)
     key_1, key_2 = row_keys()
@@ -181,12 +181,15 @@ def passages(docs: DataFrame, seeds: np.ndarray | None, longest: int, n: int = N
             rows: list[tuple[int, int, list[int], list[int]]] = []
             for k, b in enumerate(batch.column("b")):
                 h = word_hashes(words(b.as_py()), memo)
-                grams = ngram_hashes(h, n).view(np.int64)
-                hit = np.arange(len(grams)) if sent.value is None else np.flatnonzero(_in_sorted(grams, sent.value))
-                for c in np.unique(np.concatenate([hit // longest, hit // longest - 1])).tolist() if len(hit) else []:
+                by_length = [ngram_hashes(h, n).view(np.int64) for n in lengths if n <= len(h)] or [np.zeros(0, np.int64)]
+                grams, place = np.concatenate(by_length), np.concatenate([np.arange(len(g)) for g in by_length])
+                if sent.value is not None:
+                    held = _in_sorted(grams, sent.value)
+                    grams, place = grams[held], place[held]
+                for c in np.unique(np.concatenate([place // longest, place // longest - 1])).tolist() if len(place) else []:
                     lo, hi = max(0, c) * longest, max(0, c) * longest + 2 * longest
-                    inside = hit[(hit >= lo) & (hit < hi)]
-                    if c >= 0 and len(inside):
+                    inside = (place >= lo) & (place < hi)
+                    if c >= 0 and inside.any():
                         rows.append((k, lo, h[lo:hi].view(np.int64).tolist(), np.unique(grams[inside]).tolist()))
             at = pa.array([r[0] for r in rows], pa.int64())
             same = [batch.column(c).take(at) for c in ("key_1", "key_2", "doc_id")]
@@ -200,11 +203,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = SHAR
     """``key_1, key_2, doc_id, item_id, score, start_word, end_word``: the best alignment of every leaked (document, item) pair."""
     items = cut(_items(benchmark).withColumn("item_no", F.monotonically_increasing_id()))
     longest = items.agg(F.max(F.size("hashes"))).first()[0] or 1
+    lengths = tuple(sorted(r.n for r in items.select(F.least(F.size("hashes"), F.lit(n)).alias("n")).distinct().collect()))  # n values at most
     seeds = cut(rare_seeds(docs, items, n, expected, most_seeds=most_seeds))
     table = seeds.select("seed").distinct()
     small = table.limit(most_seeds + 1).count() <= most_seeds
     known = np.sort(np.array([r.seed for r in table.collect()], np.int64)) if small else None
-    found = cut(passages(docs, known, longest, n).withColumn("passage", F.monotonically_increasing_id()))
+    found = cut(passages(docs, known, longest, lengths).withColumn("passage", F.monotonically_increasing_id()))
     bounded = F.broadcast if small else (lambda df: df)  # at most most_seeds rows of 16 bytes
     pairs = found.select("passage", F.explode("hits").alias("seed")).join(bounded(seeds), "seed").select("passage", "item_no").distinct()
     both = found.drop("hits").join(pairs, "passage").join(items.select("item_no", "item_id", F.col("hashes").alias("item")), "item_no")

@@ -85,6 +85,14 @@ def test_leaks(spark, odd, empty):
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(odd, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most_seeds", [decontamination.MOST_SEEDS, 0])
+def test_short_items_leak_in_long_documents(spark, most_seeds):
+    rows = [(1, prose(3, 90) + " Quux zorble! " + prose(4, 50), "a"), (2, prose(5, 90) + " quux of zorble", "a"), (3, prose(6, 70) + " vex quib wump", "a"), (4, "zyx", "a"), (5, prose(7, 40) + " zyx " + prose(8, 9), "a")]
+    bench = spark.createDataFrame([(10, "quux zorble"), (11, "Vex, quib wump"), (12, "zyx"), (13, prose(9, 20))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.start_word, r.end_word) for r in decontamination.leaks(docs(spark, rows), bench, most_seeds=most_seeds).collect()}
+    assert got == {(1, 10): (1.0, 90, 92), (3, 11): (1.0, 70, 73), (4, 12): (1.0, 0, 1), (5, 12): (1.0, 40, 41)}
+
+
 # ---- 2 ----
 def brute_counts(t):
     words = WORD.findall(t)
