@@ -59,10 +59,11 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def scores(queries: DataFrame, catalogue: DataFrame, backend: str) -> DataFrame:
+def scores(queries: DataFrame, catalogue: DataFrame, backend: str, most: int = 10_000) -> DataFrame:
     """``query_id, id, similarity`` by the named backend; there is no silent fallback.
 
-    ``tfidf`` reads (id, text) on both sides; ``dense`` reads (id, embedding), with at most the bounded number of queries at once.
+    ``tfidf`` reads (id, text) on both sides; ``dense`` reads (id, embedding): up to ``most`` queries (checked)
+    travel whole to the catalogue, more meet it partition by partition.
     """
     if backend == "tfidf":
         counts = term_counts(catalogue)
@@ -72,8 +73,6 @@ def scores(queries: DataFrame, catalogue: DataFrame, backend: str) -> DataFrame:
         from loopgrade.operators.vectors import dot, unit
 
         asked = queries.select(F.col("id").alias("query_id"), unit(F.col("embedding")).alias("q"))
-        if asked.limit(10_001).count() > 10_000:
-            raise ValueError("ask at most 10,000 dense queries at once")
         every = catalogue.select("id", unit(F.col("embedding")).alias("v"))
-        return every.crossJoin(F.broadcast(asked)).select("query_id", "id", dot(F.col("q"), F.col("v")).alias("similarity"))
+        return every.crossJoin(bounded(asked, most)).select("query_id", "id", dot(F.col("q"), F.col("v")).alias("similarity"))
     raise ValueError(f"unknown backend {backend!r}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loopgrade.functions.geo import haversine_km
 from loopgrade.functions.labels import sub_label, type_label, wilson
-from loopgrade.operators import calibrate, carbon, components, curate, evaluate, feedback, ordered, predict, ranking, vectors
+from loopgrade.operators import calibrate, carbon, components, curate, evaluate, feedback, ordered, predict, ranking, search, vectors
 
 FACTORS = [("iron", "metal", 2.0, False, "b"), ("tin", "metal", 1.0, True, "a"), ("sand", "glass", 0.011, False, "c"), ("clay", "glass", 0.05, False, "c")]
 
@@ -195,6 +195,25 @@ def test_neighbours(spark):
     assert vectors.knn_distance(qs, bs.limit(2), 5).count() == 30
 
 
+def test_vector_joins_beyond_the_broadcast_bound(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    q, b = rng.normal(size=(30, 8)), rng.normal(size=(40, 8))
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id long, embedding array<double>")
+    ms = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(b)], "mem_id long, label int, embedding array<double>")
+    s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = {(r.id, r.mem_id): r.distance for r in vectors.within(qs, ms, 0.6, largest=39).collect()}
+        every = {(r.query_id, r.id): r.similarity for r in search.scores(qs, ms.withColumnRenamed("mem_id", "id"), "dense", most=29).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert near == pytest.approx({(i, j): 1 - s[i, j] for i in range(30) for j in range(40) if 1 - s[i, j] <= 0.6})
+    assert every == pytest.approx({(i, j): s[i, j] for i in range(30) for j in range(40)})
+
+
 def test_round_robin(spark):
     df = spark.createDataFrame([(i, "abc"[i % 3] if i < 20 else "a", i) for i in range(30)], "id long, leaf string, c long")
     assert curate.round_robin(df, 7, "leaf", F.desc("c")).count() == 9  # whole rounds
