@@ -52,8 +52,8 @@ def dedup(grouped: DataFrame) -> DataFrame:
     return j.withColumn("reason", reason).drop("l1", "l2", "rep", "own")
 
 
-def stratified_split(rows: DataFrame, val: float, test: float, seed: str = "7", key: str = "path") -> DataFrame:
-    """Rows without an official split, ranked by hash within their leaf; round-half-even counts go to val and test.
+def ranked_by_hash(rows: DataFrame, seed: str, key: str) -> DataFrame:
+    """``rows`` with ``_rank``, from 1 in hash order within their leaf, and ``_total``, the rows of the leaf.
 
     The rank is a prefix sum in two levels (256 hash buckets, then inside a bucket), so a leaf with a third
     of all rows is ordered in 256 parts.
@@ -64,10 +64,15 @@ def stratified_split(rows: DataFrame, val: float, test: float, seed: str = "7",
     per = per.select(F.col("leaf").alias("_l"), F.col("_b").alias("_k"), before.alias("_before"), F.sum("_n").over(Window.partitionBy("leaf")).alias("_total"))
     inside = F.row_number().over(Window.partitionBy("leaf", "_b").orderBy("_h", key))
     j = h.withColumn("_i", inside).join(per, F.col("leaf").eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_k")))
-    rank, n = F.col("_before") + F.col("_i"), F.col("_total").cast("double")
+    return j.withColumn("_rank", F.col("_before") + F.col("_i")).drop("_h", "_b", "_l", "_k", "_before", "_i")
+
+
+def stratified_split(rows: DataFrame, val: float, test: float, seed: str = "7", key: str = "path") -> DataFrame:
+    """Rows without an official split, ranked by hash within their leaf; round-half-even counts go to val and test."""
+    rank, n = F.col("_rank"), F.col("_total").cast("double")
     n_val, n_test = F.bround(n * val, 0), F.bround(n * test, 0)
     split = F.when(rank <= n_val, "val").when(rank <= n_val + n_test, "test").otherwise("train")
-    return j.withColumn("split", F.coalesce("split", split)).drop("_h", "_b", "_l", "_k", "_before", "_total", "_i")
+    return ranked_by_hash(rows, seed, key).withColumn("split", F.coalesce("split", split)).drop("_rank", "_total")
 
 
 def unit_split(rows: DataFrame, val: float, test: float, seed: str = "7", unit: str = "scene") -> DataFrame:
@@ -94,9 +99,9 @@ def oversample(rows: DataFrame, most: float = 3.0, seed: str = "7") -> DataFrame
     counts = train.groupBy("leaf").agg(F.count("*").alias("n"))
     median = counts.agg(F.floor(F.percentile("n", 0.5)).alias("median"))
     plan = counts.crossJoin(F.broadcast(median)).select(F.col("leaf"), "n", F.greatest(F.lit(0), F.least("median", F.floor(F.col("n") * most)) - F.col("n")).alias("extra"))
-    ranked = train.withColumn("_r", F.row_number().over(Window.partitionBy("leaf").orderBy(hash_order(seed, "path"), "path")) - 1)
-    copies = 1 + F.floor(F.col("extra") / F.col("n")) + F.when(F.col("_r") < F.col("extra") % F.col("n"), 1).otherwise(0)
-    return ranked.join(F.broadcast(plan), "leaf").withColumn("copies", copies).drop("_r", "n", "extra")
+    ranked = ranked_by_hash(train, seed, "path")
+    copies = 1 + F.floor(F.col("extra") / F.col("n")) + F.when(F.col("_rank") <= F.col("extra") % F.col("n"), 1).otherwise(0)
+    return ranked.join(F.broadcast(plan), "leaf").withColumn("copies", copies).drop("_rank", "_total", "n", "extra")
 
 
 def capped(rows: DataFrame, budget: dict[str, int], seed: str = "7") -> DataFrame:

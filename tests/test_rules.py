@@ -214,6 +214,21 @@ def test_vector_joins_beyond_the_broadcast_bound(spark):
     assert every == pytest.approx({(i, j): s[i, j] for i in range(30) for j in range(40)})
 
 
+def test_oversample_ranks_a_leaf_in_parts(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([(i, "abc"[min(i // 40, 2)], f"p{i}", "train") for i in range(300)], "id long, leaf string, path string, split string").where("id < 40 or id >= 73")
+    out = curate.oversample(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_b" in x.split("ROWS" if "ROWS" in x else ")")[0] for x in plan.split("row_number() windowspecdefinition")[1:])  # no leaf is sorted whole
+    want = {}
+    for leaf, ids in (("a", range(40)), ("b", range(73, 80)), ("c", range(80, 300))):
+        order = sorted(ids, key=lambda i: (hashlib.md5(f"7:p{i}".encode()).hexdigest(), f"p{i}"))
+        extra = max(0, min(40, len(order) * 3) - len(order))
+        want |= {i: 1 + extra // len(order) + (k < extra % len(order)) for k, i in enumerate(order)}
+    assert {r.id: r.copies for r in out.collect()} == want
+
+
 def test_round_robin(spark):
     df = spark.createDataFrame([(i, "abc"[i % 3] if i < 20 else "a", i) for i in range(30)], "id long, leaf string, c long")
     assert curate.round_robin(df, 7, "leaf", F.desc("c")).count() == 9  # whole rounds
