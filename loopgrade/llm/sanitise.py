@@ -1,17 +1,21 @@
 """PII by patterns and by information: native Spark expressions only.
 
 Four kinds of personal data are found by pattern (email, ip, card, phone). Then the corpus says which other
-terms give a protected value away: a term that stands near the value in at least ``contexts`` different
-surroundings, and of whose documents at least ``disclosure`` hold the value near the term, discloses
-log2(P(value | term) / P(value)) bits. Such terms are generalised to ``[TERM]``, or removed from
-``removal`` on, wherever they stand.
+terms give a protected value, or that there is one of its kind, away. Both are estimated over whole documents:
+P(value | term) is (documents with both + w P(value)) / (documents with the term + w), where w weighs the
+share of the value, or kind, in all documents as a prior. A term discloses where this is at least
+``disclosure`` and at least twice the prior (one bit). Kinds cover the values that stand in one document. Such
+terms are generalised to ``[TERM]``, or removed from ``removal`` on, wherever they stand.
+
+Documents count by what they testify: equal texts are one document, and so are texts whose findings have equal
+surroundings (``window`` characters), so near copies of one text don't make its words disclose.
 
 The patterns are written with possessive quantifiers and look-behind so that long runs are scanned once;
 they match what the plain forms match. Offsets are code points, by prefix sums over the pieces between
 matches, in blocks, so that a text with many matches stays cheap.
 
 Document counts are combined before their shuffle. Candidate terms are broadcast while there are at most
-``most_terms`` (checked); beyond that they are joined by shuffle. The same holds for rows with findings.
+``most_terms`` (checked); beyond that all terms are counted and joined by shuffle. The same holds for rows with findings.
 
 Defined results: a null text is empty and has no spans; repeated rows are handled alike; an empty table
 gives an empty result; columns of other names are carried through by :func:`sanitise`.
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopgrade.functions.session import cut
-from loopgrade.llm.common import row_keys
+from loopgrade.llm.common import row_keys, text_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -38,7 +42,9 @@ PATTERNS = {
 #: A character that every match has: texts without it aren't scanned.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 LETTER = r"[\p{L}\p{M}\p{N}]"
-WINDOW, CONTEXTS, DISCLOSURE, REMOVAL, MOST_TERMS, MOST_ROWS = 80, 3, 0.5, 0.9, 200_000, 200_000
+WINDOW, DISCLOSURE, REMOVAL, MOST_TERMS, MOST_ROWS = 80, 0.5, 0.9, 200_000, 200_000
+#: Documents that the prior counts for: values are rare, so few documents with both can't be chance; kinds aren't.
+VALUE_WEIGHT, KIND_WEIGHT = 2.0, 4.0
 BLOCK = 256
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -133,34 +139,66 @@ def _near(text: Column, span: Column, window: int) -> Column:
     return F.concat_ws(" ", left, right)
 
 
+def _outside(text: Column, spans: Column) -> Column:
+    """The text without its spans, a space for each."""
+    ends = F.transform(spans, lambda _, i: F.array_max(F.transform(F.slice(spans, F.lit(1), i + 1), lambda s: s["end"])))
+
+    def pieces(ends: Column) -> Column:
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+        piece = lambda s, i: F.substring(text, before(i) + 1, F.greatest(s["start"] - before(i), F.lit(0)))
+        return F.concat_ws(" ", F.transform(spans, piece), F.substring(text, F.get(ends, F.size(ends) - 1) + 1, F.char_length(text)))
+
+    return let(ends, pieces)
+
+
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast where ``df`` has at most so many rows; otherwise the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def disclosing_terms(
-    docs: DataFrame, window: int = WINDOW, contexts: int = CONTEXTS, disclosure: float = DISCLOSURE, removal: float = REMOVAL, most_terms: int = MOST_TERMS
+    docs: DataFrame, window: int = WINDOW, disclosure: float = DISCLOSURE, removal: float = REMOVAL, most_terms: int = MOST_TERMS, value_weight: float = VALUE_WEIGHT, kind_weight: float = KIND_WEIGHT
 ) -> DataFrame:
-    """``term, p, bits, remove``: terms that give a protected value away, from co-occurrence over all documents."""
+    """``term, p, bits, remove``: terms that give a protected value or kind away, from co-occurrence over all documents."""
     text = F.coalesce("text", F.lit(""))
-    key_1, key_2 = row_keys()
-    spans = docs.select(key_1.alias("key_1"), key_2.alias("key_2"), text.alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    around = F.transform("spans", lambda s: F.struct(s["value"].alias("value"), _near(F.col("text"), s, window).alias("near")))
-    seen = cut(spans.select("key_1", "key_2", F.explode(around).alias("x")).select("key_1", "key_2", F.xxhash64("x.value").alias("value"), "x.near"))
-    pairs = seen.select("key_1", "key_2", "value", F.xxhash64("near").alias("context"), F.explode(terms_of(F.col("near"))).alias("term"))
-    support = pairs.groupBy("value", "term", "context").agg(F.count("*").alias("n")).groupBy("value", "term").agg(F.count("*").alias("contexts"))
-    both = pairs.select("key_1", "key_2", "value", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("n_both"))
-    # a term stands in at least the documents that have it near any value: what can't reach the threshold goes before the corpus is counted
-    near_any = pairs.select("key_1", "key_2", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    likely = support.where(F.col("contexts") >= contexts).join(both, ["value", "term"]).join(near_any, "term")
-    likely = cut(likely.where(F.col("n_both") >= disclosure * F.col("n_near")).drop("n_near"))
-    words = docs.select(F.explode(terms_of(text)).alias("term"))
-    n_term = words.join(_bounded(likely.select("term").distinct(), most_terms), "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    n_value = seen.select("key_1", "key_2", "value").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    total = docs.count()
+    found = docs.select(text_key().alias("th"), text.alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    around = F.array_sort(F.array_distinct(F.transform("spans", lambda s: _near(F.col("text"), s, window))))
+    # a kind is an entity beside its values
+    entity = lambda s: F.array(F.struct(F.xxhash64(s["kind"], s["value"]).alias("id"), F.lit(False).alias("of_kind")), F.struct(F.xxhash64(s["kind"]).alias("id"), F.lit(True).alias("of_kind")))
+    entities = F.array_distinct(F.flatten(F.transform("spans", entity)))
+    held = found.select("th", F.xxhash64(around).alias("unit"), entities.alias("entities"), terms_of(_outside(F.col("text"), F.col("spans"))).alias("terms"), terms_of(F.col("text")).alias("whole"))
+    held = cut(held.withColumn("inner", F.array_except("whole", "terms")).drop("whole").dropDuplicates(["th"]))  # inner: terms only inside findings
+    entity_units = held.select("unit", F.explode("entities").alias("e")).select("unit", "e.id", "e.of_kind").distinct()
+    # documents: different texts without findings and different surroundings with them
+    copies = docs.groupBy(text_key().alias("th")).agg(F.count("*").alias("n")).where("n > 1")
+    texts = docs.count() - (copies.agg(F.sum(F.col("n") - 1)).first()[0] or 0)
+    total = max(1, texts - held.count() + held.select("unit").distinct().count())
+    weight = F.when(F.col("of_kind"), kind_weight).otherwise(value_weight)
+    prior = F.col("n_entity") / F.lit(float(total))
+    # what can't reach the threshold even where a term stands in no other document goes before it meets the terms
+    n_entity = entity_units.groupBy("id", "of_kind").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") + weight * prior >= disclosure * (F.col("n_entity") + weight))
+    n_entity = cut(n_entity)
+    highest = n_entity.agg(F.max(prior)).first()[0]
+    least = min(value_weight, kind_weight)
+    near = held.select("unit", "th", F.explode("terms").alias("term"))
+    n_near = near.groupBy("term", "unit").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("n_near"), F.sum("n").alias("n_texts"))
+    can = lambda n: F.col("n_near") + least * (highest or 0.0) >= disclosure * (n + least)
+    n_inner = held.select(F.explode("inner").alias("term")).groupBy("term").agg(F.count("*").alias("n_inner"))
+    likely = cut(n_near.where(can(F.col("n_near"))).join(n_inner, "term", "left"))
+    words = docs.select(text_key().alias("th"), F.explode(terms_of(text)).alias("term"))
+    if likely.limit(most_terms + 1).count() <= most_terms:
+        words = words.join(F.broadcast(likely.select("term")), "term")
+    words = words.join(_bounded(copies, most_terms), "th", "left")  # a text that stands n times counts a nth each time
+    n_all = words.groupBy("term").agg(F.round(F.sum(1 / F.coalesce("n", F.lit(1)))).alias("n_all"))
+    n_term = F.col("n_all") - F.col("n_texts") - F.coalesce("n_inner", F.lit(0)) + F.col("n_near")
+    likely = cut(likely.join(n_all, "term").withColumn("n_term", n_term).where(can(F.col("n_term"))).select("term", "n_term"))
+    term_units = near.join(_bounded(likely.select("term"), most_terms), "term").select("unit", "term").distinct()
+    entity_units = entity_units.drop("of_kind").join(_bounded(n_entity, most_terms), "id")
+    both = term_units.join(entity_units, "unit").groupBy("term", "id", "of_kind", "n_entity").agg(F.count("*").alias("n_both")).join(likely, "term")
+    smooth = (F.col("n_both") + weight * prior) / (F.col("n_term") + weight)
     p = F.col("n_both") / F.col("n_term")
-    told = likely.join(n_term, "term").join(n_value, "value").select("term", p.alias("p"), F.log2(p * total / F.col("n_value")).alias("bits")).where(F.col("p") >= disclosure)
-    return told.groupBy("term").agg(F.max("p").alias("p"), F.max("bits").alias("bits")).withColumn("remove", F.col("p") >= removal)
+    told = both.select("term", p.alias("p"), F.log2(p / prior).alias("bits"), smooth.alias("smooth"), prior.alias("prior")).where((F.col("smooth") >= disclosure) & (F.col("smooth") >= 2 * F.col("prior")))
+    return told.groupBy("term").agg(F.max("p").alias("p"), F.max("bits").alias("bits"), (F.max("smooth") >= removal).alias("remove"))
 
 
 def find(docs: DataFrame, most_rows: int = MOST_ROWS, **limits: float) -> DataFrame:

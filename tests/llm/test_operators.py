@@ -350,6 +350,18 @@ def test_disclosing_terms(spark, odd, empty):
     assert sanitise.sanitise(empty).count() == 0 and sanitise.find(empty).count() == 0
 
 
+def test_rare_values_are_disclosed_over_whole_documents(spark):
+    far = lambda i, x: f"{prose(i, 40)} {x} {prose(i + 90, 40)}"
+    rows = [(i, far(i, f"mail u{i}@ex{i}.org") + " " + prose(i + 700, 60) + " Quorvexian", "a") for i in range(8)]  # every value once, the term far from it
+    rows += [(20 + i, far(i + 20, "call +1 (017) 555-7713") + " " + prose(i + 800, 60) + " Plimbook", "a") for i in range(2)]  # a value in two documents
+    rows += [(100 + i, prose(i + 300, 60) + " mail or call of the day", "a") for i in range(60)]
+    rows += [(200 + i, far(60, "solo@ex.org") + " " + prose(999, 40) + " " + prose(i + 600, 3), "a") for i in range(9)]  # near copies
+    rows += [(300 + i, prose(i + 900, 30) + " Zorblatt", "a") for i in range(9)] + [(400 + i, far(i + 400, f"w{i}@ex.org") + " Zorblatt", "a") for i in range(3)]
+    terms = {r.term: r.p for r in sanitise.disclosing_terms(docs(spark, rows + rows[:9] * 5)).collect()}  # repeated rows count once
+    assert terms["quorvexian"] == terms["plimbook"] == 1.0
+    assert not {"mail", "call", "zorblatt", *(w for w in prose(999, 40).split() if len(w) > 3)} & set(terms)
+
+
 # ---- 8 ----
 def brute_repeats(texts):
     times = Counter(b[i : i + 200] for b in texts for i in range(len(b) - 199))
