@@ -3,9 +3,9 @@
 A text is the set of its hashed terms (ASCII-lower-cased words without outer punctuation). Its logit is
 bias + sum of term weights + sum over term pairs of the dot products of their factors, so a pair such as
 an insult with the mention of a group has a weight of its own. The machine is fitted on the driver on at
-most ``rows`` labelled documents (a documented bound, equal texts once) and keeps only terms whose
-association with the label passes a likelihood-ratio test, so rare words of a few toxic texts aren't learnt
-by heart; scoring is a map over the documents without a shuffle.
+most ``rows`` labelled documents (a documented bound, equal texts once) and keeps the terms whose
+association with the label passes a likelihood-ratio test, alone or as a pair, so two terms that are toxic only
+together keep their factors and rare words of a few toxic texts aren't learnt by heart; scoring is a map over the documents without a shuffle.
 
 Defined results: null and empty texts have no terms and score the bias; repeated rows score alike; an
 empty table gives an empty result; without any label outside fold 0 every score is 0.5.
@@ -50,15 +50,56 @@ class Machine:
         return self.bias + float(self.linear[i].sum()) + 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
 
 
-def associated(docs: list[np.ndarray] | list[list[int]], y: np.ndarray, least: float = 12.0, min_docs: int = 3) -> np.ndarray:
-    """Terms, sorted, whose likelihood ratio G against the label is ``least`` or more (12: p of about 0.0005)."""
+def ratio(hit: np.ndarray, n: np.ndarray, pos: float, rows: int) -> np.ndarray:
+    """Likelihood ratio G against the label of what stands in ``n`` of ``rows`` documents, ``hit`` of the ``pos`` toxic ones."""
+    cells = [(hit, n * pos), (n - hit, n * (rows - pos)), (pos - hit, (rows - n) * pos), (rows - n - pos + hit, (rows - n) * (rows - pos))]
+    return 2 * sum(x * np.log(np.where(x > 0, x * rows / np.maximum(e, 1e-9), 1)) for x, e in cells)
+
+
+def associated(docs: list[np.ndarray] | list[list[int]], y: np.ndarray, least: float = 12.0, min_docs: int = 3, least_pair: float = 30.0, block: int = 512) -> np.ndarray:
+    """Terms, sorted, whose G is ``least`` or more (12: p of about 0.0005), and those of a pair whose G exceeds that of
+    each of its terms by ``least_pair`` (30: p of about 4e-8, as pairs are many).
+
+    Only pairs of terms that stand in enough documents for such a G are counted: all others can't reach it.
+    """
     flat = np.concatenate([np.array(d, np.int64) for d in docs] or [np.zeros(0, np.int64)])
     seen, place, n = np.unique(flat, return_inverse=True, return_counts=True)
-    hit = np.bincount(place, np.repeat(y, [len(d) for d in docs]), len(seen)) if len(seen) else np.zeros(0)
-    rows, pos = len(y), y.sum()
-    cells = [(hit, n * pos), (n - hit, n * (rows - pos)), (pos - hit, (rows - n) * pos), (rows - n - pos + hit, (rows - n) * (rows - pos))]
-    g = 2 * sum(x * np.log(np.where(x > 0, x * rows / np.maximum(e, 1e-9), 1)) for x, e in cells)
-    return seen[(g >= least) & (n >= min_docs)]
+    of = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
+    hit = np.bincount(place, y[of], len(seen)) if len(seen) else np.zeros(0)
+    rows, pos = len(y), float(y.sum())
+    g = ratio(hit, n, pos, rows)
+    kept = (g >= least) & (n >= min_docs)
+    if not 0 < pos < rows:
+        return seen[kept]
+    # a pair of h toxic and c other documents has a G of at most that of h toxic ones alone or of c others alone
+    reach = lambda k, p: ratio(np.minimum(k, p), np.minimum(k, p), p, rows) >= least_pair
+    can = np.flatnonzero(reach(hit, pos) | reach(n - hit, rows - pos))
+    slot = np.full(len(seen), -1, np.int32)
+    slot[can] = np.arange(len(can))
+    first = np.empty(rows, np.int32)  # toxic documents before the others
+    first[np.argsort(y <= 0, kind="stable")] = np.arange(rows)
+    col = slot[place]
+    inside = np.flatnonzero(col >= 0)
+    col, row, split = col[inside], first[of[inside]], int((y > 0).sum())
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+
+    def dense(lo: int, hi: int) -> np.ndarray:
+        x = np.zeros((rows, hi - lo), np.float32)
+        a, b = np.searchsorted(col, [lo, hi])
+        x[row[a:b], col[a:b] - lo] = 1
+        return x
+
+    for i in range(0, len(can), block):
+        x = dense(i, min(i + block, len(can)))
+        for j in range(i, len(can), block):
+            z = x if j == i else dense(j, min(j + block, len(can)))
+            h = (x[:split].T @ z[:split]).astype(float)
+            both = h + x[split:].T @ z[split:]
+            p, q = can[i : i + block], can[j : j + block]
+            a, b = np.nonzero(ratio(h, both, pos, rows) - np.maximum(g[p][:, None], g[q][None, :]) >= least_pair)
+            kept[p[a]], kept[q[b]] = True, True
+    return seen[kept]
 
 
 def fit(docs: list[np.ndarray] | list[list[int]], y: np.ndarray, epochs: int = 200, rate: float = 0.05, decay: float = 1e-4, positive: float = 3.0, seed: int = 7) -> Machine:

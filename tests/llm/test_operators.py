@@ -182,6 +182,21 @@ def test_factorization_machine_learns_a_pair():
     assert fm.logit(t) == pytest.approx(fm.bias + fm.linear[i].sum() + pairs)
 
 
+def test_toxic_only_as_a_pair():
+    def sample(seed):
+        rng = random.Random(seed)
+        kinds = [(1, 2), (1,), (2,), (3,)]  # 1 and 2 stand in as many toxic as clean documents; 3 is toxic by itself
+        rows = [sorted({*kinds[k % 4], *(rng.randint(10, 400) for _ in range(20))}) for k in range(600)]
+        return rows, np.array([float(k % 4 in (0, 3)) for k in range(600)])
+
+    rows, y = sample(1)
+    fm = toxicity.fit(rows, y)
+    assert {1, 2, 3} <= set(fm.place.tolist())
+    new, truth = sample(2)
+    assert np.mean([(fm.logit(r) > 0) == bool(t) for r, t in zip(new, truth, strict=True)]) > 0.97
+    assert toxicity.associated(rows, y, block=1).tolist() == toxicity.associated(rows, y).tolist()
+
+
 # ---- 4 ----
 def greedy(word, vocab):
     n = i = 0
