@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopgrade.functions.geo import distance_score, haversine_km
+from loopgrade.functions.geo import DECAY_KM, EARTH_KM, distance_score, haversine_km
 from loopgrade.functions.labels import quality_weight
 from loopgrade.functions.session import bounded
 
+#: Weights of the two scores.
 RECYCLER_WEIGHTS = {"distance": 0.5, "capacity": 0.3, "specialist": 0.2}
 LISTING_WEIGHTS = {"similarity": 0.6, "distance": 0.25, "quality": 0.15}
+#: Rows (recycler, accepted type) of one block: its columns, 50 bytes a row, travel with a task.
 RECYCLER_ROWS = 50_000
+#: (listing, recycler) pairs that are scored at once, and that one task is given.
+CELLS, TASK_PAIRS = 1 << 17, 50_000_000
+_BEST = "waste_id long, waste_type string, quantity_kg double, recycler_id long, km double, capacity double, n_types int, total double, rank int"
 
 
 def split_types(column: Column) -> Column:
@@ -19,41 +28,74 @@ def split_types(column: Column) -> Column:
     return F.transform(F.split(column, ","), lambda x: F.trim(x))
 
 
-def recyclers_by_type(recyclers: DataFrame) -> DataFrame:
-    """One row per waste type: ``waste_type, recyclers array<struct>``. The table is a dimension: its size is checked where it is joined."""
-    one = F.struct("recycler_id", "name", "lat", "lon", "capacity", F.size("types").alias("n_types"))
-    return recyclers.select(F.explode("types").alias("waste_type"), one.alias("r")).groupBy("waste_type").agg(F.array_sort(F.collect_list("r")).alias("recyclers"))
+def _best(need: pd.DataFrame, recyclers: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best recyclers of every listing, by blocks of CELLS pairs; the recyclers of a type are in id order, which settles ties."""
+    out = []
+    of = dict(list(recyclers.sort_values("recycler_id").groupby("waste_type"))) if len(need) and len(recyclers) else {}
+    for kind, rows in need.groupby("waste_type"):
+        if kind not in of:
+            continue
+        r = of[kind]
+        lat, lon, capacity = (r[c].to_numpy(float)[None, :] for c in ("lat", "lon", "capacity"))
+        lat, lon = np.radians(lat), np.radians(lon)
+        cos, special = np.cos(lat), RECYCLER_WEIGHTS["specialist"] / r["n_types"].to_numpy(float)
+        n, step = min(k, len(r)), max(1, CELLS // len(r))
+        for i in range(0, len(rows), step):
+            x = rows.iloc[i : i + step]
+            own_lat, own_lon, quantity = (x[c].to_numpy(float)[:, None] for c in ("lat", "lon", "quantity_kg"))
+            own_lat, own_lon = np.radians(own_lat), np.radians(own_lon)
+            half = np.sin((lat - own_lat) / 2) ** 2 + np.cos(own_lat) * cos * np.sin((lon - own_lon) / 2) ** 2
+            km = EARTH_KM * 2 * np.arcsin(np.minimum(1.0, np.sqrt(half)))
+            total = RECYCLER_WEIGHTS["distance"] * np.exp(-km / DECAY_KM) + RECYCLER_WEIGHTS["capacity"] * np.fmin(1.0, capacity / np.fmax(quantity, 1.0)) + special
+            total = np.where(np.isnan(total), -np.inf, total)  # without a place: last
+            floor = np.partition(total, len(r) - n, axis=1)[:, len(r) - n]
+            row, col = np.nonzero(total >= floor[:, None])
+            order = np.lexsort((col, -total[row, col], row))
+            row, col = row[order], col[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            row, col, place = row[place <= n], col[place <= n], place[place <= n]
+            out.append(x[["waste_id", "waste_type", "quantity_kg"]].iloc[row].reset_index(drop=True).join(r[["recycler_id", "capacity", "n_types"]].iloc[col].reset_index(drop=True)).assign(km=km[row, col], total=total[row, col], rank=place))
+    names = [c.split()[0] for c in _BEST.split(", ")]
+    return pd.concat(out)[names] if out else pd.DataFrame({c: pd.Series(dtype="object" if c == "waste_type" else "float64") for c in names})
 
 
 def rank_recyclers(listings: DataFrame, recyclers: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best recyclers that accept each listing's type, by unrounded score, then recycler_id.
 
-    While the recycler table is within its bound, a listing meets its type's recyclers as one array in a
-    broadcast row, and scores, sorts and cuts them in place: no pair is shuffled. A larger table is joined
-    on the type and ranked by a window.
+    A listing meets recyclers in numpy, and only its k best leave the task. While the recyclers are one block
+    (counted), their columns are broadcast and no pair is shuffled; the listings are dealt to as many tasks as
+    their pairs need, as a listing is small beside its pairs. A larger table is dealt into blocks, each block
+    meets the listings in parts, and the k best of every block are merged: no type is gathered in one task.
     """
-    score = lambda r: (
-        RECYCLER_WEIGHTS["distance"] * distance_score(km(r))
-        + RECYCLER_WEIGHTS["capacity"] * F.least(F.lit(1.0), r["capacity"] / F.greatest(F.col("quantity_kg"), F.lit(1)))
-        + RECYCLER_WEIGHTS["specialist"] / r["n_types"]
-    )
-    km = lambda r: haversine_km(F.col("lat"), F.col("lon"), r["lat"], r["lon"])
-    full = lambda r: F.struct((-score(r)).alias("minus"), r["recycler_id"].alias("recycler_id"), r["name"].alias("name"), km(r).alias("km"), r["capacity"].alias("capacity"), r["n_types"].alias("n_types"))
-    need = listings.select("waste_id", "waste_type", "quantity_kg", "lat", "lon")
-    if recyclers.limit(RECYCLER_ROWS + 1).count() <= RECYCLER_ROWS:
-        best = need.join(F.broadcast(recyclers_by_type(recyclers)), "waste_type").withColumn("best", F.slice(F.array_sort(F.transform("recyclers", full)), 1, k))
-        ranked = best.select("waste_id", "waste_type", "quantity_kg", F.posexplode("best").alias("rank", "r")).withColumn("rank", F.col("rank") + 1)
+    spark = listings.sparkSession
+    need = listings.select("waste_id", "waste_type", F.col("quantity_kg").cast("double").alias("quantity_kg"), "lat", "lon").where("waste_type is not null")
+    each = recyclers.select(F.explode("types").alias("waste_type"), "recycler_id", "lat", "lon", "capacity", F.size("types").alias("n_types"))
+    n, size = each.count(), max(1, RECYCLER_ROWS)
+    pairs = need.count() * min(n, size)
+    if n <= RECYCLER_ROWS:
+        sent = spark.sparkContext.broadcast(each.toPandas())
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return (_best(b, sent.value, k) for b in batches)
+
+        found = need.repartition(max(spark.sparkContext.defaultParallelism, -(-pairs // TASK_PAIRS))).mapInPandas(run, _BEST)
     else:
-        from pyspark.sql import Window
-
-        each = recyclers.select(F.explode("types").alias("waste_type"), F.struct("recycler_id", "name", "lat", "lon", "capacity", F.size("types").alias("n_types")).alias("x"))
-        place = F.row_number().over(Window.partitionBy("waste_id").orderBy("r.minus", "r.recycler_id"))
-        ranked = need.join(each, "waste_type").withColumn("r", full(F.col("x"))).withColumn("rank", place).where(F.col("rank") <= k)
-    capacity = F.least(F.lit(1.0), F.col("r.capacity") / F.greatest(F.col("quantity_kg"), F.lit(1)))
-    return ranked.select(
-        "waste_id", "waste_type", "quantity_kg", F.col("rank").cast("int").alias("rank"), F.col("r.recycler_id").alias("recycler_id"), F.round("r.km", 1).alias("distance_km"),
-        F.col("r.capacity").alias("capacity"), (F.col("r.capacity") >= F.col("quantity_kg")).alias("can_absorb"), F.round(-F.col("r.minus"), 3).alias("score"),
-        F.round(distance_score(F.col("r.km")), 3).alias("distance_score"), F.round(capacity, 3).alias("capacity_score"), F.round(1 / F.col("r.n_types"), 3).alias("specialist_score"),
+        blocks, parts = -(-n // size), max(1, -(-pairs // TASK_PAIRS))
+        deal = lambda key, m: F.pmod(F.xxhash64(key), F.lit(m))
+        every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+        left = need.withColumn("part", deal("waste_id", parts)).withColumn("block", every(blocks)).groupBy("part", "block")
+        right = each.withColumn("block", deal("recycler_id", blocks)).withColumn("part", every(parts)).groupBy("part", "block")
+        found = left.cogroup(right).applyInPandas(lambda x, r: _best(x, r, k), _BEST)
+        row = F.struct((-F.col("total")).alias("minus"), "recycler_id", *[c.split()[0] for c in _BEST.split(", ") if c.split()[0] not in ("recycler_id", "rank")])
+        merged = found.groupBy(F.col("waste_id").alias("_key")).agg(F.slice(F.array_sort(F.collect_list(row)), 1, k).alias("x"))  # k of each block
+        found = merged.select(F.posexplode("x").alias("rank", "x")).select((F.col("rank") + 1).alias("rank"), "x.*")
+    kinds = dict(listings.dtypes) | dict(recyclers.dtypes)
+    quantity, capacity = F.col("quantity_kg").cast(kinds["quantity_kg"]), F.col("capacity").cast(kinds["capacity"])
+    share = F.least(F.lit(1.0), F.col("capacity") / F.greatest(F.col("quantity_kg"), F.lit(1.0)))
+    return found.select(
+        "waste_id", "waste_type", quantity.alias("quantity_kg"), F.col("rank").cast("int").alias("rank"), "recycler_id", F.round("km", 1).alias("distance_km"),
+        capacity.alias("capacity"), (F.col("capacity") >= F.col("quantity_kg")).alias("can_absorb"), F.round("total", 3).alias("score"),
+        F.round(distance_score(F.col("km")), 3).alias("distance_score"), F.round(share, 3).alias("capacity_score"), F.round(1 / F.col("n_types"), 3).alias("specialist_score"),
     )
 
 
