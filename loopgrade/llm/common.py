@@ -52,6 +52,19 @@ def fields(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", most: int = 1_000_000, salts: int = 16, width: int = 32) -> DataFrame:
+    """``many`` joined with ``few`` on ``keys``, where one key may hold a third of ``many``.
+
+    ``few``, computed already, is broadcast while it has at most ``most`` rows of about ``width`` bytes (counted); beyond
+    that the rows of ``many`` are dealt to ``salts`` copies of ``few``, so a key's rows meet in that many tasks.
+    """
+    if few.limit(most + 1).count() <= max(0, most * 32 // width):
+        return many.join(F.broadcast(few), keys, how)
+    salt = F.pmod(F.xxhash64(*many.columns), F.lit(salts))
+    copies = few.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
+    return many.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """``b, y`` of at most ``rows`` labelled documents outside fold 0: those whose doc_id hashes lowest.
 

@@ -8,7 +8,7 @@ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(st
 tri AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS n FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1) GROUP BY 1),
 lines AS (SELECT rid, source, t, len(lw) AS lw, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm
-    FROM (SELECT rid, source, t, regexp_extract_all(unnest(ls), '[^\x20\x09-\x0D]+') AS lw FROM w) WHERE len(lw) BETWEEN 3 AND 25),
+    FROM (SELECT rid, source, t, regexp_extract_all(unnest(ls), '[^\x20\x09-\x0D]+') AS lw FROM w)),
 common AS (SELECT source, norm FROM lines GROUP BY ALL HAVING count(DISTINCT t) > 10),
 gone AS (SELECT rid, sum(lw) AS n FROM lines l JOIN common c ON l.norm = c.norm AND l.source IS NOT DISTINCT FROM c.source GROUP BY 1),
 base AS (SELECT w.rid, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,

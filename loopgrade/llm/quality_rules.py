@@ -1,11 +1,14 @@
 """Quality rules: base counts of each text, and cross-document line frequency per host.
 
-Every line is normalised (ASCII lower case, words joined by one space, digits as 0) and hashed. A line
-of ``min_line_words`` to ``max_line_words`` words is boilerplate of a host when it stands in more than
-``max_docs`` distinct documents of that host; copies of one text count as one document, so a popular
-document is not mistaken for boilerplate. Longer lines are passages, which the duplicate operators
-handle. Boilerplate lines are removed, and a document that loses more than ``max_removed`` of its words
-is depleted and rejected.
+Every line with a word is normalised (ASCII lower case, words joined by one space, digits as 0) and hashed,
+whatever its length. It is boilerplate of a host when it stands in more than ``max_docs`` distinct documents of
+that host; copies of one text count as one document, so a popular document is not mistaken for boilerplate.
+Boilerplate lines are removed, and a document that loses more than ``max_removed`` of its words is depleted and
+rejected.
+
+Near copies of one document share their lines, too. :func:`clean` therefore lets the first document (smallest
+doc_id) that holds a line keep it: of a group of near copies the first stays whole, and the others are the ones
+depleted, so no text vanishes from the corpus with all its copies.
 
 Defined results: a null text is an empty text (no words, base_failed); a null host is a host of its own;
 repeated rows are judged alike; an empty table gives an empty result; other columns are ignored here and
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopgrade.functions.session import cut
-from loopgrade.llm.common import add_columns, fields, row_keys, slices, text_bytes, text_key
+from loopgrade.llm.common import add_columns, fields, row_keys, slices, spread_join, text_bytes, text_key
 
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -77,8 +80,8 @@ def _normal(line: Column) -> Column:
     return F.translate(words, "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
 
 
-def line_features(docs: DataFrame, host: str = "source", min_line_words: int = 3, max_line_words: int = 25) -> DataFrame:
-    """Per row: the base counts, and hash and words of each line that may be boilerplate. No shuffle."""
+def line_features(docs: DataFrame, host: str = "source") -> DataFrame:
+    """Per row: the base counts, and hash and words of each line. No shuffle."""
     base = docs.select(
         F.col("doc_id"), _host(host).alias("host"), text_key().alias("th"), text_bytes().alias("b")
     )
@@ -89,9 +92,8 @@ def line_features(docs: DataFrame, host: str = "source", min_line_words: int = 3
             out: list[list] = [[] for _ in range(7)]
             for b in batch.column("b"):
                 *counts, lines = base_counts(b.as_py())
-                short = [x for x in lines if min_line_words <= len(x) <= max_line_words]
-                hashes = [_signed(xxhash.xxh64_intdigest(normal_line(x), 42)) for x in short]
-                for o, v in zip(out, [*counts, hashes, [len(x) for x in short]], strict=True):
+                hashes = [_signed(xxhash.xxh64_intdigest(normal_line(x), 42)) for x in lines]
+                for o, v in zip(out, [*counts, hashes, [len(x) for x in lines]], strict=True):
                     o.append(v)
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hashes", "line_words"]
@@ -101,22 +103,24 @@ def line_features(docs: DataFrame, host: str = "source", min_line_words: int = 3
     return base.mapInArrow(run, f"{fields(base, *keep)}, {counts}")
 
 
-def judge(
-    docs: DataFrame, host: str = "source", max_docs: int = 10, max_removed: float = 0.5, min_line_words: int = 3, max_line_words: int = 25
-) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_docs: int = 10, max_removed: float = 0.5, spare_first: bool = False) -> DataFrame:
     """Per row of ``docs``: counts, ``base_failed``, ``removed_words``, ``removed_lines`` (hashes) and ``kept``.
 
-    The line table is combined to (line, text) before its first shuffle and to counts before the second,
-    so a line that stands in a third of all documents reaches no task as a third of the rows; the join back
-    is an equi-join that AQE splits.
+    With ``spare_first`` a line stays in the first document that holds it, by doc_id (null last), then text key.
+    The line table is combined to (line, text) before its first shuffle and to counts before the second, so a
+    line that stands in a third of all documents reaches no task as a third of the rows; the boilerplate lines
+    come back by a join that is spread over a hot line.
     """
-    feats = cut(line_features(docs, host, min_line_words, max_line_words).withColumn("rid", F.monotonically_increasing_id()))
+    feats = cut(line_features(docs, host).withColumn("rid", F.monotonically_increasing_id()))
     line = F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x")
-    lines = feats.select("rid", "host", "th", line).select(
-        "rid", "th", F.xxhash64("host", "x.line_hashes").alias("key"), F.col("x.line_hashes").alias("h"), F.col("x.line_words").cast("long").alias("w")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("th").alias("text"))
+    lines = feats.select("rid", "host", "th", first.alias("doc"), line).select(
+        "rid", "th", "doc", F.xxhash64("host", "x.line_hashes").alias("key"), F.col("x.line_hashes").alias("h"), F.col("x.line_words").cast("long").alias("w")
     )
-    common = lines.select("key", "th").distinct().groupBy("key").count().where(F.col("count") > max_docs).select("key")
-    gone = lines.join(common, "key").groupBy("rid").agg(F.sum("w").alias("removed_words"), F.collect_set("h").alias("removed_lines"))
+    texts = lines.groupBy("key", "th").agg(F.min("doc").alias("doc"))
+    common = cut(texts.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("owner")).where(F.col("n") > max_docs).select("key", "owner"))
+    spared = ~F.col("doc").eqNullSafe(F.col("owner")) if spare_first else F.lit(True)
+    gone = spread_join(lines, common, ["key"]).where(spared).groupBy("rid").agg(F.sum("w").alias("removed_words"), F.collect_set("h").alias("removed_lines"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         feats.drop("line_hashes", "line_words")
@@ -129,11 +133,11 @@ def judge(
 
 
 def clean(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
-    """The rows that are kept, with all their columns, and their text without boilerplate lines.
+    """The rows that are kept, with all their columns, and their text without boilerplate lines; the first document keeps its own.
 
     Rows meet their verdict by (doc_id, text key); ``n_chars``, where the table has it, follows the text.
     """
-    verdict = judge(docs, host, **limits).where("kept")
+    verdict = judge(docs, host, spare_first=True, **limits).where("kept")
     verdict = verdict.select(F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id")).alias("key_1"), F.col("th").alias("key_2"), F.xxhash64("host").alias("key_3"), "removed_lines")
     verdict = verdict.groupBy("key_1", "key_2", "key_3").agg(F.first("removed_lines").alias("v_lines"))
     key_1, key_2 = row_keys()
