@@ -29,25 +29,25 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, max_rounds: int = 1000) -> DataFrame:
+def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """``(source, sk, source_size, target)`` from ``(source, sk, source_size)``: shares by weight, stopping at ``most`` times a
-    source's size, the excess shared anew by weight until no source is above."""
+    source's size, the excess shared anew by weight until no source is above.
+
+    Sources fill up in the order of size per weight. Where those before a source are full, what is left over is shared by the
+    weights from it on; the first source whose share of that isn't above its limit, and all after it, take their share.
+    """
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), (rank % len(weights) + 1).cast("int")).cast("long")
-    table = cut(sizes.select("source", "sk", "source_size", w.alias("w")).withColumn("full", F.lit(False)))
-    total = table.agg(F.sum("source_size")).first()[0] or 0
-    share = 0.0
-    for _ in range(max_rounds):
-        left = table.agg(
-            F.lit(total) - F.coalesce(F.sum(F.when(F.col("full"), most * F.col("source_size"))), F.lit(0)), F.sum(F.when(~F.col("full"), F.col("w")))
-        ).first()
-        share = float(left[0]) / left[1] if left[1] else 0.0
-        over = ~F.col("full") & (share * F.col("w") > most * F.col("source_size"))
-        if table.where(over).limit(1).count() == 0:
-            break
-        table = cut(table.withColumn("full", F.col("full") | over))
-    target = F.when(F.col("full"), (most * F.col("source_size")).cast("double")).otherwise(F.lit(share) * F.col("w"))
-    return table.select("source", "sk", "source_size", target.alias("target"))
+    table = sizes.select("source", "sk", "source_size", w.alias("w"))
+    order = Window.orderBy(F.col("source_size").cast("double") / F.col("w"), "sk")  # a row per source
+    full = F.coalesce(F.sum(most * F.col("source_size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("source_size").over(Window.partitionBy()) - full
+    share = rest.cast("double") / F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
+    table = table.withColumn("share", share).withColumn("k", F.row_number().over(order))
+    free = F.when(F.col("share") * F.col("w") <= most * F.col("source_size"), F.struct("k", "share"))
+    table = table.withColumn("first", F.min(free).over(Window.partitionBy()))
+    target = F.when(F.col("k") < F.col("first.k"), (most * F.col("source_size")).cast("double")).otherwise(F.col("first.share") * F.col("w"))
+    return cut(table.select("source", "sk", "source_size", target.alias("target")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", buckets: int = 4096) -> DataFrame:
