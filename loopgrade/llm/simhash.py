@@ -28,12 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopgrade.functions.session import cut
-from loopgrade.llm.common import add_columns, fields, row_keys, slices, text_bytes, text_key
+from loopgrade.llm.common import add_columns, fields, row_keys, slices, spread_join, text_bytes, text_key
 from loopgrade.operators.components import connected_components
 
 SEED = 42
-#: (width, radius) of the segments from the low bits on, for links of up to 4 bits.
+#: (width, radius) of the segments from the low bits on, for links of up to 4 bits; the second for more than MANY fingerprints,
+#: which fill the tables of 22 bits: about 300 instead of 24 probes each, and 2**13 times fewer accidental matches.
 SEGMENTS = ((22, 1), (22, 1), (20, 0))
+WIDE_SEGMENTS = ((33, 2), (31, 1))
+MANY = 100_000_000
 
 
 def fingerprint(b: bytes, shingle: int = 4) -> int:
@@ -117,11 +120,13 @@ def _forest(table: np.ndarray, probe: np.ndarray, limit: int, inside: bool) -> l
     return [(i, j) for i, j in np.array([(every[i], every[j]) for i, j in edges], np.uint64).reshape(-1, 2).view(np.int64).tolist()]
 
 
-def links(fps: DataFrame, limit: int = 4, segments: tuple[tuple[int, int], ...] = SEGMENTS, large: int = 64, block: int = 512) -> DataFrame:
+def links(fps: DataFrame, limit: int = 4, segments: tuple[tuple[int, int], ...] | None = None, large: int = 64, block: int = 512) -> DataFrame:
     """Edges ``src, dst`` between distinct fingerprints whose components are those of all links within ``limit`` bits.
 
-    Buckets of up to ``large`` table entries are joined pair by pair; larger ones are compared by blocks.
+    ``segments`` are chosen by the number of fingerprints, where they aren't given. Buckets of up to ``large`` table entries are joined pair by pair; larger ones are compared by blocks.
     """
+    if segments is None:
+        segments = SEGMENTS if fps.count() <= MANY else WIDE_SEGMENTS
     if sum(r + 1 for _, r in segments) != limit + 1 or sum(w for w, _ in segments) != 64:
         raise ValueError("segments must cover 64 bits and their radii + 1 sum to limit + 1")
     rows = index_rows(fps, segments)
@@ -157,19 +162,24 @@ def components(docs: DataFrame, limit: int = 4, shingle: int = 4) -> DataFrame:
     rows = cut(fingerprints(docs, shingle))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     comp = connected_components(links(fps.select("fp"), limit))
-    named = cut(fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
-    least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    return rows.join(named.join(least, "comp").select("fp", "comp", "component_id"), "fp").select("doc_id", "th", "fp", "comp", "component_id")
+    linked = fps.join(comp.withColumnRenamed("node", "fp"), "fp")  # fingerprints with a link; the others name themselves
+    least = cut(linked.groupBy("comp").agg(F.min("first_id").alias("component_id")))
+    linked = spread_join(linked.drop("first_id"), least, ["comp"])
+    named = fps.join(linked, "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), F.when(F.col("comp").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(named, "fp").select("doc_id", "th", "fp", "comp", "component_id")
 
 
 def deduplicate(docs: DataFrame, limit: int = 4, shingle: int = 4) -> DataFrame:
     """One whole row of each component stays: that with the smallest doc_id, then the smallest text key.
 
-    A row without doc_id stays only where its component has no doc_id at all.
+    A row without doc_id stays only where its component has no doc_id at all. Of rows equal in doc_id and text the one whose
+    other columns hash lowest stays.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("th").alias("th"))).alias("x")
     stay = components(docs, limit, shingle).groupBy("comp").agg(first)
     stay = stay.select(F.xxhash64(F.col("x.no_id"), F.col("x.id")).alias("key_1"), F.col("x.th").alias("key_2"))
     key_1, key_2 = row_keys()
     keyed = docs.select(F.struct("*").alias("row"), key_1.alias("key_1"), key_2.alias("key_2"))
-    return keyed.join(stay, ["key_1", "key_2"]).dropDuplicates(["key_1", "key_2"]).select("row.*")
+    hashed = F.xxhash64(*[F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind])
+    best = keyed.join(stay, ["key_1", "key_2"]).groupBy("key_1", "key_2").agg(F.min_by("row", hashed).alias("row"))
+    return best.select("row.*")
