@@ -8,13 +8,13 @@ To do this over a corpus, windows that can't be equal are kept apart and most ar
 
 1. The anchor of a window is its GRAM-byte string of lowest hash, so equal windows have equal anchors at
    equal offsets. A map emits each text's anchors (about one per 75 bytes); texts that occur several times
-   are represented by one row and are removed whole.
+   (same SHA-256) are represented by one row and are removed whole.
 2. Anchors of one place only are dropped (counts combined before the shuffle, then an equi-join).
 3. The windows of a repeated anchor go, in up to three units, to the core of 3 * GRAM bytes that all
    windows of the unit contain. Units meet by the hash of their core; equal units are duplicates outright,
    and only cores with different units have their suffixes sorted, alignment by alignment.
 4. An anchor of more than ``hot`` places (a line that a third of all documents share) isn't gathered. All
-   its windows at a place are one block; equal blocks are counted by a 128-bit hash, which combines before
+   its windows at a place are one block; equal blocks are counted by their SHA-256, which combines before
    the shuffle, and are duplicates outright. One block of each kind is cut into finer units with cores of
    LENGTH - 25 bytes, treated alike. One unit of each kind goes on: to the sort where its core has up to
    ``hot`` kinds, else its single windows are counted the same way.
@@ -42,7 +42,7 @@ LENGTH, GRAM = 200, 50
 HOT, SMALL, CHUNK = 4000, 150_000, 2 << 20
 #: Windows of a unit of a hot anchor.
 FINE = 25
-_UNIT = "core long, kind_1 long, kind_2 long, key_1 long, key_2 long, first int, count int, offset int, body binary, times int, runs array<int>"
+_UNIT = "core long, kind binary, key_1 long, key_2 long, first int, count int, offset int, body binary, times int, runs array<int>"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPAN = LENGTH - GRAM  # a window of LENGTH bytes has _SPAN + 1 grams
 _BLOCK = 1 << 17
@@ -113,8 +113,9 @@ def split(b: bytes, p: int, first: int, last: int, step: int) -> Iterator[tuple[
             yield lo, hi - lo + 1, core - lo, key - (1 << 64) if key >> 63 else key
 
 
-def kind_of(body: bytes, offset: int) -> list[int]:
-    return np.frombuffer(xxhash.xxh3_128_digest(body, offset), np.int64).tolist()
+def kind_of(body: bytes, offset: int) -> bytes:
+    """SHA-256 of a body and its offset: bodies of one kind are equal, as no two strings of one SHA-256 are known."""
+    return hashlib.sha256(offset.to_bytes(2, "big") + body).digest()
 
 
 class Suffixes:
@@ -232,14 +233,14 @@ def _solve(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of units, with their 128-bit hashes."""
-    names = ("key_1", "key_2", "start", "w_1", "w_2")
+    """The windows of units, with their SHA-256."""
+    names = ("key_1", "key_2", "start", "window")
     for batch in slices(batches):
         out: list[tuple] = []
         for k1, k2, first, body in zip(*(batch.column(c).to_pylist() for c in ("key_1", "key_2", "first", "body")), strict=True):
             for s in range(len(body) - LENGTH + 1):
-                out.append((k1, k2, first + s, *np.frombuffer(xxhash.xxh3_128_digest(body[s : s + LENGTH]), np.int64).tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=list(names))
+                out.append((k1, k2, first + s, hashlib.sha256(body[s : s + LENGTH]).digest()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int64()] * 3 + [pa.binary()])], names=list(names))
 
 
 def _bounded(df: DataFrame, arrays: str, most: int) -> DataFrame:
@@ -249,7 +250,7 @@ def _bounded(df: DataFrame, arrays: str, most: int) -> DataFrame:
 
 
 def _unit_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary(), pa.int32(), pa.list_(pa.int32())]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()] + [pa.int32()] * 3 + [pa.binary(), pa.int32(), pa.list_(pa.int32())]
     names = [x.split()[0] for x in _UNIT.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
@@ -261,14 +262,14 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k1, k2, first, count, offset, body in zip(*(batch.column(c).to_pylist() for c in ("key_1", "key_2", "first", "count", "offset", "body")), strict=True):
             for lo, n, at, core in split(body, offset, 0, count - 1, FINE):
                 part = body[lo : lo + n + LENGTH - 1]
-                out.append((core, *kind_of(part, at), k1, k2, first + lo, n, at, part, 1, [first + lo, first + lo + len(part)]))
+                out.append((core, kind_of(part, at), k1, k2, first + lo, n, at, part, 1, [first + lo, first + lo + len(part)]))
         yield _unit_batch(out)
 
 
 def _kinds(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row of each kind whose core has several kinds, with their number ``k``; and the spans of all rows whose kind stands twice."""
     rows = cut(parts.withColumn("uid", F.monotonically_increasing_id()))
-    kind = ["core", "kind_1", "kind_2"]
+    kind = ["core", "kind"]
     kinds = cut(rows.groupBy(kind).agg(F.sum("times").alias("n"), F.min("uid").alias("uid")))
     several = kinds.groupBy("core").agg(F.count("*").alias("k")).where("k > 1")
     pair = lambda i: F.struct(F.get("runs", 2 * i).cast("long").alias("start"), F.get("runs", 2 * i + 1).cast("long").alias("end"))
@@ -280,7 +281,7 @@ def _kinds(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def repeats(docs: DataFrame, hot: int = HOT, small: int = SMALL) -> DataFrame:
     """``key_1, key_2, whole, spans``: per row key with repeated bytes, either all windows (copies) or the [start, end) spans."""
     key_1, key_2 = row_keys()
-    base = docs.select(key_1.alias("key_1"), key_2.alias("key_2"), F.hash(F.coalesce("text", F.lit(""))).alias("key_3"), text_bytes().alias("b"))
+    base = docs.select(key_1.alias("key_1"), key_2.alias("key_2"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key_3"), text_bytes().alias("b"))
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -288,8 +289,8 @@ def repeats(docs: DataFrame, hot: int = HOT, small: int = SMALL) -> DataFrame:
             new = {"found": pa.array([f for f, _ in found], pa.list_(pa.int64())), "times": pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))}
             yield add_columns(batch, ["key_1", "key_2", "key_3"], new)
 
-    rows = cut(base.mapInArrow(seed, "key_1 long, key_2 long, key_3 int, found array<long>, times array<int>").withColumn("rid", F.monotonically_increasing_id()))
-    texts = cut(rows.groupBy("key_2", "key_3").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")))
+    rows = cut(base.mapInArrow(seed, "key_1 long, key_2 long, key_3 binary, found array<long>, times array<int>").withColumn("rid", F.monotonically_increasing_id()))
+    texts = cut(rows.groupBy("key_3").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")))
     one = rows.join(texts.select("rid"), "rid", "left_semi").select("rid", "key_1", "key_2", F.explode(F.arrays_zip("found", "times")).alias("x"))
     one = one.select("rid", "key_1", "key_2", F.col("x.found").alias("anchor"), F.col("x.times").alias("times"))
     twice = one.groupBy("anchor").agg(F.sum("times").alias("places")).where("places > 1")
@@ -307,26 +308,26 @@ def repeats(docs: DataFrame, hot: int = HOT, small: int = SMALL) -> DataFrame:
                 for p, h, first, last in zip(*(c.tolist() for c in anchors(b)), strict=True):
                     if is_hot.get(h):
                         body = b[first : last + LENGTH]
-                        row = own.setdefault((h, *kind_of(body, p - first)), [k1, k2, first, last - first + 1, p - first, body, 0, [first, first]])
+                        row = own.setdefault((h, kind_of(body, p - first)), [k1, k2, first, last - first + 1, p - first, body, 0, [first, first]])
                         row[6] += 1
                         if first <= row[7][-1]:
                             row[7][-1] = last + LENGTH
                         else:
                             row[7] += [first, last + LENGTH]
                     elif h in is_hot:
-                        out += [(core, None, None, k1, k2, lo, n, at, b[lo : lo + n + LENGTH - 1], 1, None) for lo, n, at, core in split(b, p, first, last, GRAM)]
+                        out += [(core, None, k1, k2, lo, n, at, b[lo : lo + n + LENGTH - 1], 1, None) for lo, n, at, core in split(b, p, first, last, GRAM)]
                 out += [(*k, *row) for k, row in own.items()]
             yield _unit_batch(out)
 
     parts = hold.mapInArrow(expand, _UNIT)
-    blocks, equal_blocks = _kinds(parts.where("kind_1 is not null"))
+    blocks, equal_blocks = _kinds(parts.where("kind is not null"))
     fine, equal_units = _kinds(blocks.mapInArrow(_refine, _UNIT))
-    single = fine.where(F.col("k") > hot).mapInArrow(_windows, "key_1 long, key_2 long, start long, w_1 long, w_2 long")
+    single = fine.where(F.col("k") > hot).mapInArrow(_windows, "key_1 long, key_2 long, start long, window binary")
     place = F.xxhash64("key_1", "key_2", "start")
-    both = single.groupBy("w_1", "w_2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("w_1", "w_2")
-    hits = single.join(both, ["w_1", "w_2"]).select("key_1", "key_2", "start", (F.col("start") + LENGTH).alias("end"))
+    both = single.groupBy("window").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("window")
+    hits = single.join(both, "window").select("key_1", "key_2", "start", (F.col("start") + LENGTH).alias("end"))
     equal = equal_blocks.unionByName(equal_units)
-    gathered = parts.where("kind_1 is null").drop("kind_1", "kind_2", "times", "runs").unionByName(fine.where(F.col("k") <= hot).select("core", "key_1", "key_2", "first", "count", "offset", "body"))
+    gathered = parts.where("kind is null").drop("kind", "times", "runs").unionByName(fine.where(F.col("k") <= hot).select("core", "key_1", "key_2", "first", "count", "offset", "body"))
     cold = gathered.repartition("core").sortWithinPartitions("core")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,8 +350,8 @@ def repeats(docs: DataFrame, hot: int = HOT, small: int = SMALL) -> DataFrame:
 
     spans = cold.mapInArrow(solve, "key_1 long, key_2 long, start long, end long")
     spans = cut(spans.unionByName(equal).unionByName(hits)).groupBy("key_1", "key_2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    copies = texts.where("copies > 1").select("key_2", "key_3")
-    whole = rows.select("key_1", "key_2", "key_3").join(copies, ["key_2", "key_3"], "left_semi").select("key_1", "key_2").distinct()
+    copies = texts.where("copies > 1").select("key_3")
+    whole = rows.select("key_1", "key_2", "key_3").join(copies, "key_3", "left_semi").select("key_1", "key_2").distinct()
     return cut(whole.withColumn("whole", F.lit(True)).join(spans, ["key_1", "key_2"], "full")).withColumn("whole", F.coalesce("whole", F.lit(False)))
 
 
