@@ -247,8 +247,17 @@ def states(convs: DataFrame, model: Model) -> DataFrame:
     return ranged.mapInArrow(inner, "key_1 long, key_2 long, first int, last int")
 
 
+def escape(text: str) -> str:
+    """``<|`` inside a turn is written ``<\\|``, and ``<\\|`` as ``<\\\\|`` and so on, so that the tags of the template can be told from it."""
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text)
+
+
+def unescape(text: str) -> str:
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def render(convs: DataFrame, model: Model, template: str = TEMPLATE) -> DataFrame:
-    """``conv_id, turn, part, role, text, rendered``: the canonical turns of every record, ``part`` counting its segments."""
+    """``conv_id, turn, part, role, text, rendered``: the canonical turns of every record, ``part`` counting its segments. Tags inside a text are escaped."""
     key_1 = F.xxhash64(F.col("conv_id").isNull(), "conv_id", F.col("turn").isNull(), "turn")
     rows = convs.select("conv_id", "turn", F.col("text").cast("string").alias("text"), key_1.alias("key_1"), text_key().alias("key_2"))
     both = rows.join(states(convs, model), ["key_1", "key_2"]).drop("key_1", "key_2")
@@ -263,7 +272,7 @@ def render(convs: DataFrame, model: Model, template: str = TEMPLATE) -> DataFram
                 out += [(k, n, ROLES[r], content) for n, (r, (_, content)) in enumerate(zip(roles, parts, strict=True))]
             at = pa.array([o[0] for o in out], pa.int64())
             cols = [batch.column("conv_id").take(at), batch.column("turn").take(at), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string())]
-            texts = [pa.array([o[3] for o in out], pa.string()), pa.array([template.format(role=o[2], text=o[3]) for o in out], pa.string())]
+            texts = [pa.array([o[3] for o in out], pa.string()), pa.array([template.format(role=o[2], text=escape(o[3])) for o in out], pa.string())]
             yield pa.RecordBatch.from_arrays([*cols, *texts], names=["conv_id", "turn", "part", "role", "text", "rendered"])
 
     return both.mapInArrow(run, f"{fields(rows, 'conv_id', 'turn')}, part int, role string, text string, rendered string")
