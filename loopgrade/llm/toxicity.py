@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loopgrade.llm.common import add_columns, fields, fold_of, labelled_sample, slices, text_bytes
 
-ROWS, BUCKETS, FACTORS = 20000, 1 << 20, 4
+ROWS, BUCKETS, FACTORS = 10000, 1 << 20, 4
 _EDGES = b".,;:!?\"'()[]{}<>|*#$%&_-"
 
 
