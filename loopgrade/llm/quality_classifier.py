@@ -3,8 +3,8 @@
 Bytes are embedded, learned filters run over every window of the whole document, the windows are
 max-pooled in overlapping chunks (neighbours share ``width - 1`` bytes, so no window is cut), a chunk's
 pooled vector gives a chunk logit, and the logits, weighted by the chunks' windows, combine into one
-probability. The network is fitted on the driver on at most ``rows`` labelled documents with ``pieces``
-chunks each (documented bounds); scoring is a map over the documents without a shuffle.
+probability. The network is fitted on the driver on the whole texts of at most ``rows`` labelled documents (a
+documented bound), pooled as in scoring; scoring is a map over the documents without a shuffle.
 
 Defined results: null and empty texts are scored as zero bytes; repeated rows score alike; an empty table
 gives an empty result; without any label outside fold 0 every score is 0.5.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loopgrade.llm.common import add_columns, fields, fold_of, labelled_sample, slices, text_bytes
 
-ROWS, PIECES, PIECE = 2000, 4, 256
+ROWS, EPOCHS = 2000, 4
 WIDTH, EMBED, FILTERS, CHUNK = 6, 6, 24, 1024
 
 
@@ -68,29 +68,56 @@ def probability(z: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(pieces: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam on the log loss of every piece; ``pieces`` is (n, PIECE) bytes. Gradients reach the windows that won the pooling."""
+def _chunks(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The whole text as the chunks that :func:`logit` pools: bytes (n, CHUNK + WIDTH - 1), and the windows of each."""
+    x = np.frombuffer(b.ljust(WIDTH, b"\0"), np.uint8)
+    windows = len(x) - WIDTH + 1
+    n = -(-windows // CHUNK)
+    padded = np.pad(x, (0, n * CHUNK + WIDTH - 1 - len(x)))
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK + WIDTH - 1)[::CHUNK], np.minimum(CHUNK, windows - CHUNK * np.arange(n))
+
+
+def _pooled(net: Network, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of chunks: the pooled activations, and which bytes won, with their embeddings."""
+    win = _windows(net.embed[x])
+    acts = win @ net.conv
+    acts[np.arange(CHUNK) >= size[:, None]] = -np.inf
+    best = acts.argmax(axis=1)  # (n, FILTERS)
+    at = best[:, :, None] + np.arange(WIDTH)
+    return np.take_along_axis(acts, best[:, None, :], 1)[:, 0] + net.bias, np.take_along_axis(x[:, None, :], at, 2), np.take_along_axis(win, best[:, :, None], 1)
+
+
+def gradients(net: Network, texts: list[bytes], y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Log loss of whole texts, pooled as :func:`logit` does, and its gradients. They reach the windows that won the pooling.
+
+    Chunks pass in blocks of 64, so that a text of any length needs the memory of one block beside its winners.
+    """
+    parts = [_chunks(b) for b in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(s) for _, s in parts])
+    x, size = np.concatenate([c for c, _ in parts]), np.concatenate([s for _, s in parts])
+    weight = (size / np.bincount(owner, size)[owner]).astype(np.float32)
+    blocks = [_pooled(net, x[k : k + 64], size[k : k + 64]) for k in range(0, len(x), 64)]
+    pooled, where, top = (np.concatenate(c) for c in zip(*blocks, strict=True))
+    live = np.maximum(pooled, 0)
+    z = np.clip(np.bincount(owner, weight * (live @ net.out + net.shift[0])), -40, 40)
+    loss = float(np.mean(np.logaddexp(0, z) - y * z))
+    err = (weight * ((1 / (1 + np.exp(-z)) - y) / len(texts))[owner]).astype(np.float32)
+    d_pool = err[:, None] * net.out * (pooled > 0)
+    d_top = (d_pool[:, :, None] * net.conv.T[None]).reshape(len(x), FILTERS, WIDTH, EMBED)
+    d_embed = np.zeros_like(net.embed)
+    np.add.at(d_embed, where.reshape(-1), d_top.reshape(-1, EMBED))
+    return loss, [d_embed, np.einsum("nf,nfk->kf", d_pool, top), d_pool.sum(0), live.T @ err, err.sum(keepdims=True)]
+
+
+def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 16, rate: float = 0.01, seed: int = 7) -> Network:
+    """Adam on the log loss of whole texts."""
     net, rng = new_network(seed), np.random.default_rng(seed)
     m = [np.zeros_like(p) for p in net.parts()]
     v = [np.zeros_like(p) for p in net.parts()]
     step = 0
     for _ in range(epochs):
-        for at in np.array_split(rng.permutation(len(pieces)), max(1, len(pieces) // batch)):
-            x, t = pieces[at], y[at].astype(np.float32)
-            win = _windows(net.embed[x])
-            acts = win @ net.conv
-            best = acts.argmax(axis=1)  # (n, FILTERS)
-            pooled = np.take_along_axis(acts, best[:, None, :], 1)[:, 0] + net.bias
-            live = np.maximum(pooled, 0)
-            err = (1 / (1 + np.exp(-np.clip(live @ net.out + net.shift[0], -40, 40))) - t) / len(at)
-            d_pool = err[:, None] * net.out * (pooled > 0)
-            top = np.take_along_axis(win, best[:, :, None], 1)  # (n, FILTERS, WIDTH * EMBED)
-            d_conv = np.einsum("nf,nfk->kf", d_pool, top)
-            d_top = (d_pool[:, :, None] * net.conv.T[None]).reshape(len(at), FILTERS, WIDTH, EMBED)
-            where = np.take_along_axis(x[:, None, :].repeat(FILTERS, 1), best[:, :, None] + np.arange(WIDTH), 2)
-            d_embed = np.zeros_like(net.embed)
-            np.add.at(d_embed, where.reshape(-1), d_top.reshape(-1, EMBED))
-            grads = [d_embed, d_conv, d_pool.sum(0), live.T @ err, err.sum(keepdims=True)]
+        for at in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
+            _, grads = gradients(net, [texts[k] for k in at], y[at])
             step += 1
             for p, g, a, s in zip(net.parts(), grads, m, v, strict=True):
                 a += 0.1 * (g - a)
@@ -99,24 +126,11 @@ def fit(pieces: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, ra
     return net
 
 
-def _pieces(b: bytes) -> list[bytes]:
-    """Up to PIECES chunks of PIECE bytes, evenly spread over the text, each once."""
-    starts = sorted({int(s) for s in np.linspace(0, max(0, len(b) - PIECE), PIECES)})
-    return [b[s : s + PIECE].ljust(PIECE, b"\0") for s in starts]
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS) -> Network | None:
-    sample = labelled_sample(docs, labels, label, rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            got = [(p, y) for b, y in zip(batch.column("b").to_pylist(), batch.column("y").to_pylist(), strict=True) for p in _pieces(b)]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.binary()), pa.array([y for _, y in got], pa.int32())], names=["piece", "y"])
-
-    got = sorted((bytes(r.piece), r.y) for r in sample.mapInArrow(run, "piece binary, y int").collect())
-    if not got:
-        return None
-    return fit(np.frombuffer(b"".join(p for p, _ in got), np.uint8).reshape(-1, PIECE), np.array([y for _, y in got]))
+    """The network of the whole texts of at most ``rows`` labelled rows."""
+    got = labelled_sample(docs, labels, label, rows).select("b", "y").toArrow()
+    pairs = sorted(zip(got["b"].to_pylist(), got["y"].to_pylist(), strict=True))
+    return fit([b for b, _ in pairs], np.array([y for _, y in pairs])) if pairs else None
 
 
 def score(docs: DataFrame, net: Network | None, threshold: float = 0.3) -> DataFrame:
