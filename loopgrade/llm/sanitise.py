@@ -42,6 +42,8 @@ PATTERNS = {
 #: A character that every match has: texts without it aren't scanned.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 LETTER = r"[\p{L}\p{M}\p{N}]"
+#: A letter of an extinct script, which stands in no term.
+MASK = "\U00010A60"
 WINDOW, DISCLOSURE, REMOVAL, MOST_TERMS, MOST_ROWS = 80, 0.5, 0.9, 200_000, 200_000
 #: Documents that the prior counts for: values are rare, so few documents with both can't be chance; kinds aren't.
 VALUE_WEIGHT, KIND_WEIGHT = 2.0, 4.0
@@ -58,18 +60,27 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
 
 
-def prefix_sums(a: Column) -> Column:
-    """Running sums of a non-empty array of ints, in two levels: linear work times the block size."""
+def _prefix(a: Column, fold: Callable[[Column], Column], add: Callable[[Column, Column], Column], zero: int) -> Column:
+    """Running fold of a non-empty array of ints, in two levels: linear work times the block size."""
 
-    def outer(sums: Column) -> Column:
-        return let(F.transform(sums, lambda _, b: _sum(F.slice(sums, F.lit(1), b))), inner)
+    def outer(folds: Column) -> Column:
+        return let(F.transform(folds, lambda _, b: F.when(b == 0, F.lit(zero)).otherwise(fold(F.slice(folds, F.lit(1), b)))), inner)
 
     def inner(before: Column) -> Column:
         at = lambda i: F.floor(i / BLOCK).cast("int")
-        return F.transform(a, lambda _, i: F.get(before, at(i)) + _sum(F.slice(a, at(i) * BLOCK + 1, i % BLOCK + 1)))
+        return F.transform(a, lambda _, i: add(F.get(before, at(i)), fold(F.slice(a, at(i) * BLOCK + 1, i % BLOCK + 1))))
 
     blocks = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int"))
-    return let(F.transform(blocks, lambda b: _sum(F.slice(a, b * BLOCK + 1, F.lit(BLOCK)))), outer)
+    return let(F.transform(blocks, lambda b: fold(F.slice(a, b * BLOCK + 1, F.lit(BLOCK)))), outer)
+
+
+def prefix_sums(a: Column) -> Column:
+    return _prefix(a, _sum, lambda x, y: x + y, 0)
+
+
+def furthest(spans: Column) -> Column:
+    """Of spans by start: the furthest end up to each."""
+    return let(F.transform(spans, lambda s: s["end"]), lambda ends: _prefix(ends, F.array_max, lambda x, y: F.greatest(x, y), 0))
 
 
 def matches(text: Column, pattern: Column, kind: int, valid: Callable[[Column], Column] | None = None) -> Column:
@@ -139,21 +150,32 @@ def _near(text: Column, span: Column, window: int) -> Column:
     return F.concat_ws(" ", left, right)
 
 
-def _outside(text: Column, spans: Column) -> Column:
-    """The text without its spans, a space for each."""
-    ends = F.transform(spans, lambda _, i: F.array_max(F.transform(F.slice(spans, F.lit(1), i + 1), lambda s: s["end"])))
+def _replaced(text: Column, spans: Column, tag: Callable[[Column, Column], Column]) -> Column:
+    """The text with every span replaced by ``tag(span, characters not covered by spans before)``; one span at least."""
 
     def pieces(ends: Column) -> Column:
         before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
-        piece = lambda s, i: F.substring(text, before(i) + 1, F.greatest(s["start"] - before(i), F.lit(0)))
-        return F.concat_ws(" ", F.transform(spans, piece), F.substring(text, F.get(ends, F.size(ends) - 1) + 1, F.char_length(text)))
+        gap = lambda s, i: F.substring(text, before(i) + 1, F.greatest(s["start"] - before(i), F.lit(0)))
+        piece = lambda s, i: F.concat(gap(s, i), tag(s, F.greatest(s["end"] - F.greatest(s["start"], before(i)), F.lit(0))))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, F.get(ends, F.size(ends) - 1) + 1, F.char_length(text)))
 
-    return let(ends, pieces)
+    return let(furthest(spans), pieces)
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast where ``df`` has at most so many rows; otherwise the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _outside(text: Column, spans: Column) -> Column:
+    """The text without its spans, a space for each."""
+    return _replaced(text, spans, lambda s, n: F.lit(" "))
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with every character of its spans as MASK: offsets stay, and no term begins or ends in or at a span's letters."""
+    return F.when(F.size(spans) == 0, text).otherwise(_replaced(text, spans, lambda s, n: F.repeat(F.lit(MASK), n)))
+
+
+def _bounded(df: DataFrame, most: int, arrays: str | None = None) -> DataFrame:
+    """A broadcast where ``df`` has at most so many rows, and elements in the column ``arrays``; otherwise the join shuffles."""
+    n = df.agg(F.count("*") + F.coalesce(F.sum(F.size(arrays)), F.lit(0))).first()[0] if arrays else df.limit(most + 1).count()
+    return F.broadcast(df) if n <= most else df
 
 
 def disclosing_terms(
@@ -211,10 +233,9 @@ def find(docs: DataFrame, most_rows: int = MOST_ROWS, **limits: float) -> DataFr
     hits = hits.groupBy("key_1", "key_2").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.collect_set(F.when(F.col("remove"), F.col("term"))).alias("remove"))
     hits = cut(hits)
     keyed = docs.select(F.struct("*").alias("row"), text.alias("t"), key_1.alias("key_1"), key_2.alias("key_2"))
-    joined = keyed.join(_bounded(hits, most_rows), ["key_1", "key_2"], "left").withColumn("base", base_spans(F.col("t")))
+    joined = keyed.join(_bounded(hits, most_rows, "terms"), ["key_1", "key_2"], "left").withColumn("base", base_spans(F.col("t")))
     pattern = F.concat(F.lit(f"(?iu)(?<!{LETTER})(?:"), F.array_join("terms", "|"), F.lit(f")(?!{LETTER})"))
-    inside = lambda s: F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))
-    extra = F.when(F.col("terms").isNull(), F.from_json(F.lit("[]"), SPAN)).otherwise(F.filter(matches(F.col("t"), pattern, 4), lambda s: ~inside(s)))
+    extra = F.when(F.col("terms").isNull(), F.from_json(F.lit("[]"), SPAN)).otherwise(matches(_masked(F.col("t"), F.col("base")), pattern, 4))
     remove = F.coalesce("remove", F.array().cast("array<string>"))
     return joined.select("row", "t", "base", F.array_sort(F.concat("base", extra)).alias("spans"), remove.alias("remove"))
 
@@ -232,14 +253,8 @@ def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
         gone = (s["kind"] == 4) & F.array_contains("remove", F.lower(s["value"]))
         return F.when(gone, F.lit("")).otherwise(F.element_at(kind, s["kind"] + 1))
 
-    def cover(ends: Column) -> Column:
-        """Pieces: the text from the furthest end before a span to its start, then its tag unless it begins inside another."""
-        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
-        piece = lambda s, i: F.when(s["start"] < before(i), F.lit("")).otherwise(F.concat(F.substring(t, before(i) + 1, s["start"] - before(i)), tag(s)))
-        last = F.get(ends, F.size(ends) - 1)
-        return F.concat(F.array_join(F.transform("spans", piece), ""), F.substring(t, last + 1, F.char_length(t)))
-
-    furthest = F.transform("spans", lambda _, i: F.array_max(F.transform(F.slice("spans", F.lit(1), i + 1), lambda s: s["end"])))
-    text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(let(furthest, cover))
+    # a span that begins inside another goes with it
+    whole = lambda s, n: F.when(n < s["end"] - s["start"], F.lit("")).otherwise(tag(s))
+    text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(_replaced(t, F.col("spans"), whole))
     same = {"text": F.col("clean"), "n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return found.select("row", text.alias("clean")).select(*[same[c].alias(c) if c in same else F.col("row")[c].alias(c) for c in docs.columns])
