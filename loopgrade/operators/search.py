@@ -2,36 +2,64 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopgrade.functions.session import bounded
+from loopgrade.functions.session import bounded, cut, written
+from loopgrade.operators import vectors
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-#: Abbreviations that a listing's text spells out; whole, case-sensitive words.
+#: Abbreviations and what a listing's text says for them; whole, case-sensitive words.
 ABBREVIATIONS = {
-    "PP": "polypropylene", "PET": "polyethylene terephthalate", "HDPE": "high density polyethylene",
-    "LDPE": "low density polyethylene", "PCB": "printed circuit board",
-}
+    "PP": "PP polypropylene",
+    "PET": "PET polyethylene terephthalate",
+    "HDPE": "HDPE high-density polyethylene",
+    "LDPE": "LDPE low-density polyethylene",
+    "PCB": "PCB printed circuit board",
+}
+#: Catalogue rows of a block of :func:`best`.
+BLOCK = 50_000
 
 
 def expand(text: Column) -> Column:
-    """Abbreviations written out."""
+    """Abbreviations with their long form behind them; white space is collapsed."""
     names = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    return F.array_join(F.transform(F.split(text, r"\s+"), lambda w: F.coalesce(F.try_element_at(names, w), w)), " ")
+    return F.array_join(F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(names, w), w)), " ")
 
 
-def listing_text(waste_type: Column, sub_type: Column, quality: Column, description: Column) -> Column:
-    """One text per listing; underscores read as spaces."""
-    plain = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
-    return expand(F.concat_ws(" ", plain(waste_type), plain(sub_type), quality, description))
+def listing_text(waste_type: Column, sub_type: Column, quality: Column, location: Column, description: Column) -> Column:
+    """One text per listing, "sub type waste type waste, good quality, place. description"; underscores read as spaces."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    plain = lambda c: F.replace(text(c), F.lit("_"), F.lit(" "))
+    return expand(F.concat(plain(sub_type), F.lit(" "), plain(waste_type), F.lit(" waste, "), text(quality), F.lit(" quality, "), text(location), F.lit(". "), text(description)))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """``id, term, n`` of the lower-cased words and word pairs."""
-    words = docs.select("id", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)).alias("w"))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return words.select("id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+    """``id, term, n`` of the lower-cased words and word pairs; counted where the text stands, so no shuffle."""
+    kinds = dict(docs.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import regex
+
+        token = regex.compile(TOKEN)
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                ids, terms, times = [], [], []
+                for i, text in zip(batch["id"][k : k + 256], batch["text"][k : k + 256], strict=True):
+                    w = token.findall(text or "")
+                    n = Counter(w)
+                    n.update(map(" ".join, zip(w, w[1:], strict=False)))
+                    ids += [i] * len(n)
+                    terms += n.keys()
+                    times += n.values()
+                yield pd.DataFrame({"id": ids, "term": terms, "n": times})
+
+    return docs.select("id", F.lower("text").alias("text")).mapInPandas(run, f"id {kinds['id']}, term string, n long")
 
 
 def idf_table(counts: DataFrame, n_docs: int) -> DataFrame:
@@ -53,26 +81,72 @@ def similarity(queries: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("wq") * F.col("weight")).alias("similarity"))
 
 
+def tfidf(queries: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weights of the queries, and those of the catalogue's rows that share a term with any query.
+
+    The catalogue is counted once, into the shared folder. Norms need all its terms, pairs only those of the queries.
+    """
+    counts = written(term_counts(catalogue))
+    idf = written(idf_table(counts, catalogue.count()))
+    raw = counts.join(idf.select("term", "idf"), "term").select("id", "term", ((1 + F.ln(F.col("n").cast("double"))) * F.col("idf")).alias("w"))
+    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    asked = cut(weigh(term_counts(queries), idf))
+    shared = raw.join(bounded(asked.select("term").distinct()), "term", "left_semi")
+    return asked, shared.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def best(queries: DataFrame, index: DataFrame, k: int, block: int = BLOCK, asked: int = 512) -> DataFrame:
+    """``query_id, id, similarity, rank``: the ``k`` best ids per query, by similarity rounded to 9 digits, then id.
+
+    The catalogue is dealt into blocks by id and the queries into blocks of ``asked``; each pair of blocks is summed in numpy, and
+    only its k best a query are shuffled, never the pairs that merely share a word.
+    """
+    n, m = index.select("id").distinct().count(), queries.select("id").distinct().count()
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    parts, groups = max(1, -(-n // block), min(cores, n)), max(1, -(-m // asked))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c - 1).cast("long")))
+    deal = lambda c: F.pmod(F.xxhash64("id"), F.lit(c))
+    right = index.select("id", F.xxhash64("term").alias("term"), "weight", deal(parts).alias("_j"), every(groups).alias("_i")).groupBy("_i", "_j")
+    kinds = dict(queries.dtypes)["id"], dict(index.dtypes)["id"]
+    left = queries.select("id", F.xxhash64("term").alias("term"), "weight", deal(groups).alias("_i"), every(parts).alias("_j")).groupBy("_i", "_j")
+
+    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        names, out = ["query_id", "id", "similarity"], []
+        if len(q) and len(c):
+            ids, col = np.unique(c["id"].to_numpy(), return_inverse=True)
+            order = np.argsort(c["term"].to_numpy(), kind="stable")
+            term, col, weight = c["term"].to_numpy()[order], col[order], c["weight"].to_numpy()[order]
+            for query, rows in q.groupby("id"):
+                lo, hi = np.searchsorted(term, rows["term"], "left"), np.searchsorted(term, rows["term"], "right")
+                size = hi - lo
+                at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+                total = np.bincount(col[at], weight[at] * np.repeat(rows["weight"].to_numpy(), size), len(ids))
+                seen = np.unique(col[at])
+                first = seen[np.lexsort((ids[seen], -np.round(total[seen], 9)))[:k]]
+                out.append(pd.DataFrame({"query_id": query, "id": ids[first], "similarity": total[first]}))
+        return pd.concat(out)[names] if out else pd.DataFrame({c: pd.Series(dtype="float64") for c in names})
+
+    return top(left.cogroup(right).applyInPandas(meet, f"query_id {kinds[0]}, id {kinds[1]}, similarity double"), k)
+
+
 def top(scores: DataFrame, k: int) -> DataFrame:
     """The k best ids per query, by similarity rounded to 9 digits, then id, with their rank."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id"))
     return scores.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def scores(queries: DataFrame, catalogue: DataFrame, backend: str, most: int = 10_000) -> DataFrame:
+def scores(queries: DataFrame, catalogue: DataFrame, backend: str) -> DataFrame:
     """``query_id, id, similarity`` by the named backend; there is no silent fallback.
 
-    ``tfidf`` reads (id, text) on both sides; ``dense`` reads (id, embedding): up to ``most`` queries (checked)
-    travel whole to the catalogue, more meet it partition by partition.
+    ``tfidf`` reads (id, text) on both sides; ``dense`` reads (id, embedding). Both take any number of queries.
     """
     if backend == "tfidf":
-        counts = term_counts(catalogue)
-        idf = idf_table(counts, catalogue.count())
-        return similarity(weigh(term_counts(queries), idf), weigh(counts, idf))
+        return similarity(*tfidf(queries, catalogue))
     if backend == "dense":
-        from loopgrade.operators.vectors import dot, unit
-
-        asked = queries.select(F.col("id").alias("query_id"), unit(F.col("embedding")).alias("q"))
-        every = catalogue.select("id", unit(F.col("embedding")).alias("v"))
-        return every.crossJoin(bounded(asked, most)).select("query_id", "id", dot(F.col("q"), F.col("v")).alias("similarity"))
+        return vectors.similarities(queries, catalogue)
     raise ValueError(f"unknown backend {backend!r}")
+
+
+def search(queries: DataFrame, catalogue: DataFrame, backend: str, k: int) -> DataFrame:
+    """The ``k`` best catalogue rows of every query by the named backend, with their rank."""
+    return best(*tfidf(queries, catalogue), k) if backend == "tfidf" else top(scores(queries, catalogue, backend), k)

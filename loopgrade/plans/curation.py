@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loopgrade.functions.session import bounded, cut, written
 from loopgrade.operators import curate, evaluate, search, vectors
 from loopgrade.plans.bindings import bind, read, sql
 
@@ -38,17 +39,18 @@ INDEX = f"WITH {_counts('cat', 'documents', 'doc_id')}, idf AS (SELECT term, cou
 SCORES = f"{INDEX}, {_counts('q', 'benchmark', 'item_id')}, {_weights('q')}, sim AS (SELECT q.id AS query_id, cat.id, sum(q.weight * cat.weight) AS similarity FROM q JOIN cat USING (term) GROUP BY ALL)"
 
 
-def index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    counts = search.term_counts(docs)
-    idf = search.idf_table(counts, docs.count())
-    return search.weigh(counts, idf), idf
+def catalogue(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
 
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
 
-def scores(spark: SparkSession, d: str) -> DataFrame:
-    weights, idf = index(spark, d)
-    q = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return search.similarity(search.weigh(search.term_counts(q), idf), weights)
+
+def index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    counts = written(search.term_counts(catalogue(spark, d)))
+    idf = search.idf_table(counts, catalogue(spark, d).count())
+    return search.weigh(counts, idf), idf
 
 
 @query("a_08_tfidf_index", INDEX + " SELECT id, count(*) AS terms, round(max(weight), 5) AS top_weight, round(sum(weight), 4) AS total_weight FROM cat GROUP BY 1")
@@ -58,7 +60,7 @@ def a_08(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a_09_query_similarity", SCORES + " SELECT query_id, id, rank, round(similarity, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) AS rank FROM sim) WHERE rank <= 10")
 def a_09(spark: SparkSession, d: str) -> DataFrame:
-    return search.top(scores(spark, d), 10).select("query_id", "id", "rank", F.round("similarity", 5).alias("similarity"))
+    return search.search(asked(spark, d), catalogue(spark, d), "tfidf", 10).select("query_id", "id", "rank", F.round("similarity", 5).alias("similarity"))
 
 
 @query("a_10_new_texts", INDEX + f", {_counts('q', 'pages', 'page_id').replace('lower(text)', 'lower(url)')}, {_weights('q')} SELECT id, count(*) AS terms, round(max(weight), 5) AS top_weight FROM q GROUP BY 1")
@@ -69,7 +71,7 @@ def a_10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j_04_similarity_pairs", SCORES + " SELECT query_id, count(*) AS pairs, round(max(similarity), 5) AS best FROM sim GROUP BY 1")
 def j_04(spark: SparkSession, d: str) -> DataFrame:
-    return scores(spark, d).groupBy("query_id").agg(F.count("*").alias("pairs"), F.round(F.max("similarity"), 5).alias("best"))
+    return search.scores(asked(spark, d), catalogue(spark, d), "tfidf").groupBy("query_id").agg(F.count("*").alias("pairs"), F.round(F.max("similarity"), 5).alias("best"))
 
 
 @query(
@@ -78,30 +80,31 @@ def j_04(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, round(count(*) FILTER (relevant) / 10, 6) AS precision_at_k, min(rank) FILTER (relevant) AS first_rank, round(coalesce(1.0 / min(rank) FILTER (relevant), 0), 6) AS rr FROM e GROUP BY 1""",
 )
 def g_31(spark: SparkSession, d: str) -> DataFrame:
-    best = search.top(scores(spark, d), 10)
-    texts = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(best), "id")  # k rows per query
+    best = cut(search.search(asked(spark, d), catalogue(spark, d), "tfidf", 10))
+    texts = catalogue(spark, d).join(bounded(best), "id")
     q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("asked"))
     return evaluate.retrieval(texts.join(q, "query_id").withColumn("relevant", F.contains("text", "asked")), 10)
 
 
 @query("a_12_backend", SCORES + " SELECT query_id, id FROM sim QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) = 1")
 def a_12(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return search.top(search.scores(asked, docs, "tfidf"), 1).select("query_id", "id")
+    return search.search(asked(spark, d), catalogue(spark, d), "tfidf", 1).select("query_id", "id")
+
+
+#: The text of a listing, with abbreviations in every place a listing has them.
+LISTING = "replace(sub_type, '_', ' ') || ' ' || replace(waste_type, '_', ' ') || ' waste, ' || quality || ' quality, ' || location_name || '. ' || "
 
 
-@query("a_07_listing_text", "SELECT waste_id, concat_ws(' ', replace(waste_type, '_', ' '), replace(sub_type, '_', ' '), quality, CASE waste_id % 3 WHEN 0 THEN 'clean polyethylene terephthalate flakes' WHEN 1 THEN 'PETS printed circuit board' ELSE 'high density polyethylene drums' END) AS text FROM listings", "listings")
+@query("a_07_listing_text", f"SELECT waste_id, {LISTING} CASE waste_id % 4 WHEN 0 THEN 'clean PET polyethylene terephthalate flakes' WHEN 1 THEN 'PETS PCB, PP polypropylene' WHEN 2 THEN 'HDPE high-density polyethylene drums and LDPE low-density polyethylene film' ELSE 'PP polypropylene caps' END AS text FROM listings", "listings")
 def a_07(spark: SparkSession, d: str) -> DataFrame:
-    note = F.when(F.col("waste_id") % 3 == 0, "clean PET flakes").when(F.col("waste_id") % 3 == 1, "PETS PCB").otherwise("HDPE drums")
-    return bind(spark, d, "listings").select("waste_id", search.listing_text(F.col("waste_type"), F.col("sub_type"), F.col("quality"), note).alias("text"))
+    note = F.element_at(F.array(*[F.lit(x) for x in ("clean PET flakes", "PETS  PCB, PP", "HDPE drums and LDPE film", "PP caps")]), (F.col("waste_id") % 4 + 1).cast("int"))
+    return bind(spark, d, "listings").select("waste_id", search.listing_text(*[F.col(c) for c in ("waste_type", "sub_type", "quality", "location_name")], note).alias("text"))
 
 
 @query("a_11_dense_similarity", "SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0")
 def a_11(spark: SparkSession, d: str) -> DataFrame:
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    asked = v.where("id % 100 = 0")  # the stated query set
-    return search.scores(asked, v, "dense").select("query_id", "id", F.round("similarity", 5).alias("similarity"))
+    return search.scores(v.where("id % 100 = 0"), v, "dense").select("query_id", "id", F.round("similarity", 5).alias("similarity"))
 
 
 # ---- near duplicates ----
@@ -158,10 +161,18 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return bind(spark, d, "items")
 
 
-#: Near pairs of documents here: the same first 60 characters.
-PREFIX = "pre AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY substr(text, 1, 60)) AS p FROM documents), dig AS (SELECT id, min(id) OVER (PARTITION BY digest) AS q FROM items)"
-GROUPS = f"""WITH {PREFIX}, edges AS (SELECT id AS a, p AS b FROM pre UNION SELECT p, id FROM pre UNION SELECT id, q FROM dig UNION SELECT q, id FROM dig),
-    reach(id, r) AS (SELECT id, id FROM items UNION SELECT e.a, reach.r FROM reach JOIN edges e ON e.b = reach.id), grouped AS (SELECT items.*, g.grp FROM items JOIN (SELECT id, min(r) AS grp FROM reach GROUP BY 1) g USING (id))"""
+#: Photos of the curation queries: the shots above and, of every eleventh vector, the same file again in another folder. Near
+#: pairs are J-09's, over the gradient hash of the whole vector. Some second shots are labelled otherwise, some are filed under
+#: another official split, and one rare label is in the training split alone.
+PHOTO = """id, CASE WHEN vec % 97 = 0 THEN 'rare' WHEN vec % 53 = 0 AND shot = 1 THEN 'odd' ELSE concat('l', CAST(label AS {text})) END AS leaf, concat('d', CAST(vec AS {text}), '-', CAST(shot % 2 AS {text})) AS digest,
+    concat('set', CAST(vec % 3 AS {text}), '/', CAST(id AS {text})) AS path, concat('set', CAST(vec % 3 AS {text})) AS dataset, 600 + id % 900 AS n_chars,
+    CASE WHEN vec % 97 = 0 THEN 'train' WHEN vec % 13 = 0 AND shot = 1 THEN 'test' WHEN vec % 10 = 0 THEN 'val' WHEN vec % 10 < 4 THEN 'train' END AS split"""
+SHOT = "SELECT vec_id * 3 AS id, vec_id AS vec, 0 AS shot, label, embedding AS v FROM {e} UNION ALL SELECT vec_id * 3 + 1, vec_id, 1, label, {changed} FROM {e} UNION ALL SELECT vec_id * 3 + 2, vec_id, 2, label, embedding FROM {e} WHERE vec_id % 11 = 0"
+CHANGED = "list_transform(range(1, 65), lambda i: CASE WHEN i = 1 + vec_id % 64 THEN embedding[i] + 0.02::FLOAT ELSE embedding[i] END)"
+PHOTOS = f"photos AS (SELECT {PHOTO.format(text='VARCHAR')}, {BITS} AS hash FROM ({SHOT.format(e='embeddings', changed=CHANGED)}))"
+GROUPS = f"""WITH RECURSIVE {PHOTOS}, cls AS (SELECT hash, min(id) AS id FROM photos GROUP BY 1), near AS (SELECT a.id AS a, b.id AS b FROM cls a JOIN cls b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 4 UNION ALL SELECT cls.id, photos.id FROM photos JOIN cls USING (hash)),
+    dig AS (SELECT id, min(id) OVER (PARTITION BY digest) AS q FROM photos), edges AS (SELECT a, b FROM near UNION SELECT b, a FROM near UNION SELECT id, q FROM dig UNION SELECT q, id FROM dig),
+    reach(id, r) AS (SELECT id, id FROM photos UNION SELECT e.a, reach.r FROM reach JOIN edges e ON e.b = reach.id), grouped AS (SELECT photos.*, g.grp FROM photos JOIN (SELECT id, min(r) AS grp FROM reach GROUP BY 1) g USING (id))"""
 PRIO = "CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'test' THEN 2 ELSE 9 END"
 DEDUP = f"""{GROUPS}, gg AS (SELECT grp, min(leaf) <> max(leaf) AS conflict FROM grouped GROUP BY 1),
     rep AS (SELECT grp, path AS rep_path, split AS rep_split FROM grouped QUALIFY row_number() OVER (PARTITION BY grp ORDER BY {PRIO}, path) = 1),
@@ -170,32 +181,37 @@ DEDUP = f"""{GROUPS}, gg AS (SELECT grp, min(leaf) <> max(leaf) AS conflict FROM
         FROM grouped g JOIN gg USING (grp) JOIN rep USING (grp) JOIN own USING (grp, digest))"""
 
 
+def photos(spark: SparkSession, d: str) -> DataFrame:
+    changed = "transform(embedding, (x, i) -> CASE WHEN i = vec_id % 64 THEN x + CAST(0.02 AS FLOAT) ELSE x END)"
+    shots_ = spark.sql(SHOT.format(e="{e}", changed=changed), e=read(spark, d, "embeddings"))
+    rows = spark.sql(f"SELECT {PHOTO.format(text='STRING')}, v FROM {{s}}", s=shots_)
+    return rows.withColumn("hash", vectors.gradient_hash(F.col("v"))).drop("v")
+
+
 def grouped(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents")
-    key = F.xxhash64(F.substring("text", 1, 60))
-    star = docs.groupBy(key.alias("k")).agg(F.min("doc_id").alias("src"))
-    near = docs.select(key.alias("k"), F.col("doc_id").alias("dst")).join(star, "k").where("src <> dst").select("src", "dst")
-    return curate.duplicate_groups(items(spark, d), near)
+    rows = photos(spark, d)
+    near = vectors.near_rows(rows.select("id", "hash"), 4).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return curate.duplicate_groups(rows, near)
 
 
-@query("c_02_duplicate_groups", GROUPS + " SELECT id, grp FROM grouped", "items")
+@query("c_02_duplicate_groups", GROUPS + " SELECT id, grp FROM grouped")
 def c_02(spark: SparkSession, d: str) -> DataFrame:
     return grouped(spark, d).select("id", "grp")
 
 
-@query("c_03_conflicting_groups", GROUPS + " SELECT grp, count(*) AS n FROM grouped GROUP BY 1 HAVING min(leaf) <> max(leaf)", "items")
+@query("c_03_conflicting_groups", GROUPS + " SELECT grp, count(*) AS n FROM grouped GROUP BY 1 HAVING min(leaf) <> max(leaf)")
 def c_03(spark: SparkSession, d: str) -> DataFrame:
     return grouped(spark, d).groupBy("grp").agg(F.count("*").alias("n"), (F.min("leaf") != F.max("leaf")).alias("c")).where("c").drop("c")
 
 
-@query("c_04_representatives", DEDUP + " SELECT id, reason FROM deduped", "items")
+@query("c_04_representatives", DEDUP + " SELECT id, reason FROM deduped")
 def c_04(spark: SparkSession, d: str) -> DataFrame:
     return curate.dedup(grouped(spark, d)).select("id", "reason")
 
 
 SPLIT = DEDUP + """, unsplit AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY md5(concat('7:', path)), path) AS rank, count(*) OVER (PARTITION BY leaf)::DOUBLE AS n FROM deduped WHERE reason = 'kept' AND split IS NULL),
-    assigned AS (SELECT id, leaf, digest, path, n_chars, dataset, grp, CASE WHEN rank <= round_even(n * 0.15, 0) THEN 'val' WHEN rank <= round_even(n * 0.15, 0) + round_even(n * 0.1, 0) THEN 'test' ELSE 'train' END AS split FROM unsplit
-        UNION ALL SELECT id, leaf, digest, path, n_chars, dataset, grp, split FROM deduped WHERE reason = 'kept' AND split IS NOT NULL)"""
+    assigned AS (SELECT id, leaf, digest, path, n_chars, dataset, grp, hash, CASE WHEN rank <= round_even(n * 0.15, 0) THEN 'val' WHEN rank <= round_even(n * 0.15, 0) + round_even(n * 0.1, 0) THEN 'test' ELSE 'train' END AS split FROM unsplit
+        UNION ALL SELECT id, leaf, digest, path, n_chars, dataset, grp, hash, split FROM deduped WHERE reason = 'kept' AND split IS NOT NULL)"""
 
 
 def assigned(spark: SparkSession, d: str) -> DataFrame:
@@ -203,12 +219,12 @@ def assigned(spark: SparkSession, d: str) -> DataFrame:
     return curate.stratified_split(kept.where("split is null"), 0.15, 0.1).unionByName(kept.where("split is not null"))
 
 
-@query("c_05_stratified_split", SPLIT + " SELECT id, split FROM assigned", "items")
+@query("c_05_stratified_split", SPLIT + " SELECT id, split FROM assigned")
 def c_05(spark: SparkSession, d: str) -> DataFrame:
     return assigned(spark, d).select("id", "split")
 
 
-@query("w_04_stratified_counts", SPLIT + " SELECT leaf, split, count(*) AS n FROM assigned GROUP BY ALL", "items")
+@query("w_04_stratified_counts", SPLIT + " SELECT leaf, split, count(*) AS n FROM assigned GROUP BY ALL")
 def w_04(spark: SparkSession, d: str) -> DataFrame:
     return assigned(spark, d).groupBy("leaf", "split").agg(F.count("*").alias("n"))
 
@@ -219,13 +235,13 @@ def c_05b(spark: SparkSession, d: str) -> DataFrame:
     return curate.unit_split(scenes, 0.15, 0.1)
 
 
-@query("c_06_cross_split", GROUPS + f", s AS (SELECT *, CASE id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS sp FROM grouped) SELECT id, sp AS split FROM s QUALIFY {PRIO.replace('split', 'sp')} = min({PRIO.replace('split', 'sp')}) OVER (PARTITION BY grp)", "items")
+@query("c_06_cross_split", GROUPS + f", s AS (SELECT *, CASE id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS sp FROM grouped) SELECT id, sp AS split FROM s QUALIFY {PRIO.replace('split', 'sp')} = min({PRIO.replace('split', 'sp')}) OVER (PARTITION BY grp)")
 def c_06(spark: SparkSession, d: str) -> DataFrame:
     s = F.when(F.col("id") % 3 == 0, "train").when(F.col("id") % 3 == 1, "val").otherwise("test")
     return curate.drop_cross_split(grouped(spark, d).withColumn("split", s)).select("id", "split")
 
 
-@query("c_07_viable_leaves", SPLIT + " SELECT leaf, count(*) AS n, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val FROM assigned GROUP BY 1 HAVING count(*) >= 30 AND count(*) FILTER (split = 'train') > 0 AND count(*) FILTER (split = 'val') > 0", "items")
+@query("c_07_viable_leaves", SPLIT + " SELECT leaf, count(*) AS n, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val FROM assigned GROUP BY 1 HAVING count(*) >= 30 AND count(*) FILTER (split = 'train') > 0 AND count(*) FILTER (split = 'val') > 0")
 def c_07(spark: SparkSession, d: str) -> DataFrame:
     return curate.viable_leaves(assigned(spark, d))
 
@@ -234,7 +250,7 @@ OVER = SPLIT + """, tr AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER
     ov AS (SELECT tr.*, greatest(0, least(m, n * 3) - n) AS extra FROM tr, med)"""
 
 
-@query("c_08_oversample", OVER + " SELECT id, 1 + extra // n + CASE WHEN r < extra % n THEN 1 ELSE 0 END AS copies FROM ov", "items")
+@query("c_08_oversample", OVER + " SELECT id, 1 + extra // n + CASE WHEN r < extra % n THEN 1 ELSE 0 END AS copies FROM ov")
 def c_08(spark: SparkSession, d: str) -> DataFrame:
     return curate.oversample(assigned(spark, d)).select("id", "copies")
 
@@ -243,19 +259,18 @@ def c_08(spark: SparkSession, d: str) -> DataFrame:
     "c_09_leakage_checks",
     SPLIT + """, a AS (SELECT count(*) AS bad FROM (SELECT leaf FROM assigned GROUP BY 1 HAVING count(DISTINCT split) <> (SELECT count(DISTINCT split) FROM assigned))), b AS (SELECT count(*) AS bad FROM (SELECT digest FROM assigned GROUP BY 1 HAVING min(split) <> max(split))),
     u AS (SELECT 'same classes in every split' AS "check", bad FROM a UNION ALL SELECT 'no digest in two splits', bad FROM b UNION ALL SELECT 'copies only in train', 0) SELECT "check", bad, CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM u""",
-    "items",
 )
 def c_09(spark: SparkSession, d: str) -> DataFrame:
     return curate.leakage_checks(assigned(spark, d).withColumn("copies", F.lit(1)))
 
 
-@query("c_10_extend_domain", SPLIT + """, k AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY md5(concat('7:', path)), path) AS p FROM assigned WHERE id % 9 <> 0) SELECT id, unnest(range(1, CASE WHEN leaf = 'es' AND split = 'train' THEN 4 ELSE 2 END))::INT AS copy FROM k WHERE p <= CASE leaf WHEN 'en' THEN 100 WHEN 'es' THEN 40 WHEN 'fr' THEN 60 ELSE 50 END""", "items")
+@query("c_10_extend_domain", SPLIT + """, k AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY md5(concat('7:', path)), path) AS p FROM assigned WHERE id % 9 <> 0) SELECT id, unnest(range(1, CASE WHEN leaf = 'l3' AND split = 'train' THEN 4 ELSE 2 END))::INT AS copy FROM k WHERE p <= CASE leaf WHEN 'l0' THEN 100 WHEN 'l3' THEN 40 WHEN 'l5' THEN 60 WHEN 'l7' THEN 50 END""")
 def c_10(spark: SparkSession, d: str) -> DataFrame:
     rows = assigned(spark, d)
-    return curate.extend_domain(rows, rows.where("id % 9 = 0"), {"en": 100, "es": 40, "fr": 60, "de": 50}, "es").select("id", "copy")
+    return curate.extend_domain(rows, rows.where("id % 9 = 0"), {"l0": 100, "l3": 40, "l5": 60, "l7": 50}, "l3").select("id", "copy")
 
 
-@query("c_11_shadow_copies", SPLIT + " SELECT id, false AS low_detail FROM assigned UNION ALL SELECT id, true FROM assigned WHERE split = 'train' AND n_chars > 1000 AND ('0x' || substr(md5(concat('7:', path)), 1, 8))::BIGINT / 4294967295.0 < 0.3", "items")
+@query("c_11_shadow_copies", SPLIT + " SELECT id, false AS low_detail FROM assigned UNION ALL SELECT id, true FROM assigned WHERE split = 'train' AND n_chars > 1000 AND ('0x' || substr(md5(concat('7:', path)), 1, 8))::BIGINT / 4294967295.0 < 0.3")
 def c_11(spark: SparkSession, d: str) -> DataFrame:
     return curate.shadow_copies(assigned(spark, d), 0.3, 1000).select("id", "low_detail")
 
@@ -276,7 +291,7 @@ def c_15(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).groupBy("dataset").agg(F.array_join(F.array_sort(F.collect_set("leaf")), ",").alias("leaves"))
 
 
-@query("t_06_capped", SPLIT + " SELECT id FROM assigned QUALIFY row_number() OVER (PARTITION BY leaf, split ORDER BY md5(concat('7:', path)), path) <= CASE split WHEN 'train' THEN 50 ELSE 10 END", "items")
+@query("t_06_capped", SPLIT + " SELECT id FROM assigned QUALIFY row_number() OVER (PARTITION BY leaf, split ORDER BY md5(concat('7:', path)), path) <= CASE split WHEN 'train' THEN 50 ELSE 10 END")
 def t_06(spark: SparkSession, d: str) -> DataFrame:
     return curate.capped(assigned(spark, d), {"train": 50, "val": 10, "test": 10}).select("id")
 
@@ -321,7 +336,7 @@ def g_39b(spark: SparkSession, d: str) -> DataFrame:
     return curate.redundant_by_label(items(spark, d))
 
 
-@query("g_41_dataset_summary", SPLIT + " SELECT leaf, split, count(*) AS n FROM assigned GROUP BY CUBE (leaf, split)", "items")
+@query("g_41_dataset_summary", SPLIT + " SELECT leaf, split, count(*) AS n FROM assigned GROUP BY CUBE (leaf, split)")
 def g_41(spark: SparkSession, d: str) -> DataFrame:
     return curate.dataset_summary(assigned(spark, d))
 
@@ -376,7 +391,7 @@ def j_13(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "supplier").join(profiles, "s_nationkey", "left").select(F.col("s_suppkey").alias("recycler_id"), F.coalesce("area", F.lit("")).alias("area"))
 
 
-@query("s_03_class_difference", SPLIT + ", c AS (SELECT DISTINCT leaf, split FROM assigned) SELECT a.leaf, s.split FROM (SELECT DISTINCT leaf FROM c) a, (SELECT DISTINCT split FROM c) s EXCEPT SELECT leaf, split FROM c", "items")
+@query("s_03_class_difference", SPLIT + ", c AS (SELECT DISTINCT leaf, split FROM assigned) SELECT a.leaf, s.split FROM (SELECT DISTINCT leaf FROM c) a, (SELECT DISTINCT split FROM c) s EXCEPT SELECT leaf, split FROM c")
 def s_03(spark: SparkSession, d: str) -> DataFrame:
     c = assigned(spark, d).select("leaf", "split").distinct()
     return c.select("leaf").distinct().crossJoin(F.broadcast(c.select("split").distinct())).exceptAll(c)

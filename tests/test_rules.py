@@ -195,7 +195,7 @@ def test_neighbours(spark):
     assert vectors.knn_distance(qs, bs.limit(2), 5).count() == 30
 
 
-def test_vector_joins_beyond_the_broadcast_bound(spark):
+def test_vector_joins_by_blocks(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(3)
@@ -203,15 +203,12 @@ def test_vector_joins_beyond_the_broadcast_bound(spark):
     qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id long, embedding array<double>")
     ms = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(b)], "mem_id long, label int, embedding array<double>")
     s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        near = {(r.id, r.mem_id): r.distance for r in vectors.within(qs, ms, 0.6, largest=39).collect()}
-        every = {(r.query_id, r.id): r.similarity for r in search.scores(qs, ms.withColumnRenamed("mem_id", "id"), "dense", most=29).collect()}
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    assert near == pytest.approx({(i, j): 1 - s[i, j] for i in range(30) for j in range(40) if 1 - s[i, j] <= 0.6})
-    assert every == pytest.approx({(i, j): s[i, j] for i in range(30) for j in range(40)})
+    for step in (7, 2048):
+        monkeypatch.setattr(vectors, "STEP", step)
+        near = {(r.id, r.mem_id): r.distance for r in vectors.within(qs, ms, 0.6, blocks=(3, 4)).collect()}
+        every = {(r.query_id, r.id): r.similarity for r in vectors.similarities(qs, ms.withColumnRenamed("mem_id", "id"), blocks=(3, 4)).collect()}
+        assert near == pytest.approx({(i, j): 1 - s[i, j] for i in range(30) for j in range(40) if 1 - s[i, j] <= 0.6})
+        assert every == pytest.approx({(i, j): s[i, j] for i in range(30) for j in range(40)})
 
 
 def test_oversample_ranks_a_leaf_in_parts(spark):
