@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; only where it is unset (tests, local mode) make a folder of our own."""
+    """Use ``spark.checkpoint.dir``; where it is unset, a local session (tests) gets a folder of its own and a cluster is refused."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loopgrade-"))
 
 
@@ -31,8 +33,9 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast where it has at most ``rows`` rows; beyond that the join shuffles."""
+def bounded(df: DataFrame, rows: int = 200_000, size: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast where it has at most ``rows`` rows of ``size`` bytes together; beyond that the join shuffles. Runs a job that counts."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopgrade.operators.ordered import running
+from loopgrade.functions.session import bounded
+from loopgrade.operators.ordered import quantiles, running
 
 LEAST_ROWS = 20
 
@@ -13,15 +14,16 @@ LEAST_ROWS = 20
 def knn_thresholds(val: DataFrame, retention: float = 0.95, far_q: float = 0.995) -> DataFrame:
     """Per predicted type: quantiles of the distance, the global ones where a type has fewer than 20 rows."""
     q = 1 - (1 - retention) / 2
-    every = val.agg(F.percentile("knn", q).alias("g"), F.percentile("knn", far_q).alias("gf"))
-    per = val.groupBy("waste_type").agg(F.percentile("knn", q).alias("k"), F.percentile("knn", far_q).alias("f"), F.count("*").alias("n"))
+    every = quantiles(val, [], "knn", {"g": q, "gf": far_q}).drop("n")
+    rows = val.groupBy("waste_type").agg(F.count("*").alias("n"))
+    per = rows.join(quantiles(val, ["waste_type"], "knn", {"k": q, "f": far_q}).drop("n"), "waste_type", "left")
     enough = F.col("n") >= LEAST_ROWS
     return per.crossJoin(F.broadcast(every)).select("waste_type", F.when(enough, F.col("k")).otherwise(F.col("g")).alias("knn_threshold"), F.when(enough, F.col("f")).otherwise(F.col("gf")).alias("far_threshold"), "n")
 
 
 def msp_floor(val: DataFrame, thresholds: DataFrame, retention: float = 0.95) -> DataFrame:
     """One row ``msp_threshold``: the confidence at which the combined rule rejects 1 - retention of all rows."""
-    j = val.join(F.broadcast(thresholds.select("waste_type", "knn_threshold")), "waste_type")  # a row per type
+    j = val.join(bounded(thresholds.select("waste_type", "knn_threshold")), "waste_type")
     passed = j.where(F.col("knn") <= F.col("knn_threshold"))
     sizes = j.agg(((1 - retention) * F.count("*") - F.count_if(F.col("knn") > F.col("knn_threshold"))).alias("target"), F.count_if(F.col("knn") <= F.col("knn_threshold")).alias("n"))
     ranked = running(passed.select("id", "confidence"), [F.col("confidence").asc(), F.col("id").asc()], {}).crossJoin(F.broadcast(sizes))
@@ -31,7 +33,7 @@ def msp_floor(val: DataFrame, thresholds: DataFrame, retention: float = 0.95) ->
 
 
 def min_confidence(val: DataFrame) -> DataFrame:
-    return val.where("correct").agg(F.percentile("confidence", 0.05).alias("min_confidence"))
+    return quantiles(val.where("correct"), [], "confidence", {"min_confidence": 0.05}).drop("n")
 
 
 def cumulative_precision(nn: DataFrame) -> DataFrame:
@@ -43,4 +45,4 @@ def cumulative_precision(nn: DataFrame) -> DataFrame:
 def memory_threshold(nn: DataFrame, precision: float = 0.98, least: int = 50) -> DataFrame:
     """One row: the last distance with cumulative precision and rank high enough, else the 5 % quantile."""
     ok = cumulative_precision(nn).where((F.col("precision") >= precision) & (F.col("rank") >= least)).agg(F.max_by("distance", "rank").alias("t"))
-    return ok.crossJoin(F.broadcast(nn.agg(F.percentile("distance", 0.05).alias("q")))).select(F.coalesce("t", "q").alias("memory_threshold"))
+    return ok.crossJoin(F.broadcast(quantiles(nn, [], "distance", {"q": 0.05}))).select(F.coalesce("t", "q").alias("memory_threshold"))

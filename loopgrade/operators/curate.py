@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loopgrade.functions.session import bounded
 from loopgrade.operators.components import connected_components
+from loopgrade.operators.ordered import quantiles
 
 #: Which official split a duplicate group stays in.
 PRIORITY = {"train": 0, "val": 1, "test": 2}
@@ -101,14 +103,14 @@ def oversample(rows: DataFrame, most: float = 3.0, seed: str = "7") -> DataFrame
     plan = counts.crossJoin(F.broadcast(median)).select(F.col("leaf"), "n", F.greatest(F.lit(0), F.least("median", F.floor(F.col("n") * most)) - F.col("n")).alias("extra"))
     ranked = ranked_by_hash(train, seed, "path")
     copies = 1 + F.floor(F.col("extra") / F.col("n")) + F.when(F.col("_rank") <= F.col("extra") % F.col("n"), 1).otherwise(0)
-    return ranked.join(F.broadcast(plan), "leaf").withColumn("copies", copies).drop("_rank", "_total", "n", "extra")
+    return ranked.join(bounded(plan), "leaf").withColumn("copies", copies).drop("_rank", "_total", "n", "extra")
 
 
 def capped(rows: DataFrame, budget: dict[str, int], seed: str = "7") -> DataFrame:
     """At most ``budget[split]`` rows per (leaf, split) in hash order; this limit is the operator's purpose."""
     limit = F.coalesce(*[F.when(F.col("split") == s, F.lit(n)) for s, n in budget.items()])
     place = F.row_number().over(Window.partitionBy("leaf", "split").orderBy(hash_order(seed, "path"), "path"))
-    return rows.withColumn("_p", place).where(F.col("_p") <= limit).drop("_p")
+    return rows.withColumn("_p", place).where(F.col("_p") <= max(budget.values())).where(F.col("_p") <= limit).drop("_p")  # the literal bound is cut before the shuffle
 
 
 def sample_per_class(rows: DataFrame, n: int, seed: str = "7", by: str = "leaf") -> DataFrame:
@@ -143,7 +145,7 @@ def extend_domain(rows: DataFrame, leaking: DataFrame, caps: dict[str, int], rar
     kept = rows.join(leaking.select("path").distinct(), "path", "left_anti")
     limit = F.coalesce(*[F.when(F.col("leaf") == k, F.lit(n)) for k, n in caps.items()])
     place = F.row_number().over(Window.partitionBy("leaf").orderBy(hash_order("7", "path"), "path"))
-    kept = kept.withColumn("_p", place).where(F.col("_p") <= limit).drop("_p")
+    kept = kept.withColumn("_p", place).where(F.col("_p") <= max(caps.values())).where(F.col("_p") <= limit).drop("_p")
     times = F.when((F.col("leaf") == rare) & (F.col("split") == "train"), F.lit(repeat)).otherwise(F.lit(1))
     return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
 
@@ -183,10 +185,12 @@ def imbalance(rows: DataFrame) -> DataFrame:
 def box_stats(boxes: DataFrame) -> DataFrame:
     side = F.least("w", "h")
     b = boxes.withColumn("side", side)
-    return b.groupBy("label").agg(
-        F.count("*").alias("objects"), F.count_distinct("scene").alias("scenes"), F.round(F.percentile("side", 0.5), 6).alias("median"), F.round(F.percentile("side", 0.1), 6).alias("p10"),
-        F.count_if(F.col("side") < 24).alias("under_24"), F.count_if(F.col("side") < 64).alias("under_64"), F.count_if(F.col("split") == "train").alias("n_train"),
+    q = quantiles(b, ["label"], "side", {"median": 0.5, "p10": 0.1}).select(F.col("label").alias("_l"), F.round("median", 6).alias("median"), F.round("p10", 6).alias("p10"))
+    g = b.groupBy("label").agg(
+        F.count("*").alias("objects"), F.count_distinct("scene").alias("scenes"),
+        F.count_if(F.col("side") < 24).alias("under_24"), F.count_if(F.col("side") < 64).alias("under_64"), *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in PRIORITY],
     )
+    return g.join(q, F.col("label").eqNullSafe(F.col("_l"))).drop("_l")
 
 
 def cooccurrence(boxes: DataFrame) -> DataFrame:
@@ -220,7 +224,7 @@ def padded_boxes(boxes: DataFrame, frame_w: int, frame_h: int, pad: float = 0.1,
 def map_labels(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rows with their canonical type and the ``reason`` they are dropped for (null: mapped)."""
     m = mapping.select(F.lower("source_label").alias("_l"), "canonical_type", "status")
-    j = rows.join(F.broadcast(m), F.lower("label") == F.col("_l"), "left").drop("_l")  # a mapping is a hand-kept table
+    j = rows.join(bounded(m), F.lower("label") == F.col("_l"), "left").drop("_l")
     reason = F.when(F.col("status").isNull(), "label not in the mapping").when(F.col("status") == "unmapped", "unmapped").when(F.coalesce("canonical_type", F.lit("")) == "", "blank type")
     return j.withColumn("reason", reason)
 
@@ -237,8 +241,8 @@ def leakage_checks(rows: DataFrame) -> DataFrame:
 
 def round_robin(rows: DataFrame, n: int, by: str = "leaf", *order: Column) -> DataFrame:
     """Whole rounds over the categories, best first, until at least ``n`` rows are picked."""
-    r = rows.withColumn("_round", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    per = r.groupBy("_round").agg(F.count("*").alias("_n")).where(F.col("_round") <= n)
+    r = rows.withColumn("_round", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_round") <= n)  # a round has a row at least
+    per = r.groupBy("_round").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     need = per.select("_round", before.alias("_before")).where(F.col("_before") < n)
     return r.join(F.broadcast(need), "_round").drop("_before").withColumnRenamed("_round", "round")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopgrade.functions.labels import wilson
+from loopgrade.functions.session import bounded
+from loopgrade.operators.ordered import quantiles, running
 
 
 def share(c: Column) -> Column:
@@ -46,7 +48,10 @@ def accuracy_sets(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def frequent_confusions(rows: DataFrame, k: int) -> DataFrame:
+    """The most frequent confusions, with the accepted ones and the share of the true class that went there."""
+    every = rows.groupBy("truth").agg(F.count("*").alias("_all")).select(F.col("truth").alias("_t"), "_all")
     wrong = rows.where("truth <> pred").groupBy("truth", "pred").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"))
+    wrong = wrong.join(every, F.col("truth") == F.col("_t")).withColumn("share", F.round(F.col("n") / F.col("_all"), 6)).drop("_t", "_all")
     return wrong.orderBy(F.desc("n"), "truth", "pred").limit(k)
 
 
@@ -83,35 +88,79 @@ def acceptance(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
+#: Bounds of a category's class.
+STRONG_ACCURACY, STRONG_ACCEPTANCE, STRONG_SHARE, WEAK_ACCURACY = 0.8, 0.5, 0.5, 0.6
+
+
+def _counted(rows: DataFrame, key: str, value: Column) -> DataFrame:
+    """``key, text``: how often each value stands, "a=3,b=1" in order of the value; per ``key`` and, key null, in all."""
+    c = rows.where(value.isNotNull()).groupBy(F.col(key).alias("_k"), value.alias("v")).agg(F.count("*").alias("n"))
+    every = F.explode(F.array(F.struct(F.col("_k").alias("k"), F.lit(False).alias("all")), F.struct(F.lit(None).cast("string").alias("k"), F.lit(True).alias("all"))))
+    c = c.select("v", "n", every.alias("x")).groupBy("x.k", "x.all", "v").agg(F.sum("n").alias("n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("v", "n"))), lambda x: F.concat_ws("=", x["v"], x["n"])), ",")
+    return c.groupBy(F.col("k").alias(f"_{key}"), F.col("all").alias("_all")).agg(text.alias("text"))  # labels: a bounded vocabulary
+
+
 def per_category(rows: DataFrame) -> DataFrame:
-    """Measures per true category, and of all (category null) by rollup."""
-    ok, c, a = F.col("truth") == F.col("pred"), F.col("confidence"), F.col("accepted")
-    low, high = wilson(F.col("correct").cast("double"), F.col("n").cast("double"))
+    """31 measures per true category, and of all (category null), over the readable rows; counts of all rows are ``images`` and ``unreadable``.
+
+    ``rows``: truth, pred, pred_sub, confidence, status (failed, detected, confirm, unknown), best_guess_correct, memory_adjusted,
+    subtype_correct (nullable). A row is accepted where it is detected. One pass with a rollup; medians by counted values.
+    """
+    valid = F.col("status") != "failed"
+    ok, c, a = F.col("truth") == F.col("pred"), F.when(valid, F.col("confidence")), F.col("status") == "detected"
+    has = lambda x: F.count_if(valid & x)
+    rate = lambda x: share(F.when(valid, x))
+    known = F.col("status") != "unknown"
+    low, high = wilson(F.col("correct").cast("double"), F.col("valid").cast("double"))
     g = rows.rollup("truth").agg(
-        F.count("*").alias("n"), F.count_if(ok).alias("correct"), F.count_if(a).alias("accepted"), F.count_if(ok & a).alias("strong"), F.count_if(ok & ~a).alias("weak"), F.count_if(~ok & a).alias("wrong_accepted"),
-        F.round(F.avg(c), 5).alias("conf_mean"), F.round(F.percentile("confidence", 0.5), 6).alias("conf_median"), F.min(c).alias("conf_min"), F.max(c).alias("conf_max"),
-        share(c >= 0.9).alias("ge90"), share(c >= 0.8).alias("ge80"), share(c >= 0.5).alias("ge50"), F.count_if(~ok & (c >= 0.9)).alias("confidently_wrong"),
+        F.grouping("truth").cast("boolean").alias("_all"), F.count("*").alias("images"), F.count_if(valid).alias("valid"), has(ok).alias("correct"), has(~ok).alias("incorrect"), rate(ok).alias("accuracy"),
+        has(a).alias("accepted"), rate(a).alias("acceptance_rate"), has(ok & a).alias("strong"), has(ok & ~a).alias("weak"), has(~ok & known).alias("wrong"), has(~ok & a).alias("wrong_accepted"),
+        has(~known).alias("rejected_unknown"), has(F.col("status") == "confirm").alias("confirm"), F.count_if(~valid).alias("unreadable"), has(F.col("best_guess_correct")).alias("best_guess_correct"),
+        has(F.col("memory_adjusted")).alias("memory_adjusted"), F.round(F.avg(c), 5).alias("conf_mean"), F.min(c).alias("conf_min"), F.max(c).alias("conf_max"),
+        rate(F.col("confidence") >= 0.9).alias("ge90"), rate(F.col("confidence") >= 0.8).alias("ge80"), rate(F.col("confidence") >= 0.5).alias("ge50"),
+        F.round(F.avg(F.when(ok, c)), 5).alias("conf_correct_mean"), F.round(F.avg(F.when(~ok, c)), 5).alias("conf_wrong_mean"), has(~ok & known & (F.col("confidence") >= 0.9)).alias("confidently_wrong_90"),
+        has(F.col("subtype_correct").isNotNull() & ok).alias("subtype_n"), has(F.col("subtype_correct")).alias("subtype_correct"),
     )
-    return g.withColumn("ci_low", F.round(low, 6)).withColumn("ci_high", F.round(high, 6))
+    readable = rows.where(valid)
+    median = quantiles(readable, ["truth"], "confidence", {"m": 0.5}).select(F.col("truth").alias("_truth"), F.lit(False).alias("_all"), "m")
+    median = median.unionByName(quantiles(readable, [], "confidence", {"m": 0.5}).select(F.lit(None).cast("string").alias("_truth"), F.lit(True).alias("_all"), "m"))
+    extra = {
+        "conf_median": median.withColumnRenamed("m", "text").withColumn("text", F.round("text", 6)),
+        "predicted": _counted(readable, "truth", F.col("pred")),
+        "predicted_subtypes": _counted(readable.where(known), "truth", F.concat_ws("/", "pred", "pred_sub")),
+    }
+    for name, table in extra.items():  # a row per category
+        t = table.select("_truth", F.col("_all").alias("_same"), F.col("text").alias(name))
+        g = g.join(t, F.col("truth").eqNullSafe(F.col("_truth")) & (F.col("_all") == F.col("_same")), "left").drop("_truth", "_same")
+    return g.withColumn("ci_low", F.round(low, 6)).withColumn("ci_high", F.round(high, 6)).drop("_all")
 
 
 def recognition(summary: DataFrame) -> DataFrame:
-    """Class of a category: strong, weak or misclassified, by the larger share of its rows."""
-    wrong = F.col("n") - F.col("correct")
-    kind = F.when((F.col("strong") >= F.col("weak")) & (F.col("strong") >= wrong), "strong").when(F.col("weak") >= wrong, "weak").otherwise("misclassified")
-    return summary.where("truth is not null").select("truth", kind.alias("recognition"))
+    """Class of a category from :func:`per_category`: strong by accuracy, acceptance and its share of strong rows; weak by accuracy; else misclassified."""
+    n = F.col("valid")
+    of = lambda x: F.try_divide(F.col(x), n)
+    strong = (of("correct") >= STRONG_ACCURACY) & (of("accepted") >= STRONG_ACCEPTANCE) & (of("strong") >= STRONG_SHARE)
+    return summary.where("truth is not null").select("truth", F.when(strong, "strong").when(of("correct") >= WEAK_ACCURACY, "weak").otherwise("misclassified").alias("recognition"))
 
 
 def threshold_sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Acceptance at every threshold in two modes. The rows are read once: each explodes into the thresholds it passes, combined before the shuffle."""
+    """Acceptance of readable rows at every threshold in two modes, also where nothing passes. ``confidence_only`` ignores the status and counts a right best guess.
+
+    The rows are read once: each explodes into the thresholds it passes, combined before the shuffle, and the grid of thresholds and modes is joined to the counts.
+    """
     ok = F.col("truth") == F.col("pred")
+    modes = F.array(F.struct(F.lit("pipeline").alias("mode"), (F.col("status") == "detected").alias("in"), ok.alias("ok")), F.struct(F.lit("confidence_only").alias("mode"), F.lit(True).alias("in"), (ok | F.col("best_guess_correct")).alias("ok")))
     every = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
-    modes = F.explode(F.when(F.col("accepted"), F.array(F.lit("pipeline"), F.lit("confidence_only"))).otherwise(F.array(F.lit("confidence_only")))).alias("mode")
-    passed = rows.select(ok.alias("ok"), "confidence", "accepted", every).where(F.col("confidence") >= F.col("threshold")).select("ok", "threshold", modes)
-    total = rows.agg(F.count("*").alias("total"))
-    g = passed.groupBy("threshold", "mode").agg(F.count("*").alias("accepted"), F.count_if("ok").alias("good")).crossJoin(F.broadcast(total))
-    part = lambda x: F.round(x / F.col("total"), 6)
-    return g.select("threshold", "mode", "accepted", part(F.col("accepted")).alias("acceptance"), part(F.col("good")).alias("correct_acceptance"), part(F.col("accepted") - F.col("good")).alias("false_acceptance"), F.round(F.col("good") / F.col("accepted"), 6).alias("precision"))
+    valid = rows.where("status <> 'failed'")
+    passed = valid.select("confidence", modes.alias("modes"), every).where(F.col("confidence") >= F.col("threshold")).select("threshold", F.explode("modes").alias("m")).where("m.in")
+    g = passed.groupBy("threshold", F.col("m.mode").alias("mode")).agg(F.count("*").alias("_n"), F.count_if("m.ok").alias("_k"))
+    total = valid.agg(F.count("*").alias("total"))
+    grid = total.select("total", every).select("total", "threshold", F.explode(F.array(F.lit("pipeline"), F.lit("confidence_only"))).alias("mode"))
+    j = grid.join(g, ["threshold", "mode"], "left").select("threshold", "mode", "total", F.coalesce("_n", F.lit(0)).alias("n"), F.coalesce("_k", F.lit(0)).alias("k"))
+    part = lambda x: F.round(F.try_divide(x, F.col("total")), 6)
+    n, k = F.col("n"), F.col("k")
+    return j.select("threshold", "mode", n.cast("long").alias("accepted"), part(n).alias("acceptance"), part(k).alias("correct_acceptance"), part(n - k).alias("false_acceptance"), F.round(F.try_divide(k, n), 6).alias("precision"))
 
 
 def condition_matrix(rows: DataFrame) -> DataFrame:
@@ -138,3 +187,35 @@ def gate(old: DataFrame, new: DataFrame, type_drop: float = 0.005, leaf_drop: fl
     j = old.select(F.col("type_accuracy").alias("ot"), F.col("leaf_accuracy").alias("ol")).crossJoin(F.broadcast(new.select("type_accuracy", "leaf_accuracy")))
     ok = (F.col("type_accuracy") >= F.col("ot") - type_drop) & (F.col("leaf_accuracy") >= F.col("ol") - leaf_drop)
     return j.select(F.round(F.col("type_accuracy") - F.col("ot"), 6).alias("type_change"), F.round(F.col("leaf_accuracy") - F.col("ol"), 6).alias("leaf_change"), ok.alias("promote"))
+
+
+def open_set(rows: DataFrame, msp: float, knn: float, quantile: float = 0.05) -> DataFrame:
+    """Each class in turn as the unseen one: ``unseen, n, rejected_msp, rejected_combined, auroc_msp, auroc_knn``.
+
+    ``rows``: truth, confidence, knn. The rule by confidence alone rejects below the ``quantile`` of the other classes' confidences;
+    the combined rule rejects above ``knn`` or below ``msp``. Everything comes from counts per (class, value), read once: the values
+    below a class's rows among the others are those below in all, less those of the class.
+    """
+    out = None
+    for name, sign in (("confidence", -1), ("knn", 1)):
+        per = rows.groupBy("truth", (sign * F.col(name)).alias("s")).agg(F.count("*").alias("n"))
+        every = running(per.groupBy("s").agg(F.sum("n").alias("all")), [F.col("s").asc()], {"upto": F.col("all")}).select(F.col("s").alias("_s"), "all", "upto")
+        own = running(per, [F.col("truth").asc(), F.col("s").asc()], {"mine": F.col("n")})
+        start = own.groupBy(F.col("truth").alias("_t")).agg(F.min(F.col("mine") - F.col("n")).alias("_start"), F.sum("n").alias("size"))
+        j = own.join(bounded(start), F.col("truth") == F.col("_t")).join(every, F.col("s") == F.col("_s"))
+        below = (F.col("upto") - F.col("all")) - (F.col("mine") - F.col("_start") - F.col("n"))
+        won = F.col("n").cast("decimal(30,1)") * (below + (F.col("all") - F.col("n")) * F.lit("0.5").cast("decimal(2,1)"))
+        total = rows.agg(F.count("*").alias("total"))
+        g = j.groupBy("truth").agg(F.sum(won).alias("w"), F.max("size").alias("size")).crossJoin(F.broadcast(total))
+        auroc_ = F.round(F.try_divide(F.col("w").cast("double"), F.col("size").cast("double") * (F.col("total") - F.col("size"))), 6)
+        t = g.select(F.col("truth").alias("unseen"), auroc_.alias({"confidence": "auroc_msp", "knn": "auroc_knn"}[name]))
+        out = t if out is None else out.join(t, "unseen")
+    # the floor of the others, for every class left out: rows of the others by explode over the few class names
+    names = [r.truth for r in rows.select("truth").distinct().limit(1000).collect()]  # classes: a bounded vocabulary
+    counts = rows.groupBy("truth", "confidence").agg(F.count("*").alias("n"))
+    others = counts.select("truth", "confidence", "n", F.explode(F.array(*[F.lit(x) for x in names])).alias("unseen")).where("truth <> unseen")
+    floor = quantiles(others, ["unseen"], "confidence", {"floor": quantile}, "n").select(F.col("unseen").alias("_u"), "floor")
+    j = rows.join(bounded(floor), F.col("truth") == F.col("_u"))
+    combined = (F.col("knn") > knn) | (F.col("confidence") < msp)
+    rejected = j.groupBy(F.col("truth").alias("unseen")).agg(F.count("*").alias("n"), share(F.col("confidence") < F.col("floor")).alias("rejected_msp"), share(combined).alias("rejected_combined"))
+    return rejected.join(out, "unseen")

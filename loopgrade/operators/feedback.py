@@ -21,14 +21,26 @@ def since(answers: DataFrame, cutoff: str) -> DataFrame:
     return latest(answers).where((F.col("created_at") >= F.lit(cutoff).cast("timestamp_ntz")) & label.isNotNull() & (label != "unknown"))
 
 
-def usability(answers: DataFrame, names: list[str], cutoff: str) -> Column:
-    """First reason, in order, why an answer can't be used for retraining; ``used`` otherwise."""
-    return (
+def usability(answers: DataFrame, children: DataFrame, cutoff: str) -> DataFrame:
+    """The latest answer of every set with its ``leaf`` and the first ``reason``, in order, why it can't be used for retraining; ``used`` otherwise.
+
+    ``children``: waste_type, subs (array): the model's classes. A missing sub-type is that of a type with one, else the predicted
+    one where the answer confirms the type. ``n_files`` counts the photos that still exist.
+    """
+    c = children.select(F.col("waste_type").alias("actual"), "subs")
+    j = latest(answers).join(bounded(c), "actual", "left")
+    blank = lambda x: F.nullif(x, F.lit(""))
+    confirmed = F.when(F.col("is_correct") & (F.col("predicted") == F.col("actual")), blank(F.col("predicted_sub")))
+    sub = F.coalesce(blank(F.col("actual_sub")), F.when(F.size("subs") == 1, F.get("subs", F.lit(0))), confirmed)
+    j = j.withColumn("_sub", sub)
+    reason = (
         F.when(F.col("created_at") < F.lit(cutoff).cast("timestamp_ntz"), "before the reset")
-        .when(F.col("actual").isNull() | ~F.col("actual").isin(names), "not a class")
-        .when(F.col("n_photos") < 2, "photo missing")
+        .when(F.col("subs").isNull(), "not a class")
+        .when(~F.coalesce(F.array_contains("subs", F.col("_sub")), F.lit(False)), "no sub-type")
+        .when(F.col("n_files") < 1, "photo missing")
         .otherwise("used")
     )
+    return j.withColumn("reason", reason).withColumn("leaf", F.when(F.col("reason") == "used", F.concat_ws("__", "actual", "_sub"))).drop("_sub", "subs")
 
 
 def summary(answers: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def blend(leaves: DataFrame, near: DataFrame, threshold: float, curve: str = "li
 def vote(leaves: DataFrame, items: DataFrame) -> DataFrame:
     """Mean leaf probability over the photos of an item: a leaf missing in a photo counts 0. ``items``: id, item."""
     n = items.groupBy("item").agg(F.count_distinct("id").alias("n_photos"))
-    p = leaves.withColumn("p", F.round("p", 5).cast("decimal(20,5)")).join(items, "id").groupBy("item", "leaf", "waste_type", "sub_type").agg(F.sum("p").alias("s"))
+    p = leaves.withColumn("p", F.col("p").cast("decimal(28,12)")).join(items, "id").groupBy("item", "leaf", "waste_type", "sub_type").agg(F.sum("p").alias("s"))
     return p.join(n, "item").select(F.col("item").alias("id"), "leaf", "waste_type", "sub_type", (F.col("s").cast("double") / F.col("n_photos")).alias("p"), "n_photos")
 
 

@@ -49,7 +49,9 @@ SQL: dict[str, str] = {
                CASE WHEN event_id % 17 = 0 THEN NULL
                     WHEN event_id % 3 <> 0 THEN event_type
                     ELSE CASE event_id % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'other' END END AS actual,
-               event_id % 4 + 1 AS n_photos
+               event_id % 4 + 1 AS n_photos, event_id % 5 AS n_files,
+               CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('s', CAST(event_id % 3 AS VARCHAR(20))) END AS predicted_sub,
+               CASE WHEN event_id % 6 < 4 THEN '' ELSE concat('s', CAST(event_id % 4 AS VARCHAR(20))) END AS actual_sub
         FROM events""",
     "leaf_probs": """
         SELECT vec_id AS id, leaf, waste_type, sub_type, CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY vec_id) AS DOUBLE) AS p
@@ -65,7 +67,10 @@ SQL: dict[str, str] = {
         SELECT event_id AS id, event_type AS truth,
                CASE WHEN event_id % 4 < 2 THEN event_type ELSE CASE event_id % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'error' END END AS pred,
                CAST(event_id * 37 % 1001 AS DOUBLE) / 1000 AS confidence, event_id * 37 % 1001 AS milli, event_type AS condition,
-               day(ts) % 2 AS split, event_id % 7 <> 0 AS accepted, CASE WHEN event_type IN ('click', 'view') THEN 'soft' ELSE 'hard' END AS grp
+               day(ts) % 2 AS split, event_id % 7 <> 0 AS accepted, CASE WHEN event_type IN ('click', 'view') THEN 'soft' ELSE 'hard' END AS grp,
+               CASE WHEN event_id % 29 = 0 THEN 'failed' WHEN event_id % 7 > 0 THEN 'detected' WHEN event_id % 2 = 0 THEN 'unknown' ELSE 'confirm' END AS status,
+               event_id % 4 < 2 OR event_id % 9 = 0 AS best_guess_correct, event_id % 31 = 0 AS memory_adjusted, concat('s', CAST(event_id % 3 AS VARCHAR(20))) AS pred_sub,
+               CASE WHEN event_id % 4 < 2 AND event_id % 6 <> 5 THEN event_id % 3 > 0 END AS subtype_correct
         FROM events""",
     "boxes": """
         SELECT l_orderkey AS scene, concat(l_returnflag, l_linestatus) AS label, l_quantity AS w, l_discount * 1000 AS h,

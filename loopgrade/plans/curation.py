@@ -311,7 +311,7 @@ def g_36(spark: SparkSession, d: str) -> DataFrame:
     return curate.inventory(items(spark, d))
 
 
-@query("g_37_box_stats", "SELECT label, count(*) AS objects, count(DISTINCT scene) AS scenes, round(quantile_cont(least(w, h), 0.5), 6) AS median, round(quantile_cont(least(w, h), 0.1), 6) AS p10, count(*) FILTER (least(w, h) < 24) AS under_24, count(*) FILTER (least(w, h) < 64) AS under_64, count(*) FILTER (split = 'train') AS n_train FROM boxes GROUP BY 1", "boxes")
+@query("g_37_box_stats", "SELECT label, count(*) AS objects, count(DISTINCT scene) AS scenes, round(quantile_cont(least(w, h), 0.5), 6) AS median, round(quantile_cont(least(w, h), 0.1), 6) AS p10, count(*) FILTER (least(w, h) < 24) AS under_24, count(*) FILTER (least(w, h) < 64) AS under_64, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test FROM boxes GROUP BY 1", "boxes")
 def g_37(spark: SparkSession, d: str) -> DataFrame:
     return curate.box_stats(bind(spark, d, "boxes"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopgrade.functions.labels import wilson
+from loopgrade.functions.session import bounded
 from loopgrade.operators import calibrate, evaluate, feedback, ordered, predict, vectors
 from loopgrade.plans.bindings import bind, read, sql
 
@@ -42,10 +43,15 @@ def f_11(spark: SparkSession, d: str) -> DataFrame:
     return feedback.since(answers(spark, d), CUTOFF).select("item_key", "actual")
 
 
-@query("f_10_usability", f"SELECT CASE WHEN created_at < TIMESTAMP '{CUTOFF}' THEN 'before the reset' WHEN actual IS NULL OR actual NOT IN ('click', 'view', 'purchase') THEN 'not a class' WHEN n_photos < 2 THEN 'photo missing' ELSE 'used' END AS reason, count(*) AS n FROM answers GROUP BY 1", "answers")
+CHILDREN = "children(actual, subs) AS (VALUES ('view', ['s0', 's1']), ('click', ['s1']), ('purchase', ['s0', 's1', 's2']))"
+USABLE = f"""{LATEST.rstrip()}, {CHILDREN}, st AS (SELECT l.*, subs, coalesce(nullif(actual_sub, ''), CASE WHEN len(subs) = 1 THEN subs[1] END, CASE WHEN is_correct AND predicted = l.actual THEN nullif(predicted_sub, '') END) AS st FROM latest l LEFT JOIN children USING (actual)),
+    why AS (SELECT *, CASE WHEN created_at < TIMESTAMP '{CUTOFF}' THEN 'before the reset' WHEN subs IS NULL THEN 'not a class' WHEN st IS NULL OR NOT list_contains(subs, st) THEN 'no sub-type' WHEN n_files = 0 THEN 'photo missing' ELSE 'used' END AS reason FROM st)"""
+
+
+@query("f_10_usability", USABLE + " SELECT reason, CASE WHEN reason = 'used' THEN concat(actual, '__', st) END AS leaf, count(*) AS n FROM why GROUP BY 1, 2", "answers")
 def f_10(spark: SparkSession, d: str) -> DataFrame:
-    a = answers(spark, d)
-    return a.groupBy(feedback.usability(a, ["click", "view", "purchase"], CUTOFF).alias("reason")).agg(F.count("*").alias("n"))
+    children = spark.sql("SELECT * FROM VALUES ('view', array('s0', 's1')), ('click', array('s1')), ('purchase', array('s0', 's1', 's2')) AS t(waste_type, subs)")
+    return feedback.usability(answers(spark, d), children, CUTOFF).groupBy("reason", "leaf").agg(F.count("*").alias("n"))
 
 
 @query("g_13_feedback_summary", LATEST + "SELECT count(*) AS n, count(*) FILTER (is_correct) AS correct, round(count(*) FILTER (is_correct) / count(*), 6) AS accuracy, count(*) FILTER (actual = 'other') AS n_other FROM latest", "answers")
@@ -181,7 +187,7 @@ def d_12(spark: SparkSession, d: str) -> DataFrame:
 
 VOTE = """items AS (SELECT DISTINCT id, id // 3 AS item FROM leaf_probs), np AS (SELECT item, count(*) AS n FROM items GROUP BY 1),
     kept AS (SELECT * FROM leaf_probs WHERE (id + length(leaf)) % 5 <> 0 OR sub_type IS NOT NULL),
-    mean AS (SELECT item AS id, leaf, waste_type, sub_type, sum(CAST(round(p, 5) AS DECIMAL(20,5)))::DOUBLE / any_value(n) AS p FROM kept JOIN items USING (id) JOIN np USING (item) GROUP BY ALL)"""
+    mean AS (SELECT item AS id, leaf, waste_type, sub_type, sum(CAST(p AS DECIMAL(28,12)))::DOUBLE / any_value(n) AS p FROM kept JOIN items USING (id) JOIN np USING (item) GROUP BY ALL)"""
 
 
 def photos(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -324,7 +330,7 @@ def e_04(spark: SparkSession, d: str) -> DataFrame:
 @query("e_05_calibration_report", f"WITH {VAL}, {THR} SELECT waste_type, round(avg((knn > k OR confidence < 0.1)::INT), 6) AS flagged, round(avg(CASE WHEN correct THEN (confidence >= 0.05)::INT END), 6) AS kept_confident, round(avg(CASE WHEN NOT correct THEN (confidence < 0.05)::INT END), 6) AS wrong_below FROM val JOIN thr USING (waste_type) GROUP BY 1", "classified")
 def e_05(spark: SparkSession, d: str) -> DataFrame:
     v = val_rows(spark, d)
-    j = v.join(F.broadcast(calibrate.knn_thresholds(v)), "waste_type")
+    j = v.join(bounded(calibrate.knn_thresholds(v)), "waste_type")
     c = F.col("confidence")
     return j.groupBy("waste_type").agg(evaluate.share((F.col("knn") > F.col("knn_threshold")) | (c < 0.1)).alias("flagged"), evaluate.share(F.when(F.col("correct"), c >= 0.05)).alias("kept_confident"), evaluate.share(F.when(~F.col("correct"), c < 0.05)).alias("wrong_below"))
 
@@ -332,20 +338,23 @@ def e_05(spark: SparkSession, d: str) -> DataFrame:
 @query("g_45_familiarity", f"WITH {VAL}, {THR} SELECT waste_type, round(quantile_cont(v.knn, 0.5), 6) AS median_knn, round(avg((knn > k)::INT), 6) AS unfamiliar, round(avg((knn > f)::INT), 6) AS far FROM val v JOIN thr USING (waste_type) GROUP BY 1", "classified")
 def g_45(spark: SparkSession, d: str) -> DataFrame:
     v = val_rows(spark, d)
-    j = v.join(F.broadcast(calibrate.knn_thresholds(v)), "waste_type")
-    return j.groupBy("waste_type").agg(F.round(F.percentile("knn", 0.5), 6).alias("median_knn"), evaluate.share(F.col("knn") > F.col("knn_threshold")).alias("unfamiliar"), evaluate.share(F.col("knn") > F.col("far_threshold")).alias("far"))
+    j = v.join(bounded(calibrate.knn_thresholds(v)), "waste_type")
+    median = ordered.quantiles(v, ["waste_type"], "knn", {"m": 0.5}).select("waste_type", F.round("m", 6).alias("median_knn"))
+    return median.join(j.groupBy("waste_type").agg(evaluate.share(F.col("knn") > F.col("knn_threshold")).alias("unfamiliar"), evaluate.share(F.col("knn") > F.col("far_threshold")).alias("far")), "waste_type")
+
+
+OPEN = """s AS (SELECT truth, milli::DOUBLE / 1001 AS confidence, (id * 7919 % 10007)::DOUBLE / 10007 AS knn FROM classified), k AS (SELECT DISTINCT truth AS unseen FROM s), r AS (SELECT k.unseen, s.truth = k.unseen AS ood, s.* FROM s, k),
+    f AS (SELECT unseen, quantile_cont(confidence, 0.05) AS floor FROM r WHERE NOT ood GROUP BY 1),
+    m AS (SELECT r.*, floor, rank() OVER (PARTITION BY unseen ORDER BY confidence DESC) + (count(*) OVER (PARTITION BY unseen, confidence) - 1) / 2.0 AS rc, rank() OVER (PARTITION BY unseen ORDER BY knn) + (count(*) OVER (PARTITION BY unseen, knn) - 1) / 2.0 AS rk FROM r JOIN f USING (unseen))"""
 
 
-@query("g_46_open_set", "WITH " + "".join(f"{c} AS (SELECT '{c}' AS unseen, round((sum(w) + 0.0) / 1, 6) AS x FROM (SELECT 1 AS w)), " for c in ()) + "s AS (SELECT *, milli::DOUBLE / 1001 AS score FROM classified), k AS (SELECT DISTINCT truth AS unseen FROM s), r AS (SELECT k.unseen, s.truth = k.unseen AS ood, s.score FROM s, k), m AS (SELECT unseen, ood, rank() OVER (PARTITION BY unseen ORDER BY score) + (count(*) OVER (PARTITION BY unseen, score) - 1) / 2.0 AS rk, score FROM r) SELECT unseen, round(avg(CASE WHEN ood THEN (score < 0.3)::INT END), 6) AS rejected, round((sum(CASE WHEN ood THEN rk END) - count(*) FILTER (ood) * (count(*) FILTER (ood) + 1) / 2.0) / (count(*) FILTER (ood) * count(*) FILTER (NOT ood)), 6) AS auroc FROM m GROUP BY 1", "classified")
+def _auc(rank: str) -> str:
+    return f"round((sum(CASE WHEN ood THEN {rank} END) - count(*) FILTER (ood) * (count(*) FILTER (ood) + 1) / 2.0) / (count(*) FILTER (ood) * count(*) FILTER (NOT ood)), 6)"
+
+
+@query("g_46_open_set", f"WITH {OPEN} SELECT unseen, count(*) FILTER (ood) AS n, round(avg(CASE WHEN ood THEN (confidence < floor)::INT END), 6) AS rejected_msp, round(avg(CASE WHEN ood THEN (knn > 0.9 OR confidence < 0.3)::INT END), 6) AS rejected_combined, {_auc('rc')} AS auroc_msp, {_auc('rk')} AS auroc_knn FROM m GROUP BY 1", "classified")
 def g_46(spark: SparkSession, d: str) -> DataFrame:
-    s = bind(spark, d, "classified").withColumn("score", F.col("milli").cast("double") / 1001)
-    names = ("click", "view", "purchase", "signup", "error")  # each class is left out in turn
-    out = None
-    for c in names:
-        ood = s.withColumn("ood", F.col("truth") == c)
-        row = ordered.auroc(ood, "score", "ood").crossJoin(F.broadcast(ood.where("ood").agg(evaluate.share(F.col("score") < 0.3).alias("rejected")))).withColumn("unseen", F.lit(c))
-        out = row if out is None else out.unionByName(row)
-    return out.select("unseen", "rejected", "auroc")
+    return evaluate.open_set(val_rows(spark, d).withColumnRenamed("waste_type", "truth"), 0.3, 0.9)
 
 
 # ---- evaluation ----
@@ -390,7 +399,7 @@ def g_18(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.accuracy_sets(classified(spark, d), "truth", "split")
 
 
-@query("g_19_frequent_confusions", "SELECT truth, pred, count(*) AS n, count(*) FILTER (accepted) AS accepted FROM classified WHERE truth <> pred GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10", "classified")
+@query("g_19_frequent_confusions", "SELECT truth, pred, count(*) AS n, count(*) FILTER (accepted) AS accepted, round(count(*) / any_value(total), 6) AS share FROM classified JOIN (SELECT truth, count(*) AS total FROM classified GROUP BY 1) USING (truth) WHERE truth <> pred GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10", "classified")
 def g_19(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.frequent_confusions(classified(spark, d), 10)
 
@@ -427,13 +436,30 @@ def g_24(spark: SparkSession, d: str) -> DataFrame:
 WILSON = "round((k / n + 3.8416 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS ci_low, round((k / n + 3.8416 / (2 * n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS ci_high"
 
 
-@query(
-    "g_25_per_category",
-    f"""WITH g AS (SELECT truth, count(*)::DOUBLE AS n, count(*) FILTER (truth = pred) AS k, count(*) FILTER (accepted) AS accepted, count(*) FILTER (truth = pred AND accepted) AS strong, count(*) FILTER (truth = pred AND NOT accepted) AS weak, count(*) FILTER (truth <> pred AND accepted) AS wrong_accepted,
-    round(avg(confidence), 5) AS conf_mean, round(quantile_cont(confidence, 0.5), 6) AS conf_median, min(confidence) AS conf_min, max(confidence) AS conf_max, round(avg((confidence >= 0.9)::INT), 6) AS ge90, round(avg((confidence >= 0.8)::INT), 6) AS ge80, round(avg((confidence >= 0.5)::INT), 6) AS ge50,
-    count(*) FILTER (truth <> pred AND confidence >= 0.9) AS confidently_wrong FROM classified GROUP BY ROLLUP (truth)) SELECT g.* EXCLUDE (n, k), n::BIGINT AS n, k AS correct, {WILSON} FROM g""",
-    "classified",
-)
+def _category(by: str) -> str:
+    """The measures of one grouping: per ``truth``, or of all rows."""
+    n, hist = "count(*) FILTER (v)", "(SELECT string_agg(concat(x, '=', n), ',' ORDER BY x) FROM (SELECT {value} AS x, count(*) AS n FROM classified i WHERE status <> 'failed' {more} {same} GROUP BY 1))"
+    same = "AND i.truth = c.truth" if by == "truth" else ""
+    count = lambda x: f"count(*) FILTER (v AND {x})"
+    rate = lambda x: f"round({count(x)} / {n}, 6)"
+    measures = {
+        "images": "count(*)", "valid": n, "correct": count("ok"), "incorrect": count("NOT ok"), "accuracy": rate("ok"), "accepted": count("a"), "acceptance_rate": rate("a"), "strong": count("ok AND a"), "weak": count("ok AND NOT a"),
+        "wrong": count("NOT ok AND status <> 'unknown'"), "wrong_accepted": count("NOT ok AND a"), "rejected_unknown": count("status = 'unknown'"), "confirm": count("status = 'confirm'"), "unreadable": "count(*) FILTER (NOT v)",
+        "best_guess_correct": count("best_guess_correct"), "memory_adjusted": count("memory_adjusted"), "conf_mean": "round(avg(confidence) FILTER (v), 5)", "conf_median": "round(quantile_cont(confidence, 0.5) FILTER (v), 6)",
+        "conf_min": "min(confidence) FILTER (v)", "conf_max": "max(confidence) FILTER (v)", "ge90": rate("confidence >= 0.9"), "ge80": rate("confidence >= 0.8"), "ge50": rate("confidence >= 0.5"),
+        "conf_correct_mean": "round(avg(confidence) FILTER (v AND ok), 5)", "conf_wrong_mean": "round(avg(confidence) FILTER (v AND NOT ok), 5)", "confidently_wrong_90": count("NOT ok AND status <> 'unknown' AND confidence >= 0.9"),
+        "subtype_n": count("subtype_correct IS NOT NULL AND ok"), "subtype_correct": count("subtype_correct"),
+    }
+    low, high = (x.strip() for x in WILSON.replace("round(", "|round(").split("|")[1:])
+    ci = ", ".join(x.rstrip(", ").replace("/ n", f"/ ({n})").replace("* n", f"* {n}").replace("k /", f"{count('ok')} /") for x in (low, high))
+    every = ", ".join(f"{x} AS {name}" for name, x in measures.items())
+    predicted = hist.format(value="pred", more="", same=same)
+    subs = hist.format(value="concat(pred, '/', pred_sub)", more="AND status <> 'unknown'", same=same)
+    key = "truth" if by == "truth" else "NULL"
+    return f"SELECT {key} AS truth, {every}, {ci}, {predicted} AS predicted, {subs} AS predicted_subtypes FROM (SELECT *, status <> 'failed' AS v, truth = pred AS ok, status = 'detected' AS a FROM classified) c" + (" GROUP BY c.truth" if by == "truth" else "")
+
+
+@query("g_25_per_category", f"WITH per AS ({_category('truth')}), every AS ({_category('all')}) SELECT * FROM per UNION ALL SELECT * FROM every", "classified")
 def g_25(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.per_category(classified(spark, d))
 
@@ -445,14 +471,22 @@ def g_26(spark: SparkSession, d: str) -> DataFrame:
     return g.select("condition", F.round(low, 6).alias("ci_low"), F.round(high, 6).alias("ci_high"))
 
 
-@query("g_27_threshold_sweep", "WITH t(threshold) AS (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.8::DOUBLE), (0.95::DOUBLE)), m(mode) AS (VALUES ('pipeline'), ('confidence_only')), a AS (SELECT threshold, mode, count(*) AS n, count(*) FILTER (truth = pred) AS k FROM classified, t, m WHERE confidence >= threshold AND (mode = 'confidence_only' OR accepted) GROUP BY ALL), z AS (SELECT count(*) AS total FROM classified) SELECT threshold, mode, n AS accepted, round(n / total, 6) AS acceptance, round(k / total, 6) AS correct_acceptance, round((n - k) / total, 6) AS false_acceptance, round(k / n, 6) AS precision FROM a, z", "classified")
+#: A table for the rules of G-27 and G-28 in which every class and an unpassed threshold occur: four grades of recognition by truth.
+GRADED = "graded AS (SELECT id, truth, CASE WHEN truth = 'click' AND id % 10 > 0 OR truth = 'view' AND id % 20 > 0 OR truth = 'purchase' AND id % 10 < 7 OR truth = 'signup' AND id % 2 = 0 THEN truth ELSE pred END AS pred, CASE WHEN truth = 'view' AND status = 'detected' AND id % 3 > 0 THEN 'confirm' ELSE status END AS status, confidence, best_guess_correct, pred_sub, memory_adjusted, subtype_correct FROM classified)"
+
+
+def graded(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql("SELECT * FROM (" + GRADED[len("graded AS (") : -1].replace("FROM classified", "FROM {c} AS classified") + ")", c=classified(spark, d))
+
+
+@query("g_27_threshold_sweep", f"WITH {GRADED}, t(threshold) AS (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.8::DOUBLE), (0.95::DOUBLE), (1.5::DOUBLE)), m(mode) AS (VALUES ('pipeline'), ('confidence_only')), v AS (SELECT * FROM graded WHERE status <> 'failed'), z AS (SELECT count(*) AS total FROM v), a AS (SELECT threshold, mode, count(*) FILTER (confidence >= threshold AND (mode = 'confidence_only' OR status = 'detected')) AS n, count(*) FILTER (confidence >= threshold AND (mode = 'confidence_only' AND (truth = pred OR best_guess_correct) OR mode = 'pipeline' AND status = 'detected' AND truth = pred)) AS k FROM v, t, m GROUP BY ALL) SELECT threshold, mode, n AS accepted, round(n / total, 6) AS acceptance, round(k / total, 6) AS correct_acceptance, round((n - k) / total, 6) AS false_acceptance, CASE WHEN n > 0 THEN round(k / n, 6) END AS precision FROM a, z", "classified")
 def g_27(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.threshold_sweep(classified(spark, d), [0.3, 0.5, 0.8, 0.95])
+    return evaluate.threshold_sweep(graded(spark, d), [0.3, 0.5, 0.8, 0.95, 1.5])
 
 
-@query("g_28_recognition", "WITH g AS (SELECT truth, count(*) FILTER (truth = pred AND accepted) AS s, count(*) FILTER (truth = pred AND NOT accepted) AS w, count(*) FILTER (truth <> pred) AS x FROM classified GROUP BY 1) SELECT truth, CASE WHEN s >= w AND s >= x THEN 'strong' WHEN w >= x THEN 'weak' ELSE 'misclassified' END AS recognition FROM g", "classified")
+@query("g_28_recognition", f"WITH {GRADED}, g AS (SELECT truth, avg((truth = pred)::INT) AS accuracy, avg((status = 'detected')::INT) AS acceptance, avg((truth = pred AND status = 'detected')::INT) AS strong FROM graded WHERE status <> 'failed' GROUP BY 1) SELECT truth, CASE WHEN accuracy >= 0.8 AND acceptance >= 0.5 AND strong >= 0.5 THEN 'strong' WHEN accuracy >= 0.6 THEN 'weak' ELSE 'misclassified' END AS recognition FROM g", "classified")
 def g_28(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.recognition(evaluate.per_category(classified(spark, d)))
+    return evaluate.recognition(evaluate.per_category(graded(spark, d)))
 
 
 @query("g_29_condition_matrix", "WITH c AS (SELECT grp, condition, avg((truth = pred)::INT) AS a, avg(accepted::INT) AS acc FROM classified GROUP BY ALL) SELECT grp, round(avg(a), 6) AS accuracy, round(avg(acc), 6) AS acceptance, count(*) AS conditions FROM c GROUP BY 1", "classified")
@@ -504,7 +538,5 @@ def g_35(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w_06_parity_split", "SELECT id, (row_number() OVER (PARTITION BY truth ORDER BY id) - 1) % 2 AS half FROM classified", "classified")
 def w_06(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("truth").orderBy("id")) - 1
-    return classified(spark, d).select("id", F.pmod(place, F.lit(2)).alias("half"))
+    ranked = ordered.rank_within(classified(spark, d).select("id", "truth"), ["truth"], [F.col("id").asc()])
+    return ranked.select("id", F.pmod(F.col("rank") - 1, F.lit(2)).alias("half"))

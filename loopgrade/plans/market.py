@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from loopgrade.functions import labels
 from loopgrade.functions.geo import distance_score, haversine_km
+from loopgrade.functions.session import bounded, cut
 from loopgrade.operators import carbon, ranking
-from loopgrade.plans.bindings import bind, sql
+from loopgrade.operators.ordered import quantiles
+from loopgrade.plans.bindings import bind, read, sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -103,9 +105,10 @@ def g_32(spark: SparkSession, d: str) -> DataFrame:
     best = ranking.rank_recyclers(listings(spark, d), recyclers(spark, d), 1).select(F.col("waste_id").alias("b"), "distance_km", "specialist_score")
     j = listings(spark, d).join(best, F.col("waste_id") == F.col("b"), "left")
     special = F.when(F.col("distance_km").isNotNull(), (F.col("specialist_score") == 1).cast("double"))
-    return j.groupBy("waste_type").agg(
-        F.count("*").alias("n"), F.round(F.avg(F.col("distance_km").isNotNull().cast("double")), 6).alias("coverage"), F.round(F.avg(special), 6).alias("specialist"), F.round(F.percentile("distance_km", 0.5), 4).alias("median_km")
-    )
+    j = cut(j.select("waste_type", "distance_km", special.alias("special")))
+    median = quantiles(j, ["waste_type"], "distance_km", {"m": 0.5}).select(F.col("waste_type").alias("t"), F.round("m", 4).alias("median_km"))
+    g = j.groupBy("waste_type").agg(F.count("*").alias("n"), F.round(F.avg(F.col("distance_km").isNotNull().cast("double")), 6).alias("coverage"), F.round(F.avg("special"), 6).alias("specialist"))
+    return g.join(median, F.col("waste_type") == F.col("t"), "left").drop("t")
 
 
 @query("a_01_haversine", f"SELECT waste_id, round({KM.format(a='p.', b='l.')}, 4) AS km FROM listings l, {PLACE} p", "listings")
@@ -208,7 +211,7 @@ def b_02(spark: SparkSession, d: str) -> DataFrame:
 def j_02(spark: SparkSession, d: str) -> DataFrame:
     f = bind(spark, d, "factors")
     mean = carbon.type_factors(f).select("waste_type", F.round("mean_factor", 6).alias("mean_factor"))
-    return listings(spark, d).join(F.broadcast(f.select("sub_type", "factor")), "sub_type", "left").join(F.broadcast(mean), "waste_type", "left").select("waste_id", "factor", "mean_factor")
+    return listings(spark, d).join(bounded(f.select("sub_type", "factor")), "sub_type", "left").join(bounded(mean), "waste_type", "left").select("waste_id", "factor", "mean_factor")
 
 
 @query("j_03_market_codes", "SELECT waste_id, coalesce(c.market_sub, l.sub_type) AS market_sub, coalesce(r.photo_sub, l.sub_type) AS photo_sub FROM listings l LEFT JOIN codes c ON c.waste_type = l.waste_type AND c.photo_sub = l.sub_type LEFT JOIN (SELECT waste_type, market_sub, min(photo_sub) AS photo_sub FROM codes GROUP BY ALL) r ON r.waste_type = l.waste_type AND r.market_sub = l.sub_type", *CARBON)
@@ -234,16 +237,21 @@ def b_04(spark: SparkSession, d: str) -> DataFrame:
 @query("b_05_single_subtype", "SELECT t.waste_type, count(c.photo_sub) <= 1 AS single FROM (SELECT DISTINCT waste_type FROM listings) t LEFT JOIN codes c USING (waste_type) GROUP BY 1", *CARBON)
 def b_05(spark: SparkSession, d: str) -> DataFrame:
     n = bind(spark, d, "codes").groupBy("waste_type").agg(F.count("*").alias("n"))
-    return listings(spark, d).select("waste_type").distinct().join(F.broadcast(n), "waste_type", "left").select("waste_type", (F.coalesce("n", F.lit(0)) <= 1).alias("single"))
+    return listings(spark, d).select("waste_type").distinct().join(bounded(n), "waste_type", "left").select("waste_type", (F.coalesce("n", F.lit(0)) <= 1).alias("single"))
+
+
+#: A factor per part, with one link, two links, or none, and method and notes in all combinations.
+PART_FACTORS = """SELECT concat(p_name, ' ', CAST(p_partkey AS VARCHAR(20))) AS sub_type, p_retailprice / 1000 AS factor,
+    CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN concat('https://www.', lower(p_type), '.example.org/', CAST(p_size AS VARCHAR(20)), ' ; http://other.example.com') WHEN 2 THEN concat(' http://', lower(p_type), '.example.net/a/b') ELSE 'https://www.example.org' END AS source_url,
+    CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS basis, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE p_type END AS notes FROM part"""
 
 
 @query(
     "b_06_factor_view",
-    "SELECT sub_type, factor, trim(split_part(source_url, ';', 1)) AS url, regexp_replace(regexp_extract(trim(split_part(source_url, ';', 1)), '^[a-z]+://([^/]+)', 1), '^www\\.', '') AS domain, concat_ws(' - ', nullif(basis, ''), nullif(notes, '')) AS method FROM factors JOIN (SELECT DISTINCT o_orderstatus FROM orders LIMIT 1) ON true",
-    "factors",
+    f"WITH factors AS ({PART_FACTORS}) SELECT sub_type, factor, trim(split_part(source_url, ';', 1)) AS url, regexp_replace(regexp_extract(trim(split_part(source_url, ';', 1)), '^[a-z]+://([^/]+)', 1), '^www\\.', '') AS domain, concat_ws(' - ', nullif(basis, ''), nullif(notes, '')) AS method FROM factors",
 )
 def b_06(spark: SparkSession, d: str) -> DataFrame:
-    return carbon.factor_view(bind(spark, d, "factors"))
+    return carbon.factor_view(spark.sql(PART_FACTORS.replace("FROM part", "FROM {part}"), part=read(spark, d, "part")))
 
 
 @query(
@@ -303,7 +311,7 @@ def g_06(spark: SparkSession, d: str) -> DataFrame:
 def g_07(spark: SparkSession, d: str) -> DataFrame:
     order = spark.sql("SELECT * FROM VALUES ('FURNITURE', 1), ('BUILDING', 2), ('MACHINERY', 3), ('AUTOMOBILE', 4), ('HOUSEHOLD', 5) AS o(waste_type, ord)")
     kg = listings(spark, d).groupBy("waste_type").agg(F.sum("quantity_kg").alias("kg"))
-    return kg.join(F.broadcast(order), "waste_type").select("ord", "waste_type", "kg").orderBy("ord")
+    return kg.join(bounded(order), "waste_type").select("ord", "waste_type", "kg").orderBy("ord")
 
 
 @query("g_08_zone_centroids", "SELECT location_name, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM listings GROUP BY 1", "listings")
@@ -319,7 +327,7 @@ def g_09(spark: SparkSession, d: str) -> DataFrame:
 @query("g_10_type_factors", "SELECT l.waste_type, round(m.mean_factor, 6) AS mean_factor, m.n_factors, m.sources, count(*) AS listings FROM listings l JOIN (SELECT waste_type, avg(factor) AS mean_factor, count(*) AS n_factors, string_agg(DISTINCT source, '; ' ORDER BY source) AS sources FROM factors GROUP BY 1) m USING (waste_type) GROUP BY ALL", *CARBON)
 def g_10(spark: SparkSession, d: str) -> DataFrame:
     n = listings(spark, d).groupBy("waste_type").agg(F.count("*").alias("listings"))
-    return n.join(F.broadcast(carbon.type_factors(bind(spark, d, "factors"))), "waste_type").select("waste_type", F.round("mean_factor", 6).alias("mean_factor"), "n_factors", "sources", "listings")
+    return n.join(bounded(carbon.type_factors(bind(spark, d, "factors"))), "waste_type").select("waste_type", F.round("mean_factor", 6).alias("mean_factor"), "n_factors", "sources", "listings")
 
 
 @query("g_11_factor_kpis", "SELECT count(*) AS rows, count(*) FILTER (NOT is_proxy) AS sourced, count(*) FILTER (is_proxy) AS proxy, max_by(sub_type, factor) AS highest FROM (SELECT DISTINCT f.* FROM factors f JOIN listings l ON l.waste_type = f.waste_type)", *CARBON)

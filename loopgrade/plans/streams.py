@@ -50,17 +50,15 @@ def answer_stream(spark: SparkSession, d: str) -> DataFrame:
 def st_01(spark: SparkSession, d: str) -> DataFrame:
     at = folder(spark)
     jobs.upsert_latest(answer_stream(spark, d), f"{at}/store", f"{at}/check").awaitTermination()
-    last = spark.read.parquet(f"{at}/store")  # the generations; the last one is the table
-    return last.join(F.broadcast(last.agg(F.max("gen").alias("gen"))), "gen").select("item_key", "seq", "actual")
+    return jobs.read_last(spark, f"{at}/store").select("item_key", "seq", "actual")
 
 
 @query("st_02_summary_stream", LATEST + "SELECT count(*) AS n, count(*) FILTER (is_correct) AS correct, round(count(*) FILTER (is_correct) / count(*), 6) AS accuracy, count(*) FILTER (actual = 'other') AS n_other FROM latest", "answers")
 def st_02(spark: SparkSession, d: str) -> DataFrame:
     at = folder(spark)
-    put = lambda df, n: df.write.mode("overwrite").parquet(f"{at}/summary/gen={n}")
+    put = lambda df, n: jobs.write_generation(df, f"{at}/summary", n)
     jobs.summary_stream(answer_stream(spark, d), f"{at}/store", f"{at}/check", put).awaitTermination()
-    s = spark.read.parquet(f"{at}/summary")
-    return s.join(F.broadcast(s.agg(F.max("gen").alias("gen"))), "gen").drop("gen")
+    return jobs.read_last(spark, f"{at}/summary")
 
 
 @query("st_03_new_photos", "SELECT DISTINCT user_id % 1000 AS sha FROM events")
@@ -96,11 +94,9 @@ TREND = "SELECT date_trunc('day', ts) AS start, count(*) AS n, count(*) FILTER (
 
 @query("st_07_trend_stream", TREND)
 def st_07(spark: SparkSession, d: str) -> DataFrame:
-    name = f"trend_{uuid.uuid4().hex}"
     at = folder(spark)
-    q = jobs.trend(answer_stream(spark, d)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    jobs.trend_stream(answer_stream(spark, d), f"{at}/out", f"{at}/check").awaitTermination()
+    return jobs.read_trend(spark, f"{at}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("st_07_trend_batch", TREND)
@@ -116,12 +112,41 @@ def st_07c(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- validation, static dimension, memory entries, ids ----
-@query("a_18_validate", "SELECT waste_id, concat_ws(',', CASE WHEN quantity_kg % 7 > 0 THEN NULL ELSE 'quantity' END, CASE WHEN quality = 'poor' THEN 'quality' END, CASE WHEN price % 11 = 0 THEN 'phone' END) AS errors FROM listings", "listings")
+@query(
+    "a_18_validate",
+    """SELECT waste_id, concat_ws(',', CASE WHEN quantity_kg % 7 = 0 OR quantity_kg % 10 = 3 THEN 'quantity' END, CASE WHEN quality = 'poor' THEN 'quality' END, CASE WHEN price % 19 = 0 THEN 'place' END, CASE WHEN price % 31 = 2 THEN 'price' END, CASE WHEN price % 11 = 0 THEN 'phone' END,
+    CASE WHEN price % 13 = 0 THEN 'sub_type' END, CASE WHEN price % 17 < 2 THEN 'location' END, CASE WHEN price % 23 = 0 THEN 'seller' END, CASE WHEN price % 29 = 1 THEN 'contact' END, CASE WHEN price % 37 = 3 THEN 'description' END) AS errors FROM listings""",
+    "listings",
+)
 def a_18(spark: SparkSession, d: str) -> DataFrame:
-    rows = bind(spark, d, "listings")
-    rows = rows.withColumn("quantity_kg", F.when(F.col("quantity_kg") % 7 > 0, F.col("quantity_kg")).otherwise(0)).withColumn("quality", F.when(F.col("quality") == "poor", "bad").otherwise(F.col("quality")))
-    rows = rows.withColumn("phone", F.when(F.col("price") % 11 == 0, "12+34567").otherwise("+441234567890"))
-    return files.validate(rows, files.listing_rules()).select("waste_id", F.array_join("errors", ",").alias("errors"))
+    p = F.col("price")
+    chars = lambda n: F.repeat(F.lit("ü"), n)
+    new = {
+        "sub_type": F.when(p % 13 == 0, chars(61)).when(p % 13 == 1, F.lit(None)).otherwise(chars(60)),
+        "quantity_kg": F.when(F.col("quantity_kg") % 7 == 0, 0).when(F.col("quantity_kg") % 10 == 3, 100_000_001).otherwise(100_000_000),
+        "quality": F.when(F.col("quality") == "poor", "bad").otherwise(F.col("quality")),
+        "location_name": F.when(p % 17 == 0, "").when(p % 17 == 1, chars(121)).otherwise(chars(120)),
+        "lat": F.when(p % 19 == 0, F.lit(90.5)).otherwise(F.lit(-90.0)),
+        "seller_name": F.when(p % 23 == 0, F.lit(None)).otherwise("s"),
+        "seller_contact": F.when(p % 29 == 1, chars(41)).when(p % 29 == 2, chars(40)),
+        "price": F.when(p % 31 == 2, 1_000_001).when(p % 31 != 3, 1_000_000),
+        "description": F.when(p % 37 == 3, chars(2001)).otherwise(""),
+        "phone": F.when(p % 11 == 0, "12+34567").otherwise("+441234567890"),
+    }
+    return files.validate(bind(spark, d, "listings").withColumns(new), files.listing_rules(texts=True)).select("waste_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query(
+    "a_18_match_requests",
+    "SELECT o_orderkey AS request, concat_ws(',', CASE WHEN o_orderkey % 3 > 0 AND o_orderkey % 4 = 1 THEN 'id or fields' END, CASE WHEN o_orderkey % 5 = 0 THEN 'quantity' END, CASE WHEN o_orderkey % 7 = 0 THEN 'place' END, CASE WHEN o_orderkey % 52 NOT BETWEEN 1 AND 50 THEN 'top_k' END) AS errors FROM orders",
+)
+def a_18b(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = read(spark, d, "orders").select(
+        k.alias("request"), F.when(k % 3 == 0, k).alias("waste_id"), F.when(k % 4 != 1, F.col("o_orderstatus")).alias("waste_type"), F.lit(None).cast("string").alias("sub_type"),
+        F.when(k % 5 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice")).alias("quantity_kg"), F.when(k % 7 == 0, F.lit(-91.0)).otherwise(F.lit(12.0)).alias("lat"), F.lit(77.0).alias("lon"), (k % 52).alias("top_k"),
+    )
+    return files.validate(rows, files.match_rules()).select("request", F.array_join("errors", ",").alias("errors"))
 
 
 @query("a_19_publish_ids", "SELECT waste_id AS source_id, (SELECT max(waste_id) FROM listings) + row_number() OVER (ORDER BY waste_id) AS waste_id FROM (SELECT * FROM listings WHERE waste_id % 50 = 7 ORDER BY waste_id LIMIT 1000)", "listings")
@@ -131,12 +156,17 @@ def a_19(spark: SparkSession, d: str) -> DataFrame:
     return files.append_listings(rows, new, "source_id").select("source_id", "waste_id")
 
 
-@query("b_08_facts", "SELECT t.waste_type, NULL::VARCHAR AS recyclability, NULL::INT AS open_steps, f.m AS co2e_per_kg, coalesce(r.n, 0) AS recyclers FROM (SELECT DISTINCT waste_type FROM listings) t LEFT JOIN (SELECT waste_type, round(avg(factor), 6) AS m FROM factors GROUP BY 1) f USING (waste_type) LEFT JOIN (SELECT t AS waste_type, count(*) AS n FROM (SELECT unnest(string_split(waste_types, ', ')) AS t FROM recyclers) GROUP BY 1) r USING (waste_type)", "listings", "factors", "recyclers")
+#: Guidance per type of the driver's tables; one type has none, and one has no route after its second step.
+ROUTES = "SELECT * FROM (VALUES ('AUTOMOBILE', 'mostly', 'drain it', 4, CAST(NULL AS INT)), ('BUILDING', 'as aggregate', 'keep it dry', 4, CAST(NULL AS INT)), ('FURNITURE', 'partly', 'stack it', 3, 3), ('HOUSEHOLD', 'hardly', 'sort it', 4, 2)) AS t(waste_type, recyclability, handling, n_steps, broken_from)"
+
+
+@query("b_08_facts", f"WITH routes AS ({ROUTES}) SELECT t.waste_type, recyclability, handling, coalesce(broken_from - 1, n_steps) AS open_steps, f.m AS co2e_per_kg, coalesce(r.n, 0) AS recyclers FROM (SELECT DISTINCT waste_type FROM listings) t LEFT JOIN routes USING (waste_type) LEFT JOIN (SELECT waste_type, round(avg(factor), 6) AS m FROM factors GROUP BY 1) f USING (waste_type) LEFT JOIN (SELECT t AS waste_type, count(*) AS n FROM (SELECT unnest(string_split(waste_types, ', ')) AS t FROM recyclers) GROUP BY 1) r USING (waste_type)", "listings", "factors", "recyclers")
 def b_08(spark: SparkSession, d: str) -> DataFrame:
     from loopgrade.operators.ranking import split_types
 
     n = bind(spark, d, "recyclers").select(F.explode(split_types(F.col("waste_types"))).alias("waste_type")).groupBy("waste_type").agg(F.count("*").alias("recyclers"))
-    return dimensions.facts(bind(spark, d, "listings").select("waste_type").distinct(), dimensions.routes(spark), bind(spark, d, "factors"), n)
+    routes = spark.sql(ROUTES).withColumn("steps", F.transform(F.sequence(F.lit(1), F.col("n_steps")), lambda i: F.concat(F.lit("step "), i)))
+    return dimensions.facts(bind(spark, d, "listings").select("waste_type").distinct(), routes, bind(spark, d, "factors"), n)
 
 
 @query("d_11_memory_entries", "SELECT vec_id AS sha, event_type AS label, count(*) AS n FROM events JOIN embeddings ON vec_id IN (event_id % 700, event_id % 300) GROUP BY ALL")
@@ -160,8 +190,9 @@ def w_03(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("waste_id").agg(F.min(F.when(F.col("specialist_score") == 1, F.col("rank"))).cast("long").alias("first_specialist"))
 
 
-@query("io_11_path_parts", "SELECT doc_id AS id, lang AS label, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' END AS split FROM documents")
+@query("io_11_path_parts", "SELECT doc_id AS id, lang AS label, CASE doc_id % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' END AS split FROM documents")
 def io_11(spark: SparkSession, d: str) -> DataFrame:
-    top = F.when(F.col("doc_id") % 3 == 0, "Training").when(F.col("doc_id") % 3 == 1, "valid").otherwise("extra")
+    k = F.col("doc_id") % 4
+    top = F.when(k == 0, "Training").when(k == 1, "valid").when(k == 2, "testing/train").otherwise("extra")  # of two folders the first counts
     label, split = files.path_parts(F.concat_ws("/", F.lit("/data"), top, "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".jpg"))))
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), label.alias("label"), split.alias("split"))

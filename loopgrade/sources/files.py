@@ -117,12 +117,12 @@ SPLITS = {"train": "train", "training": "train", "val": "val", "valid": "val", "
 
 
 def path_parts(path: Column) -> tuple[Column, Column]:
-    """Label (the last folder) and split (the nearest folder that names one, else null) of a file path."""
+    """Label (the last folder) and split (the first folder from the root that names one, else null) of a file path."""
     parts = F.split(path, "/")
     names = F.create_map(*[F.lit(x) for kv in SPLITS.items() for x in kv])
     folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     splits = F.filter(F.transform(folders, lambda p: F.try_element_at(names, F.lower(p))), lambda x: x.isNotNull())
-    return F.try_element_at(folders, F.lit(-1)), F.try_element_at(splits, F.lit(-1))
+    return F.try_element_at(folders, F.lit(-1)), F.try_element_at(splits, F.lit(1))
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -200,13 +200,36 @@ def validate(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 #: Rules of a published listing.
 LISTING_RULES = {
-    "quantity": "quantity_kg > 0",
+    "quantity": "quantity_kg > 0 and quantity_kg <= 100000000",
     "quality": "quality in ('good', 'fair', 'poor')",
     "place": "lat between -90 and 90 and lon between -180 and 180",
-    "price": "price >= 0",
+    "price": "price is null or price between 0 and 1000000",
     "phone": r"phone is null or regexp_like(phone, '^\\+?[0-9]{8,15}$')",
 }
 
 
-def listing_rules() -> dict[str, Column]:
-    return {k: F.expr(v) for k, v in LISTING_RULES.items()}
+#: Rules of a listing's texts.
+TEXT_RULES = {
+    "sub_type": "sub_type is null or char_length(sub_type) <= 60",
+    "location": "char_length(location_name) between 1 and 120",
+    "seller": "char_length(seller_name) between 1 and 120",
+    "contact": "seller_contact is null or char_length(seller_contact) <= 40",
+    "description": "char_length(description) <= 2000",
+}
+#: Rules of a request for matches: a listing's id, or all that describes one.
+MATCH_RULES = {
+    "id or fields": "waste_id is not null or (waste_type is not null and quantity_kg is not null and lat is not null and lon is not null)",
+    "sub_type": "sub_type is null or char_length(sub_type) <= 60",
+    "quantity": "quantity_kg is null or (quantity_kg > 0 and quantity_kg <= 100000000)",
+    "place": "(lat is null or lat between -90 and 90) and (lon is null or lon between -180 and 180)",
+    "top_k": "top_k between 1 and 50",
+}
+
+
+def match_rules() -> dict[str, Column]:
+    return {k: F.expr(v) for k, v in MATCH_RULES.items()}
+
+
+def listing_rules(texts: bool = False) -> dict[str, Column]:
+    """The rules of a listing; with ``texts`` those of its text fields, too."""
+    return {k: F.expr(v) for k, v in (LISTING_RULES | TEXT_RULES if texts else LISTING_RULES).items()}

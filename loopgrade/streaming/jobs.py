@@ -21,34 +21,70 @@ def latest_stream(answers: DataFrame) -> DataFrame:
     return answers.groupBy(F.col("item_key").alias("_key")).agg(F.max_by(whole, F.col("seq")).alias("row")).select("row.*")
 
 
+def _generations(spark: SparkSession, store: str) -> list[int]:
+    """Numbers of the generations in ``store``, ascending, from the names of its folders alone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n[4:]) for n in names if n.startswith("gen="))
+
+
+def write_generation(rows: DataFrame, store: str, n: int) -> None:
+    """``rows`` as generation ``n``. The one before stays for a replay of this batch; older ones go."""
+    rows.write.mode("overwrite").parquet(f"{store}/gen={n}")
+    spark = rows.sparkSession
+    for old in _generations(spark, store):
+        if old < n - 1:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/gen={old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def read_last(spark: SparkSession, store: str) -> DataFrame:
+    """The last generation, by its path."""
+    return spark.read.parquet(f"{store}/gen={_generations(spark, store)[-1]}")
+
+
+def _merge(batch: DataFrame, batch_id: int, store: str) -> None:
+    old = [g for g in _generations(batch.sparkSession, store) if g < batch_id]
+    rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{store}/gen={old[-1]}").unionByName(batch) if old else batch
+    write_generation(feedback.latest(rows), store, batch_id)
+
+
 def upsert_latest(answers: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Keep a table of latest answers in ``store``.
 
     Every micro-batch writes the generation of its id from the generation before, so a batch that is
-    replayed after a failure writes the same folder again.
+    replayed after a failure writes the same folder again. Two generations are kept.
     """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        old = f"{store}/gen={batch_id - 1}"
-        rows = batch
-        if batch_id > 0:
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(old).unionByName(batch)
-        feedback.latest(rows).write.mode("overwrite").parquet(f"{store}/gen={batch_id}")
-
-    return answers.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return answers.writeStream.foreachBatch(lambda batch, n: _merge(batch, n, store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def summary_stream(answers: DataFrame, store: str, checkpoint: str, publish: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """A running summary that forgets superseded answers: upsert first, then summarise the table of latest answers."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if batch_id == 0 else batch.sparkSession.read.schema(batch.schema).parquet(f"{store}/gen={batch_id - 1}").unionByName(batch)
-        feedback.latest(rows).write.mode("overwrite").parquet(f"{store}/gen={batch_id}")
+        _merge(batch, batch_id, store)
         publish(feedback.summary(batch.sparkSession.read.schema(batch.schema).parquet(f"{store}/gen={batch_id}")), batch_id)
 
     return answers.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def trend_stream(answers: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """The trend's changed windows of every micro-batch, in ``target/batch=<id>``; the watermark drops the state of windows that are past."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return trend(answers).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_trend(spark: SparkSession, target: str) -> DataFrame:
+    """Every window as its last batch left it."""
+    rows = spark.read.parquet(target)
+    whole = F.struct(*[c for c in rows.columns if c != "batch"])
+    return rows.groupBy(F.col("start").alias("_s")).agg(F.max_by(whole, "batch").alias("row")).select("row.*")
+
+
 def new_photos(photos: DataFrame, horizon: str = "1 day") -> DataFrame:
     """Each sha once within the watermark's horizon; photos stored earlier are left to the store's anti-join."""
     return photos.withWatermark("created_at", horizon).dropDuplicatesWithinWatermark(["sha"])

@@ -229,3 +229,122 @@ def test_oversample_ranks_a_leaf_in_parts(spark):
 def test_round_robin(spark):
     df = spark.createDataFrame([(i, "abc"[i % 3] if i < 20 else "a", i) for i in range(30)], "id long, leaf string, c long")
     assert curate.round_robin(df, 7, "leaf", F.desc("c")).count() == 9  # whole rounds
+
+
+# ---- rules worked out by hand ----
+def test_listing_text_keeps_abbreviations_and_place(spark):
+    cols = [F.lit(x) for x in ("e_waste", "circuit_board", "good", "Hosur Road", "old PCB  with PET film, HDPE lids and PETS")]
+    want = "circuit board e waste waste, good quality, Hosur Road. old PCB printed circuit board with PET polyethylene terephthalate film, HDPE high-density polyethylene lids and PETS"
+    assert spark.range(1).select(search.listing_text(*cols).alias("t")).first().t == want
+    assert "pet" in search.term_counts(spark.range(1).select("id", F.lit(want).alias("text"))).toPandas()["term"].tolist()
+
+
+@pytest.mark.parametrize(
+    ("right", "accepted", "both", "want"),
+    [(8, 10, 8, "strong"), (8, 5, 5, "strong"), (8, 4, 4, "weak"), (9, 5, 4, "weak"), (7, 10, 7, "weak"), (6, 0, 0, "weak"), (5, 10, 5, "misclassified"), (0, 0, 0, "misclassified")],
+)
+def test_recognition(spark, right, accepted, both, want):
+    """Of 10 readable photos: ``right`` are correct, ``accepted`` detected, ``both`` correct and detected; two more are unreadable and count nowhere."""
+    rows = []
+    for i in range(10):
+        ok = i < right
+        detected = i < both or (not ok and i >= 10 - (accepted - both))
+        rows.append(("a", "a" if ok else "b", "detected" if detected else "confirm"))
+    rows += [("a", "a", "failed")] * 2
+    df = spark.createDataFrame([(*r, "s", 0.7, False, False, None) for r in rows], "truth string, pred string, status string, pred_sub string, confidence double, best_guess_correct boolean, memory_adjusted boolean, subtype_correct boolean")
+    per = evaluate.per_category(df)
+    assert [r.recognition for r in evaluate.recognition(per).collect()] == [want]
+    r = per.where("truth is null").first()
+    assert (r.images, r.valid, r.unreadable, r.correct, r.accepted, r.strong) == (12, 10, 2, right, accepted, both) and r.conf_median == 0.7
+    assert r.predicted == ",".join(f"{k}={n}" for k, n in (("a", right), ("b", 10 - right)) if n)
+
+
+def test_threshold_sweep_has_rows_that_nobody_passes(spark):
+    rows = [("a", "a", "detected", 0.9, False), ("a", "b", "unknown", 0.6, True), ("a", "b", "detected", 0.6, False), ("a", "a", "failed", 1.0, True)]
+    df = spark.createDataFrame(rows, "truth string, pred string, status string, confidence double, best_guess_correct boolean")
+    got = {(r.threshold, r.mode): (r.accepted, r.correct_acceptance, r.false_acceptance, r.precision) for r in evaluate.threshold_sweep(df, [0.5, 0.95]).collect()}
+    third = pytest.approx(1 / 3, abs=1e-6)
+    assert got[0.5, "pipeline"] == (2, third, third, 0.5) and got[0.5, "confidence_only"] == (3, pytest.approx(2 / 3, abs=1e-6), third, pytest.approx(2 / 3, abs=1e-6))
+    assert got[0.95, "pipeline"] == got[0.95, "confidence_only"] == (0, 0.0, 0.0, None)
+
+
+def test_usable_feedback(spark):
+    rows = [  # key, seq, day, actual, sub, correct, predicted, predicted_sub, files
+        ("k1", 1, 5, "a", "x", True, "a", "x", 1), ("k1", 2, 5, "other", None, False, "a", "x", 1), ("k2", 3, 1, "a", "x", True, "a", "x", 1), ("k3", 4, 5, "b", "", False, "a", "x", 2), ("k4", 5, 5, "a", None, True, "a", "y", 1),
+        ("k5", 6, 5, "a", None, False, "b", "x", 1), ("k6", 7, 5, "a", "zz", True, "a", "x", 1), ("k7", 8, 5, "a", "y", False, "b", None, 0), ("k8", 9, 5, None, None, False, "a", "x", 1),
+    ]
+    df = spark.createDataFrame(rows, "item_key string, seq long, day int, actual string, actual_sub string, is_correct boolean, predicted string, predicted_sub string, n_files int")
+    df = df.withColumn("created_at", F.make_timestamp_ntz(F.lit(2024), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0.0)))
+    children = spark.createDataFrame([("a", ["x", "y"]), ("b", ["only"])], "waste_type string, subs array<string>")
+    got = {r.item_key: (r.reason, r.leaf) for r in feedback.usability(df, children, "2024-01-03 00:00:00").collect()}
+    assert got == {
+        "k1": ("not a class", None), "k2": ("before the reset", None), "k3": ("used", "b__only"), "k4": ("used", "a__y"), "k5": ("no sub-type", None), "k6": ("no sub-type", None), "k7": ("photo missing", None), "k8": ("not a class", None),
+    }
+
+
+def test_split_is_the_first_folder_from_the_root(spark):
+    from loopgrade.sources.files import path_parts
+
+    label, split = path_parts(F.col("p"))
+    df = spark.createDataFrame([("/d/Train/test/cat/1.jpg",), ("/d/x/validation/1.jpg",), ("/d/cat/val.jpg",)], "p string").select(label.alias("l"), split.alias("s"))
+    assert [tuple(r) for r in df.collect()] == [("cat", "train"), ("validation", "val"), ("cat", None)]
+
+
+def test_quantiles_and_ranks(spark):
+    import numpy as np
+
+    rows = [(i, "ab"[i % 7 == 0] if i % 5 else None, float((i * 37) % 23) if i % 11 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string, x double")
+    for by in ([], ["g"]):
+        got = {(r.g if by else 0): (r.n, r.m, r.p) for r in ordered.quantiles(df.repartition(5), by, "x", {"m": 0.5, "p": 0.93}).collect()}
+        for g, v in got.items():
+            xs = [x for _, k, x in rows if x is not None and (not by or k == g)]
+            assert v == (len(xs), pytest.approx(np.quantile(xs, 0.5)), pytest.approx(np.quantile(xs, 0.93)))
+        assert len(got) == (3 if by else 1)
+    ranks = {r.id: r["rank"] for r in ordered.rank_within(df.repartition(5), ["g"], [F.col("id").desc()]).collect()}
+    for g in ("a", "b", None):
+        ids = sorted((i for i, k, _ in rows if k == g), reverse=True)
+        assert [ranks[i] for i in ids] == list(range(1, len(ids) + 1))
+
+
+@pytest.mark.parametrize(("limit", "width", "large"), [(4, 63, 64), (4, 63, 2), (9, 256, 3), (0, 20, 64), (22, 256, 64)])
+def test_hamming_pairs_are_lossless(spark, monkeypatch, limit, width, large):
+    import random
+
+    from loopgrade.operators import hamming
+
+    rng = random.Random(limit)
+    base = [rng.getrandbits(width) for _ in range(8)]
+    xs = sorted({b ^ sum(1 << i for i in rng.sample(range(width), rng.randint(0, min(width, limit + 2)))) for b in base for _ in range(12)})
+    monkeypatch.setattr(hamming, "LARGE", large)
+    monkeypatch.setattr(hamming, "BLOCK", 4)
+    words = lambda x: [((x >> 64 * w) & (1 << 64) - 1) - ((1 << 64) if x >> (64 * w + 63) & 1 else 0) for w in range(-(-width // 64))]
+    df = spark.createDataFrame([(i, words(x)) for i, x in enumerate(xs)], "id long, words array<long>")
+    got = sorted(map(tuple, hamming.pairs(df, limit, width).collect()))
+    assert got == [(i, j, (xs[i] ^ xs[j]).bit_count()) for i in range(len(xs)) for j in range(i + 1, len(xs)) if (xs[i] ^ xs[j]).bit_count() <= limit]
+
+
+def test_search_by_blocks_is_the_join(spark):
+    texts = [(i, " ".join(f"w{(i * k) % 29}" for k in range(1, 12))) for i in range(120)]
+    docs, asked = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(texts[::9], "id long, text string")
+    want = sorted(map(tuple, search.top(search.scores(asked, docs, "tfidf"), 4).select("query_id", "id", "rank").collect()))
+    got = search.best(*search.tfidf(asked, docs), 4, block=7, asked=3)
+    assert sorted(map(tuple, got.select("query_id", "id", "rank").collect())) == want
+
+
+def test_only_two_generations_stay(spark, tmp_path):
+    from loopgrade.streaming import jobs
+
+    for n in range(4):
+        jobs.write_generation(spark.range(n + 1), str(tmp_path / "s"), n)
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["gen=2", "gen=3"] and jobs.read_last(spark, str(tmp_path / "s")).count() == 4
+
+
+def test_open_set_needs_no_class_to_be_scanned_twice(spark):
+    rows = [("abc"[i % 3], (i * 37 % 101) / 101, (i * 53 % 97) / 97) for i in range(300)]
+    got = {r.unseen: r for r in evaluate.open_set(spark.createDataFrame(rows, "truth string, confidence double, knn double"), 0.2, 0.9).collect()}
+    for c in "abc":
+        own, rest = [r for r in rows if r[0] == c], [r for r in rows if r[0] != c]
+        auc = lambda k, s: sum((s * a[k] > s * b[k]) + (a[k] == b[k]) / 2 for a in own for b in rest) / len(own) / len(rest)
+        assert got[c].auroc_msp == pytest.approx(auc(1, -1), abs=1e-6) and got[c].auroc_knn == pytest.approx(auc(2, 1), abs=1e-6)
+        assert got[c].rejected_combined == pytest.approx(sum(r[2] > 0.9 or r[1] < 0.2 for r in own) / len(own), abs=1e-6)
