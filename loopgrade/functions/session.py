@@ -33,6 +33,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, over all cores where its files make fewer tasks than these: for maps that cost far more than moving a row."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def bounded(df: DataFrame, rows: int = 200_000, size: int = 64 << 20) -> DataFrame:
     """``df`` marked for broadcast where it has at most ``rows`` rows of ``size`` bytes together; beyond that the join shuffles. Runs a job that counts."""
     from pyspark.sql import functions as F

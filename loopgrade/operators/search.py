@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopgrade.functions.session import bounded, cut, written
+from loopgrade.functions.session import bounded, cut, spread, written
 from loopgrade.operators import vectors
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -59,7 +59,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                     times += n.values()
                 yield pd.DataFrame({"id": ids, "term": terms, "n": times})
 
-    return docs.select("id", F.lower("text").alias("text")).mapInPandas(run, f"id {kinds['id']}, term string, n long")
+    return spread(docs.select("id", F.lower("text").alias("text"))).mapInPandas(run, f"id {kinds['id']}, term string, n long")
 
 
 def idf_table(counts: DataFrame, n_docs: int) -> DataFrame:
@@ -88,11 +88,12 @@ def tfidf(queries: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFram
     """
     counts = written(term_counts(catalogue))
     idf = written(idf_table(counts, catalogue.count()))
-    raw = counts.join(idf.select("term", "idf"), "term").select("id", "term", ((1 + F.ln(F.col("n").cast("double"))) * F.col("idf")).alias("w"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     asked = cut(weigh(term_counts(queries), idf))
-    shared = raw.join(bounded(asked.select("term").distinct()), "term", "left_semi")
-    return asked, shared.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    known = idf.join(asked.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left").select("term", "idf", "asked")
+    w = (1 + F.ln(F.col("n").cast("double"))) * F.col("idf")
+    each = counts.join(known, "term").select("id", w.alias("w"), F.when(F.col("asked"), F.struct("term", w.alias("w"))).alias("x"))
+    rows = each.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list("x").alias("x"))  # the terms of one text
+    return asked, cut(rows.select("id", "norm", F.explode("x").alias("x")).select("id", "x.term", (F.col("x.w") / F.col("norm")).alias("weight")))
 
 
 def best(queries: DataFrame, index: DataFrame, k: int, block: int = BLOCK, asked: int = 512) -> DataFrame:
