@@ -169,6 +169,85 @@ def inventory(items: DataFrame) -> DataFrame:
     return cell.groupBy("dataset", "leaf").agg(F.sum("n").alias("n"), by.alias("by_split"))
 
 
+def size_inventory(items: DataFrame) -> DataFrame:
+    """Per dataset and leaf: images, unreadable ones (no width), shortest and longest side, whole medians, the three commonest sizes and the modes.
+
+    ``items``: dataset, leaf, w, h, mode. Equally common sizes come in the order of their text; that three are listed is the report.
+    """
+    by = ["dataset", "leaf"]
+    ok = items.where("w is not null and h is not null")
+    keyed = lambda df: df.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in df.columns if c not in by])
+    total = items.groupBy(*by).agg(
+        F.count("*").alias("images"), F.count_if(F.col("w").isNull() | F.col("h").isNull()).alias("unreadable"), F.min(F.least("w", "h")).alias("min_side"), F.max(F.greatest("w", "h")).alias("max_side"),
+    )
+    medians = [quantiles(ok, by, c, {"m": 0.5}).select(*by, F.floor("m").alias(f"median_{c}")) for c in ("w", "h")]
+    sizes = ok.groupBy(*by, F.concat_ws("x", "w", "h").alias("size")).agg(F.count("*").alias("c"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("c"), "size"))
+    top = sizes.withColumn("r", place).where("r <= 3").groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "size", "c"))), lambda x: F.concat_ws("=", x["size"], x["c"])), ",").alias("most_common"))
+    modes = ok.groupBy(*by, "mode").agg(F.count("*").alias("c")).groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mode", "c"))), lambda x: F.concat_ws("=", x["mode"], x["c"])), ",").alias("modes"))
+    for part in (*medians, top, modes):  # a row per folder
+        total = total.join(keyed(part), F.col("dataset").eqNullSafe(F.col("_dataset")) & F.col("leaf").eqNullSafe(F.col("_leaf")), "left").drop("_dataset", "_leaf")
+    return total
+
+
+def near_kinds(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Near pairs of ``rows`` (id, hash, digest, dataset, leaf, split, path) by kind, files with equal digests left out: counts and examples.
+
+    ``links``: a, b, the smallest ids of two different hashes that are near; rows of one hash are near, too. Every pair is counted,
+    none is made: pairs of linked hashes are products of their counts per folder, less the pairs of one digest. ``counts`` is
+    ``kind, a, b, n``, ``a`` and ``b`` the two folders in order (equal for one folder's own pairs). ``examples`` has up to
+    four pairs ``path_a, path_b`` of each (that number is the report).
+    """
+    folder = ["dataset", "leaf", "split"]
+    rows = rows.withColumn("split", F.coalesce("split", F.lit("-")))
+    head = rows.groupBy("hash").agg(F.min("id").alias("cls"))
+    cell = rows.groupBy("hash", *folder).agg(F.count("*").alias("n"), F.min(F.struct("digest", "path")).alias("lo"), F.max(F.struct("digest", "path")).alias("hi"))
+    cell = cell.join(head, "hash").select("cls", F.struct(*folder).alias("f"), "n", "lo", "hi")
+    side = lambda s: cell.select(*[F.col(c).alias(f"{c}_{s}") for c in cell.columns])
+    both = links.select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b")).join(side("a"), "cls_a").join(side("b"), "cls_b")
+    own = side("a").join(side("b"), (F.col("cls_a") == F.col("cls_b")) & (F.col("f_a") <= F.col("f_b")))  # folders of one hash: a bounded vocabulary
+    n = F.when((F.col("cls_a") == F.col("cls_b")) & (F.col("f_a") == F.col("f_b")), F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b"))
+    differ = lambda x, y: F.col(x)["digest"] != F.col(y)["digest"]
+    sample = F.when(differ("lo_a", "hi_b"), F.array("lo_a.path", "hi_b.path")).when(differ("hi_a", "lo_b"), F.array("hi_a.path", "lo_b.path"))
+    met = both.unionByName(own).select(F.least("f_a", "f_b").alias("x"), F.greatest("f_a", "f_b").alias("y"), n.alias("n"), F.array_sort(sample).alias("sample"))
+
+    same = rows.groupBy("digest", *folder).agg(F.count("*").alias("n")).select("digest", F.struct(*folder).alias("f"), "n")
+    half = lambda s: same.select("digest", F.col("f").alias(f"f_{s}"), F.col("n").alias(f"n_{s}"))
+    exact = half("a").join(half("b"), "digest").where("f_a <= f_b")
+    less = F.when(F.col("f_a") == F.col("f_b"), F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b"))
+    exact = exact.select(F.col("f_a").alias("x"), F.col("f_b").alias("y"), (-less).alias("n"))
+
+    kind = F.when(F.col("x.dataset") != F.col("y.dataset"), "cross_dataset").when(F.col("x.leaf") != F.col("y.leaf"), "cross_label").when(F.col("x.split") != F.col("y.split"), "cross_split").otherwise("same_folder")
+    named = lambda df, *more: df.select(kind.alias("kind"), F.concat_ws("/", "x.dataset", "x.leaf").alias("a"), F.concat_ws("/", "y.dataset", "y.leaf").alias("b"), *more)
+    counts = named(met.select("x", "y", "n").unionByName(exact), "n").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+    place = F.row_number().over(Window.partitionBy("kind", "a", "b").orderBy("path_a", "path_b"))
+    pairs = named(met.where("sample is not null"), F.get("sample", F.lit(0)).alias("path_a"), F.get("sample", F.lit(1)).alias("path_b")).distinct()
+    return counts, pairs.withColumn("rank", place).where("rank <= 4")
+
+
+def leaf_summary(rows: DataFrame, most: float = 3.0) -> DataFrame:
+    """Per leaf: rows in train, copies that oversampling adds there, rows in val and test, and how many come from which dataset and source label.
+
+    ``rows``: leaf, split, dataset, source_label.
+    """
+    source = F.concat_ws("/", "dataset", "source_label")
+    per = rows.groupBy("leaf", "split", source.alias("source")).agg(F.count("*").alias("n"))
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("split") == s, F.col("n"))), F.lit(0)).alias(s)
+    g = per.groupBy("leaf").agg(*[of(s) for s in PRIORITY])
+    names = per.groupBy("leaf", "source").agg(F.sum("n").alias("n")).groupBy(F.col("leaf").alias("_leaf")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "n"))), lambda x: F.concat_ws("=", x["source"], x["n"])), ",").alias("sources"))
+    median = g.where("train > 0").agg(F.floor(F.percentile("train", 0.5)).alias("_median"))  # a row per leaf
+    added = F.greatest(F.lit(0), F.least("_median", F.floor(F.col("train") * most)) - F.col("train"))
+    j = g.crossJoin(F.broadcast(median)).join(names, F.col("leaf").eqNullSafe(F.col("_leaf")))
+    return j.select("leaf", "train", F.when(F.col("train") > 0, added).otherwise(0).alias("added"), "val", "test", "sources")
+
+
+def type_summary(rows: DataFrame, kind: Column) -> DataFrame:
+    """Rows per type and split, and of all types (type null), by rollup."""
+    g = rows.groupBy(kind.alias("type"), "split").agg(F.count("*").alias("n")).rollup("type")
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("split") == s, F.col("n"))), F.lit(0)).alias(s)
+    return g.agg(*[of(s) for s in PRIORITY], F.sum("n").alias("total"))
+
+
 def dataset_summary(rows: DataFrame) -> DataFrame:
     """Counts per (leaf, split), per leaf and in all, by cube."""
     return rows.where("split is not null").cube("leaf", "split").agg(F.count("*").alias("n"))
@@ -182,13 +261,14 @@ def imbalance(rows: DataFrame) -> DataFrame:
     )
 
 
-def box_stats(boxes: DataFrame) -> DataFrame:
+def box_stats(boxes: DataFrame, flags: tuple[str, ...] = ()) -> DataFrame:
+    """Per label: objects, scenes, quantiles and counts of the shorter side, objects per split and per flag (boolean columns)."""
     side = F.least("w", "h")
     b = boxes.withColumn("side", side)
     q = quantiles(b, ["label"], "side", {"median": 0.5, "p10": 0.1}).select(F.col("label").alias("_l"), F.round("median", 6).alias("median"), F.round("p10", 6).alias("p10"))
     g = b.groupBy("label").agg(
         F.count("*").alias("objects"), F.count_distinct("scene").alias("scenes"),
-        F.count_if(F.col("side") < 24).alias("under_24"), F.count_if(F.col("side") < 64).alias("under_64"), *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in PRIORITY],
+        F.count_if(F.col("side") < 24).alias("under_24"), F.count_if(F.col("side") < 64).alias("under_64"), *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in PRIORITY], *[F.count_if(f).alias(f) for f in flags],
     )
     return g.join(q, F.col("label").eqNullSafe(F.col("_l"))).drop("_l")
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopgrade.functions.labels import wilson
-from loopgrade.functions.session import bounded
+from loopgrade.functions.session import bounded, cut
 from loopgrade.operators.ordered import quantiles, running
+from loopgrade.operators.predict import blend_weighted, memory_weight
 
 
 def share(c: Column) -> Column:
@@ -182,6 +183,47 @@ def before_after(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), share(a).alias("accuracy_before"), share(b).alias("accuracy_after"), F.count_if(~a & b).alias("fixed"), F.count_if(a & ~b).alias("broken"))
 
 
+#: The curves a memory's weight may follow, in the order that decides between equal ones.
+CURVES = ("linear", "quadratic", "step")
+
+
+def _best(leaves: DataFrame, name: str, *more: str) -> DataFrame:
+    """Best type and leaf per id at 9 digits; equal ones go to the name that sorts first. The leaves of an id, a bounded hierarchy, are folded per id."""
+    exact = F.col("p").cast("decimal(28,9)")
+    types = leaves.groupBy("id", "waste_type").agg(F.sum(exact).alias("s"), F.max(exact).alias("m"), F.min_by("leaf", F.struct((-exact).alias("minus"), "leaf")).alias("leaf"), *[F.max(c).alias(c) for c in more])
+    best = lambda v, c: F.min_by(c, F.struct((-F.col(v)).alias("minus"), F.col(c)))
+    return types.groupBy("id").agg(best("s", "waste_type").alias(f"type_{name}"), best("m", "leaf").alias(f"leaf_{name}"), *[F.max(c).alias(c) for c in more])
+
+
+def memory_curves(leaves: DataFrame, near: DataFrame, truths: DataFrame, threshold: float) -> DataFrame:
+    """What a memory does to accuracy under each curve: per ``phase`` and ``curve``, accuracy of type and leaf before and after, fixed and broken.
+
+    ``leaves``: id, leaf, waste_type, sub_type, p. ``near``: id, mem_type, mem_sub, distance. ``truths``: id, phase, true_type, true_leaf.
+    All curves go through one blend, told apart by a struct id.
+    """
+    every = F.explode(F.array(*[F.lit(c) for c in CURVES]))
+    key = F.struct(F.col("curve"), F.col("id").alias("row")).alias("id")
+    mine = cut(leaves.join(truths.select("id"), "id", "left_semi"))  # the blend reads them several times
+    wide = mine.withColumn("curve", every).select(key, "leaf", "waste_type", "sub_type", "p")
+    weight = F.coalesce(*[F.when(F.col("curve") == c, memory_weight(F.col("distance"), threshold, c)) for c in CURVES])
+    w = near.withColumn("curve", every).withColumn("w", weight).select(key, "mem_type", "mem_sub", "w")
+    after = _best(blend_weighted(wide, w), "after", "familiar").select(F.col("id.row").alias("id"), F.col("id.curve").alias("curve"), "type_after", "leaf_after", F.col("familiar").alias("matched"))
+    j = truths.join(_best(mine, "before"), "id").join(after, "id")
+    out = [F.count("*").alias("n"), F.count_if("matched").alias("matched")]
+    for level in ("type", "leaf"):
+        a, b = F.col(f"{level}_before") == F.col(f"true_{level}"), F.col(f"{level}_after") == F.col(f"true_{level}")
+        out += [share(a).alias(f"{level}_before"), share(b).alias(f"{level}_after"), F.count_if(~a & b).alias(f"{level}_fixed"), F.count_if(a & ~b).alias(f"{level}_broken")]
+    return j.groupBy("phase", "curve").agg(*out)
+
+
+def choose_curve(simulated: DataFrame, phase: str = "validation") -> DataFrame:
+    """``simulated`` with ``chosen``: the curve that nets most on ``phase``, a leaf counting half a type; of equal ones the first of :data:`CURVES`."""
+    net = F.col("type_fixed") - F.col("type_broken") + 0.5 * (F.col("leaf_fixed") - F.col("leaf_broken"))
+    place = F.coalesce(*[F.when(F.col("curve") == c, F.lit(k)) for k, c in enumerate(CURVES)])
+    best = simulated.where(F.col("phase") == phase).agg(F.min_by("curve", F.struct((-net).alias("minus"), place.alias("place"))).alias("_best"))
+    return simulated.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("curve") == F.col("_best")).drop("_best")
+
+
 def gate(old: DataFrame, new: DataFrame, type_drop: float = 0.005, leaf_drop: float = 0.01) -> DataFrame:
     """One row: whether the candidate's accuracies stay within the allowed drops."""
     j = old.select(F.col("type_accuracy").alias("ot"), F.col("leaf_accuracy").alias("ol")).crossJoin(F.broadcast(new.select("type_accuracy", "leaf_accuracy")))

@@ -76,13 +76,17 @@ def memory_weight(distance: Column, threshold: float, curve: str = "linear") ->
 
 
 def blend(leaves: DataFrame, near: DataFrame, threshold: float, curve: str = "linear") -> DataFrame:
+    """:func:`blend_weighted` with the weights of one curve of the distance."""
+    return blend_weighted(leaves, near.withColumn("w", memory_weight(F.col("distance"), threshold, curve)))
+
+
+def blend_weighted(leaves: DataFrame, w: DataFrame) -> DataFrame:
     """Leaf probabilities pulled towards confirmed labels: ``id, leaf, waste_type, sub_type, p, other_mass, familiar``.
 
-    ``near``: id, mem_type, mem_sub (nullable), distance <= threshold. A label of a type only keeps the
+    ``w``: id, mem_type, mem_sub (nullable), w, the weight of a match within the threshold. A label of a type only keeps the
     row's own split over the type's leaves; ``other`` moves mass out of all leaves. A row whose matches all
     lie at the threshold has total weight 0 and counts as without match.
     """
-    w = near.withColumn("w", memory_weight(F.col("distance"), threshold, curve))
     tot = w.groupBy("id").agg(F.sum("w").alias("w_sum"), F.max("w").alias("w_max"), F.sum(F.when(F.col("mem_type") == OTHER, F.col("w")).otherwise(F.lit(0.0))).alias("w_other")).where("w_sum > 0")
     labels = w.where(F.col("mem_type") != OTHER).groupBy("id", "mem_type", "mem_sub").agg(F.sum("w").alias("w"))
     in_type = leaves.groupBy("id", "waste_type").agg(F.sum("p").alias("p_type"))

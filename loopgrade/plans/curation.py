@@ -311,6 +311,32 @@ def g_36(spark: SparkSession, d: str) -> DataFrame:
     return curate.inventory(items(spark, d))
 
 
+SIZED = "sized AS (SELECT *, CASE WHEN id % 41 <> 0 THEN 64 + n_chars % 7 * 32 END AS w, CASE WHEN id % 41 <> 0 THEN 48 + n_chars % 5 * 48 END AS h, CASE WHEN n_chars % 9 = 0 THEN 'L' WHEN n_chars % 9 = 4 THEN 'P' ELSE 'RGB' END AS mode FROM items)"
+
+
+@query(
+    "g_36_sizes",
+    f"""WITH {SIZED}, ok AS (SELECT * FROM sized WHERE w IS NOT NULL), z AS (SELECT dataset, leaf, concat(w, 'x', h) AS size, count(*) AS c FROM ok GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY dataset, leaf ORDER BY c DESC, size) AS r FROM z),
+    t AS (SELECT dataset, leaf, string_agg(concat(size, '=', c), ',' ORDER BY r) AS most_common FROM c WHERE r <= 3 GROUP BY ALL), m AS (SELECT dataset, leaf, string_agg(concat(mode, '=', c), ',' ORDER BY mode) AS modes FROM (SELECT dataset, leaf, mode, count(*) AS c FROM ok GROUP BY ALL) GROUP BY ALL),
+    a AS (SELECT dataset, leaf, count(*) AS images, count(*) FILTER (w IS NULL) AS unreadable, min(least(w, h)) AS min_side, max(greatest(w, h)) AS max_side, floor(quantile_cont(w, 0.5))::BIGINT AS median_w, floor(quantile_cont(h, 0.5))::BIGINT AS median_h FROM sized GROUP BY ALL)
+    SELECT * FROM a LEFT JOIN t USING (dataset, leaf) LEFT JOIN m USING (dataset, leaf)""",
+    "items",
+)
+def g_36b(spark: SparkSession, d: str) -> DataFrame:
+    sized = spark.sql(f"WITH {SIZED.replace('FROM items', 'FROM {i}')} SELECT * FROM sized", i=items(spark, d))
+    return curate.size_inventory(sized)
+
+
+FLAGGED = "flagged AS (SELECT *, w % 2 = 0 AS has_polygon, w % 5 = 0 AS difficult, h > 50 AS truncated, w > 40 AND h > 80 AS occluded FROM boxes)"
+
+
+@query("g_37_box_flags", f"WITH {FLAGGED} SELECT label, count(*) AS objects, count(*) FILTER (has_polygon) AS has_polygon, count(*) FILTER (difficult) AS difficult, count(*) FILTER (truncated) AS truncated, count(*) FILTER (occluded) AS occluded FROM flagged GROUP BY 1", "boxes")
+def g_37b(spark: SparkSession, d: str) -> DataFrame:
+    flags = ("has_polygon", "difficult", "truncated", "occluded")
+    flagged = spark.sql(f"WITH {FLAGGED.replace('FROM boxes', 'FROM {b}')} SELECT * FROM flagged", b=bind(spark, d, "boxes"))
+    return curate.box_stats(flagged, flags).select("label", "objects", *flags)
+
+
 @query("g_37_box_stats", "SELECT label, count(*) AS objects, count(DISTINCT scene) AS scenes, round(quantile_cont(least(w, h), 0.5), 6) AS median, round(quantile_cont(least(w, h), 0.1), 6) AS p10, count(*) FILTER (least(w, h) < 24) AS under_24, count(*) FILTER (least(w, h) < 64) AS under_64, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test FROM boxes GROUP BY 1", "boxes")
 def g_37(spark: SparkSession, d: str) -> DataFrame:
     return curate.box_stats(bind(spark, d, "boxes"))
@@ -341,6 +367,48 @@ def g_41(spark: SparkSession, d: str) -> DataFrame:
     return curate.dataset_summary(assigned(spark, d))
 
 
+KINDS = f"""WITH {PHOTOS}, p AS (SELECT *, coalesce(split, '-') AS s FROM photos), near AS (SELECT least(struct_pack(d := a.dataset, l := a.leaf, s := a.s), struct_pack(d := b.dataset, l := b.leaf, s := b.s)) AS x, greatest(struct_pack(d := a.dataset, l := a.leaf, s := a.s), struct_pack(d := b.dataset, l := b.leaf, s := b.s)) AS y
+    FROM p a JOIN p b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 4 AND a.digest <> b.digest), k AS (SELECT CASE WHEN x.d <> y.d THEN 'cross_dataset' WHEN x.l <> y.l THEN 'cross_label' WHEN x.s <> y.s THEN 'cross_split' ELSE 'same_folder' END AS kind, concat(x.d, '/', x.l) AS a, concat(y.d, '/', y.l) AS b FROM near)"""
+
+
+def near_kinds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = cut(photos(spark, d))
+    links = vectors.near_rows(rows.select("id", "hash"), 4).where("bits > 0")
+    return curate.near_kinds(rows, links)
+
+
+@query("g_40_near_kinds", KINDS + " SELECT kind, a, b, count(*) AS n FROM k GROUP BY ALL")
+def g_40b(spark: SparkSession, d: str) -> DataFrame:
+    return near_kinds(spark, d)[0]
+
+
+@query("g_40_examples")
+def g_40c(spark: SparkSession, d: str) -> DataFrame:
+    return near_kinds(spark, d)[1]
+
+
+#: Leaves with a type before them, for the summaries.
+TYPED = "typed AS (SELECT id, concat('m', CAST(length(leaf) AS {text}), '__', leaf) AS leaf, leaf AS source_label, dataset, split FROM {rows})"
+
+
+def typed(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(f"WITH {TYPED.format(text='STRING', rows='{a}')} SELECT * FROM typed", a=assigned(spark, d))
+
+
+@query(
+    "g_41_leaves",
+    SPLIT + f""", {TYPED.format(text='VARCHAR', rows='assigned')}, c AS (SELECT leaf, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM typed GROUP BY 1), m AS (SELECT floor(quantile_cont(train, 0.5))::BIGINT AS m FROM c WHERE train > 0),
+    s AS (SELECT leaf, string_agg(concat(src, '=', n), ',' ORDER BY src) AS sources FROM (SELECT leaf, concat(dataset, '/', source_label) AS src, count(*) AS n FROM typed GROUP BY ALL) GROUP BY 1) SELECT leaf, train, CASE WHEN train > 0 THEN greatest(0, least(m, train * 3) - train) ELSE 0 END AS added, val, test, sources FROM c JOIN s USING (leaf), m""",
+)
+def g_41c(spark: SparkSession, d: str) -> DataFrame:
+    return curate.leaf_summary(typed(spark, d))
+
+
+@query("g_41_types", SPLIT + f", {TYPED.format(text='VARCHAR', rows='assigned')} SELECT split_part(leaf, '__', 1) AS type, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test, count(*) AS total FROM typed GROUP BY ROLLUP (1)")
+def g_41d(spark: SparkSession, d: str) -> DataFrame:
+    return curate.type_summary(typed(spark, d), F.split_part(F.col("leaf"), F.lit("__"), F.lit(1)))
+
+
 @query("g_41_imbalance", "WITH c AS (SELECT leaf, count(*) AS n FROM items GROUP BY 1) SELECT (SELECT leaf FROM c ORDER BY n, leaf LIMIT 1) AS smallest, (SELECT leaf FROM c ORDER BY n DESC, leaf DESC LIMIT 1) AS largest, min(n) AS low, max(n) AS high, round(max(n) / min(n), 6) AS ratio, quantile_cont(n, 0.5) AS median FROM c", "items")
 def g_41b(spark: SparkSession, d: str) -> DataFrame:
     return curate.imbalance(items(spark, d))

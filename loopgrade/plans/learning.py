@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopgrade.functions.labels import wilson
-from loopgrade.functions.session import bounded
+from loopgrade.functions.session import bounded, cut
 from loopgrade.operators import calibrate, evaluate, feedback, ordered, predict, vectors
 from loopgrade.plans.bindings import bind, read, sql
 
@@ -221,7 +221,7 @@ def d_07(spark: SparkSession, d: str) -> DataFrame:
     return g.join(n, "item").select("item", "waste_type", F.round(F.col("s") / F.col("n"), 5).alias("p"))
 
 
-MEMORY_T = 0.55
+MEMORY_T, CURVE_T = 0.55, 0.75
 DIST = "1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 NEAR = f"near AS (SELECT a.vec_id AS id, b.vec_id AS mem_id, b.label AS label, {DIST} AS distance FROM embeddings a JOIN embeddings b ON a.vec_id % 7 <> 0 AND b.vec_id % 7 = 0 WHERE {DIST} <= {MEMORY_T})"
 
@@ -515,6 +515,39 @@ def g_33(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.before_after(before_after(spark, d), "condition")
 
 
+def _curve_sql(curve: str, w: str) -> str:
+    return f"""SELECT '{curve}' AS curve, id, mem_type, mem_sub, {w} AS w FROM nearest"""
+
+
+#: A third of the vectors is the validation half: every other one of it is a memory for the rest; all of it is the memory of the other vectors.
+CURVE = f"""WITH v AS (SELECT vec_id, label, embedding, CASE WHEN vec_id % 3 <> 0 THEN 'test' WHEN vec_id % 2 = 1 THEN 'validation' ELSE 'memory' END AS phase FROM embeddings),
+    truths AS (SELECT vec_id AS id, phase, CASE label % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'd' END AS true_type, CASE WHEN label % 4 = 3 THEN NULL WHEN label % 2 = 0 THEN 'p' ELSE 'q' END AS sub, CASE WHEN label % 4 = 3 THEN 'd' ELSE concat(CASE label % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END, '__', CASE WHEN label % 2 = 0 THEN 'p' ELSE 'q' END) END AS true_leaf FROM v)"""
+CURVE_ORACLE = CURVE + f""", dist AS (SELECT a.vec_id AS id, b.vec_id AS mem_id, {DIST} AS distance FROM v a JOIN v b ON a.phase = 'validation' AND b.phase = 'memory' OR a.phase = 'test' AND b.phase <> 'test'),
+    nearest AS (SELECT d.id, t.true_type AS mem_type, t.sub AS mem_sub, greatest(0, least(1, distance / {CURVE_T})) AS x FROM dist d JOIN truths t ON t.id = d.mem_id WHERE distance <= {CURVE_T}),
+    m AS ({_curve_sql('linear', '1 - x')} UNION ALL {_curve_sql('quadratic', '1 - x * x')} UNION ALL {_curve_sql('step', '1.0')}), tot AS (SELECT curve, id, max(w) AS wm FROM m GROUP BY ALL HAVING sum(w) > 0),
+    asked AS (SELECT l.*, curve FROM leaf_probs l JOIN truths USING (id) CROSS JOIN (VALUES ('linear'), ('quadratic'), ('step')) AS c(curve) WHERE phase <> 'memory'), tp AS (SELECT id, waste_type, sum(p) AS pt FROM leaf_probs GROUP BY ALL),
+    ex AS (SELECT curve, id, mem_type, mem_sub, sum(w) AS w FROM m WHERE mem_sub IS NOT NULL GROUP BY ALL), ty AS (SELECT curve, id, mem_type, sum(w) AS w FROM m WHERE mem_sub IS NULL GROUP BY ALL),
+    j AS (SELECT q.*, coalesce(ex.w, 0) + coalesce(ty.w * q.p / tp.pt, 0) AS target FROM asked q JOIN tp USING (id, waste_type) LEFT JOIN ex ON ex.curve = q.curve AND ex.id = q.id AND ex.mem_type = q.waste_type AND ex.mem_sub = q.sub_type LEFT JOIN ty ON ty.curve = q.curve AND ty.id = q.id AND ty.mem_type = q.waste_type),
+    su AS (SELECT curve, id, sum(target) AS ts FROM j GROUP BY ALL), b AS (SELECT j.curve, j.id, leaf, waste_type, p AS before, wm IS NOT NULL AND ts > 0 AS matched, CASE WHEN wm IS NOT NULL AND ts > 0 THEN (1 - least(0.95, wm)) * p + least(0.95, wm) * target / ts ELSE p END AS after FROM j JOIN su USING (curve, id) LEFT JOIN tot ON tot.curve = j.curve AND tot.id = j.id),
+    lf AS (SELECT curve, id, bool_or(matched) AS matched, arg_min(leaf, struct_pack(m := -CAST(before AS DECIMAL(28,9)), l := leaf)) AS lb, arg_min(leaf, struct_pack(m := -CAST(after AS DECIMAL(28,9)), l := leaf)) AS la FROM b GROUP BY ALL),
+    tt AS (SELECT curve, id, waste_type, sum(CAST(before AS DECIMAL(28,9))) AS sb, sum(CAST(after AS DECIMAL(28,9))) AS sa FROM b GROUP BY ALL), tf AS (SELECT curve, id, arg_min(waste_type, struct_pack(m := -sb, l := waste_type)) AS tb, arg_min(waste_type, struct_pack(m := -sa, l := waste_type)) AS ta FROM tt GROUP BY ALL),
+    r AS (SELECT phase, curve, count(*) AS n, count(*) FILTER (matched) AS matched, round(avg((tb = true_type)::INT), 6) AS type_before, round(avg((ta = true_type)::INT), 6) AS type_after, count(*) FILTER (tb <> true_type AND ta = true_type) AS type_fixed, count(*) FILTER (tb = true_type AND ta <> true_type) AS type_broken,
+        round(avg((lb = true_leaf)::INT), 6) AS leaf_before, round(avg((la = true_leaf)::INT), 6) AS leaf_after, count(*) FILTER (lb <> true_leaf AND la = true_leaf) AS leaf_fixed, count(*) FILTER (lb = true_leaf AND la <> true_leaf) AS leaf_broken FROM lf JOIN tf USING (curve, id) JOIN truths USING (id) GROUP BY ALL)
+    SELECT *, curve = (SELECT curve FROM r WHERE phase = 'validation' ORDER BY type_fixed - type_broken + 0.5 * (leaf_fixed - leaf_broken) DESC, curve LIMIT 1) AS chosen FROM r"""
+
+
+@query("g_33_curve_choice", CURVE_ORACLE, "leaf_probs")
+def g_33b(spark: SparkSession, d: str) -> DataFrame:
+    v = read(spark, d, "embeddings")
+    truths = spark.sql(CURVE.replace("FROM embeddings", "FROM {e}") + " SELECT id, phase, true_type, sub, true_leaf, embedding FROM truths JOIN {e} ON vec_id = id", e=v)
+    vec = lambda where, name: truths.where(where).select(F.col("id").alias(name), "embedding")
+    bank = lambda where: vec(where, "mem_id").withColumn("label", F.lit(0))
+    near = vectors.within(vec("phase = 'validation'", "id"), bank("phase = 'memory'"), CURVE_T).unionByName(vectors.within(vec("phase = 'test'", "id"), bank("phase <> 'test'"), CURVE_T))
+    near = cut(near.join(truths.select(F.col("id").alias("mem_id"), F.col("true_type").alias("mem_type"), F.col("sub").alias("mem_sub")), "mem_id").select("id", "mem_type", "mem_sub", "distance"))
+    asked = truths.where("phase <> 'memory'").select("id", "phase", "true_type", "true_leaf")
+    return evaluate.choose_curve(cut(evaluate.memory_curves(leaves(spark, d), near, asked, CURVE_T)))
+
+
 @query("g_34_old_new", f"WITH {AFTER} SELECT truth, count(*) AS n, round(avg((truth = before)::INT), 6) AS accuracy_before, round(avg((truth = after)::INT), 6) AS accuracy_after FROM ba WHERE id NOT IN (SELECT id FROM classified WHERE regexp_matches(concat('img_', id), '^img_[0-9]*7$')) GROUP BY 1", "classified")
 def g_34(spark: SparkSession, d: str) -> DataFrame:
     rows = before_after(spark, d)

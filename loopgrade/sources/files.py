@@ -112,6 +112,51 @@ def read_voc(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(scene.alias("scene"), F.col("name").alias("label"), "bndbox.*", (ok & (F.col("bndbox.ymax") > F.col("bndbox.ymin"))).alias("valid"))
 
 
+VOC = "object array<struct<name: string, difficult: string, truncated: string, occluded: string, polygon: string, bndbox: struct<xmin: string, ymin: string, xmax: string, ymax: string>>>"
+
+
+def read_voc_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per VOC file under ``path``: ``stem`` (path without extension), ``folder``, ``broken`` (not well-formed) and its ``objects``."""
+    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").text(path)
+    doc = F.from_xml("value", f"struct<{VOC}, _broken: string>", {"rowTag": "annotation", "columnNameOfCorruptRecord": "_broken"})
+    where = F.col("_metadata.file_path")
+    rows = text.select(F.regexp_replace(where, r"\.xml$", "").alias("stem"), F.regexp_extract(where, r"([^/]+)/[^/]+$", 1).alias("folder"), doc.alias("doc"))
+    broken = F.col("doc").isNull() | F.col("doc._broken").isNotNull()
+    return rows.select("stem", "folder", broken.alias("broken"), F.when(~broken, F.coalesce("doc.object", F.array())).alias("objects"))
+
+
+#: Extensions of a photo, in the order in which a file with several is looked up.
+PHOTO_ENDS = (".jpg", ".jpeg", ".png", ".JPG")
+
+
+def voc_objects(files: DataFrame) -> DataFrame:
+    """One row per object of well-formed files: scene, label, box, ``problem`` (missing_box, degenerate_box, null) and its flags."""
+    o = files.where("not broken").select("stem", "folder", F.explode("objects").alias("o"))
+    side = lambda c: F.expr(f"try_cast(trim(o.bndbox.{c}) as double)").alias(c)
+    flag = lambda c: (F.trim(F.coalesce(F.col(f"o.{c}"), F.lit("0"))) == "1").alias(c)
+    rows = o.select("stem", F.try_element_at(F.create_map(*[F.lit(x) for kv in SPLITS.items() for x in kv]), F.lower("folder")).alias("split"), F.trim(F.coalesce("o.name", F.lit(""))).alias("label"), *[side(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.col("o.polygon").isNotNull().alias("has_polygon"), *[flag(c) for c in ("difficult", "truncated", "occluded")])
+    missing = F.greatest(*[F.col(c).isNull() for c in ("xmin", "ymin", "xmax", "ymax")])
+    return rows.withColumn("problem", F.when(missing, "missing_box").when((F.col("xmax") <= F.col("xmin")) | (F.col("ymax") <= F.col("ymin")), "degenerate_box"))
+
+
+def voc_audit(files: DataFrame, photos: DataFrame) -> DataFrame:
+    """One row of counters over :func:`read_voc_files`; ``photos`` has a ``path`` per photo, in the same notation.
+
+    A file without photo counts as that alone, whether well-formed or not; a photo is without annotation unless a well-formed file is its.
+    """
+    cut_ = F.regexp_extract("path", r"^(.*)(\.[^./]+)$", 1).alias("stem")
+    end = F.regexp_extract("path", r"(\.[^./]+)$", 1)
+    place = F.coalesce(*[F.when(end == e, F.lit(k)) for k, e in enumerate(PHOTO_ENDS)])
+    first = photos.select(cut_, place.alias("place")).where("place is not null").groupBy("stem").agg(F.min("place").alias("place"))
+    j = files.join(first, "stem", "left").withColumn("found", F.col("place").isNotNull())
+    scene = j.where("found and not broken")
+    o = voc_objects(scene)
+    counts = j.agg(F.count("*").alias("annotation_files"), F.count_if(~F.col("found")).alias("xml_without_image"), F.count_if(F.col("found") & F.col("broken")).alias("malformed_xml"), F.count_if(F.col("found") & ~F.col("broken")).alias("scenes"))
+    boxes = o.agg(F.count_if(F.col("problem") == "missing_box").alias("missing_box"), F.count_if(F.col("problem") == "degenerate_box").alias("degenerate_box"), F.count_if(F.col("problem").isNull()).alias("objects"))
+    alone = photos.agg(F.count_distinct("path").alias("_photos"))
+    return counts.crossJoin(boxes).crossJoin(alone).withColumn("image_without_xml", F.col("_photos") - F.col("scenes")).drop("_photos")  # rows of counters, one each
+
+
 #: Folder names that mean a split.
 SPLITS = {"train": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "test": "test", "testing": "test"}
 

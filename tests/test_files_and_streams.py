@@ -129,3 +129,23 @@ def test_entry(spark):
     queries, oracles = e.queries(), e.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 130
     assert e.entry(spark).limit(5).count() == 5
+
+
+def test_voc_audit(spark, tmp_path):
+    d = tmp_path / "Valid"
+    d.mkdir()
+    box = lambda a, b, c, e: f"<bndbox><xmin>{a}</xmin><ymin>{b}</ymin><xmax>{c}</xmax><ymax>{e}</ymax></bndbox>"
+    good = f"<annotation><folder>f</folder><object><name> brick </name><truncated>1</truncated><polygon><x1>3</x1></polygon>{box(1, 1, 9, 9)}</object><object><name>tile</name>{box(5, 1, 5, 9)}</object><object><name>tile</name></object><object><name>tile</name>{box('a', 1, 5, 9)}</object></annotation>"
+    (d / "a.xml").write_text(good)
+    (d / "b.xml").write_text(good[:60])  # cut off
+    (d / "c.xml").write_text(good)  # no photo
+    (d / "e.xml").write_text("<annotation><folder>f</folder></annotation>")  # no object
+    for name in ("a.jpg", "a.png", "b.jpg", "e.jpeg", "z.jpg"):
+        (d / name).write_bytes(b"x")
+    voc = files.read_voc_files(spark, str(tmp_path))
+    photos = files.read_folder(spark, str(tmp_path)).where("path not like '%.xml'").select("path")
+    r = files.voc_audit(voc, photos).first()
+    assert (r.annotation_files, r.xml_without_image, r.malformed_xml, r.scenes) == (4, 1, 1, 2)
+    assert (r.missing_box, r.degenerate_box, r.objects, r.image_without_xml) == (2, 1, 1, 3)
+    o = files.voc_objects(voc).where("problem is null and stem like '%/a'").first()
+    assert (o.label, o.split, o.has_polygon, o.truncated, o.difficult, o.xmax) == ("brick", "val", True, True, False, 9.0)

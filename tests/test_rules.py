@@ -348,3 +348,37 @@ def test_open_set_needs_no_class_to_be_scanned_twice(spark):
         auc = lambda k, s: sum((s * a[k] > s * b[k]) + (a[k] == b[k]) / 2 for a in own for b in rest) / len(own) / len(rest)
         assert got[c].auroc_msp == pytest.approx(auc(1, -1), abs=1e-6) and got[c].auroc_knn == pytest.approx(auc(2, 1), abs=1e-6)
         assert got[c].rejected_combined == pytest.approx(sum(r[2] > 0.9 or r[1] < 0.2 for r in own) / len(own), abs=1e-6)
+
+
+def test_curve_choice_and_reports(spark):
+    # one photo whose type the memory mends under every curve; a far match (x = 0.9) mends another only where the step curve counts it in full
+    leaves = spark.createDataFrame([(i, leaf, leaf[0], leaf[3:], p) for i in (1, 2) for leaf, p in (("a__p", 0.2), ("a__q", 0.1), ("b__p", 0.7))], "id long, leaf string, waste_type string, sub_type string, p double")
+    near = spark.createDataFrame([(1, "a", "p", 0.0), (2, "a", "p", 0.45)], "id long, mem_type string, mem_sub string, distance double")
+    truths = spark.createDataFrame([(1, "validation", "a", "a__p"), (2, "validation", "a", "a__p")], "id long, phase string, true_type string, true_leaf string")
+    out = {r.curve: r for r in evaluate.choose_curve(evaluate.memory_curves(leaves, near, truths, 0.5)).collect()}
+    assert {c: (r.type_fixed, r.leaf_fixed, r.matched, r.chosen) for c, r in out.items()} == {"linear": (1, 1, 2, False), "quadratic": (1, 1, 2, False), "step": (2, 2, 2, True)}
+    # equal gains: the first curve
+    assert [r.curve for r in evaluate.choose_curve(evaluate.memory_curves(leaves, near.where("id = 1"), truths.where("id = 1"), 0.5)).where("chosen").collect()] == ["linear"]
+
+    items = spark.createDataFrame([("d", "l", 10, 20, "RGB"), ("d", "l", 10, 20, "L"), ("d", "l", 30, 5, "RGB"), ("d", "l", None, None, None)], "dataset string, leaf string, w int, h int, mode string")
+    r = curate.size_inventory(items).first()
+    assert (r.images, r.unreadable, r.min_side, r.max_side, r.median_w, r.median_h, r.most_common, r.modes) == (4, 1, 5, 30, 10, 20, "10x20=2,30x5=1", "L=1,RGB=2")
+
+
+def test_near_kinds_against_all_pairs(spark):
+    from itertools import combinations
+
+    rows = [(i, i % 4, f"x{i}" if i % 5 else "same" + str(i % 4), f"d{i % 2}", f"l{i % 3}", (None, "train", "val")[i % 7 % 3], f"p{i:03d}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, hash long, digest string, dataset string, leaf string, split string, path string")
+    linked = {(0, 1), (1, 3)}
+    near = [(a, b) for a, b in combinations(rows, 2) if (a[1] == b[1] or (min(a[1], b[1]), max(a[1], b[1])) in linked) and a[2] != b[2]]
+    want: dict = {}
+    for a, b in near:
+        kind = "cross_dataset" if a[3] != b[3] else "cross_label" if a[4] != b[4] else "cross_split" if a[5] != b[5] else "same_folder"
+        x, y = sorted((f"{a[3]}/{a[4]}", f"{b[3]}/{b[4]}"))
+        want.setdefault((kind, x, y), set()).add(tuple(sorted((a[6], b[6]))))
+    counts, examples = curate.near_kinds(df, spark.createDataFrame([(0, 1), (1, 3)], "a long, b long"))
+    assert {(r.kind, r.a, r.b): r.n for r in counts.collect()} == {k: len(v) for k, v in want.items()}
+    found = examples.collect()
+    assert found and all((r.path_a, r.path_b) in want[r.kind, r.a, r.b] for r in found)
+    assert {(r.kind, r.a, r.b) for r in found} == set(want) and max(r["rank"] for r in found) <= 4
