@@ -36,7 +36,7 @@ _TAILS = bytes(range(0x80, 0xC0))
 
 
 def code_points(b: bytes) -> int:
-    return len(b) - (len(b) - len(b.translate(None, _TAILS)))
+    return len(b.translate(None, _TAILS))
 
 
 def normal_line(words: list[bytes]) -> bytes:

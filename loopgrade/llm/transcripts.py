@@ -104,23 +104,28 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def train(rows: list[tuple[object, int, list[list[int]]]]) -> Model:
-    """Counts with add-one smoothing from ``(conv_id, role, features of the record's first segment)`` in order."""
+def tally(rows: list[list[int]]) -> list[int]:
+    """What training needs of a segment, however many lines it has: marked or not, its length class, then how often its lines show each value of features 1 to 3."""
+    x = np.array(rows)
+    return [int(x[0, 0] < K), int(x[0, 4]), *np.concatenate([np.bincount(x[:, k], minlength=SIZES[k]) for k in (1, 2, 3)]).tolist()]
+
+
+def train(rows: list[tuple[object, int, list[int]]]) -> Model:
+    """Counts with add-one smoothing from ``(conv_id, role, tally of the record's first segment)`` in order."""
     start, move = np.ones(K), np.ones((K, K))
     emit = [np.ones((K, n)) for n in SIZES]
     marked = np.ones((K, 2))
     last, before = object(), 0
-    for conv, role, lines in rows:
+    for conv, role, (is_marked, many, *lines) in rows:
         if conv == last:
             move[before, role] += 1
         else:
             start[role] += 1
         last, before = conv, role
-        marked[role, int(lines[0][0] < K)] += 1
-        emit[4][role, lines[0][4]] += 1
-        for x in lines:
-            for k in (1, 2, 3):
-                emit[k][role, x[k]] += 1
+        marked[role, is_marked] += 1
+        emit[4][role, many] += 1
+        for k, n in zip((1, 2, 3), np.split(np.array(lines), np.cumsum(SIZES[1:3])), strict=True):
+            emit[k][role] += n
     rate = marked / marked.sum(axis=1, keepdims=True)
     named = np.where(np.eye(K, dtype=bool), OWN, (1 - OWN) / (K - 1))
     emit[0] = np.hstack([rate[:, 1:] * named, rate[:, :1]])
@@ -129,16 +134,16 @@ def train(rows: list[tuple[object, int, list[list[int]]]]) -> Model:
 
 
 def fit(convs: DataFrame, rows: int = ROWS) -> Model:
+    """The driver gets 14 numbers a record, at most ``rows`` times."""
     known = convs.where(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull() & (fold_of("conv_id") != 0))
     lowest = known.select("conv_id", "turn", "role", "text").orderBy(F.xxhash64("conv_id"), "conv_id", "turn", text_key(), "role").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            first = [segments(t)[0][0] for t in batch.column("text").to_pylist()]
-            flat = pa.array(first, pa.list_(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("role"), flat], names=["conv_id", "role", "lines"])
+            first = [tally(segments(t)[0][0]) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("role"), pa.array(first, pa.list_(pa.int32()))], names=["conv_id", "role", "lines"])
 
-    got = lowest.mapInArrow(run, f"{fields(lowest, 'conv_id', 'role')}, lines array<array<int>>").collect()
+    got = lowest.mapInArrow(run, f"{fields(lowest, 'conv_id', 'role')}, lines array<int>").collect()
     return train([(r.conv_id, ROLES.index(r.role), r.lines) for r in got])
 
 

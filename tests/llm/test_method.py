@@ -104,6 +104,20 @@ def test_tags_inside_a_text_are_escaped(spark):
     assert transcripts.render(many, transcripts.fit(df)).count() == 1
 
 
+def test_training_reads_tallies_of_bounded_size():
+    text = "User: is it?\n- one two\nthree four five\n```\nlast?"
+    lines = transcripts.segments(text)[0][0]
+    got = transcripts.tally(lines)
+    assert len(got) == 14 == len(transcripts.tally(transcripts.segments(text + "\nmore" * 5000)[0][0]))
+    model = transcripts.train([(1, 1, got), (1, 2, transcripts.tally([[3, 0, 0, 0, 1]]))])
+    for k in (1, 2, 3):
+        n = np.ones(transcripts.SIZES[k])
+        for x in lines:
+            n[x[k]] += 1
+        assert np.allclose(np.exp(model.emit[k][1]), n / n.sum())
+    assert np.isclose(np.exp(model.move[1, 2]), 2 / 4) and np.isclose(np.exp(model.start[1]), 2 / 4)
+
+
 # ---- 6 ----
 def test_wide_segments_find_the_same_components(spark, monkeypatch):
     rng = random.Random(6)
