@@ -50,7 +50,7 @@ def answer_stream(spark: SparkSession, d: str) -> DataFrame:
 def st_01(spark: SparkSession, d: str) -> DataFrame:
     at = folder(spark)
     jobs.upsert_latest(answer_stream(spark, d), f"{at}/store", f"{at}/check").awaitTermination()
-    return jobs.read_last(spark, f"{at}/store").select("item_key", "seq", "actual")
+    return jobs.read_latest(spark, f"{at}/store").select("item_key", "seq", "actual")
 
 
 @query("st_02_summary_stream", LATEST + "SELECT count(*) AS n, count(*) FILTER (is_correct) AS correct, round(count(*) FILTER (is_correct) / count(*), 6) AS accuracy, count(*) FILTER (actual = 'other') AS n_other FROM latest", "answers")

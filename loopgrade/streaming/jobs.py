@@ -21,50 +21,75 @@ def latest_stream(answers: DataFrame) -> DataFrame:
     return answers.groupBy(F.col("item_key").alias("_key")).agg(F.max_by(whole, F.col("seq")).alias("row")).select("row.*")
 
 
-def _generations(spark: SparkSession, store: str) -> list[int]:
-    """Numbers of the generations in ``store``, ascending, from the names of its folders alone."""
+def _numbers(spark: SparkSession, store: str, kind: str) -> list[int]:
+    """Numbers of the finished folders ``<kind>=<number>`` in ``store``, ascending, from names alone."""
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    return sorted(int(n[4:]) for n in names if n.startswith("gen="))
+    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    done = [p.getName() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n[len(kind) + 1 :]) for n in done if n.startswith(f"{kind}="))
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_generation(rows: DataFrame, store: str, n: int) -> None:
-    """``rows`` as generation ``n``. The one before stays for a replay of this batch; older ones go."""
+    """``rows`` as generation ``n``. The one before, and the batches after it, stay for a replay of this batch; older ones go."""
     rows.write.mode("overwrite").parquet(f"{store}/gen={n}")
     spark = rows.sparkSession
-    for old in _generations(spark, store):
-        if old < n - 1:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/gen={old}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    before = max((g for g in _numbers(spark, store, "gen") if g < n), default=-1)
+    for kind in ("gen", "new"):
+        for old in _numbers(spark, store, kind):
+            if old < before or (kind == "new" and old == before):
+                _remove(spark, f"{store}/{kind}={old}")
 
 
 def read_last(spark: SparkSession, store: str) -> DataFrame:
     """The last generation, by its path."""
-    return spark.read.parquet(f"{store}/gen={_generations(spark, store)[-1]}")
+    return spark.read.parquet(f"{store}/gen={_numbers(spark, store, 'gen')[-1]}")
+
+
+def _folders(spark: SparkSession, store: str, before: int | None = None) -> list[str]:
+    """The last generation, if any, and the batches after it; only those of numbers below ``before``, if given."""
+    gens, news = ([n for n in _numbers(spark, store, kind) if before is None or n < before] for kind in ("gen", "new"))
+    return [f"{store}/gen={n}" for n in gens[-1:]] + [f"{store}/new={n}" for n in news if not gens or n > gens[-1]]
+
+
+def read_latest(spark: SparkSession, store: str) -> DataFrame:
+    """The table of latest answers that :func:`upsert_latest` keeps."""
+    return feedback.latest(spark.read.parquet(*_folders(spark, store)))
 
 
-def _merge(batch: DataFrame, batch_id: int, store: str) -> None:
-    old = [g for g in _generations(batch.sparkSession, store) if g < batch_id]
-    rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{store}/gen={old[-1]}").unionByName(batch) if old else batch
-    write_generation(feedback.latest(rows), store, batch_id)
+def _merge(batch: DataFrame, batch_id: int, store: str, every: int) -> None:
+    spark, rows = batch.sparkSession, feedback.latest(batch)
+    old = _folders(spark, store, batch_id)
+    if 0 < len(old) < every:
+        rows.write.mode("overwrite").parquet(f"{store}/new={batch_id}")
+        return
+    if old:
+        rows = feedback.latest(spark.read.schema(batch.schema).parquet(*old).unionByName(rows))
+    write_generation(rows, store, batch_id)
 
 
-def upsert_latest(answers: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table of latest answers in ``store``.
+def upsert_latest(answers: DataFrame, store: str, checkpoint: str, every: int = 16) -> StreamingQuery:
+    """Keep a table of latest answers in ``store``; :func:`read_latest` reads it.
 
-    Every micro-batch writes the generation of its id from the generation before, so a batch that is
-    replayed after a failure writes the same folder again. Two generations are kept.
+    A micro-batch writes only its own latest answers, and every ``every``-th one merges what came since the last generation
+    into the next, so the whole table is rewritten once in ``every`` batches. A batch that is replayed after a failure finds
+    the same folders before it and writes the same one again. Two generations are kept.
     """
-    return answers.writeStream.foreachBatch(lambda batch, n: _merge(batch, n, store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return answers.writeStream.foreachBatch(lambda batch, n: _merge(batch, n, store, every)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def summary_stream(answers: DataFrame, store: str, checkpoint: str, publish: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """A running summary that forgets superseded answers: upsert first, then summarise the table of latest answers."""
+def summary_stream(answers: DataFrame, store: str, checkpoint: str, publish: Callable[[DataFrame, int], None], every: int = 16) -> StreamingQuery:
+    """A running summary that forgets superseded answers: upsert first, then summarise the latest answers."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        _merge(batch, batch_id, store)
-        publish(feedback.summary(batch.sparkSession.read.schema(batch.schema).parquet(f"{store}/gen={batch_id}")), batch_id)
+        _merge(batch, batch_id, store, every)
+        spark = batch.sparkSession
+        publish(feedback.summary(spark.read.schema(batch.schema).parquet(*_folders(spark, store, batch_id + 1))), batch_id)
 
     return answers.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

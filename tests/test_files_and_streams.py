@@ -106,7 +106,8 @@ def test_streams_equal_batches(spark, tmp_path):
     for part in (df.where("seq < 50"), df.where("seq >= 50")):  # two arrivals, one run after each
         part.coalesce(1).write.mode("append").parquet(str(log))
         jobs.upsert_latest(jobs.read_log(spark, str(log), SCHEMA), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
-    store = spark.read.parquet(str(tmp_path / "store")).where("gen = 1").drop("gen")
+    assert sorted(x.name for x in (tmp_path / "store").iterdir()) == ["gen=0", "new=1"]
+    store = jobs.read_latest(spark, str(tmp_path / "store"))
     want = sorted(map(tuple, feedback.latest(df).select("item_key", "seq", "actual").collect()))
     assert sorted(map(tuple, store.select("item_key", "seq", "actual").collect())) == want
     seen = []
@@ -123,6 +124,19 @@ def test_streams_equal_batches(spark, tmp_path):
     assert jobs.restore(spark, str(tmp_path / "none"), str(log), SCHEMA).count() == 90
 
 
+def test_upsert_merges_every_few_batches(spark, tmp_path):
+    schema, store = "seq long, item_key string, actual string", str(tmp_path / "store")
+    want = {}
+    for n in range(8):
+        rows = [(n * 10 + i, f"k{(n * i) % 6}", f"a{n}{i}") for i in range(5)]
+        want |= {k: (s, a) for s, k, a in rows}
+        batch = spark.createDataFrame(rows, schema)
+        for _ in range(1 + n % 2):  # every other batch is replayed
+            jobs._merge(batch, n, store, 3)
+        assert {r.item_key: (r.seq, r.actual) for r in jobs.read_latest(spark, store).collect()} == want
+    assert sorted(x.name for x in (tmp_path / "store").iterdir()) == ["gen=3", "gen=6", "new=4", "new=5", "new=7"]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
