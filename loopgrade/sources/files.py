@@ -25,8 +25,12 @@ ANSWER = _schema(
 )
 
 
+#: Quotes inside a quoted field are doubled; white space belongs to a field.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(**CSV).csv(path)
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
@@ -208,12 +212,12 @@ def store_new(photos: DataFrame, store_path: str, budget_bytes: int) -> int:
 
 
 def write_tsv(table: DataFrame, path: str) -> None:
-    table.write.option("sep", "\t").option("header", True).csv(path)
+    table.write.options(**CSV, sep="\t").csv(path)
 
 
 def write_rows(table: DataFrame, path: str, columns: list[str]) -> None:
     """CSV with a fixed list of columns; others are left out."""
-    table.select(*columns).write.option("header", True).csv(path)
+    table.select(*columns).write.options(**CSV).csv(path)
 
 
 def write_metrics(row: DataFrame, path: str) -> None:

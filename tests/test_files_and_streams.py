@@ -24,6 +24,9 @@ def test_csv_tables(spark, tmp_path):
     head = "waste_id,waste_type,sub_type,quantity_kg,quality,location_name,location_lat,location_lon,seller_name,seller_contact,price_per_kg,description\n"
     (tmp_path / "l.csv").write_text(head + "1,metal,tin,5,good,Z,12.9,77.5,S,c,3,d\n")
     assert files.read_listings(spark, str(tmp_path / "l.csv")).first().is_synthetic
+    (tmp_path / "q.csv").write_text(head + '1,metal,tin,5,good,Z,12.9,77.5,"The ""Old"" Mill, Z",c,3,"say ""hi"""\n')
+    r = files.read_listings(spark, str(tmp_path / "q.csv")).first()
+    assert (r.seller_name, r.description, r.price_per_kg) == ('The "Old" Mill, Z', 'say "hi"', 3)
 
 
 def test_feedback_log(spark, tmp_path):
