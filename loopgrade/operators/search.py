@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopgrade.functions.session import bounded, cut, spread, written
+from loopgrade.functions.session import cut, spread, written
 from loopgrade.operators import vectors
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -75,10 +75,9 @@ def weigh(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def similarity(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """``query_id, id, similarity`` of all pairs that share a term: an equi-join on the term, summed."""
-    q = bounded(queries.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("wq")))
-    return index.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("wq") * F.col("weight")).alias("similarity"))
+def similarity(queries: DataFrame, index: DataFrame, block: int = BLOCK // 4, asked: int = 64) -> DataFrame:
+    """``query_id, id, similarity`` of all pairs that share a term, summed where their blocks meet; only whole pairs leave a task."""
+    return _meet(queries, index, None, block, asked)
 
 
 def tfidf(queries: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,8 +98,15 @@ def tfidf(queries: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFram
 def best(queries: DataFrame, index: DataFrame, k: int, block: int = BLOCK, asked: int = 512) -> DataFrame:
     """``query_id, id, similarity, rank``: the ``k`` best ids per query, by similarity rounded to 9 digits, then id.
 
-    The catalogue is dealt into blocks by id and the queries into blocks of ``asked``; each pair of blocks is summed in numpy, and
-    only its k best a query are shuffled, never the pairs that merely share a word.
+    Of each pair of blocks only the k best a query are shuffled, never the pairs that merely share a word.
+    """
+    return top(_meet(queries, index, k, block, asked), k)
+
+
+def _meet(queries: DataFrame, index: DataFrame, k: int | None, block: int, asked: int) -> DataFrame:
+    """Pairs and their similarity, of every pair of blocks the ``k`` best a query or all.
+
+    The catalogue is dealt into blocks by id and the queries into blocks of ``asked``; each pair of blocks is summed in numpy.
     """
     n, m = index.select("id").distinct().count(), queries.select("id").distinct().count()
     cores = index.sparkSession.sparkContext.defaultParallelism
@@ -123,11 +129,11 @@ def best(queries: DataFrame, index: DataFrame, k: int, block: int = BLOCK, asked
                 at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
                 total = np.bincount(col[at], weight[at] * np.repeat(rows["weight"].to_numpy(), size), len(ids))
                 seen = np.unique(col[at])
-                first = seen[np.lexsort((ids[seen], -np.round(total[seen], 9)))[:k]]
+                first = seen if k is None else seen[np.lexsort((ids[seen], -np.round(total[seen], 9)))[:k]]
                 out.append(pd.DataFrame({"query_id": query, "id": ids[first], "similarity": total[first]}))
         return pd.concat(out)[names] if out else pd.DataFrame({c: pd.Series(dtype="float64") for c in names})
 
-    return top(left.cogroup(right).applyInPandas(meet, f"query_id {kinds[0]}, id {kinds[1]}, similarity double"), k)
+    return left.cogroup(right).applyInPandas(meet, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:

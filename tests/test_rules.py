@@ -327,9 +327,13 @@ def test_hamming_pairs_are_lossless(spark, monkeypatch, limit, width, large):
 def test_search_by_blocks_is_the_join(spark):
     texts = [(i, " ".join(f"w{(i * k) % 29}" for k in range(1, 12))) for i in range(120)]
     docs, asked = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(texts[::9], "id long, text string")
-    want = sorted(map(tuple, search.top(search.scores(asked, docs, "tfidf"), 4).select("query_id", "id", "rank").collect()))
-    got = search.best(*search.tfidf(asked, docs), 4, block=7, asked=3)
+    q, index = search.tfidf(asked, docs)
+    joined = index.join(q.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("wq")), "term").groupBy("query_id", "id").agg(F.sum(F.col("wq") * F.col("weight")).alias("similarity"))
+    want = sorted(map(tuple, search.top(joined, 4).select("query_id", "id", "rank").collect()))
+    got = search.best(q, index, 4, block=7, asked=3)
     assert sorted(map(tuple, got.select("query_id", "id", "rank").collect())) == want
+    every = {(r.query_id, r.id): r.similarity for r in search.similarity(q, index, block=7, asked=3).collect()}
+    assert every == {(r.query_id, r.id): pytest.approx(r.similarity) for r in joined.collect()} and len(every) > 120
 
 
 def test_only_two_generations_stay(spark, tmp_path):
