@@ -46,6 +46,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
+def term_bytes(digits: bool = False) -> bytes:
+    """Table for ``bytes.translate`` that leaves terms between spaces: A-Z in lower case, a-z, bytes from 0x80 and, where wanted, 0-9; all else is a space."""
+    kept = bytes(range(0x30, 0x3A)) if digits else b""
+    return bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A or c in kept else 0x20 for c in range(256))
+
+
 def fields(df: DataFrame, *names: str) -> str:
     """DDL of the named columns of ``df``, for the schema of a ``mapInArrow``."""
     kinds = dict(df.dtypes)
@@ -66,10 +72,21 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "in
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """``b, y`` of at most ``rows`` labelled documents outside fold 0: those whose doc_id hashes lowest.
+    """``b, y`` of at most ``rows`` different labelled texts outside fold 0: those whose text hashes lowest.
+
+    A text with both labels counts as two.
+    """
+    known = labels.where(F.col(label).isNotNull() & (fold_of() != 0)).select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("y")).distinct()
+    marked = docs.select("doc_id", text_key().alias("k")).distinct().join(known, F.col("doc_id") == F.col("l_id"))
+    return text_sample(docs, marked.select("k", "y"), rows)
+
+
+def text_sample(docs: DataFrame, marked: DataFrame, rows: int) -> DataFrame:
+    """``b, y``: the whole texts of the ``rows`` lowest hashed different ``(k, y)`` of ``marked`` (``k``: :func:`text_key`), each once.
 
-    The bound makes the label side small enough to broadcast and the result small enough for the driver.
+    The bound is on what is chosen after all joins: keys without texts are compared, copies of a chosen text go where they
+    stand, and at most ``rows`` keys are broadcast.
     """
-    known = labels.where(F.col(label).isNotNull() & (fold_of() != 0)).select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("y"))
-    first = known.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(rows)
-    return docs.select("doc_id", text_bytes().alias("b")).join(F.broadcast(first), F.col("doc_id") == F.col("l_id")).select("doc_id", "b", "y")
+    chosen = marked.distinct().orderBy(F.xxhash64("k"), "k", "y").limit(rows)
+    texts = docs.select(text_key().alias("k"), text_bytes().alias("b")).join(F.broadcast(chosen), "k")
+    return texts.groupBy("k", "y").agg(F.min("b").alias("b")).select("b", "y")

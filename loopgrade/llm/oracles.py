@@ -32,4 +32,31 @@ k AS (SELECT rid, count(*) AS copies, sum(size) AS taken FROM g WHERE run <= (SE
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(copies, 0) AS copies FROM p LEFT JOIN k USING (rid)
 """
 
-ORACLES = {"op2_quality_rules": QUALITY_RULES, "op9_mixing": MIXING}
+LEXICAL_SEARCH = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+s AS (SELECT count(*) AS n, sum(len(ts))::BIGINT AS l FROM d WHERE len(ts) > 0),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+tf AS (SELECT rid, doc_id, n, t, count(*) AS tf FROM (SELECT rid, doc_id, len(ts) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * s.n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY t, s.n),
+x AS (SELECT rid, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * tf.n * s.n) // s.l)))) AS x FROM tf JOIN w USING (t), s),
+r AS (SELECT item_id, rid, doc_id, sum(x)::BIGINT AS score FROM i JOIN x USING (t) GROUP BY ALL HAVING sum(x) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM r QUALIFY rank <= 10
+"""
+
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT lang, source, t, count(*) AS c, count(DISTINCT rid) AS df FROM (SELECT rid, lang, source, unnest(ts) AS t FROM d) GROUP BY ALL),
+k AS (SELECT lang, t, sum(c)::BIGINT AS c FROM o GROUP BY ALL HAVING sum(df) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(c)::BIGINT AS n FROM k GROUP BY 1),
+kc AS (SELECT o.lang, o.source, o.t, o.c FROM o JOIN k USING (lang, t)),
+n AS (SELECT lang, source, sum(c)::BIGINT AS n FROM kc GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.t, coalesce(kc.c, 0) AS c, 1 + (1000000000 * (coalesce(kc.c, 0) + 2)) // (coalesce(n.n, 0) + 2 * v.v) AS p, 1 + (1000000000 * (k.c + 2)) // (v.n + 2 * v.v) AS q
+    FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN kc ON kc.lang = g.lang AND kc.source = g.source AND kc.t = k.t),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+t AS (SELECT lang, source, 'term' AS part, t AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM r UNION ALL SELECT * FROM t) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+ORACLES = {"op2_quality_rules": QUALITY_RULES, "op9_mixing": MIXING, "op11_lexical_search": LEXICAL_SEARCH, "op13_divergence": DIVERGENCE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopgrade.llm import decontamination, mixing, quality_classifier, quality_rules, sanitise, simhash, suffix_dedup, token_counts, toxicity, transcripts
+from loopgrade.llm import decontamination, divergence, language_id, lexical_search, mixing, quality_classifier, quality_rules, sanitise, simhash, suffix_dedup, token_counts, toxicity, transcripts
 from loopgrade.llm.common import table
 from loopgrade.llm.oracles import ORACLES  # noqa: F401
 
@@ -65,4 +65,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_token_counts, op5_transcripts, op6_simhash, op7_sanitise, op8_suffix_dedup, op9_mixing, op10_toxicity)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_quality_classifier, op4_token_counts, op5_transcripts, op6_simhash, op7_sanitise, op8_suffix_dedup, op9_mixing, op10_toxicity, op11_lexical_search, op12_language_id, op13_divergence)}
