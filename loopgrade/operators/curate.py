@@ -190,28 +190,37 @@ def size_inventory(items: DataFrame) -> DataFrame:
     return total
 
 
+#: Examples of a kind of near pairs that are reported.
+EXAMPLES = 4
+
+
 def near_kinds(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Near pairs of ``rows`` (id, hash, digest, dataset, leaf, split, path) by kind, files with equal digests left out: counts and examples.
+    """Near pairs of ``rows`` (id, cls, digest, dataset, leaf, split, path) by kind, files with equal digests left out: counts and examples.
 
-    ``links``: a, b, the smallest ids of two different hashes that are near; rows of one hash are near, too. Every pair is counted,
-    none is made: pairs of linked hashes are products of their counts per folder, less the pairs of one digest. ``counts`` is
-    ``kind, a, b, n``, ``a`` and ``b`` the two folders in order (equal for one folder's own pairs). ``examples`` has up to
-    four pairs ``path_a, path_b`` of each (that number is the report).
+    ``links``: a, b, two classes that are near; rows of one class are near, too. Every pair is counted, none is made: pairs of
+    linked classes are products of their counts per folder, less the pairs of one digest. ``counts`` is ``kind, a, b, n``, ``a``
+    and ``b`` the two folders in order (equal for one folder's own pairs). ``examples`` has the first four pairs
+    ``path_a, path_b`` of each (that number is the report): whichever they are, both files are among the first four of their digest
+    and their digest among the first five of their class and folder, so twenty files of a folder and class are looked at.
     """
     folder = ["dataset", "leaf", "split"]
-    rows = rows.withColumn("split", F.coalesce("split", F.lit("-")))
-    head = rows.groupBy("hash").agg(F.min("id").alias("cls"))
-    cell = rows.groupBy("hash", *folder).agg(F.count("*").alias("n"), F.min(F.struct("digest", "path")).alias("lo"), F.max(F.struct("digest", "path")).alias("hi"))
-    cell = cell.join(head, "hash").select("cls", F.struct(*folder).alias("f"), "n", "lo", "hi")
+    rows = rows.withColumn("split", F.coalesce("split", F.lit("-"))).select("cls", F.struct(*folder).alias("f"), "digest", "path")
+    per = rows.groupBy("cls", "f", "digest").agg(F.count("*").alias("n"), F.min("path").alias("head"))
+    cell = per.groupBy("cls", "f").agg(F.sum("n").alias("n"))
+    lead = per.withColumn("_d", F.row_number().over(Window.partitionBy("cls", "f").orderBy("head", "digest"))).where(F.col("_d") <= EXAMPLES + 1).select("cls", "f", "digest")
+    place = F.row_number().over(Window.partitionBy("cls", "f", "digest").orderBy("path"))
+    first = rows.withColumn("_p", place).where(F.col("_p") <= EXAMPLES).join(lead, ["cls", "f", "digest"])
+    cell = cell.join(first.groupBy("cls", "f").agg(F.collect_list(F.struct("path", "digest")).alias("files")), ["cls", "f"])
     side = lambda s: cell.select(*[F.col(c).alias(f"{c}_{s}") for c in cell.columns])
     both = links.select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b")).join(side("a"), "cls_a").join(side("b"), "cls_b")
-    own = side("a").join(side("b"), (F.col("cls_a") == F.col("cls_b")) & (F.col("f_a") <= F.col("f_b")))  # folders of one hash: a bounded vocabulary
-    n = F.when((F.col("cls_a") == F.col("cls_b")) & (F.col("f_a") == F.col("f_b")), F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b"))
-    differ = lambda x, y: F.col(x)["digest"] != F.col(y)["digest"]
-    sample = F.when(differ("lo_a", "hi_b"), F.array("lo_a.path", "hi_b.path")).when(differ("hi_a", "lo_b"), F.array("hi_a.path", "lo_b.path"))
-    met = both.unionByName(own).select(F.least("f_a", "f_b").alias("x"), F.greatest("f_a", "f_b").alias("y"), n.alias("n"), F.array_sort(sample).alias("sample"))
-
-    same = rows.groupBy("digest", *folder).agg(F.count("*").alias("n")).select("digest", F.struct(*folder).alias("f"), "n")
+    own = side("a").join(side("b"), (F.col("cls_a") == F.col("cls_b")) & (F.col("f_a") <= F.col("f_b")))  # folders of one class: a bounded vocabulary
+    inside = (F.col("cls_a") == F.col("cls_b")) & (F.col("f_a") == F.col("f_b"))
+    n = F.when(inside, F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b"))
+    pair = lambda x, y: F.struct(F.least(x["path"], y["path"]).alias("path_a"), F.greatest(x["path"], y["path"]).alias("path_b"))
+    every = F.flatten(F.transform("files_a", lambda x: F.transform(F.filter("files_b", lambda y: (x["digest"] != y["digest"]) & (~inside | (x["path"] < y["path"]))), lambda y: pair(x, y))))
+    met = both.unionByName(own).select(F.least("f_a", "f_b").alias("x"), F.greatest("f_a", "f_b").alias("y"), n.alias("n"), F.slice(F.array_sort(every), 1, EXAMPLES).alias("sample"))
+
+    same = rows.groupBy("digest", "f").agg(F.count("*").alias("n"))
     half = lambda s: same.select("digest", F.col("f").alias(f"f_{s}"), F.col("n").alias(f"n_{s}"))
     exact = half("a").join(half("b"), "digest").where("f_a <= f_b")
     less = F.when(F.col("f_a") == F.col("f_b"), F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b"))
@@ -221,8 +230,8 @@ def near_kinds(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
     named = lambda df, *more: df.select(kind.alias("kind"), F.concat_ws("/", "x.dataset", "x.leaf").alias("a"), F.concat_ws("/", "y.dataset", "y.leaf").alias("b"), *more)
     counts = named(met.select("x", "y", "n").unionByName(exact), "n").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where("n > 0")
     place = F.row_number().over(Window.partitionBy("kind", "a", "b").orderBy("path_a", "path_b"))
-    pairs = named(met.where("sample is not null"), F.get("sample", F.lit(0)).alias("path_a"), F.get("sample", F.lit(1)).alias("path_b")).distinct()
-    return counts, pairs.withColumn("rank", place).where("rank <= 4")
+    pairs = named(met, F.explode("sample").alias("s")).select("kind", "a", "b", "s.path_a", "s.path_b").distinct()
+    return counts, pairs.withColumn("rank", place).where(F.col("rank") <= EXAMPLES)
 
 
 def leaf_summary(rows: DataFrame, most: float = 3.0) -> DataFrame:

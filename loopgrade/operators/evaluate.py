@@ -170,11 +170,22 @@ def condition_matrix(rows: DataFrame) -> DataFrame:
     return per.groupBy("grp").agg(F.round(F.avg("a"), 6).alias("accuracy"), F.round(F.avg("acc"), 6).alias("acceptance"), F.count("*").alias("conditions"))
 
 
-def retrieval(ranked: DataFrame, k: int) -> DataFrame:
-    """Per query: precision at k (divided by k), rank of the first relevant result, reciprocal rank (0 if none)."""
-    first = F.min(F.when(F.col("relevant"), F.col("rank")))
-    g = ranked.groupBy("query_id").agg(F.round(F.count_if(F.col("relevant") & (F.col("rank") <= k)) / F.lit(k), 6).alias("precision_at_k"), first.alias("first_rank"))
-    return g.withColumn("rr", F.round(F.coalesce(F.try_divide(F.lit(1.0), F.col("first_rank")), F.lit(0.0)), 6))
+def retrieval(best: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """Per query: share of the ``k`` best that are of its sub-type and of its type (divided by k), rank of the first relevant result in the whole ranking, reciprocal rank (0 if none).
+
+    ``best``: query_id, rank, relevant, type_relevant, the k best at least. ``first``: query_id, first_rank, a row per query.
+    """
+    rate = lambda c: F.round(F.count_if(c) / F.lit(k), 6)
+    g = best.where(F.col("rank") <= k).groupBy("query_id").agg(rate("relevant").alias("precision_at_k"), rate("type_relevant").alias("type_precision_at_k"))
+    j = first.join(g, "query_id", "left").fillna(0.0, ["precision_at_k", "type_precision_at_k"])
+    return j.withColumn("rr", F.round(F.coalesce(F.try_divide(F.lit(1.0), F.col("first_rank")), F.lit(0.0)), 6))
+
+
+def mean_retrieval(per_query: DataFrame) -> DataFrame:
+    """One row: means of :func:`retrieval` over the queries."""
+    rr = F.coalesce(F.try_divide(F.lit(1.0), F.col("first_rank")), F.lit(0.0))
+    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return per_query.agg(F.count("*").alias("queries"), mean("precision_at_k", "mean_precision_at_k"), mean("type_precision_at_k", "mean_type_precision_at_k"), mean(rr, "mrr"))
 
 
 def before_after(rows: DataFrame, *by: str) -> DataFrame:
@@ -236,28 +247,52 @@ def open_set(rows: DataFrame, msp: float, knn: float, quantile: float = 0.05) ->
 
     ``rows``: truth, confidence, knn. The rule by confidence alone rejects below the ``quantile`` of the other classes' confidences;
     the combined rule rejects above ``knn`` or below ``msp``. Everything comes from counts per (class, value), read once: the values
-    below a class's rows among the others are those below in all, less those of the class.
+    below a class's rows among the others are those below in all, less those of the class. The quantile of the others is found in
+    the same two tables of prefix sums (see :func:`_rank_in_all`), so there is no row per pair of classes and any number of them.
     """
+    total = rows.agg(F.count("*").alias("total"))
     out = None
     for name, sign in (("confidence", -1), ("knn", 1)):
         per = rows.groupBy("truth", (sign * F.col(name)).alias("s")).agg(F.count("*").alias("n"))
         every = running(per.groupBy("s").agg(F.sum("n").alias("all")), [F.col("s").asc()], {"upto": F.col("all")}).select(F.col("s").alias("_s"), "all", "upto")
         own = running(per, [F.col("truth").asc(), F.col("s").asc()], {"mine": F.col("n")})
         start = own.groupBy(F.col("truth").alias("_t")).agg(F.min(F.col("mine") - F.col("n")).alias("_start"), F.sum("n").alias("size"))
-        j = own.join(bounded(start), F.col("truth") == F.col("_t")).join(every, F.col("s") == F.col("_s"))
+        j = own.join(bounded(start), F.col("truth") == F.col("_t")).join(every, F.col("s") == F.col("_s")).crossJoin(F.broadcast(total))
         below = (F.col("upto") - F.col("all")) - (F.col("mine") - F.col("_start") - F.col("n"))
         won = F.col("n").cast("decimal(30,1)") * (below + (F.col("all") - F.col("n")) * F.lit("0.5").cast("decimal(2,1)"))
-        total = rows.agg(F.count("*").alias("total"))
-        g = j.groupBy("truth").agg(F.sum(won).alias("w"), F.max("size").alias("size")).crossJoin(F.broadcast(total))
+        # by confidence: ranks of the floor's two neighbours among the others, as ranks in all
+        ranks = [_rank_in_all(f(F.lit(quantile) * (F.col("total") - F.col("size") - 1)) + 1).alias(k) for k, f in (("lo", F.floor), ("hi", F.ceil))] if sign < 0 else []
+        g = j.groupBy("truth").agg(F.sum(won).alias("w"), F.max("size").alias("size"), F.max("total").alias("total"), *ranks)
         auroc_ = F.round(F.try_divide(F.col("w").cast("double"), F.col("size").cast("double") * (F.col("total") - F.col("size"))), 6)
-        t = g.select(F.col("truth").alias("unseen"), auroc_.alias({"confidence": "auroc_msp", "knn": "auroc_knn"}[name]))
-        out = t if out is None else out.join(t, "unseen")
-    # the floor of the others, for every class left out: rows of the others by explode over the few class names
-    names = [r.truth for r in rows.select("truth").distinct().limit(1000).collect()]  # classes: a bounded vocabulary
-    counts = rows.groupBy("truth", "confidence").agg(F.count("*").alias("n"))
-    others = counts.select("truth", "confidence", "n", F.explode(F.array(*[F.lit(x) for x in names])).alias("unseen")).where("truth <> unseen")
-    floor = quantiles(others, ["unseen"], "confidence", {"floor": quantile}, "n").select(F.col("unseen").alias("_u"), "floor")
-    j = rows.join(bounded(floor), F.col("truth") == F.col("_u"))
+        t = g.select(F.col("truth").alias("unseen"), auroc_.alias({"confidence": "auroc_msp", "knn": "auroc_knn"}[name]), *([F.col("size"), F.col("total"), F.col("lo"), F.col("hi")] if ranks else []))
+        if ranks:
+            t = cut(t)
+            floor = _values_at(t, every, total, quantile)
+        out = t.drop("size", "total", "lo", "hi") if out is None else out.join(t, "unseen")
+    j = rows.join(bounded(floor), F.col("truth") == F.col("_u"), "left")
     combined = (F.col("knn") > knn) | (F.col("confidence") < msp)
     rejected = j.groupBy(F.col("truth").alias("unseen")).agg(F.count("*").alias("n"), share(F.col("confidence") < F.col("floor")).alias("rejected_msp"), share(combined).alias("rejected_combined"))
     return rejected.join(out, "unseen")
+
+
+def _rank_in_all(rank: Column) -> Column:
+    """The rank in all rows of the row with ``rank`` (from 1, ascending confidence) among those of other classes, as an aggregate over a class's values.
+
+    Own rows at or below that row are those of the last own value with fewer than ``rank`` others at or below it.
+    """
+    own = F.col("size") - (F.col("mine") - F.col("_start") - F.col("n"))
+    others = F.col("total") - (F.col("upto") - F.col("all")) - own
+    return F.max(rank) + F.coalesce(F.max(F.when(others < rank, own)), F.lit(0))
+
+
+def _values_at(classes: DataFrame, every: DataFrame, total: DataFrame, quantile: float, cells: int = 1024) -> DataFrame:
+    """``_u, floor``: confidences at the ranks ``lo`` and ``hi``, interpolated. Ranks and values meet by cells of ranks; a class that is all has none."""
+    width = F.greatest(F.lit(1), F.ceil(F.col("total") / cells))
+    top = F.col("total") - (F.col("upto") - F.col("all"))  # a value has the ranks (top - all, top]
+    values = every.crossJoin(F.broadcast(total)).select((-F.col("_s")).alias("v"), top.alias("top"), (top - F.col("all")).alias("under"), width.alias("width"))
+    values = values.withColumn("cell", F.explode(F.sequence(F.floor((F.col("under") + 1) / F.col("width")), F.floor(F.col("top") / F.col("width")))))
+    asked = classes.where("size < total").select("unseen", (F.lit(quantile) * (F.col("total") - F.col("size") - 1)).alias("at"), width.alias("width"), F.explode(F.array(F.struct(F.lit("lo").alias("k"), F.col("lo").alias("r")), F.struct(F.lit("hi").alias("k"), F.col("hi").alias("r")))).alias("x"))
+    asked = asked.select("unseen", "at", "x.k", "x.r", F.floor(F.col("x.r") / F.col("width")).alias("cell"))
+    met = asked.join(values.drop("width"), "cell").where((F.col("r") > F.col("under")) & (F.col("r") <= F.col("top")))
+    g = met.groupBy("unseen").agg(F.max("at").alias("at"), F.max(F.when(F.col("k") == "lo", F.col("v"))).alias("lo"), F.max(F.when(F.col("k") == "hi", F.col("v"))).alias("hi"))
+    return g.select(F.col("unseen").alias("_u"), (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("floor"))

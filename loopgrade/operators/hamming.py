@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,12 +45,16 @@ def bands(limit: int, width: int, n: int) -> list[tuple[int, int, int]]:
     return [(lo, hi, r) for lo, hi, r in zip(cuts, cuts[1:], radii, strict=False)]
 
 
-def pairs(rows: DataFrame, limit: int, width: int) -> DataFrame:
+def pairs(rows: DataFrame, limit: int, width: int, payload: DataFrame | None = None, accept: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None) -> DataFrame:
     """``a, b, bits``: pairs a < b of different ``id`` whose ``words`` (array of longs) differ in at most ``limit`` of ``width`` bits.
 
     ``rows`` are distinct strings, computed already. Each puts its band values in a table and probes around those of radius 1;
     band values of more than LARGE strings are dealt into blocks that meet in numpy, so no bucket is gathered or joined with
     itself. A pair is kept in its first band only.
+
+    For groups, where only what hangs together counts, give a ``payload`` (id and more columns) and ``accept`` (of a row of it and
+    further rows, which of these belong with it): every two blocks then return a forest of accepted pairs, which connects what
+    their accepted pairs connect. Pairs of small buckets are few and come as they are, not yet accepted.
     """
     plan = bands(limit, width, rows.count())
     size = -(-width // 64)
@@ -77,7 +83,10 @@ def pairs(rows: DataFrame, limit: int, width: int) -> DataFrame:
     # large buckets: blocks of the entries with one another, and with blocks of the probes
     many = met.where(F.col("n") > LARGE).withColumn("nb", F.ceil(F.col("n") / BLOCK))
     many = many.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    task = lambda df, kind, i, j: df.select("band", "value", F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), "own", "id", "words", "probe")
+    if payload is not None:
+        many = many.join(payload, "id")
+    more = [c for c in payload.columns if c != "id"] if payload is not None else []
+    task = lambda df, kind, i, j: df.select("band", "value", F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), "own", "id", "words", "probe", *more)
     own, to = F.col("own"), F.col("to")
     tables, probes = many.where("not probe"), many.where("probe")
     tasks = task(tables, 0, F.least(own, to), F.greatest(own, to)).unionByName(task(tables, 1, own, to)).unionByName(task(probes, 1, to, own))
@@ -101,8 +110,38 @@ def pairs(rows: DataFrame, limit: int, width: int) -> DataFrame:
             out.append(pd.DataFrame({"a": np.minimum(ids[p], ids[at]), "b": np.maximum(ids[p], ids[at]), "bits": total.astype(np.int32)}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "bits": []}, dtype="int64")
 
-    blocks = tasks.groupBy("band", "value", "kind", "i", "j").applyInPandas(compare, "a long, b long, bits int")
-    return near.unionByName(blocks)
+    def connect(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        _, _, kind, i, j = key
+        part = part.sort_values("id", ignore_index=True)
+        ids, probe, mine = part["id"].to_numpy(), part["probe"].to_numpy(bool), part["own"].to_numpy()
+        w = np.stack(part["words"].to_numpy()).astype(np.int64).view(np.uint64)
+        tree, out = np.unique(ids, return_inverse=True)[1], []  # a row's tree; equal ids are one
+
+        def link(left: np.ndarray, right: np.ndarray, told: bool) -> None:
+            for p in left:
+                apart = right[tree[right] != tree[p]]
+                bits_ = np.bitwise_count(w[apart] ^ w[p]).sum(axis=1)
+                apart, bits_ = apart[bits_ <= limit], bits_[bits_ <= limit]
+                if len(apart):
+                    good = accept(part.iloc[[p]], part.iloc[apart])
+                    apart, bits_ = apart[good], bits_[good]
+                    _, first = np.unique(tree[apart], return_index=True)  # one link to each tree
+                    if told:
+                        out.append(pd.DataFrame({"a": np.minimum(ids[p], ids[apart[first]]), "b": np.maximum(ids[p], ids[apart[first]]), "bits": bits_[first].astype(np.int32)}))
+                    tree[np.isin(tree, tree[apart])] = tree[p]
+
+        if kind:
+            link(np.flatnonzero(~probe), np.flatnonzero(probe), True)
+        else:
+            one, two = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+            link(one, one, bool(i == j))
+            if i != j:  # what hangs together inside a block is told by the block's own task
+                link(two, two, False)
+                link(one, two, True)
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "bits": []}, dtype="int64")
+
+    blocks = tasks.groupBy("band", "value", "kind", "i", "j").applyInPandas(connect if accept else compare, "a long, b long, bits int")
+    return near.unionByName(blocks.distinct() if accept else blocks)
 
 
 def _count(diff: np.ndarray, low: int, high: int) -> np.ndarray:

@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopgrade.functions.session import cut, spread, written
-from loopgrade.operators import vectors
+from loopgrade.functions.session import spread
+from loopgrade.operators import inverted, vectors
 
-TOKEN = r"[\p{L}\p{N}_]{2,}"
 #: Abbreviations and what a listing's text says for them; whole, case-sensitive words.
 ABBREVIATIONS = {
     "PP": "PP polypropylene",
@@ -22,8 +20,6 @@ ABBREVIATIONS = {
     "LDPE": "LDPE low-density polyethylene",
     "PCB": "PCB printed circuit board",
 }
-#: Catalogue rows of a block of :func:`best`.
-BLOCK = 50_000
 
 
 def expand(text: Column) -> Column:
@@ -46,7 +42,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex
 
-        token = regex.compile(TOKEN)
+        token = regex.compile(inverted.TOKEN)
         for batch in batches:
             for k in range(0, len(batch), 256):
                 ids, terms, times = [], [], []
@@ -75,71 +71,9 @@ def weigh(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def similarity(queries: DataFrame, index: DataFrame, block: int = BLOCK // 4, asked: int = 64) -> DataFrame:
-    """``query_id, id, similarity`` of all pairs that share a term, summed where their blocks meet; only whole pairs leave a task."""
-    return _meet(queries, index, None, block, asked)
-
-
-def tfidf(queries: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Weights of the queries, and those of the catalogue's rows that share a term with any query.
-
-    The catalogue is counted once, into the shared folder. Norms need all its terms, pairs only those of the queries.
-    """
-    counts = written(term_counts(catalogue))
-    idf = written(idf_table(counts, catalogue.count()))
-    asked = cut(weigh(term_counts(queries), idf))
-    known = idf.join(asked.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left").select("term", "idf", "asked")
-    w = (1 + F.ln(F.col("n").cast("double"))) * F.col("idf")
-    each = counts.join(known, "term").select("id", w.alias("w"), F.when(F.col("asked"), F.struct("term", w.alias("w"))).alias("x"))
-    rows = each.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list("x").alias("x"))  # the terms of one text
-    return asked, cut(rows.select("id", "norm", F.explode("x").alias("x")).select("id", "x.term", (F.col("x.w") / F.col("norm")).alias("weight")))
-
-
-def best(queries: DataFrame, index: DataFrame, k: int, block: int = BLOCK, asked: int = 512) -> DataFrame:
-    """``query_id, id, similarity, rank``: the ``k`` best ids per query, by similarity rounded to 9 digits, then id.
-
-    Of each pair of blocks only the k best a query are shuffled, never the pairs that merely share a word.
-    """
-    return top(_meet(queries, index, k, block, asked), k)
-
-
-def _meet(queries: DataFrame, index: DataFrame, k: int | None, block: int, asked: int) -> DataFrame:
-    """Pairs and their similarity, of every pair of blocks the ``k`` best a query or all.
-
-    The catalogue is dealt into blocks by id and the queries into blocks of ``asked``; each pair of blocks is summed in numpy.
-    """
-    n, m = index.select("id").distinct().count(), queries.select("id").distinct().count()
-    cores = index.sparkSession.sparkContext.defaultParallelism
-    parts, groups = max(1, -(-n // block), min(cores, n)), max(1, -(-m // asked))
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c - 1).cast("long")))
-    deal = lambda c: F.pmod(F.xxhash64("id"), F.lit(c))
-    right = index.select("id", F.xxhash64("term").alias("term"), "weight", deal(parts).alias("_j"), every(groups).alias("_i")).groupBy("_i", "_j")
-    kinds = dict(queries.dtypes)["id"], dict(index.dtypes)["id"]
-    left = queries.select("id", F.xxhash64("term").alias("term"), "weight", deal(groups).alias("_i"), every(parts).alias("_j")).groupBy("_i", "_j")
-
-    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        names, out = ["query_id", "id", "similarity"], []
-        if len(q) and len(c):
-            ids, col = np.unique(c["id"].to_numpy(), return_inverse=True)
-            order = np.argsort(c["term"].to_numpy(), kind="stable")
-            term, col, weight = c["term"].to_numpy()[order], col[order], c["weight"].to_numpy()[order]
-            for query, rows in q.groupby("id"):
-                lo, hi = np.searchsorted(term, rows["term"], "left"), np.searchsorted(term, rows["term"], "right")
-                size = hi - lo
-                at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-                total = np.bincount(col[at], weight[at] * np.repeat(rows["weight"].to_numpy(), size), len(ids))
-                seen = np.unique(col[at])
-                first = seen if k is None else seen[np.lexsort((ids[seen], -np.round(total[seen], 9)))[:k]]
-                out.append(pd.DataFrame({"query_id": query, "id": ids[first], "similarity": total[first]}))
-        return pd.concat(out)[names] if out else pd.DataFrame({c: pd.Series(dtype="float64") for c in names})
-
-    return left.cogroup(right).applyInPandas(meet, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
-
-
 def top(scores: DataFrame, k: int) -> DataFrame:
     """The k best ids per query, by similarity rounded to 9 digits, then id, with their rank."""
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id"))
-    return scores.withColumn("rank", place).where(F.col("rank") <= k)
+    return inverted.top(scores, k)
 
 
 def scores(queries: DataFrame, catalogue: DataFrame, backend: str) -> DataFrame:
@@ -148,7 +82,7 @@ def scores(queries: DataFrame, catalogue: DataFrame, backend: str) -> DataFrame:
     ``tfidf`` reads (id, text) on both sides; ``dense`` reads (id, embedding). Both take any number of queries.
     """
     if backend == "tfidf":
-        return similarity(*tfidf(queries, catalogue))
+        return inverted.search(inverted.build(catalogue), queries, None)
     if backend == "dense":
         return vectors.similarities(queries, catalogue)
     raise ValueError(f"unknown backend {backend!r}")
@@ -156,4 +90,4 @@ def scores(queries: DataFrame, catalogue: DataFrame, backend: str) -> DataFrame:
 
 def search(queries: DataFrame, catalogue: DataFrame, backend: str, k: int) -> DataFrame:
     """The ``k`` best catalogue rows of every query by the named backend, with their rank."""
-    return best(*tfidf(queries, catalogue), k) if backend == "tfidf" else top(scores(queries, catalogue, backend), k)
+    return inverted.search(inverted.build(catalogue), queries, k) if backend == "tfidf" else top(scores(queries, catalogue, backend), k)

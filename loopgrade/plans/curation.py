@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopgrade.functions.session import bounded, cut, written
-from loopgrade.operators import curate, evaluate, search, vectors
+from loopgrade.operators import curate, evaluate, inverted, search, vectors
 from loopgrade.plans.bindings import bind, read, sql
 
 QUERIES: dict = {}
@@ -53,6 +53,17 @@ def index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return search.weigh(counts, idf), idf
 
 
+_INDEXES: dict = {}
+
+
+def text_index(spark: SparkSession, d: str) -> inverted.Index:
+    """The catalogue's block-max index, labelled by source: written once for a session and an input folder, then read by every search."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        _INDEXES[key] = inverted.build(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source"), "source")
+    return _INDEXES[key]
+
+
 @query("a_08_tfidf_index", INDEX + " SELECT id, count(*) AS terms, round(max(weight), 5) AS top_weight, round(sum(weight), 4) AS total_weight FROM cat GROUP BY 1")
 def a_08(spark: SparkSession, d: str) -> DataFrame:
     return index(spark, d)[0].groupBy("id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 5).alias("top_weight"), F.round(F.sum("weight"), 4).alias("total_weight"))
@@ -60,7 +71,7 @@ def a_08(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a_09_query_similarity", SCORES + " SELECT query_id, id, rank, round(similarity, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) AS rank FROM sim) WHERE rank <= 10")
 def a_09(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(asked(spark, d), catalogue(spark, d), "tfidf", 10).select("query_id", "id", "rank", F.round("similarity", 5).alias("similarity"))
+    return inverted.search(text_index(spark, d), asked(spark, d), 10).select("query_id", "id", "rank", F.round("similarity", 5).alias("similarity"))
 
 
 @query("a_10_new_texts", INDEX + f", {_counts('q', 'pages', 'page_id').replace('lower(text)', 'lower(url)')}, {_weights('q')} SELECT id, count(*) AS terms, round(max(weight), 5) AS top_weight FROM q GROUP BY 1")
@@ -71,24 +82,39 @@ def a_10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j_04_similarity_pairs", SCORES + " SELECT query_id, count(*) AS pairs, round(max(similarity), 5) AS best FROM sim GROUP BY 1")
 def j_04(spark: SparkSession, d: str) -> DataFrame:
-    return search.scores(asked(spark, d), catalogue(spark, d), "tfidf").groupBy("query_id").agg(F.count("*").alias("pairs"), F.round(F.max("similarity"), 5).alias("best"))
+    return inverted.search(text_index(spark, d), asked(spark, d), None).groupBy("query_id").agg(F.count("*").alias("pairs"), F.round(F.max("similarity"), 5).alias("best"))
 
 
-@query(
-    "g_31_retrieval",
-    SCORES + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) AS rank FROM sim), e AS (SELECT query_id, rank, contains(d.text, b.text) AS relevant FROM r JOIN documents d ON d.doc_id = r.id JOIN benchmark b ON b.item_id = r.query_id WHERE rank <= 10)
-    SELECT query_id, round(count(*) FILTER (relevant) / 10, 6) AS precision_at_k, min(rank) FILTER (relevant) AS first_rank, round(coalesce(1.0 / min(rank) FILTER (relevant), 0), 6) AS rr FROM e GROUP BY 1""",
-)
+#: A query asks for one sub-type (a source), which is of one of four types. The ranking is over all documents; those that share no term come last.
+TYPE = "concat('g', CAST(CAST(substr({c}, 4) AS INT) % 4 AS {text}))"
+RETRIEVAL = SCORES + f""", a AS (SELECT item_id AS query_id, concat('src', item_id % 20) AS label FROM benchmark), f AS (SELECT a.query_id, label, d.doc_id AS id, source, coalesce(similarity, 0) AS s FROM a CROSS JOIN documents d LEFT JOIN sim ON sim.query_id = a.query_id AND sim.id = d.doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM f), g AS (SELECT query_id, round(count(*) FILTER (rank <= 10 AND s > 0 AND source = label) / 10, 6) AS precision_at_k, round(count(*) FILTER (rank <= 10 AND s > 0 AND {TYPE.format(c='source', text='VARCHAR')} = {TYPE.format(c='label', text='VARCHAR')}) / 10, 6) AS type_precision_at_k,
+    min(rank) FILTER (source = label) AS first_rank FROM r GROUP BY 1), e AS (SELECT *, round(coalesce(1.0 / first_rank, 0), 6) AS rr FROM g)"""
+
+
+def retrieval(spark: SparkSession, d: str) -> DataFrame:
+    index = text_index(spark, d)
+    q = cut(asked(spark, d).withColumn("label", F.concat(F.lit("src"), F.col("id") % 20)))
+    sources = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
+    best = inverted.search(index, q, 10).join(q.select(F.col("id").alias("query_id"), "label"), "query_id")
+    kind = lambda c: F.expr(TYPE.format(c=c, text="STRING"))
+    best = sources.join(bounded(cut(best)), "id").select("query_id", "rank", (F.col("source") == F.col("label")).alias("relevant"), (kind("source") == kind("label")).alias("type_relevant"))
+    return evaluate.retrieval(best, inverted.first_rank(index, q, "label"), 10)
+
+
+@query("g_31_retrieval", RETRIEVAL + " SELECT * FROM e")
 def g_31(spark: SparkSession, d: str) -> DataFrame:
-    best = cut(search.search(asked(spark, d), catalogue(spark, d), "tfidf", 10))
-    texts = catalogue(spark, d).join(bounded(best), "id")
-    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("asked"))
-    return evaluate.retrieval(texts.join(q, "query_id").withColumn("relevant", F.contains("text", "asked")), 10)
+    return retrieval(spark, d)
+
+
+@query("g_31_means", RETRIEVAL + " SELECT count(*) AS queries, round(avg(precision_at_k), 6) AS mean_precision_at_k, round(avg(type_precision_at_k), 6) AS mean_type_precision_at_k, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr FROM e")
+def g_31b(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.mean_retrieval(retrieval(spark, d))
 
 
 @query("a_12_backend", SCORES + " SELECT query_id, id FROM sim QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) = 1")
 def a_12(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(asked(spark, d), catalogue(spark, d), "tfidf", 1).select("query_id", "id")
+    return inverted.search(text_index(spark, d), asked(spark, d), 1).select("query_id", "id")
 
 
 #: The text of a listing, with abbreviations in every place a listing has them.
@@ -137,21 +163,29 @@ def _wide(k: int) -> str:
     return f"list_sum(list_transform(range(0, 64), lambda i: CASE WHEN v[(i + {k}) % 64 + 1] > v[i + 1] THEN (1::UBIGINT << i)::HUGEINT ELSE 0 END))::UBIGINT"
 
 
-@query(
-    "j_08_near_duplicates",
-    f"""WITH {SHOTS}, h AS (SELECT id, v, {BITS} AS hash, {_wide(1)} AS w1, {_wide(2)} AS w2, {_wide(3)} AS w3, {_wide(4)} AS w4 FROM shots), c AS (SELECT v, any_value(hash) AS hash, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3, any_value(w4) AS w4, min(id) AS id FROM h GROUP BY v)
-    SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 10 AND bit_count(xor(a.w1, b.w1)) + bit_count(xor(a.w2, b.w2)) + bit_count(xor(a.w3, b.w3)) + bit_count(xor(a.w4, b.w4)) <= 22
-        AND list_sum(list_transform(range(1, 65), lambda i: abs(a.v[i]::DOUBLE - b.v[i]::DOUBLE))) / 64 <= 0.001
-    UNION ALL SELECT c.id, h.id FROM h JOIN c USING (v) WHERE h.id <> c.id""",
-)
+#: The three tests over classes of equal vectors, and each member with its class. The tables' vectors have unit length: so the mean difference.
+MEAN_DIFFERENCE = 0.001
+THREE = """hashed AS (SELECT *, {bits} AS hash, {w1} AS w1, {w2} AS w2, {w3} AS w3, {w4} AS w4 FROM {rows}), classes AS (SELECT v, any_value(hash) AS hash, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3, any_value(w4) AS w4, min(id) AS id FROM hashed GROUP BY v),
+    links AS (SELECT a.id AS a, b.id AS b FROM classes a JOIN classes b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 10 AND bit_count(xor(a.w1, b.w1)) + bit_count(xor(a.w2, b.w2)) + bit_count(xor(a.w3, b.w3)) + bit_count(xor(a.w4, b.w4)) <= 22
+        AND list_sum(list_transform(range(1, 65), lambda i: abs(a.v[i]::DOUBLE - b.v[i]::DOUBLE))) / 64 <= 0.001), near AS (SELECT * FROM links UNION ALL SELECT classes.id, hashed.id FROM hashed JOIN classes USING (v) WHERE hashed.id <> classes.id)"""
+
+
+def _three(rows: str) -> str:
+    return THREE.format(bits=BITS, rows=rows, **{f"w{k}": _wide(k) for k in range(1, 5)})
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("hash", vectors.gradient_hash(F.col("v"))).withColumn("wide", vectors.wide_hash(F.col("v")))
+
+
+@query("j_08_near_duplicates", f"WITH {SHOTS}, {_three('shots')} SELECT a, b FROM near")
 def j_08(spark: SparkSession, d: str) -> DataFrame:
-    rows = shots(spark, d).withColumn("hash", vectors.gradient_hash(F.col("v"))).withColumn("wide", vectors.wide_hash(F.col("v")))
-    return vectors.near_images(rows, mean_difference=0.001)  # the tables' vectors have unit length
+    return vectors.near_images(hashed(shots(spark, d)), mean_difference=MEAN_DIFFERENCE)
 
 
-@query("g_40_pair_classes", PAIRS + " SELECT CASE WHEN a % 4 <> b % 4 THEN 'cross_dataset' WHEN a % 3 <> b % 3 THEN 'cross_label' ELSE 'same_folder' END AS kind, count(*) AS n FROM near GROUP BY 1")
+@query("g_40_pair_classes", f"WITH {SHOTS}, {_three('shots')} SELECT CASE WHEN a % 4 <> b % 4 THEN 'cross_dataset' WHEN a % 3 <> b % 3 THEN 'cross_label' ELSE 'same_folder' END AS kind, count(*) AS n FROM near GROUP BY 1")
 def g_40(spark: SparkSession, d: str) -> DataFrame:
-    p = vectors.near_rows(shots(spark, d).select("id", vectors.gradient_hash(F.col("v")).alias("hash")), 4)
+    p = vectors.near_images(hashed(shots(spark, d)), mean_difference=MEAN_DIFFERENCE)
     kind = F.when(F.col("a") % 4 != F.col("b") % 4, "cross_dataset").when(F.col("a") % 3 != F.col("b") % 3, "cross_label").otherwise("same_folder")
     return p.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
@@ -161,16 +195,21 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return bind(spark, d, "items")
 
 
-#: Photos of the curation queries: the shots above and, of every eleventh vector, the same file again in another folder. Near
-#: pairs are J-09's, over the gradient hash of the whole vector. Some second shots are labelled otherwise, some are filed under
-#: another official split, and one rare label is in the training split alone.
-PHOTO = """id, CASE WHEN vec % 97 = 0 THEN 'rare' WHEN vec % 53 = 0 AND shot = 1 THEN 'odd' ELSE concat('l', CAST(label AS {text})) END AS leaf, concat('d', CAST(vec AS {text}), '-', CAST(shot % 2 AS {text})) AS digest,
+#: Photos of the curation queries: vectors rounded down to quarters, so that many neighbours are equal, and second shots in which
+#: some elements are a little larger: by 0 to 9 bits of the hash and about 0 to 36 of the wide one, on both sides of what is near.
+#: Third shots of every fifth vector differ further, so some are near the second shot alone. Of every eleventh vector the same file
+#: is there again in another folder. Some second shots are labelled otherwise, some are filed under another official split, and
+#: one rare label is in the training split alone.
+PHOTO = """id, CASE WHEN vec % 97 = 0 THEN 'rare' WHEN vec % 53 = 0 AND shot = 1 THEN 'odd' ELSE concat('l', CAST(label AS {text})) END AS leaf, concat('d', CAST(vec AS {text}), '-', CAST(CASE WHEN shot = 2 THEN 0 ELSE shot END AS {text})) AS digest,
     concat('set', CAST(vec % 3 AS {text}), '/', CAST(id AS {text})) AS path, concat('set', CAST(vec % 3 AS {text})) AS dataset, 600 + id % 900 AS n_chars,
     CASE WHEN vec % 97 = 0 THEN 'train' WHEN vec % 13 = 0 AND shot = 1 THEN 'test' WHEN vec % 10 = 0 THEN 'val' WHEN vec % 10 < 4 THEN 'train' END AS split"""
-SHOT = "SELECT vec_id * 3 AS id, vec_id AS vec, 0 AS shot, label, embedding AS v FROM {e} UNION ALL SELECT vec_id * 3 + 1, vec_id, 1, label, {changed} FROM {e} UNION ALL SELECT vec_id * 3 + 2, vec_id, 2, label, embedding FROM {e} WHERE vec_id % 11 = 0"
-CHANGED = "list_transform(range(1, 65), lambda i: CASE WHEN i = 1 + vec_id % 64 THEN embedding[i] + 0.02::FLOAT ELSE embedding[i] END)"
-PHOTOS = f"photos AS (SELECT {PHOTO.format(text='VARCHAR')}, {BITS} AS hash FROM ({SHOT.format(e='embeddings', changed=CHANGED)}))"
-GROUPS = f"""WITH RECURSIVE {PHOTOS}, cls AS (SELECT hash, min(id) AS id FROM photos GROUP BY 1), near AS (SELECT a.id AS a, b.id AS b FROM cls a JOIN cls b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 4 UNION ALL SELECT cls.id, photos.id FROM photos JOIN cls USING (hash)),
+SHOT = "SELECT vec_id * 4 AS id, vec_id AS vec, 0 AS shot, label, {v0} AS v FROM {e} UNION ALL SELECT vec_id * 4 + 1, vec_id, 1, label, {v1} FROM {e} UNION ALL SELECT vec_id * 4 + 2, vec_id, 2, label, {v0} FROM {e} WHERE vec_id % 11 = 0 UNION ALL SELECT vec_id * 4 + 3, vec_id, 3, label, {v3} FROM {e} WHERE vec_id % 5 = 0"
+#: The vectors of the shots in both dialects: which elements (from 0) are 0.001 larger.
+STEPS = {"v0": "false", "v1": "(i + vec_id) % 7 = 0", "v3": "(i + vec_id) % 7 < 2"}
+_DUCK_V = {k: f"list_transform(range(0, 64), lambda i: floor(embedding[i + 1]::DOUBLE * 4) / 4 + CASE WHEN {c} THEN 0.001::DOUBLE ELSE 0 END)" for k, c in STEPS.items()}
+_SPARK_V = {k: f"transform(embedding, (x, i) -> floor(CAST(x AS DOUBLE) * 4) / 4 + CASE WHEN {c} THEN 0.001D ELSE 0D END)" for k, c in STEPS.items()}
+PHOTOS = f"photos AS (SELECT {PHOTO.format(text='VARCHAR')}, v FROM ({SHOT.format(e='embeddings', **_DUCK_V)}))"
+GROUPS = f"""WITH RECURSIVE {PHOTOS}, {_three('photos')},
     dig AS (SELECT id, min(id) OVER (PARTITION BY digest) AS q FROM photos), edges AS (SELECT a, b FROM near UNION SELECT b, a FROM near UNION SELECT id, q FROM dig UNION SELECT q, id FROM dig),
     reach(id, r) AS (SELECT id, id FROM photos UNION SELECT e.a, reach.r FROM reach JOIN edges e ON e.b = reach.id), grouped AS (SELECT photos.*, g.grp FROM photos JOIN (SELECT id, min(r) AS grp FROM reach GROUP BY 1) g USING (id))"""
 PRIO = "CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'test' THEN 2 ELSE 9 END"
@@ -182,16 +221,14 @@ DEDUP = f"""{GROUPS}, gg AS (SELECT grp, min(leaf) <> max(leaf) AS conflict FROM
 
 
 def photos(spark: SparkSession, d: str) -> DataFrame:
-    changed = "transform(embedding, (x, i) -> CASE WHEN i = vec_id % 64 THEN x + CAST(0.02 AS FLOAT) ELSE x END)"
-    shots_ = spark.sql(SHOT.format(e="{e}", changed=changed), e=read(spark, d, "embeddings"))
-    rows = spark.sql(f"SELECT {PHOTO.format(text='STRING')}, v FROM {{s}}", s=shots_)
-    return rows.withColumn("hash", vectors.gradient_hash(F.col("v"))).drop("v")
+    shots_ = spark.sql(SHOT.format(e="{e}", **_SPARK_V), e=read(spark, d, "embeddings"))
+    return spark.sql(f"SELECT {PHOTO.format(text='STRING')}, v FROM {{s}}", s=shots_)
 
 
 def grouped(spark: SparkSession, d: str) -> DataFrame:
     rows = photos(spark, d)
-    near = vectors.near_rows(rows.select("id", "hash"), 4).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return curate.duplicate_groups(rows, near)
+    near = vectors.near_images(hashed(rows.select("id", "v")), mean_difference=MEAN_DIFFERENCE, forest=True)
+    return curate.duplicate_groups(rows.drop("v"), near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 @query("c_02_duplicate_groups", GROUPS + " SELECT id, grp FROM grouped")
@@ -210,8 +247,8 @@ def c_04(spark: SparkSession, d: str) -> DataFrame:
 
 
 SPLIT = DEDUP + """, unsplit AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY md5(concat('7:', path)), path) AS rank, count(*) OVER (PARTITION BY leaf)::DOUBLE AS n FROM deduped WHERE reason = 'kept' AND split IS NULL),
-    assigned AS (SELECT id, leaf, digest, path, n_chars, dataset, grp, hash, CASE WHEN rank <= round_even(n * 0.15, 0) THEN 'val' WHEN rank <= round_even(n * 0.15, 0) + round_even(n * 0.1, 0) THEN 'test' ELSE 'train' END AS split FROM unsplit
-        UNION ALL SELECT id, leaf, digest, path, n_chars, dataset, grp, hash, split FROM deduped WHERE reason = 'kept' AND split IS NOT NULL)"""
+    assigned AS (SELECT id, leaf, digest, path, n_chars, dataset, grp, CASE WHEN rank <= round_even(n * 0.15, 0) THEN 'val' WHEN rank <= round_even(n * 0.15, 0) + round_even(n * 0.1, 0) THEN 'test' ELSE 'train' END AS split FROM unsplit
+        UNION ALL SELECT id, leaf, digest, path, n_chars, dataset, grp, split FROM deduped WHERE reason = 'kept' AND split IS NOT NULL)"""
 
 
 def assigned(spark: SparkSession, d: str) -> DataFrame:
@@ -367,14 +404,16 @@ def g_41(spark: SparkSession, d: str) -> DataFrame:
     return curate.dataset_summary(assigned(spark, d))
 
 
-KINDS = f"""WITH {PHOTOS}, p AS (SELECT *, coalesce(split, '-') AS s FROM photos), near AS (SELECT least(struct_pack(d := a.dataset, l := a.leaf, s := a.s), struct_pack(d := b.dataset, l := b.leaf, s := b.s)) AS x, greatest(struct_pack(d := a.dataset, l := a.leaf, s := a.s), struct_pack(d := b.dataset, l := b.leaf, s := b.s)) AS y
-    FROM p a JOIN p b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 4 AND a.digest <> b.digest), k AS (SELECT CASE WHEN x.d <> y.d THEN 'cross_dataset' WHEN x.l <> y.l THEN 'cross_label' WHEN x.s <> y.s THEN 'cross_split' ELSE 'same_folder' END AS kind, concat(x.d, '/', x.l) AS a, concat(y.d, '/', y.l) AS b FROM near)"""
+KINDS = f"""WITH {PHOTOS}, {_three('photos')}, p AS (SELECT h.*, coalesce(split, '-') AS s, c.id AS cls FROM hashed h JOIN classes c USING (v)), met AS (SELECT a, b FROM links UNION ALL SELECT id, id FROM classes),
+    near_files AS (SELECT least(struct_pack(d := a.dataset, l := a.leaf, s := a.s), struct_pack(d := b.dataset, l := b.leaf, s := b.s)) AS x, greatest(struct_pack(d := a.dataset, l := a.leaf, s := a.s), struct_pack(d := b.dataset, l := b.leaf, s := b.s)) AS y, least(a.path, b.path) AS path_a, greatest(a.path, b.path) AS path_b
+        FROM met m JOIN p a ON a.cls = m.a JOIN p b ON b.cls = m.b AND (m.a <> m.b OR a.id < b.id) AND a.digest <> b.digest),
+    k AS (SELECT CASE WHEN x.d <> y.d THEN 'cross_dataset' WHEN x.l <> y.l THEN 'cross_label' WHEN x.s <> y.s THEN 'cross_split' ELSE 'same_folder' END AS kind, concat(x.d, '/', x.l) AS a, concat(y.d, '/', y.l) AS b, path_a, path_b FROM near_files)"""
 
 
 def near_kinds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = cut(photos(spark, d))
-    links = vectors.near_rows(rows.select("id", "hash"), 4).where("bits > 0")
-    return curate.near_kinds(rows, links)
+    rows = photos(spark, d)
+    members, links = vectors.near_classes(hashed(rows.select("id", "v")), mean_difference=MEAN_DIFFERENCE)
+    return curate.near_kinds(cut(rows.drop("v").join(members, "id")), cut(links))
 
 
 @query("g_40_near_kinds", KINDS + " SELECT kind, a, b, count(*) AS n FROM k GROUP BY ALL")
@@ -382,7 +421,7 @@ def g_40b(spark: SparkSession, d: str) -> DataFrame:
     return near_kinds(spark, d)[0]
 
 
-@query("g_40_examples")
+@query("g_40_examples", KINDS + " SELECT kind, a, b, path_a, path_b, row_number() OVER (PARTITION BY kind, a, b ORDER BY path_a, path_b)::INT AS rank FROM k QUALIFY rank <= 4")
 def g_40c(spark: SparkSession, d: str) -> DataFrame:
     return near_kinds(spark, d)[1]
 

@@ -2,12 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loopgrade.functions.geo import haversine_km
 from loopgrade.functions.labels import sub_label, type_label, wilson
-from loopgrade.operators import calibrate, carbon, components, curate, evaluate, feedback, ordered, predict, ranking, search, vectors
+from loopgrade.operators import calibrate, carbon, components, curate, evaluate, feedback, hamming, inverted, ordered, predict, ranking, search, vectors
 
 FACTORS = [("iron", "metal", 2.0, False, "b"), ("tin", "metal", 1.0, True, "a"), ("sand", "glass", 0.011, False, "c"), ("clay", "glass", 0.05, False, "c")]
 
@@ -324,16 +325,67 @@ def test_hamming_pairs_are_lossless(spark, monkeypatch, limit, width, large):
     assert got == [(i, j, (xs[i] ^ xs[j]).bit_count()) for i in range(len(xs)) for j in range(i + 1, len(xs)) if (xs[i] ^ xs[j]).bit_count() <= limit]
 
 
-def test_search_by_blocks_is_the_join(spark):
-    texts = [(i, " ".join(f"w{(i * k) % 29}" for k in range(1, 12))) for i in range(120)]
-    docs, asked = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(texts[::9], "id long, text string")
-    q, index = search.tfidf(asked, docs)
-    joined = index.join(q.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("wq")), "term").groupBy("query_id", "id").agg(F.sum(F.col("wq") * F.col("weight")).alias("similarity"))
+def test_inverted_index_is_the_join(spark, monkeypatch):
+    monkeypatch.setattr(inverted, "SEGMENT", 30)
+    monkeypatch.setattr(inverted, "ASKED", 60)  # chunks of queries
+    texts = [(i, " ".join(f"w{(i * k) % 29}" for k in range(1, 12)), f"s{i % 7}") for i in range(200)] + [(900, "", "s1"), (901, None, "lonely"), (902, "w1 w2", None)]
+    docs = spark.createDataFrame(texts, "id long, text string, kind string")
+    asked = spark.createDataFrame([*texts[:200:9], (990, "nothing known", "s3"), (991, None, "s3"), (992, "w1", "none"), (993, "w3 w4", "lonely")], "id long, text string, kind string")
+    counts = search.term_counts(docs)
+    idf = search.idf_table(counts, docs.count())
+    w, q = search.weigh(counts, idf), search.weigh(search.term_counts(asked), idf)
+    joined = w.join(q.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("wq")), "term").groupBy("query_id", "id").agg(F.sum(F.col("wq") * F.col("weight")).alias("similarity"))
+    every = {(r.query_id, r.id): r.similarity for r in joined.collect()}
+    index = inverted.build(docs, "kind")
+    got = {(r.query_id, r.id): r.similarity for r in inverted.search(index, asked, None).collect()}
+    assert got == {k: pytest.approx(x) for k, x in every.items()} and len(got) > 300
     want = sorted(map(tuple, search.top(joined, 4).select("query_id", "id", "rank").collect()))
-    got = search.best(q, index, 4, block=7, asked=3)
-    assert sorted(map(tuple, got.select("query_id", "id", "rank").collect())) == want
-    every = {(r.query_id, r.id): r.similarity for r in search.similarity(q, index, block=7, asked=3).collect()}
-    assert every == {(r.query_id, r.id): pytest.approx(r.similarity) for r in joined.collect()} and len(every) > 120
+    assert sorted(map(tuple, inverted.search(index, asked, 4).select("query_id", "id", "rank").collect())) == want
+    kinds = {i: k for i, _, k in texts}
+    ranks = {r.query_id: r.first_rank for r in inverted.first_rank(index, asked, "kind").collect()}
+    for query, _, kind in asked.collect():
+        order = sorted(kinds, key=lambda i: (-round(every.get((query, i), 0), 9), i))  # noqa: B023
+        assert ranks[query] == next((n for n, i in enumerate(order, 1) if kinds[i] == kind), None)
+    assert ranks[992] is None and ranks[993] > 10
+
+
+def test_ranges_are_skipped(spark):
+    rng = np.random.default_rng(2)
+    n = 2000
+    doc = np.sort(np.concatenate([rng.choice(n, 300, replace=False) for _ in range(40)]).reshape(40, 300), axis=1)
+    weight = rng.random((40, 300)) ** 6
+    rows = [(t, d // inverted.RANGE, d, w) for t in range(40) for d, w in zip(doc[t], weight[t], strict=True)]
+    key = np.array([(t, p) for t, p, _, _ in rows])
+    start = np.flatnonzero(np.append(True, (np.diff(key, axis=0) != 0).any(axis=1)))
+    flat = np.array([w for *_, w in rows])
+    s = inverted.Segment(np.arange(n), np.array([None] * n, object), key[start, 0], key[start, 1], np.maximum.reduceat(flat, start), start, np.diff(np.append(start, len(rows))), np.array([d for _, _, d, _ in rows]), flat)
+    seen: dict = {}
+    for k in range(20):
+        terms, w = np.sort(rng.choice(40, 4, replace=False)), rng.random(4)
+        total = s.score(*s.rows(terms, w))
+        docs, scores, _ = inverted.best_of(s, terms, w, 5, 0.0, seen=seen)
+        assert list(docs) == list(np.lexsort((np.arange(n), -np.round(total, 9)))[:5]) and scores == pytest.approx(total[docs])
+        assert inverted.above_of(s, terms, w, round(float(scores[4]), 9), int(docs[4])) == 4
+    assert seen["skipped"] > seen["scored"]
+
+
+def test_metric_index_discards_blocks_and_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    monkeypatch.setattr(vectors, "PIVOTS", 6)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 16))
+    table = lambda n, off, spread: [(off + i, i % 5, [float(x) for x in centres[i % 6] + spread * rng.normal(size=16)]) for i in range(n)]
+    bank = spark.createDataFrame([*table(400, 0, 0.15), (700, 0, [1.0] * 16), (701, 1, [1.0] * 16)], "bank_id long, label int, embedding array<double>")
+    asked = spark.createDataFrame([*table(90, 1000, 0.2), (2000, 0, [1.0] * 16), (2001, 0, [-1.0] * 16)], "id long, label int, embedding array<double>").select("id", "embedding")
+    for k in (1, 100):
+        got = sorted((r.id, r.bank_id, r.label, round(r.distance, 9)) for r in vectors.neighbours(asked, bank, k).collect())
+        assert got == sorted((r.id, r.bank_id, r.label, round(r.distance, 9)) for r in vectors.neighbours(asked, bank, k, blocks=1).collect()) and len(got) == 92 * k
+    memory = bank.withColumnRenamed("bank_id", "mem_id")
+    near = lambda **how: sorted((r.id, r.mem_id, round(r.distance, 9)) for r in vectors.within(asked, memory, 0.1, **how).collect())
+    assert near() == near(blocks=(1, 1)) and len(near()) > 1000
+    at = vectors.pivots(bank, "bank_id", 6)
+    pairs = vectors.block_pairs(vectors.placed(asked, "id", at), vectors.placed(bank, "bank_id", at), 6)
+    assert pairs.where("apart * apart <= 0.2").count() < 0.4 * pairs.count()
 
 
 def test_only_two_generations_stay(spark, tmp_path):
@@ -354,6 +406,18 @@ def test_open_set_needs_no_class_to_be_scanned_twice(spark):
         assert got[c].rejected_combined == pytest.approx(sum(r[2] > 0.9 or r[1] < 0.2 for r in own) / len(own), abs=1e-6)
 
 
+def test_floor_of_all_others_for_any_number_of_classes(spark):
+    rows = [(f"c{i % 1200}", (i * 37 % 101) / 101, (i * 53 % 97) / 97) for i in range(4000)] + [("many", 0.001 * (i // 3), 0.5) for i in range(900)] + [("one", 0.0, 0.5)]
+    got = {r.unseen: r for r in evaluate.open_set(spark.createDataFrame(rows, "truth string, confidence double, knn double"), 0.2, 0.9).collect()}
+    assert len(got) == 1202
+    for c in ("c0", "c7", "c1199", "many", "one"):
+        floor = np.quantile([x for t, x, _ in rows if t != c], 0.05)
+        own = [x for t, x, _ in rows if t == c]
+        assert got[c].n == len(own) and got[c].rejected_msp == pytest.approx(sum(x < floor for x in own) / len(own), abs=1e-6)
+    alone = evaluate.open_set(spark.createDataFrame([("a", 0.3, 0.1), ("a", 0.4, 0.2)], "truth string, confidence double, knn double"), 0.2, 0.9).first()
+    assert (alone.n, alone.rejected_msp, alone.auroc_msp) == (2, None, None)
+
+
 def test_curve_choice_and_reports(spark):
     # one photo whose type the memory mends under every curve; a far match (x = 0.9) mends another only where the step curve counts it in full
     leaves = spark.createDataFrame([(i, leaf, leaf[0], leaf[3:], p) for i in (1, 2) for leaf, p in (("a__p", 0.2), ("a__q", 0.1), ("b__p", 0.7))], "id long, leaf string, waste_type string, sub_type string, p double")
@@ -373,7 +437,8 @@ def test_near_kinds_against_all_pairs(spark):
     from itertools import combinations
 
     rows = [(i, i % 4, f"x{i}" if i % 5 else "same" + str(i % 4), f"d{i % 2}", f"l{i % 3}", (None, "train", "val")[i % 7 % 3], f"p{i:03d}") for i in range(60)]
-    df = spark.createDataFrame(rows, "id long, hash long, digest string, dataset string, leaf string, split string, path string")
+    rows += [(100 + i, 50, f"y{i}", "d9", "l9", None, f"q{i}") for i in range(10)] + [(200 + i, 60, "z" if i < 9 else "w", "d8", "l8", None, f"r{i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, cls long, digest string, dataset string, leaf string, split string, path string")
     linked = {(0, 1), (1, 3)}
     near = [(a, b) for a, b in combinations(rows, 2) if (a[1] == b[1] or (min(a[1], b[1]), max(a[1], b[1])) in linked) and a[2] != b[2]]
     want: dict = {}
@@ -383,6 +448,42 @@ def test_near_kinds_against_all_pairs(spark):
         want.setdefault((kind, x, y), set()).add(tuple(sorted((a[6], b[6]))))
     counts, examples = curate.near_kinds(df, spark.createDataFrame([(0, 1), (1, 3)], "a long, b long"))
     assert {(r.kind, r.a, r.b): r.n for r in counts.collect()} == {k: len(v) for k, v in want.items()}
-    found = examples.collect()
-    assert found and all((r.path_a, r.path_b) in want[r.kind, r.a, r.b] for r in found)
-    assert {(r.kind, r.a, r.b) for r in found} == set(want) and max(r["rank"] for r in found) <= 4
+    first = {(k, rank, *pair) for k, v in want.items() for rank, pair in enumerate(sorted(v)[:4], 1)}
+    assert {((r.kind, r.a, r.b), r["rank"], r.path_a, r.path_b) for r in examples.collect()} == first
+
+
+@pytest.mark.parametrize("large", [3])
+def test_near_groups_by_three_tests_with_a_forest(spark, monkeypatch, large):
+    monkeypatch.setattr(hamming, "LARGE", large)
+    monkeypatch.setattr(hamming, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    base = np.floor(rng.normal(size=(9, 64)) * 2) / 4
+    rows = []
+    for i in range(90):  # neighbours at 5 to 10 bits, beyond, and equal ones; a third group is dense
+        v = base[0 if i % 3 == 0 else 1 + i % 8].copy()
+        at = rng.choice(64, rng.integers(0, 9 if i % 3 else 5), replace=False)
+        v[at] += 0.001
+        if i % 11 == 5:
+            v += np.where(np.arange(64) % 2, 0.2, 0)  # near by the hashes of some, far by the mean difference
+        rows.append((i, v.tolist()))
+    df = spark.createDataFrame(rows, "id long, v array<double>").withColumn("hash", vectors.gradient_hash(F.col("v"))).withColumn("wide", vectors.wide_hash(F.col("v")))
+    got = df.collect()
+    bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    near = {(a.id, b.id): bits(a.hash, b.hash) for a in got for b in got if a.id < b.id and bits(a.hash, b.hash) <= 10 and sum(map(bits, a.wide, b.wide)) <= 22 and np.abs(np.subtract(a.v, b.v)).mean() <= 0.001}
+    assert any(5 <= n <= 10 for n in near.values()) and len(near) > 300
+    parent = {r.id: r.id for r in got}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in sorted(near):
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    edges = vectors.near_images(df, mean_difference=0.001, forest=True).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    groups = curate.duplicate_groups(df.select("id", F.concat(F.lit("d"), "id").alias("digest")), edges)
+    assert {r.id: r.grp for r in groups.collect()} == {r.id: root(r.id) for r in got}
+    assert {(r.src, r.dst) for r in edges.collect()} <= set(near)
+    if large == 3:
+        assert edges.distinct().count() < vectors.near_images(df, mean_difference=0.001).count()
