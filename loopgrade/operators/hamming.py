@@ -45,15 +45,15 @@ def bands(limit: int, width: int, n: int) -> list[tuple[int, int, int]]:
     return [(lo, hi, r) for lo, hi, r in zip(cuts, cuts[1:], radii, strict=False)]
 
 
-def pairs(rows: DataFrame, limit: int, width: int, payload: DataFrame | None = None, accept: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None) -> DataFrame:
+def pairs(rows: DataFrame, limit: int, width: int, payload: DataFrame | None = None, accept: Callable[[dict[str, np.ndarray], int, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``a, b, bits``: pairs a < b of different ``id`` whose ``words`` (array of longs) differ in at most ``limit`` of ``width`` bits.
 
     ``rows`` are distinct strings, computed already. Each puts its band values in a table and probes around those of radius 1;
     band values of more than LARGE strings are dealt into blocks that meet in numpy, so no bucket is gathered or joined with
     itself. A pair is kept in its first band only.
 
-    For groups, where only what hangs together counts, give a ``payload`` (id and more columns) and ``accept`` (of a row of it and
-    further rows, which of these belong with it): every two blocks then return a forest of accepted pairs, which connects what
+    For groups, where only what hangs together counts, give a ``payload`` (id and more columns, packed doubles as a matrix) and ``accept``
+    (of its columns, a row and further rows: which of these belong with it): every two blocks then return a forest of accepted pairs, which connects what
     their accepted pairs connect. Pairs of small buckets are few and come as they are, not yet accepted.
     """
     plan = bands(limit, width, rows.count())
@@ -116,6 +116,7 @@ def pairs(rows: DataFrame, limit: int, width: int, payload: DataFrame | None = N
         ids, probe, mine = part["id"].to_numpy(), part["probe"].to_numpy(bool), part["own"].to_numpy()
         w = np.stack(part["words"].to_numpy()).astype(np.int64).view(np.uint64)
         tree, out = np.unique(ids, return_inverse=True)[1], []  # a row's tree; equal ids are one
+        columns = {c: np.frombuffer(b"".join(part[c])).reshape(len(part), -1) if part[c].dtype == object else part[c].to_numpy() for c in more}
 
         def link(left: np.ndarray, right: np.ndarray, told: bool) -> None:
             for p in left:
@@ -123,7 +124,7 @@ def pairs(rows: DataFrame, limit: int, width: int, payload: DataFrame | None = N
                 bits_ = np.bitwise_count(w[apart] ^ w[p]).sum(axis=1)
                 apart, bits_ = apart[bits_ <= limit], bits_[bits_ <= limit]
                 if len(apart):
-                    good = accept(part.iloc[[p]], part.iloc[apart])
+                    good = accept(columns, p, apart)
                     apart, bits_ = apart[good], bits_[good]
                     _, first = np.unique(tree[apart], return_index=True)  # one link to each tree
                     if told:

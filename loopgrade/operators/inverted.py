@@ -56,7 +56,7 @@ def hashed(texts: DataFrame, *more: str) -> DataFrame:
                 terms, times = [], []
                 for text in part.column("text").to_pylist():
                     words = token.findall(text or "")
-                    for w in set(words) - known.keys():
+                    for w in {w for w in words if w not in known}:
                         known[w] = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little")
                     h = np.fromiter((known[w] for w in words), np.uint64, len(words))
                     pairs = (h[:-1] * _MIX[0]) ^ ((h[1:] + _MIX[2]) * _MIX[1])
@@ -112,7 +112,7 @@ def build(texts: DataFrame, label: str | None = None) -> Index:
         return pa.table([*flat_, *lists], names=["segment", "term", "part", "top", "docs", "weights"])
 
     blocks = weighed.groupBy("segment").cogroup(docs.select("segment", "ids").groupBy("segment")).applyInArrow(pack, "segment int, term long, part int, top double, docs array<int>, weights array<double>")
-    return Index(written(blocks.sortWithinPartitions("term", "segment", "part")), docs, frequencies, n)
+    return Index(written(blocks), docs, frequencies, n)
 
 
 def weigh(index: Index, texts: DataFrame) -> DataFrame:
@@ -230,19 +230,19 @@ def _work(run: Callable[[Segment, list], pa.Table], sent: Broadcast) -> Callable
     return lambda blocks, docs: run(_segment(blocks, docs), sent.value)
 
 
-def _vectors(index: Index, queries: DataFrame, *more: str) -> DataFrame:
-    """``query_id, terms, weights`` and the columns ``more`` of the queries (id, text)."""
+def vectors(index: Index, queries: DataFrame, *more: str) -> DataFrame:
+    """``query_id, terms, weights`` and the columns ``more`` of the queries (id, unique, and text), written once for any number of searches."""
     rest = queries.select(F.col("id").alias("query_id"), *more)
-    return weigh(index, queries.select("id", "text")).withColumnRenamed("id", "query_id").join(rest, "query_id")
+    return written(weigh(index, queries.select("id", "text")).withColumnRenamed("id", "query_id").join(rest, "query_id"))
 
 
-def search(index: Index, queries: DataFrame, k: int | None, label: str | None = None) -> DataFrame:
+def search(index: Index, asked: DataFrame, k: int | None, label: str | None = None) -> DataFrame:
     """``query_id, id, similarity, rank``: the ``k`` best documents that share a term with the query; all, without rank, where ``k`` is None.
 
-    ``queries``: id (unique), text; with ``label``, a column of them, only documents of the query's label are found.
+    ``asked``: the queries' :func:`vectors`; with ``label``, a column of them, only documents of the query's label are found.
     """
-    kinds = dict(queries.dtypes)["id"], index.docs.schema["ids"].dataType.elementType.simpleString()
-    asked = _vectors(index, queries, *([label] if label else []))
+    kinds = dict(asked.dtypes)["query_id"], index.docs.schema["ids"].dataType.elementType.simpleString()
+    asked = asked.select("query_id", "terms", "weights", *([label] if label else []))
     bars: dict = {}
 
     def run(s: Segment, rows: list) -> pa.Table:
@@ -256,9 +256,9 @@ def search(index: Index, queries: DataFrame, k: int | None, label: str | None =
             else:  # what a task has seen of other segments bounds this one, too
                 docs, scores, bars[key] = best_of(s, r["terms"], r["weights"], k, bars.get(key, 0.0), r[label] if label else None)
             out.append((key, docs, scores))
-        names = pa.array([q for q, _, _ in out]).take(pa.array(np.repeat(np.arange(len(out)), [len(x) for _, x, _ in out]))) if out else pa.array([])
+        names = pa.array([q for q, _, _ in out], query_kind).take(pa.array(np.repeat(np.arange(len(out)), [len(x) for _, x, _ in out])))
         docs = np.concatenate([x for _, x, _ in out] or [np.zeros(0, np.int64)])
-        return pa.table({"query_id": names.cast(query_kind), "id": pa.array(s.ids[docs.astype(int)], id_kind), "similarity": pa.array(np.concatenate([x for _, _, x in out] or [np.zeros(0)]))})
+        return pa.table({"query_id": names, "id": pa.array(s.ids[docs.astype(int)], id_kind), "similarity": pa.array(np.concatenate([x for _, _, x in out] or [np.zeros(0)]))})
 
     query_kind, id_kind = _arrow(kinds[0]), _arrow(kinds[1])
     found = _meet(index, asked, run, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
@@ -275,22 +275,22 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def first_rank(index: Index, queries: DataFrame, label: str) -> DataFrame:
+def first_rank(index: Index, asked: DataFrame, label: str) -> DataFrame:
     """``query_id, first_rank``: the rank of the query's first document of its ``label`` among all documents; null where no document has it.
 
-    The best of the label is found by a search, and its rank is a count. Documents that share no term come last, by id.
+    ``asked``: the queries' :func:`vectors` with their ``label``. The best of the label is found by a search, and its rank is a
+    count. Documents that share no term come last, by id.
     """
-    q = queries.select("id", "text", F.col(label).cast("string").alias("_label"))
-    best = search(index, q, 1, "_label").select("query_id", F.col("id").alias("_id"), F.round("similarity", DIGITS).alias("_bar"))
-    least = index.docs.select(F.explode(F.arrays_zip("ids", "labels")).alias("x")).groupBy(F.col("x.labels").alias("_label")).agg(F.min("x.ids").alias("_least"))
-    bars = q.select(F.col("id").alias("query_id"), "_label").join(best, "query_id", "left").join(bounded(least), "_label", "left")
-    bars = bars.select(F.col("query_id").alias("id"), F.coalesce("_id", "_least").alias("bar_id"), F.coalesce("_bar", F.lit(0.0)).alias("bar"))
-    asked = _vectors(index, q.join(bars, "id"), "bar", "bar_id").where("bar_id is not null")
+    best = search(index, asked, 1, label).select("query_id", F.col("id").alias("_id"), F.round("similarity", DIGITS).alias("_bar"))
+    least = index.docs.select(F.explode(F.arrays_zip("ids", "labels")).alias("x")).groupBy(F.col("x.labels").alias(label)).agg(F.min("x.ids").alias("_least"))
+    bars = asked.join(best, "query_id", "left").join(bounded(least), label, "left")
+    bars = bars.select("query_id", "terms", "weights", F.coalesce("_id", "_least").alias("bar_id"), F.coalesce("_bar", F.lit(0.0)).alias("bar")).where("bar_id is not null")
 
     def run(s: Segment, rows: list) -> pa.Table:
         n = [above_of(s, r["terms"], r["weights"], r["bar"], r["bar_id"]) for r in rows]
         return pa.table({"query_id": pa.array([r["query_id"] for r in rows], query_kind), "n": pa.array(n, pa.int64())})
 
-    query_kind = _arrow(dict(queries.dtypes)["id"])
-    counts = _meet(index, asked, run, f"query_id {dict(queries.dtypes)['id']}, n long").groupBy("query_id").agg((F.sum("n") + 1).alias("first_rank"))
-    return queries.select(F.col("id").alias("query_id")).join(counts, "query_id", "left")
+    kind = dict(asked.dtypes)["query_id"]
+    query_kind = _arrow(kind)
+    counts = _meet(index, bars, run, f"query_id {kind}, n long").groupBy("query_id").agg((F.sum("n") + 1).alias("first_rank"))
+    return asked.select("query_id").join(counts, "query_id", "left")

@@ -82,7 +82,8 @@ def scores(queries: DataFrame, catalogue: DataFrame, backend: str) -> DataFrame:
     ``tfidf`` reads (id, text) on both sides; ``dense`` reads (id, embedding). Both take any number of queries.
     """
     if backend == "tfidf":
-        return inverted.search(inverted.build(catalogue), queries, None)
+        index = inverted.build(catalogue)
+        return inverted.search(index, inverted.vectors(index, queries), None)
     if backend == "dense":
         return vectors.similarities(queries, catalogue)
     raise ValueError(f"unknown backend {backend!r}")
@@ -90,4 +91,7 @@ def scores(queries: DataFrame, catalogue: DataFrame, backend: str) -> DataFrame:
 
 def search(queries: DataFrame, catalogue: DataFrame, backend: str, k: int) -> DataFrame:
     """The ``k`` best catalogue rows of every query by the named backend, with their rank."""
-    return inverted.search(inverted.build(catalogue), queries, k) if backend == "tfidf" else top(scores(queries, catalogue, backend), k)
+    if backend == "tfidf":
+        index = inverted.build(catalogue)
+        return inverted.search(index, inverted.vectors(index, queries), k)
+    return top(scores(queries, catalogue, backend), k)

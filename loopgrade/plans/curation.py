@@ -64,6 +64,11 @@ def text_index(spark: SparkSession, d: str) -> inverted.Index:
     return _INDEXES[key]
 
 
+def searched(spark: SparkSession, d: str, k: int | None) -> DataFrame:
+    index = text_index(spark, d)
+    return inverted.search(index, inverted.vectors(index, asked(spark, d)), k)
+
+
 @query("a_08_tfidf_index", INDEX + " SELECT id, count(*) AS terms, round(max(weight), 5) AS top_weight, round(sum(weight), 4) AS total_weight FROM cat GROUP BY 1")
 def a_08(spark: SparkSession, d: str) -> DataFrame:
     return index(spark, d)[0].groupBy("id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 5).alias("top_weight"), F.round(F.sum("weight"), 4).alias("total_weight"))
@@ -71,7 +76,7 @@ def a_08(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a_09_query_similarity", SCORES + " SELECT query_id, id, rank, round(similarity, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) AS rank FROM sim) WHERE rank <= 10")
 def a_09(spark: SparkSession, d: str) -> DataFrame:
-    return inverted.search(text_index(spark, d), asked(spark, d), 10).select("query_id", "id", "rank", F.round("similarity", 5).alias("similarity"))
+    return searched(spark, d, 10).select("query_id", "id", "rank", F.round("similarity", 5).alias("similarity"))
 
 
 @query("a_10_new_texts", INDEX + f", {_counts('q', 'pages', 'page_id').replace('lower(text)', 'lower(url)')}, {_weights('q')} SELECT id, count(*) AS terms, round(max(weight), 5) AS top_weight FROM q GROUP BY 1")
@@ -82,7 +87,7 @@ def a_10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j_04_similarity_pairs", SCORES + " SELECT query_id, count(*) AS pairs, round(max(similarity), 5) AS best FROM sim GROUP BY 1")
 def j_04(spark: SparkSession, d: str) -> DataFrame:
-    return inverted.search(text_index(spark, d), asked(spark, d), None).groupBy("query_id").agg(F.count("*").alias("pairs"), F.round(F.max("similarity"), 5).alias("best"))
+    return searched(spark, d, None).groupBy("query_id").agg(F.count("*").alias("pairs"), F.round(F.max("similarity"), 5).alias("best"))
 
 
 #: A query asks for one sub-type (a source), which is of one of four types. The ranking is over all documents; those that share no term come last.
@@ -94,9 +99,9 @@ RETRIEVAL = SCORES + f""", a AS (SELECT item_id AS query_id, concat('src', item_
 
 def retrieval(spark: SparkSession, d: str) -> DataFrame:
     index = text_index(spark, d)
-    q = cut(asked(spark, d).withColumn("label", F.concat(F.lit("src"), F.col("id") % 20)))
+    q = inverted.vectors(index, asked(spark, d).withColumn("label", F.concat(F.lit("src"), F.col("id") % 20)), "label")
     sources = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
-    best = inverted.search(index, q, 10).join(q.select(F.col("id").alias("query_id"), "label"), "query_id")
+    best = inverted.search(index, q, 10).join(q.select("query_id", "label"), "query_id")
     kind = lambda c: F.expr(TYPE.format(c=c, text="STRING"))
     best = sources.join(bounded(cut(best)), "id").select("query_id", "rank", (F.col("source") == F.col("label")).alias("relevant"), (kind("source") == kind("label")).alias("type_relevant"))
     return evaluate.retrieval(best, inverted.first_rank(index, q, "label"), 10)
@@ -114,7 +119,7 @@ def g_31b(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a_12_backend", SCORES + " SELECT query_id, id FROM sim QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) = 1")
 def a_12(spark: SparkSession, d: str) -> DataFrame:
-    return inverted.search(text_index(spark, d), asked(spark, d), 1).select("query_id", "id")
+    return searched(spark, d, 1).select("query_id", "id")
 
 
 #: The text of a listing, with abbreviations in every place a listing has them.
@@ -195,8 +200,8 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return bind(spark, d, "items")
 
 
-#: Photos of the curation queries: vectors rounded down to quarters, so that many neighbours are equal, and second shots in which
-#: some elements are a little larger: by 0 to 9 bits of the hash and about 0 to 36 of the wide one, on both sides of what is near.
+#: Photos of the curation queries: vectors rounded down to eighths, so that many neighbours are equal, and second shots in which
+#: a quarter of the elements is a little larger: up to 12 bits of the hash and 40 of the wide one, on both sides of what is near.
 #: Third shots of every fifth vector differ further, so some are near the second shot alone. Of every eleventh vector the same file
 #: is there again in another folder. Some second shots are labelled otherwise, some are filed under another official split, and
 #: one rare label is in the training split alone.
@@ -205,9 +210,9 @@ PHOTO = """id, CASE WHEN vec % 97 = 0 THEN 'rare' WHEN vec % 53 = 0 AND shot = 1
     CASE WHEN vec % 97 = 0 THEN 'train' WHEN vec % 13 = 0 AND shot = 1 THEN 'test' WHEN vec % 10 = 0 THEN 'val' WHEN vec % 10 < 4 THEN 'train' END AS split"""
 SHOT = "SELECT vec_id * 4 AS id, vec_id AS vec, 0 AS shot, label, {v0} AS v FROM {e} UNION ALL SELECT vec_id * 4 + 1, vec_id, 1, label, {v1} FROM {e} UNION ALL SELECT vec_id * 4 + 2, vec_id, 2, label, {v0} FROM {e} WHERE vec_id % 11 = 0 UNION ALL SELECT vec_id * 4 + 3, vec_id, 3, label, {v3} FROM {e} WHERE vec_id % 5 = 0"
 #: The vectors of the shots in both dialects: which elements (from 0) are 0.001 larger.
-STEPS = {"v0": "false", "v1": "(i + vec_id) % 7 = 0", "v3": "(i + vec_id) % 7 < 2"}
-_DUCK_V = {k: f"list_transform(range(0, 64), lambda i: floor(embedding[i + 1]::DOUBLE * 4) / 4 + CASE WHEN {c} THEN 0.001::DOUBLE ELSE 0 END)" for k, c in STEPS.items()}
-_SPARK_V = {k: f"transform(embedding, (x, i) -> floor(CAST(x AS DOUBLE) * 4) / 4 + CASE WHEN {c} THEN 0.001D ELSE 0D END)" for k, c in STEPS.items()}
+STEPS = {"v0": "false", "v1": "(i + vec_id) % 4 = 0", "v3": "(i + vec_id) % 4 < 2"}
+_DUCK_V = {k: f"list_transform(range(0, 64), lambda i: floor(embedding[i + 1]::DOUBLE * 8) / 8 + CASE WHEN {c} THEN 0.001::DOUBLE ELSE 0 END)" for k, c in STEPS.items()}
+_SPARK_V = {k: f"transform(embedding, (x, i) -> floor(CAST(x AS DOUBLE) * 8) / 8 + CASE WHEN {c} THEN 0.001D ELSE 0D END)" for k, c in STEPS.items()}
 PHOTOS = f"photos AS (SELECT {PHOTO.format(text='VARCHAR')}, v FROM ({SHOT.format(e='embeddings', **_DUCK_V)}))"
 GROUPS = f"""WITH RECURSIVE {PHOTOS}, {_three('photos')},
     dig AS (SELECT id, min(id) OVER (PARTITION BY digest) AS q FROM photos), edges AS (SELECT a, b FROM near UNION SELECT b, a FROM near UNION SELECT id, q FROM dig UNION SELECT q, id FROM dig),

@@ -337,12 +337,13 @@ def test_inverted_index_is_the_join(spark, monkeypatch):
     joined = w.join(q.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("wq")), "term").groupBy("query_id", "id").agg(F.sum(F.col("wq") * F.col("weight")).alias("similarity"))
     every = {(r.query_id, r.id): r.similarity for r in joined.collect()}
     index = inverted.build(docs, "kind")
-    got = {(r.query_id, r.id): r.similarity for r in inverted.search(index, asked, None).collect()}
+    asked_ = inverted.vectors(index, asked, "kind")
+    got = {(r.query_id, r.id): r.similarity for r in inverted.search(index, asked_, None).collect()}
     assert got == {k: pytest.approx(x) for k, x in every.items()} and len(got) > 300
     want = sorted(map(tuple, search.top(joined, 4).select("query_id", "id", "rank").collect()))
-    assert sorted(map(tuple, inverted.search(index, asked, 4).select("query_id", "id", "rank").collect())) == want
+    assert sorted(map(tuple, inverted.search(index, asked_, 4).select("query_id", "id", "rank").collect())) == want
     kinds = {i: k for i, _, k in texts}
-    ranks = {r.query_id: r.first_rank for r in inverted.first_rank(index, asked, "kind").collect()}
+    ranks = {r.query_id: r.first_rank for r in inverted.first_rank(index, asked_, "kind").collect()}
     for query, _, kind in asked.collect():
         order = sorted(kinds, key=lambda i: (-round(every.get((query, i), 0), 9), i))  # noqa: B023
         assert ranks[query] == next((n for n, i in enumerate(order, 1) if kinds[i] == kind), None)
