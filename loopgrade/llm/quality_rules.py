@@ -3,12 +3,10 @@
 Every line with a word is normalised (ASCII lower case, words joined by one space, digits as 0) and hashed,
 whatever its length. It is boilerplate of a host when it stands in more than ``max_docs`` distinct documents of
 that host; copies of one text count as one document, so a popular document is not mistaken for boilerplate.
-Boilerplate lines are removed, and a document that loses more than ``max_removed`` of its words is depleted and
-rejected.
-
-Near copies of one document share their lines, too. :func:`clean` therefore lets the first document (smallest
-doc_id) that holds a line keep it: of a group of near copies the first stays whole, and the others are the ones
-depleted, so no text vanishes from the corpus with all its copies.
+Boilerplate lines are removed from all documents but the first (smallest doc_id) that holds them: near copies of one
+document share their lines, too, and so of a group of them one stays whole, and no text vanishes with all its copies.
+A document is depleted, and rejected, where more than ``max_removed`` of its words go, or where fewer than the
+``MIN_WORDS`` that every document needs are left.
 
 Defined results: a null text is an empty text (no words, base_failed); a null host is a host of its own;
 repeated rows are judged alike; an empty table gives an empty result; other columns are ignored here and
@@ -103,10 +101,10 @@ def line_features(docs: DataFrame, host: str = "source") -> DataFrame:
     return base.mapInArrow(run, f"{fields(base, *keep)}, {counts}")
 
 
-def judge(docs: DataFrame, host: str = "source", max_docs: int = 10, max_removed: float = 0.5, spare_first: bool = False) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_docs: int = 10, max_removed: float = 0.5) -> DataFrame:
     """Per row of ``docs``: counts, ``base_failed``, ``removed_words``, ``removed_lines`` (hashes) and ``kept``.
 
-    With ``spare_first`` a line stays in the first document that holds it, by doc_id (null last), then text key.
+    A boilerplate line stays in the first document that holds it, by doc_id (null last), then text key.
     The line table is combined to (line, text) before its first shuffle and to counts before the second, so a
     line that stands in a third of all documents reaches no task as a third of the rows; the boilerplate lines
     come back by a join that is spread over a hot line.
@@ -119,25 +117,24 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = 10, max_removed
     )
     texts = lines.groupBy("key", "th").agg(F.min("doc").alias("doc"))
     common = cut(texts.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("owner")).where(F.col("n") > max_docs).select("key", "owner"))
-    spared = ~F.col("doc").eqNullSafe(F.col("owner")) if spare_first else F.lit(True)
-    gone = spread_join(lines, common, ["key"]).where(spared).groupBy("rid").agg(F.sum("w").alias("removed_words"), F.collect_set("h").alias("removed_lines"))
+    gone = spread_join(lines, common, ["key"]).where(~F.col("doc").eqNullSafe(F.col("owner"))).groupBy("rid").agg(F.sum("w").alias("removed_words"), F.collect_set("h").alias("removed_lines"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         feats.drop("line_hashes", "line_words")
         .join(gone, "rid", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
         .withColumn("base_failed", base_failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= max_removed * F.col("n_words")))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= max_removed * F.col("n_words")) & (F.col("n_words") - F.col("removed_words") >= MIN_WORDS))
         .drop("rid")
     )
 
 
 def clean(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
-    """The rows that are kept, with all their columns, and their text without boilerplate lines; the first document keeps its own.
+    """The rows that are kept, with all their columns, and their text without boilerplate lines.
 
     Rows meet their verdict by (doc_id, text key); ``n_chars``, where the table has it, follows the text.
     """
-    verdict = judge(docs, host, spare_first=True, **limits).where("kept")
+    verdict = judge(docs, host, **limits).where("kept")
     verdict = verdict.select(F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id")).alias("key_1"), F.col("th").alias("key_2"), F.xxhash64("host").alias("key_3"), "removed_lines")
     verdict = verdict.groupBy("key_1", "key_2", "key_3").agg(F.first("removed_lines").alias("v_lines"))
     key_1, key_2 = row_keys()

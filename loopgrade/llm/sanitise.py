@@ -7,8 +7,9 @@ share of the value, or kind, in all documents as a prior. A term discloses where
 ``disclosure`` and at least twice the prior (one bit). Kinds cover the values that stand in one document. Such
 terms are generalised to ``[TERM]``, or removed from ``removal`` on, wherever they stand.
 
-Documents count by what they testify: equal texts are one document, and so are texts whose findings have equal
-surroundings (``window`` characters), so near copies of one text don't make its words disclose.
+Documents count by what they testify: equal texts are one document, and so are the texts with findings that are near
+copies, by five-word shingles of the whole text and a similarity of 0.8 or more (see :func:`near_copies`), so copies of
+one text don't make its words disclose, while unlike texts with one signature or footer count each.
 
 The patterns are written with possessive quantifiers and look-behind so that long runs are scanned once;
 they match what the plain forms match. Offsets are code points, by prefix sums over the pieces between
@@ -28,8 +29,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopgrade.functions.session import cut
-from loopgrade.llm.common import row_keys, text_key
+from loopgrade.functions.session import cut, written
+from loopgrade.llm.common import row_keys, spread_join, text_key
+from loopgrade.operators.components import connected_components
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -42,9 +44,12 @@ PATTERNS = {
 #: A character that every match has: texts without it aren't scanned.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 LETTER = r"[\p{L}\p{M}\p{N}]"
-#: A letter of an extinct script, which stands in no term.
-MASK = "\U00010A60"
-WINDOW, DISCLOSURE, REMOVAL, MOST_TERMS, MOST_ROWS = 80, 0.5, 0.9, 200_000, 200_000
+#: A noncharacter: no letter, so it stands in no term; a term's neighbours may be neither letters nor it.
+MASK = "\uffff"
+BESIDE = r"[\p{L}\p{M}\p{N}\x{FFFF}]"
+DISCLOSURE, REMOVAL, MOST_TERMS, MOST_ROWS = 0.5, 0.9, 200_000, 200_000
+#: Near copies: words of a shingle, least similarity, and bands of so many minima each (a pair at 0.8 meets in one with 0.9998).
+SHINGLE, SIMILAR, BANDS, MINIMA = 5, 0.8, 12, 3
 #: Documents that the prior counts for: values are rare, so few documents with both can't be chance; kinds aren't.
 VALUE_WEIGHT, KIND_WEIGHT = 2.0, 4.0
 BLOCK = 256
@@ -141,13 +146,26 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(LETTER + "{3,}"), F.lit(0)))
 
 
-def _near(text: Column, span: Column, window: int) -> Column:
-    """Whole words around a span, as one string: ``window`` characters on each side, cut words dropped."""
-    left = F.substring(text, F.greatest(span["start"] - window, F.lit(0)) + 1, F.least(span["start"], F.lit(window)))
-    left = F.when(span["start"] > window, F.regexp_replace(left, r"^[^\s]*+", "")).otherwise(left)
-    right = F.substring(text, span["end"] + 1, F.lit(window))
-    right = F.when(F.char_length(right) == window, F.regexp_replace(right, r"(?<![^\s])[^\s]+$", "")).otherwise(right)
-    return F.concat_ws(" ", left, right)
+def near_copies(texts: DataFrame) -> DataFrame:
+    """``th, unit``: the texts (th, text; th unique) that are near copies of others, and the smallest th that they hang together with.
+
+    Bands of minima of the shingles' hashes choose candidates; each meets the first text of its bucket, and counts as its copy
+    where their shingles are similar enough. A bucket of any size costs a pair a row, also where it holds a third of all texts.
+    """
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))
+    shingles = let(words, lambda w: F.array_distinct(F.transform(starts(w), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(SHINGLE)), " ")))))
+    rows = cut(texts.select("th", shingles.alias("sh")))
+    least = lambda k: F.array_min(F.transform("sh", lambda x: F.xxhash64(x, F.lit(k))))
+    band = lambda b: F.xxhash64(F.lit(b), *[least(b * MINIMA + m) for m in range(MINIMA)])
+    buckets = cut(rows.select("th", F.explode(F.array(*[band(b) for b in range(BANDS)])).alias("band")))
+    heads = cut(buckets.groupBy("band").agg(F.min("th").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head"))
+    pairs = cut(spread_join(buckets, heads, ["band"]).where("th <> head").select("th", "head").distinct())
+    first = cut(rows.join(pairs.select(F.col("head").alias("th")).distinct(), "th").select(F.col("th").alias("head"), F.col("sh").alias("sh_head")))
+    both = spread_join(pairs.join(rows, "th"), first, ["head"], most=10_000)
+    common = F.size(F.array_intersect("sh", "sh_head"))
+    links = both.where(common >= SIMILAR * (F.size("sh") + F.size("sh_head") - common)).select(F.col("head").alias("src"), F.col("th").alias("dst"))
+    return connected_components(links).select(F.col("node").alias("th"), F.col("comp").alias("unit"))
 
 
 def _replaced(text: Column, spans: Column, tag: Callable[[Column, Column], Column]) -> Column:
@@ -179,19 +197,21 @@ def _bounded(df: DataFrame, most: int, arrays: str | None = None) -> DataFrame:
 
 
 def disclosing_terms(
-    docs: DataFrame, window: int = WINDOW, disclosure: float = DISCLOSURE, removal: float = REMOVAL, most_terms: int = MOST_TERMS, value_weight: float = VALUE_WEIGHT, kind_weight: float = KIND_WEIGHT
+    docs: DataFrame, disclosure: float = DISCLOSURE, removal: float = REMOVAL, most_terms: int = MOST_TERMS, value_weight: float = VALUE_WEIGHT, kind_weight: float = KIND_WEIGHT
 ) -> DataFrame:
     """``term, p, bits, remove``: terms that give a protected value or kind away, from co-occurrence over all documents."""
     text = F.coalesce("text", F.lit(""))
     found = docs.select(text_key().alias("th"), text.alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    around = F.array_sort(F.array_distinct(F.transform("spans", lambda s: _near(F.col("text"), s, window))))
     # a kind is an entity beside its values
     entity = lambda s: F.array(F.struct(F.xxhash64(s["kind"], s["value"]).alias("id"), F.lit(False).alias("of_kind")), F.struct(F.xxhash64(s["kind"]).alias("id"), F.lit(True).alias("of_kind")))
     entities = F.array_distinct(F.flatten(F.transform("spans", entity)))
-    held = found.select("th", F.xxhash64(around).alias("unit"), entities.alias("entities"), terms_of(_outside(F.col("text"), F.col("spans"))).alias("terms"), terms_of(F.col("text")).alias("whole"))
-    held = cut(held.withColumn("inner", F.array_except("whole", "terms")).drop("whole").dropDuplicates(["th"]))  # inner: terms only inside findings
+    outside = _outside(F.col("text"), F.col("spans"))
+    found = written(found.select("th", entities.alias("entities"), outside.alias("text"), terms_of(F.col("text")).alias("whole")).dropDuplicates(["th"]))
+    units = near_copies(found.select("th", "text"))
+    held = found.withColumn("terms", terms_of(F.col("text"))).join(units, "th", "left").withColumn("unit", F.coalesce("unit", "th"))
+    held = cut(held.select("th", "unit", "entities", "terms", F.array_except("whole", "terms").alias("inner")))  # inner: terms only inside findings
     entity_units = held.select("unit", F.explode("entities").alias("e")).select("unit", "e.id", "e.of_kind").distinct()
-    # documents: different texts without findings and different surroundings with them
+    # documents: different texts without findings, and those with them that aren't near copies of another
     copies = docs.groupBy(text_key().alias("th")).agg(F.count("*").alias("n")).where("n > 1")
     texts = docs.count() - (copies.agg(F.sum(F.col("n") - 1)).first()[0] or 0)
     total = max(1, texts - held.count() + held.select("unit").distinct().count())
@@ -234,7 +254,7 @@ def find(docs: DataFrame, most_rows: int = MOST_ROWS, **limits: float) -> DataFr
     hits = cut(hits)
     keyed = docs.select(F.struct("*").alias("row"), text.alias("t"), key_1.alias("key_1"), key_2.alias("key_2"))
     joined = keyed.join(_bounded(hits, most_rows, "terms"), ["key_1", "key_2"], "left").withColumn("base", base_spans(F.col("t")))
-    pattern = F.concat(F.lit(f"(?iu)(?<!{LETTER})(?:"), F.array_join("terms", "|"), F.lit(f")(?!{LETTER})"))
+    pattern = F.concat(F.lit(f"(?iu)(?<!{BESIDE})(?:"), F.array_join("terms", "|"), F.lit(f")(?!{BESIDE})"))
     extra = F.when(F.col("terms").isNull(), F.from_json(F.lit("[]"), SPAN)).otherwise(matches(_masked(F.col("t"), F.col("base")), pattern, 4))
     remove = F.coalesce("remove", F.array().cast("array<string>"))
     return joined.select("row", "t", "base", F.array_sort(F.concat("base", extra)).alias("spans"), remove.alias("remove"))
