@@ -114,10 +114,12 @@ def test_quality_rules(spark, odd, empty):
     rows = [(i, menu + "\n" + prose(i, 80), "h") for i in range(12)] + [(20, prose(20, 50) + "\n" + "\n".join(prose(500 + k, 8) for k in range(8)), "h")]
     rows += [(30 + i, prose(i + 50, 5) + "\n" + "\n".join(prose(500 + k, 8) for k in range(8)), "h") for i in range(12)]
     rows += [(60 + i, "copied line of some words\n" + prose(99, 70), "h") for i in range(30)]
+    rows += [(100, menu + "\n" + prose(100, 46), "h"), (101, menu + "\n" + prose(101, 44), "h")]  # fewer than 50 words are left
     got = {r.doc_id: r for r in quality_rules.judge(docs(spark, rows)).collect()}
-    assert all(got[i].kept and got[i].removed_words == 6 for i in range(12))
-    assert not any(got[30 + i].kept or got[30 + i].base_failed for i in range(12)) and not got[20].kept
+    assert all(got[i].kept and got[i].removed_words == 6 * (i > 0) for i in range(12))  # the first keeps its lines
+    assert not any(got[30 + i].kept or got[30 + i].base_failed for i in range(12)) and got[20].kept
     assert all(got[60 + i].kept and got[60 + i].removed_words == 0 for i in range(30))  # copies are one document
+    assert [(got[i].kept, got[i].base_failed) for i in (100, 101)] == [(False, False), (False, False)]
     cleaned = {r.doc_id: r for r in quality_rules.clean(docs(spark, rows)).collect()}
     assert cleaned[3].text == prose(3, 80) and cleaned[3].n_chars == len(prose(3, 80)) and 31 not in cleaned
     assert quality_rules.judge(odd).count() == len(ODD) and quality_rules.clean(odd).columns == odd.columns
@@ -372,11 +374,55 @@ def test_rare_values_are_disclosed_over_whole_documents(spark):
     rows += [(100 + i, prose(i + 300, 60) + " mail or call of the day", "a") for i in range(60)]
     rows += [(200 + i, far(60, "solo@ex.org") + " " + prose(999, 40) + " " + prose(i + 600, 3), "a") for i in range(9)]  # near copies
     rows += [(300 + i, prose(i + 900, 30) + " Zorblatt", "a") for i in range(9)] + [(400 + i, far(i + 400, f"w{i}@ex.org") + " Zorblatt", "a") for i in range(3)]
+    rows += [(500 + i, prose(i + 1200, 60) + " Vexillum Regards, the team, call +1 (017) 555-2222 in the office hours, all days of the week, or come by", "a") for i in range(20)]  # one signature
     terms = {r.term: r.p for r in sanitise.disclosing_terms(docs(spark, rows + rows[:9] * 5)).collect()}  # repeated rows count once
-    assert terms["quorvexian"] == terms["plimbook"] == 1.0
+    assert terms["quorvexian"] == terms["plimbook"] == terms["vexillum"] == 1.0
     assert not {"mail", "call", "zorblatt", *(w for w in prose(999, 40).split() if len(w) > 3)} & set(terms)
 
 
+def test_disclosure_is_the_plain_count_of_documents(spark):
+    rng = random.Random(12)
+    words = [f"w{i}x" for i in range(60)]
+    values = ["ann@ex.org", "bob@ex.org", "10.0.0.1", "+1 (017) 555-7713"]
+    rows = []
+    for i in range(200):
+        text = [rng.choice(words[:40]) for _ in range(rng.randint(10, 40))]
+        for k, v in enumerate(values):
+            if rng.random() < (0.03, 0.05, 0.1, 0.02)[k]:
+                text += [v, *[w for w in words[40 + 5 * k : 45 + 5 * k] if rng.random() < 0.8]]
+        text += [w for w in words[40:] if rng.random() < 0.004]
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), "a"))
+    rows += rows[:20]
+    want, seen = {}, {t: None for _, t, _ in rows}
+    about = []
+    for t in seen:
+        spans = [s.split(":") for s in brute_spans(t).split(",") if s]
+        found = {(k, t[int(a) : int(b)]) for k, a, b in spans}
+        for _, a, b in sorted(spans, key=lambda s: -int(s[1])):
+            t = t[: int(a)] + " " + t[int(b) :]
+        about.append(({*found, *((k, None) for k, _ in found)}, {w for w in re.findall(r"\w{3,}", t.lower())}))
+    for entity in set().union(*(e for e, _ in about)):
+        weight = 4 if entity[1] is None else 2
+        prior = sum(entity in e for e, _ in about) / len(about)
+        for term in set().union(*(w for e, w in about if entity in e)):
+            n, both = sum(term in w for _, w in about), sum(term in w and entity in e for e, w in about)
+            smooth = (both + weight * prior) / (n + weight)
+            if smooth >= 0.5 and smooth >= 2 * prior:
+                want[term] = max(want.get(term, 0), both / n)
+    got = {r.term: r.p for r in sanitise.disclosing_terms(docs(spark, rows)).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and len(got) >= 5
+
+
+def test_masked_characters_are_no_terms(spark):
+    letter = "\U00010a60\U00010a60\U00010a60"
+    rows = [(i, f"{prose(i, 40)} {letter} mail u{i}@ex{i}.org", "a") for i in range(8)] + [(50 + i, prose(i + 90, 40), "a") for i in range(40)]
+    found = {r.row.doc_id: r for r in sanitise.find(docs(spark, rows)).collect()}
+    for i in range(8):
+        at = rows[i][1].index(letter)
+        assert (at, at + 3) in [(s.start, s.end) for s in found[i].spans if s.kind == 4]
+
+
 # ---- 8 ----
 def brute_repeats(texts):
     times = Counter(b[i : i + 200] for b in texts for i in range(len(b) - 199))

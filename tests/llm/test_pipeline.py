@@ -35,7 +35,7 @@ def quality(docs):
         n_words, *_, repeats = brute_counts(t or "")
         gone = {n for _, n in own if n and len(texts[s, n]) > 10 and owner[s, n] != i}
         lost = sum(len(WORD.findall(x)) for x, n in own if n in gone)
-        if n_words >= 50 and 100 * repeats <= 50 * n_words and lost <= 0.5 * n_words:
+        if n_words >= 50 and 100 * repeats <= 50 * n_words and lost <= 0.5 * n_words and n_words - lost >= 50:
             out.append((i, "\n".join(x for x, n in own if n not in gone), s))
     return out
 
