@@ -7,11 +7,11 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, ''
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
 tri AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS n FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1) GROUP BY 1),
-lines AS (SELECT rid, doc_id, source, t, len(lw) AS lw, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm
-    FROM (SELECT rid, doc_id, source, t, regexp_extract_all(unnest(ls), '[^\x20\x09-\x0D]+') AS lw FROM w)),
-common AS (SELECT source, norm FROM lines GROUP BY ALL HAVING count(DISTINCT t) > 10),
-held AS (SELECT l.*, first_value(doc_id) OVER w AS own_id, first_value(t) OVER w AS own_t FROM lines l JOIN common c ON l.norm = c.norm AND l.source IS NOT DISTINCT FROM c.source WINDOW w AS (PARTITION BY l.source, l.norm ORDER BY l.doc_id NULLS LAST, l.t)),
-gone AS (SELECT rid, sum(lw) AS n FROM held WHERE NOT (doc_id IS NOT DISTINCT FROM own_id AND t = own_t) GROUP BY 1),
+lines AS (SELECT rid, doc_id, source, th, len(lw) AS lw, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm
+    FROM (SELECT rid, doc_id, source, md5(t) AS th, regexp_extract_all(unnest(ls), '[^\x20\x09-\x0D]+') AS lw FROM w)),
+common AS (SELECT source, norm FROM lines GROUP BY ALL HAVING count(DISTINCT th) > 10),
+held AS (SELECT l.*, first_value(doc_id) OVER w AS own_id, first_value(th) OVER w AS own_th FROM lines l JOIN common c ON l.norm = c.norm AND l.source IS NOT DISTINCT FROM c.source WINDOW w AS (PARTITION BY l.source, l.norm ORDER BY l.doc_id NULLS LAST, l.th)),
+gone AS (SELECT rid, sum(lw) AS n FROM held WHERE NOT (doc_id IS NOT DISTINCT FROM own_id AND th = own_th) GROUP BY 1),
 base AS (SELECT w.rid, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed_words FROM w LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid))
 SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
