@@ -318,14 +318,47 @@ def map_labels(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     return j.withColumn("reason", reason)
 
 
-def leakage_checks(rows: DataFrame) -> DataFrame:
-    """One row per check with PASS or FAIL: same classes in all splits, no digest in two splits, copies only in train."""
-    per = rows.groupBy("leaf").agg(F.count_distinct("split").alias("n"))
+def leakage_checks(rows: DataFrame, allowed: DataFrame) -> DataFrame:
+    """One row per check, ``check, bad, verdict``, over a built dataset; counts that fail nothing have no verdict.
+
+    ``rows``: path, stem (the file's name without ending), leaf, split, digest, is_copy (written by oversampling). ``allowed``: leaf,
+    those of the label mapping. Checks: every leaf in every split; leaves of the mapping only; copies in train only; a stem once;
+    no digest in two splits (counted are the files beyond the digest's first split).
+    """
+    unique = rows.where(~F.col("is_copy"))
     n = rows.agg(F.count_distinct("split").alias("all"))
-    classes = per.crossJoin(F.broadcast(n)).agg(F.count_if(F.col("n") != F.col("all")).alias("bad")).select(F.lit("same classes in every split").alias("check"), "bad")
-    shared = rows.groupBy("digest").agg((F.min("split") != F.max("split")).alias("x")).agg(F.count_if("x").alias("bad")).select(F.lit("no digest in two splits").alias("check"), "bad")
-    copies = rows.agg(F.count_if((F.col("copies") > 1) & (F.col("split") != "train")).alias("bad")).select(F.lit("copies only in train").alias("check"), "bad")
-    return classes.unionByName(shared).unionByName(copies).withColumn("verdict", F.when(F.col("bad") == 0, "PASS").otherwise("FAIL"))
+    classes = rows.groupBy("leaf").agg(F.count_distinct("split").alias("n")).crossJoin(F.broadcast(n)).agg(F.count_if(F.col("n") != F.col("all")).alias("bad"))
+    known = bounded(allowed.select("leaf").distinct())
+    mapped = rows.where("split = 'train'").select("leaf").distinct().join(known, "leaf", "left_anti").agg(F.count("*").alias("bad"))
+    stems = unique.groupBy("stem").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("bad"))
+    per = unique.groupBy("digest", "split").agg(F.count("*").alias("n")).groupBy("digest").agg(F.sum("n").alias("files"), F.sum(F.col("n") - 1).alias("again"), F.min_by("n", priority(F.col("split"))).alias("first"))
+    exact = per.agg(F.coalesce(F.sum(F.col("files") - F.col("first")), F.lit(0)).alias("bad"))
+    within = per.agg(F.coalesce(F.sum("files") - F.count("*"), F.lit(0)).alias("bad"))
+    sizes = rows.agg(F.count("*").alias("files"), F.count_if(~F.col("is_copy")).alias("unique"), F.count_if(F.col("is_copy")).alias("copies"), F.count_if(F.col("is_copy") & (F.col("split") != "train")).alias("stray"))
+    parts = [("class_in_every_split", classes, "bad", True), ("class_in_mapping", mapped, "bad", True), ("copy_in_train", sizes, "stray", True), ("stem_once", stems, "bad", True), ("digest_in_one_split", exact, "bad", True)]
+    parts += [("files", sizes, "files", False), ("unique_files", sizes, "unique", False), ("copies", sizes, "copies", False), ("repeated_digests", within, "bad", False)]
+    out = None
+    for name, table, column, judged in parts:
+        verdict = F.when(F.col(column) == 0, "PASS").otherwise("FAIL") if judged else F.lit(None).cast("string")
+        row = table.select(F.lit(name).alias("check"), F.col(column).cast("long").alias("bad"), verdict.alias("verdict"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def near_between_splits(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``split_a, split_b, leaf_a, leaf_b, n``: near pairs of files by their splits, train before val before test, and leaves; equal files are near, too.
+
+    ``rows``: cls, split, leaf; ``links``: a, b, two classes that are near. Pairs are products of counts per class, split and leaf; none is made.
+    """
+    f = F.struct(priority(F.col("split")).alias("at"), "split", "leaf")
+    cell = rows.groupBy("cls", f.alias("f")).agg(F.count("*").alias("n"))
+    side = lambda s: cell.select(*[F.col(c).alias(f"{c}_{s}") for c in cell.columns])
+    both = links.select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b")).join(side("a"), "cls_a").join(side("b"), "cls_b").select("f_a", "f_b", (F.col("n_a") * F.col("n_b")).alias("n"))
+    own = side("a").join(side("b"), (F.col("cls_a") == F.col("cls_b")) & (F.col("f_a") <= F.col("f_b")))  # splits and leaves of one class: bounded vocabularies
+    own = own.select("f_a", "f_b", F.when(F.col("f_a") == F.col("f_b"), F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b")).alias("n"))
+    met = both.unionByName(own).select(F.least("f_a", "f_b").alias("x"), F.greatest("f_a", "f_b").alias("y"), "n")
+    g = met.groupBy(F.col("x.split").alias("split_a"), F.col("y.split").alias("split_b"), F.col("x.leaf").alias("leaf_a"), F.col("y.leaf").alias("leaf_b"))
+    return g.agg(F.sum("n").cast("long").alias("n")).where("n > 0")
 
 
 def round_robin(rows: DataFrame, n: int, by: str = "leaf", *order: Column) -> DataFrame:

@@ -119,6 +119,48 @@ def vote_distance(knn: DataFrame, items: DataFrame) -> DataFrame:
     return g.agg(F.when(F.count("*") == F.count("knn"), F.avg("knn")).alias("knn"))
 
 
+def group_results(
+    photos: DataFrame, leaves: DataFrame, by_type: DataFrame, knn: float, msp: float, min_confidence: float, guarded_type: str, uncalibrated: float = MIN_CONFIDENCE
+) -> DataFrame:
+    """One result per item whose photos show the same thing (``same_item``), else one per photo (``id`` is null for an item's).
+
+    ``photos``: id, item, same_item, best_type (the photo's own), knn (nullable), small, other_mass, and n_similar, nearest, weight,
+    labels, which are null where no confirmed photo is near. ``leaves``: leaf probabilities by id. An item's leaves are averaged
+    over its photos; its distance is their mean if all have one, else it isn't tested at all; confirmed photos near any of them
+    make it familiar, and all of them near and one near ``other`` alone makes it ``other``; it is small if all are. ``agreement``
+    counts photos whose own best type is the item's. Photos are folded per (item, type) before their shuffle, an item's types after it.
+    """
+    key = F.struct("item", F.when(~F.col("same_item"), F.col("id")).alias("photo"))
+    rows = photos.withColumn("grp", key)
+    near = F.col("n_similar").isNotNull()
+    exact = lambda c: F.col(c).cast("decimal(28,12)")
+    cell = rows.groupBy("grp", "best_type").agg(
+        F.count("*").alias("n"), F.count("knn").alias("n_knn"), F.sum(exact("knn")).alias("knn"), F.bool_and("small").alias("small"), F.count("n_similar").alias("n_near"), F.sum("n_similar").alias("n_similar"),
+        F.min(F.when(near, F.col("nearest"))).alias("nearest"), F.max(F.when(near, F.col("weight"))).alias("weight"), F.array_distinct(F.flatten(F.collect_set(F.when(near, F.col("labels"))))).alias("labels"),
+        F.bool_or(near & (F.col("labels") == F.array(F.lit(OTHER)))).alias("only_other"), F.max("other_mass").alias("other_mass"), F.bool_and("same_item").alias("same"),
+    )
+    merged = cell.groupBy(F.col("grp").alias("_grp")).agg(
+        F.sum("n").alias("n_images"), F.sum("n_knn").alias("n_knn"), F.sum("knn").cast("double").alias("total"), F.bool_and("small").alias("small_image"), F.sum("n_near").alias("n_near"), F.sum("n_similar").alias("n_similar"),
+        F.min("nearest").alias("nearest"), F.max("weight").alias("weight"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))), ",").alias("labels"),
+        F.bool_or("only_other").alias("only_other"), F.max("other_mass").alias("other_mass"), F.bool_and("same").alias("same"), F.collect_list(F.struct("best_type", "n")).alias("votes"),
+    )
+    mean = roll_up(vote(leaves, rows.select("id", F.col("grp").alias("item"))).drop("n_photos")).drop("leaves", "ranked_types")
+    j = with_thresholds(mean.join(merged, F.col("id") == F.col("_grp")), by_type, knn, None)
+    familiar, calibrated = F.col("n_near") > 0, ~F.col("same") | (F.col("n_knn") == F.col("n_images"))
+    distance = F.when(F.col("n_knn") == F.col("n_images"), F.col("total") / F.col("n_images"))
+    other = F.when(~F.col("same"), F.col("other_mass")).when(F.col("only_other") & (F.col("n_near") == F.col("n_images")), 1.0).otherwise(0.0)
+    tested = status(F.col("type_confidence"), distance, F.col("thr"), F.col("far"), F.lit(msp), familiar, other)
+    j = j.withColumn("status", F.when(calibrated, tested).otherwise("detected"))
+    guarded = F.col("small_image") & (F.col("status") == "detected") & (F.col("waste_type") == guarded_type) & ~familiar
+    j = j.withColumn("status", F.when(guarded, "confirm").otherwise(F.col("status")))
+    sure = (F.col("type_confidence") >= F.when(calibrated, min_confidence).otherwise(uncalibrated)) & (F.col("status") == "detected")
+    agreement = F.aggregate(F.filter("votes", lambda v: v["best_type"] == F.col("waste_type")), F.lit(0).cast("long"), lambda a, v: a + v["n"])
+    return j.select(
+        "_grp.item", F.col("_grp.photo").alias("id"), "n_images", agreement.alias("agreement"), "waste_type", "sub_type", "type_confidence", "status", sure.alias("is_confident"), "small_image", distance.alias("knn"),
+        "n_similar", "nearest", "weight", "labels",
+    )
+
+
 def outcome(readable: Column, status_: Column, best_ok: Column, correct: Column, confident: Column) -> Column:
     """Error taxonomy of an evaluated photo, first match wins."""
     return (

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopgrade.functions.session import spread
+from loopgrade.functions.geo import DECAY_KM, EARTH_KM
+from loopgrade.functions.labels import quality_weight
+from loopgrade.functions.session import bounded, cut, spread, written
 from loopgrade.operators import inverted, vectors
+from loopgrade.operators.ranking import browse_weights
 
 #: Abbreviations and what a listing's text says for them; whole, case-sensitive words.
 ABBREVIATIONS = {
@@ -95,3 +100,89 @@ def search(queries: DataFrame, catalogue: DataFrame, backend: str, k: int) -> Da
         index = inverted.build(catalogue)
         return inverted.search(index, inverted.vectors(index, queries), k)
     return top(scores(queries, catalogue, backend), k)
+
+
+#: Needs that are ranked at a time: they are broadcast.
+NEEDS = 5_000
+
+
+def find_listings(index: inverted.Index, listings: DataFrame, needs: DataFrame, k: int = 10, session: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best listings for every need: ``need_id, rank, waste_id, similarity, distance_km, score, is_session``.
+
+    ``index`` is that of the catalogue's texts by waste_id. ``listings``: waste_id, waste_type, sub_type, quantity_kg, quality, lat,
+    lon. ``session``, with a ``text`` besides, has listings that aren't in the index: they are weighed by the catalogue's frequencies
+    and ranked together with it. ``needs``: need_id, text, lat and lon (null: no place), and filters that are null where there are
+    none: waste_type, sub_type, min_quantity, qualities (array).
+
+    A need without text is ranked by distance and quality alone. Similarities are scaled to [0, 1] over all listings before any
+    filter, 1 where all are equal. Order: score at 9 digits, larger quantity, waste_id. Needs come in chunks of ``NEEDS``, which are broadcast:
+    every listing meets a chunk in numpy, and only k of each need leave a task.
+    """
+    spark = listings.sparkSession
+    columns = ["waste_id", "waste_type", "sub_type", "quantity_kg", "quality", "lat", "lon"]
+    every = listings.select(*columns, F.lit(False).alias("is_session"))
+    vectors_ = inverted.vectors(index, needs.where(F.trim("text") != "").select(F.col("need_id").alias("id"), "text"))
+    pairs = inverted.search(index, vectors_, None).select("query_id", "id", "similarity")
+    if session is not None:
+        every = every.unionByName(session.select(*columns, F.lit(True).alias("is_session")))
+        flat = lambda df, key, w: df.select(key, F.explode(F.arrays_zip("terms", "weights")).alias("x")).select(key, F.col("x.terms").alias("term"), F.col("x.weights").alias(w))
+        mine = flat(inverted.weigh(index, session.select(F.col("waste_id").alias("id"), "text")), "id", "w")
+        met = mine.join(bounded(flat(vectors_, "query_id", "q")), "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("q")).alias("similarity"))
+        pairs = pairs.unionByName(met)
+    pairs = written(pairs)
+    n = every.count()
+    ends = pairs.groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("lo"), F.max("similarity").alias("hi"))
+    ends = needs.select(F.col("need_id").alias("query_id"), "lat", "lon", "waste_type", "sub_type", "min_quantity", "qualities", (F.trim(F.coalesce("text", F.lit(""))) != "").alias("has_query")).join(ends, "query_id", "left")
+    ends = cut(ends.withColumn("lo", F.when(F.col("n") == n, F.col("lo")).otherwise(0.0)).fillna(0.0, ["hi", "lo"]))  # a listing without a common term has 0
+    similar = pairs.groupBy(F.col("id").alias("_id")).agg(F.collect_list("query_id").alias("asked"), F.collect_list("similarity").alias("sims"))  # a listing's needs
+    rows = written(every.join(similar, F.col("waste_id") == F.col("_id"), "left").drop("_id").withColumn("grade", quality_weight(F.col("quality"))))
+    kinds = dict(needs.dtypes)["need_id"], dict(listings.dtypes)["waste_id"]
+    schema = f"need_id {kinds[0]}, waste_id {kinds[1]}, quantity_kg double, similarity double, km double, total double, is_session boolean"
+    chunks, out = -(-ends.count() // NEEDS) or 1, None
+    for chunk in range(chunks):
+        sent = spark.sparkContext.broadcast(ends.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).toPandas())
+
+        part = rows.mapInPandas(_ranker(sent, k), schema)
+        out = part if out is None else out.unionByName(part)
+    place = F.row_number().over(Window.partitionBy("need_id").orderBy(F.desc(F.round("total", inverted.DIGITS)), F.desc("quantity_kg"), "waste_id"))
+    best = out.withColumn("rank", place).where(F.col("rank") <= k)
+    return best.select("need_id", "rank", "waste_id", F.round("similarity", 3).alias("similarity"), F.round("km", 1).alias("distance_km"), F.round("total", 3).alias("score"), "is_session")
+
+
+def _ranker(sent: Broadcast, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    return lambda batches: (best for batch in batches for best in _rank(batch, sent.value, k))
+
+
+def _rank(rows: pd.DataFrame, needs: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+    """The ``k`` best of a batch of listings for every need."""
+    number = {q: i for i, q in enumerate(needs["query_id"])}
+    sim = np.zeros((len(needs), len(rows)))
+    for col, (asked, sims) in enumerate(zip(rows["asked"], rows["sims"], strict=True)):
+        if asked is not None:
+            at = np.array([number.get(q, -1) for q in asked])
+            sim[at[at >= 0], col] = np.asarray(sims)[at >= 0]
+    lat, lon = np.radians(rows["lat"].to_numpy(float)), np.radians(rows["lon"].to_numpy(float))
+    quantity, grade, ids = rows["quantity_kg"].to_numpy(float), rows["grade"].to_numpy(float), rows["waste_id"].to_numpy()
+    for i, need in enumerate(needs.itertuples()):
+        ok = np.ones(len(rows), bool)
+        for column, want in (("waste_type", need.waste_type), ("sub_type", need.sub_type)):
+            if want is not None:
+                ok &= (rows[column] == want).to_numpy()
+        if need.min_quantity is not None and not np.isnan(need.min_quantity):
+            ok &= quantity >= need.min_quantity
+        if need.qualities is not None:
+            ok &= rows["quality"].isin(list(need.qualities)).to_numpy()
+        if not ok.any():
+            continue
+        at = np.flatnonzero(ok)
+        km = np.full(len(at), np.nan)
+        if need.lat is not None and not np.isnan(need.lat):
+            a, b = np.radians(need.lat), np.radians(need.lon)
+            half = np.sin((lat[at] - a) / 2) ** 2 + np.cos(a) * np.cos(lat[at]) * np.sin((lon[at] - b) / 2) ** 2
+            km = EARTH_KM * 2 * np.arcsin(np.minimum(1.0, np.sqrt(half)))
+        near = np.where(np.isnan(km), 1.0, np.exp(-km / DECAY_KM))
+        scaled = (sim[i, at] - need.lo) / (need.hi - need.lo) if need.hi > need.lo else np.ones(len(at))
+        w = browse_weights(bool(need.has_query))
+        total = w["distance"] * near + w["quality"] * grade[at] + w.get("similarity", 0.0) * scaled
+        best = np.lexsort((ids[at], -quantity[at], -np.round(total, inverted.DIGITS)))[:k]
+        yield pd.DataFrame({"need_id": need.query_id, "waste_id": ids[at[best]], "quantity_kg": quantity[at[best]], "similarity": sim[i, at[best]], "km": km[best], "total": total[best], "is_session": rows["is_session"].to_numpy()[at[best]]})

@@ -128,10 +128,38 @@ LISTING = "replace(sub_type, '_', ' ') || ' ' || replace(waste_type, '_', ' ') |
 
 @query("a_07_listing_text", f"SELECT waste_id, {LISTING} CASE waste_id % 4 WHEN 0 THEN 'clean PET polyethylene terephthalate flakes' WHEN 1 THEN 'PETS PCB, PP polypropylene' WHEN 2 THEN 'HDPE high-density polyethylene drums and LDPE low-density polyethylene film' ELSE 'PP polypropylene caps' END AS text FROM listings", "listings")
 def a_07(spark: SparkSession, d: str) -> DataFrame:
-    note = F.element_at(F.array(*[F.lit(x) for x in ("clean PET flakes", "PETS  PCB, PP", "HDPE drums and LDPE film", "PP caps")]), (F.col("waste_id") % 4 + 1).cast("int"))
+    note = F.element_at(F.array(*[F.lit(x) for x in NOTES]), (F.col("waste_id") % 4 + 1).cast("int"))
     return bind(spark, d, "listings").select("waste_id", search.listing_text(*[F.col(c) for c in ("waste_type", "sub_type", "quality", "location_name")], note).alias("text"))
 
 
+#: Needs of nations: one in five only browses, some have a place and filters. Every thousandth listing is one of this session, so it isn't in the index.
+NEEDS = """SELECT n_nationkey AS need_id, CASE WHEN n_nationkey % 5 = 4 THEN ' ' ELSE concat(n_name, ' ', CASE n_nationkey % 3 WHEN 0 THEN 'building HDPE drums, good quality' WHEN 1 THEN 'clean polyethylene terephthalate flakes of furniture' ELSE 'urgent printed circuit board' END) END AS text,
+    CASE WHEN n_nationkey % 4 < 3 THEN CAST(12.9 AS DOUBLE) + CAST(n_nationkey AS DOUBLE) / 100 END AS lat, CASE WHEN n_nationkey % 4 < 3 THEN CAST(77.6 AS DOUBLE) END AS lon, CASE WHEN n_nationkey % 6 = 1 THEN 'BUILDING' END AS waste_type, CASE WHEN n_nationkey % 7 = 2 THEN '2-HIGH' END AS sub_type,
+    CASE WHEN n_nationkey % 3 = 0 THEN CAST(50000 AS DOUBLE) END AS min_quantity, CASE WHEN n_nationkey % 2 = 0 THEN 'good,fair' END AS grades FROM nation"""
+NOTES = ("clean PET flakes", "PETS  PCB, PP", "HDPE drums and LDPE film", "PP caps")
+_NOTED = "CASE waste_id % 4 WHEN 0 THEN 'clean PET polyethylene terephthalate flakes' WHEN 1 THEN 'PETS PCB, PP polypropylene' WHEN 2 THEN 'HDPE high-density polyethylene drums and LDPE low-density polyethylene film' ELSE 'PP polypropylene caps' END"
+FOUND = f"""WITH all_listings AS (SELECT *, waste_id % 1000 = 7 AS is_session, {LISTING} {_NOTED} AS text FROM listings), needs AS ({NEEDS}), cat_docs AS (SELECT waste_id AS id, text FROM all_listings WHERE NOT is_session),
+    {_counts('cat', 'cat_docs', 'id')}, idf AS (SELECT term, ln((1 + (SELECT count(*) FROM cat_docs)) / (1.0 + count(*))) + 1 AS idf FROM cat_c GROUP BY 1), {_counts('lst', 'all_listings', 'waste_id')}, {_weights('lst')}, {_counts('q', 'needs', 'need_id')}, {_weights('q')},
+    sim AS (SELECT q.id AS need_id, lst.id AS waste_id, sum(q.weight * lst.weight) AS s FROM q JOIN lst USING (term) GROUP BY ALL),
+    x AS (SELECT n.need_id, l.waste_id, l.quantity_kg, l.is_session, coalesce(s, 0) AS s, trim(n.text) <> '' AS has_query, n.lat IS NOT NULL AS placed, 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(l.lat - n.lat) / 2), 2) + cos(radians(n.lat)) * cos(radians(l.lat)) * pow(sin(radians(l.lon - n.lon) / 2), 2)))) AS km,
+        CASE quality WHEN 'good' THEN 1.0 WHEN 'fair' THEN 0.7 WHEN 'poor' THEN 0.4 ELSE 0.5 END AS grade, (n.waste_type IS NULL OR l.waste_type = n.waste_type) AND (n.sub_type IS NULL OR l.sub_type = n.sub_type) AND (min_quantity IS NULL OR quantity_kg >= min_quantity) AND (grades IS NULL OR list_contains(string_split(grades, ','), quality)) AS ok
+        FROM needs n CROSS JOIN all_listings l LEFT JOIN sim ON sim.need_id = n.need_id AND sim.waste_id = l.waste_id),
+    y AS (SELECT *, min(s) OVER (PARTITION BY need_id) AS lo, max(s) OVER (PARTITION BY need_id) AS hi FROM x), z AS (SELECT *, CASE WHEN placed THEN exp(-km / 25.0) ELSE 1.0 END AS near FROM y),
+    t AS (SELECT *, CASE WHEN has_query THEN 0.25 * near + 0.15 * grade + 0.6 * CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 1.0 END ELSE 0.625 * near + 0.375 * grade END AS total FROM z WHERE ok),
+    r AS (SELECT *, row_number() OVER (PARTITION BY need_id ORDER BY round(total, 9) DESC, quantity_kg DESC, waste_id) AS rank FROM t)
+    SELECT need_id, rank::INT AS rank, waste_id, is_session, round(s, 3) AS similarity, round(CASE WHEN placed THEN km END, 1) AS distance_km, round(total, 3) AS score FROM r WHERE rank <= 10"""
+
+
+@query("a_04_find_listings", FOUND, "listings")
+def a_04b(spark: SparkSession, d: str) -> DataFrame:
+    note = F.element_at(F.array(*[F.lit(x) for x in NOTES]), (F.col("waste_id") % 4 + 1).cast("int"))
+    every = bind(spark, d, "listings").withColumn("text", search.listing_text(*[F.col(c) for c in ("waste_type", "sub_type", "quality", "location_name")], note))
+    old, new = every.where("waste_id % 1000 <> 7"), every.where("waste_id % 1000 = 7")
+    index = inverted.build(old.select(F.col("waste_id").alias("id"), "text"))
+    needs = spark.sql(NEEDS.replace("FROM nation", "FROM {n}"), n=read(spark, d, "nation")).withColumn("qualities", F.split("grades", ","))
+    return search.find_listings(index, old, needs, 10, new)
+
+
 @query("a_11_dense_similarity", "SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0")
 def a_11(spark: SparkSession, d: str) -> DataFrame:
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -297,13 +325,42 @@ def c_08(spark: SparkSession, d: str) -> DataFrame:
     return curate.oversample(assigned(spark, d)).select("id", "copies")
 
 
+#: A built dataset with a fault for every check: copies of some files, a few of them outside train, stems used twice, a leaf outside
+#: the mapping, leaves that miss a split, and equal files and near ones in different splits.
+BUILT = """SELECT id, concat(CAST(id AS {text}), '.jpg') AS path, CASE WHEN id % 97 = 3 THEN concat('f', CAST(id - 2 AS {text})) ELSE concat('f', CAST(id AS {text})) END AS stem, CASE WHEN leaf = 'odd' THEN leaf ELSE concat('t', substr(leaf, 2, 1), '__', leaf) END AS leaf,
+    CASE WHEN leaf = 'rare' OR id % 10 < 7 THEN 'train' WHEN id % 10 < 9 THEN 'val' ELSE 'test' END AS split, digest, false AS is_copy FROM {photos}
+    UNION ALL SELECT id, concat(CAST(id AS {text}), '_rep1.jpg'), concat('f', CAST(id AS {text}), '_rep1'), concat('t', substr(leaf, 2, 1), '__', leaf), CASE WHEN id % 60 = 0 THEN 'val' ELSE 'train' END, digest, true FROM {photos} WHERE id % 6 = 0 AND leaf <> 'odd'"""
+#: The mapping has the leaves of all labels but one.
+ALLOWED = "SELECT DISTINCT concat('t', CAST(label AS {text}), '__l', CAST(label AS {text})) AS leaf FROM {e} WHERE label <> 7"
+
+
+def built(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(BUILT.format(text="STRING", photos="{p}"), p=photos(spark, d).drop("v"))
+
+
 @query(
     "c_09_leakage_checks",
-    SPLIT + """, a AS (SELECT count(*) AS bad FROM (SELECT leaf FROM assigned GROUP BY 1 HAVING count(DISTINCT split) <> (SELECT count(DISTINCT split) FROM assigned))), b AS (SELECT count(*) AS bad FROM (SELECT digest FROM assigned GROUP BY 1 HAVING min(split) <> max(split))),
-    u AS (SELECT 'same classes in every split' AS "check", bad FROM a UNION ALL SELECT 'no digest in two splits', bad FROM b UNION ALL SELECT 'copies only in train', 0) SELECT "check", bad, CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM u""",
+    f"""WITH {PHOTOS}, built AS ({BUILT.format(text='VARCHAR', photos='photos')}), allowed AS ({ALLOWED.format(text='VARCHAR', e='embeddings')}), uniq AS (SELECT *, {PRIO} AS prio FROM built WHERE NOT is_copy),
+    firsts AS (SELECT *, row_number() OVER w AS r, first_value(split) OVER w AS first FROM uniq WINDOW w AS (PARTITION BY digest ORDER BY prio, id)),
+    u AS (SELECT 'class_in_every_split' AS "check", (SELECT count(*) FROM (SELECT leaf FROM built GROUP BY 1 HAVING count(DISTINCT split) <> (SELECT count(DISTINCT split) FROM built))) AS bad, true AS judged
+        UNION ALL SELECT 'class_in_mapping', (SELECT count(DISTINCT leaf) FROM built WHERE split = 'train' AND leaf NOT IN (SELECT leaf FROM allowed)), true UNION ALL SELECT 'copy_in_train', (SELECT count(*) FROM built WHERE is_copy AND split <> 'train'), true
+        UNION ALL SELECT 'stem_once', (SELECT count(*) FROM (SELECT stem FROM uniq GROUP BY 1 HAVING count(*) > 1)), true UNION ALL SELECT 'digest_in_one_split', (SELECT count(*) FROM firsts WHERE split <> first), true
+        UNION ALL SELECT 'files', (SELECT count(*) FROM built), false UNION ALL SELECT 'unique_files', (SELECT count(*) FROM uniq), false UNION ALL SELECT 'copies', (SELECT count(*) FROM built WHERE is_copy), false UNION ALL SELECT 'repeated_digests', (SELECT count(*) FROM firsts WHERE r > 1), false)
+    SELECT "check", bad, CASE WHEN judged THEN CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END END AS verdict FROM u""",
 )
 def c_09(spark: SparkSession, d: str) -> DataFrame:
-    return curate.leakage_checks(assigned(spark, d).withColumn("copies", F.lit(1)))
+    return curate.leakage_checks(cut(built(spark, d)), spark.sql(ALLOWED.format(text="STRING", e="{e}"), e=read(spark, d, "embeddings")))
+
+
+@query(
+    "c_09_near_between_splits",
+    f"""WITH {PHOTOS}, {_three('photos')}, built AS ({BUILT.format(text='VARCHAR', photos='photos')}), u AS (SELECT b.*, c.id AS cls, {PRIO.replace('split', 'b.split')} AS prio FROM built b JOIN hashed h USING (id) JOIN classes c USING (v) WHERE NOT is_copy), met AS (SELECT a, b FROM links UNION ALL SELECT id, id FROM classes),
+    f AS (SELECT least(struct_pack(p := a.prio, s := a.split, l := a.leaf), struct_pack(p := b.prio, s := b.split, l := b.leaf)) AS x, greatest(struct_pack(p := a.prio, s := a.split, l := a.leaf), struct_pack(p := b.prio, s := b.split, l := b.leaf)) AS y FROM met m JOIN u a ON a.cls = m.a JOIN u b ON b.cls = m.b AND (m.a <> m.b OR a.id < b.id))
+    SELECT x.s AS split_a, y.s AS split_b, x.l AS leaf_a, y.l AS leaf_b, count(*) AS n FROM f GROUP BY ALL""",
+)
+def c_09b(spark: SparkSession, d: str) -> DataFrame:
+    members, links = vectors.near_classes(hashed(photos(spark, d).select("id", "v")), mean_difference=MEAN_DIFFERENCE)
+    return curate.near_between_splits(built(spark, d).where("not is_copy").join(members, "id"), links)
 
 
 @query("c_10_extend_domain", SPLIT + """, k AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY md5(concat('7:', path)), path) AS p FROM assigned WHERE id % 9 <> 0) SELECT id, unnest(range(1, CASE WHEN leaf = 'l3' AND split = 'train' THEN 4 ELSE 2 END))::INT AS copy FROM k WHERE p <= CASE leaf WHEN 'l0' THEN 100 WHEN 'l3' THEN 40 WHEN 'l5' THEN 60 WHEN 'l7' THEN 50 END""")

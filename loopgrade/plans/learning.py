@@ -206,6 +206,39 @@ def d_08(spark: SparkSession, d: str) -> DataFrame:
     return predict.roll_up(predict.vote(*photos(spark, d)).drop("n_photos")).select("id", "waste_type", "sub_type", F.round("type_confidence", 4).alias("type_confidence"))
 
 
+#: Photos with what was found about each: three of an item, every fourth item's photos show different things.
+SHOWN = """SELECT id, item, item % 4 <> 0 AS same_item, CASE WHEN item % 7 = 0 AND id % 3 = 1 THEN NULL ELSE CAST(id * 13 % 100 AS DOUBLE) / 100 END AS knn, id * 7 % 400 < 320 AS small,
+    CASE WHEN item % 5 = 0 OR id % 4 = 0 THEN id % 5 + 1 END AS n_similar, CAST(id % 10 AS DOUBLE) / 20 AS nearest, CAST(id % 7 AS DOUBLE) / 10 AS weight, CASE WHEN item % 10 = 0 THEN 'other' WHEN id % 2 = 0 THEN 'a,z' ELSE 'b' END AS label_list,
+    CASE WHEN item % 10 = 0 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS other_mass FROM (SELECT id, CAST(floor(id / 3) AS BIGINT) AS item FROM {leaf_probs} GROUP BY id) AS i"""
+GROUPED = f"""shown AS ({SHOWN.format(leaf_probs='leaf_probs')}), keyed AS (SELECT s.*, concat(item, '/', CASE WHEN same_item THEN '' ELSE CAST(id AS VARCHAR) END) AS k, r.waste_type AS best_type FROM shown s JOIN rolled r USING (id)),
+    meank AS (SELECT k AS id, leaf, l.waste_type, l.sub_type, sum(CAST(p AS DECIMAL(28,12)))::DOUBLE / count(DISTINCT l.id) AS p FROM leaf_probs l JOIN keyed USING (id) GROUP BY ALL)"""
+GROUP_ROWS = """g AS (SELECT k, item, any_value(CASE WHEN NOT same_item THEN id END) AS id, bool_and(same_item) AS same, count(*) AS n, count(knn) AS nk, sum(CAST(knn AS DECIMAL(28,12)))::DOUBLE / count(*) AS knn, bool_and(small) AS small, count(n_similar) AS nm, sum(n_similar)::BIGINT AS n_similar,
+        min(nearest) FILTER (n_similar IS NOT NULL) AS nearest, max(weight) FILTER (n_similar IS NOT NULL) AS weight, coalesce(array_to_string(list_sort(list_distinct(flatten(list(string_split(label_list, ',')) FILTER (n_similar IS NOT NULL)))), ','), '') AS labels, bool_or(label_list = 'other' AND n_similar IS NOT NULL) AS oo, max(other_mass) AS om FROM keyed GROUP BY k, item),
+    th(waste_type, kt, ft) AS (VALUES ('a', 0.5::DOUBLE, 0.9::DOUBLE), ('b', 0.3::DOUBLE, 0.8::DOUBLE)),
+    t AS (SELECT g.*, r.waste_type, r.sub_type, r.type_confidence AS c, coalesce(kt, 0.6) AS thr, ft AS far, CASE WHEN nk = n THEN g.knn END AS dist, NOT same OR nk = n AS cal, nm > 0 AS fam, CASE WHEN NOT same THEN om WHEN oo AND nm = n THEN 1.0 ELSE 0.0 END AS other FROM g JOIN krolled r ON r.id = g.k LEFT JOIN th ON th.waste_type = r.waste_type),
+    f AS (SELECT *, coalesce(dist > thr, false) AND NOT fam AS odd, coalesce(dist > far, false) AND NOT fam AS very, c < 0.4 AS close FROM t),
+    st AS (SELECT *, CASE WHEN NOT cal THEN 'detected' WHEN other > c OR very OR odd AND close THEN 'unknown' WHEN odd OR close THEN 'confirm' ELSE 'detected' END AS s0 FROM f),
+    fin AS (SELECT *, CASE WHEN small AND s0 = 'detected' AND waste_type = 'c' AND NOT fam THEN 'confirm' ELSE s0 END AS status FROM st)
+    SELECT fin.item, fin.id, n AS n_images, (SELECT count(*) FROM keyed k WHERE k.k = fin.k AND k.best_type = fin.waste_type) AS agreement, waste_type, sub_type, round(c, 4) AS type_confidence, status, c >= CASE WHEN cal THEN 0.45 ELSE 0.6 END AND status = 'detected' AS is_confident, small AS small_image, round(dist, 4) AS knn, n_similar, nearest, weight, labels FROM fin"""
+
+
+def _rename(types: str) -> str:
+    """The roll-up's tables under names of their own, over the averaged leaves."""
+    for name in ("types", "best", "sub", "rolled"):
+        types = types.replace(f"{name} AS (", f"k{name} AS (").replace(f"FROM {name} ", f"FROM k{name} ").replace(f"JOIN {name} ", f"JOIN k{name} ")
+    return types.replace("leaf_probs", "meank")
+
+
+@query("d_08_group_status", f"WITH {TYPES}, {GROUPED}, {_rename(TYPES)}, {GROUP_ROWS}", "leaf_probs")
+def d_08b(spark: SparkSession, d: str) -> DataFrame:
+    probs = leaves(spark, d)
+    by_type = spark.sql("SELECT * FROM VALUES ('a', 0.5D, 0.9D), ('b', 0.3D, 0.8D) AS t(waste_type, knn_threshold, far_threshold)")
+    shown = spark.sql(SHOWN, leaf_probs=probs).withColumn("labels", F.split("label_list", ","))
+    own = predict.roll_up(probs).select("id", F.col("waste_type").alias("best_type"))
+    out = predict.group_results(shown.join(own, "id"), probs, by_type, 0.6, 0.4, 0.45, "c")
+    return out.withColumn("type_confidence", F.round("type_confidence", 4)).withColumn("knn", F.round("knn", 4))
+
+
 @query(
     "d_07_legacy_combine",
     """WITH t AS (SELECT id, waste_type, round(sum(CAST(p AS DECIMAL(28,12))), 4)::DOUBLE AS p FROM leaf_probs GROUP BY ALL), n AS (SELECT id // 3 AS item, count(DISTINCT id) AS n FROM t GROUP BY 1),
