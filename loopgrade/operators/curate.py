@@ -45,11 +45,11 @@ def dedup(grouped: DataFrame) -> DataFrame:
     first = grouped.groupBy("grp", "digest").agg(F.min(lead).alias("own"))
     j = grouped.join(g, "grp").join(first, ["grp", "digest"])
     reason = (
-        F.when(F.col("l1") != F.col("l2"), "conflicting labels")
+        F.when(F.col("l1") != F.col("l2"), "conflict")
         .when(F.col("path") == F.col("rep.path"), "kept")
-        .when(F.col("path") != F.col("own.path"), "exact duplicate copy")
-        .when(F.col("rep.split").isNotNull() & F.col("split").isNotNull() & (F.col("split") != F.col("rep.split")), "duplicate across official split")
-        .otherwise("near-duplicate copy")
+        .when(F.col("path") != F.col("own.path"), "exact_copy")
+        .when(F.col("rep.split").isNotNull() & F.col("split").isNotNull() & (F.col("split") != F.col("rep.split")), "other_split")
+        .otherwise("near_copy")
     )
     return j.withColumn("reason", reason).drop("l1", "l2", "rep", "own")
 
@@ -314,7 +314,7 @@ def map_labels(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rows with their canonical type and the ``reason`` they are dropped for (null: mapped)."""
     m = mapping.select(F.lower("source_label").alias("_l"), "canonical_type", "status")
     j = rows.join(bounded(m), F.lower("label") == F.col("_l"), "left").drop("_l")
-    reason = F.when(F.col("status").isNull(), "label not in the mapping").when(F.col("status") == "unmapped", "unmapped").when(F.coalesce("canonical_type", F.lit("")) == "", "blank type")
+    reason = F.when(F.col("status").isNull(), "not_in_mapping").when(F.col("status") == "unmapped", "unmapped").when(F.coalesce("canonical_type", F.lit("")) == "", "blank_type")
     return j.withColumn("reason", reason)
 
 

@@ -34,10 +34,10 @@ def usability(answers: DataFrame, children: DataFrame, cutoff: str) -> DataFrame
     sub = F.coalesce(blank(F.col("actual_sub")), F.when(F.size("subs") == 1, F.get("subs", F.lit(0))), confirmed)
     j = j.withColumn("_sub", sub)
     reason = (
-        F.when(F.col("created_at") < F.lit(cutoff).cast("timestamp_ntz"), "before the reset")
-        .when(F.col("subs").isNull(), "not a class")
-        .when(~F.coalesce(F.array_contains("subs", F.col("_sub")), F.lit(False)), "no sub-type")
-        .when(F.col("n_files") < 1, "photo missing")
+        F.when(F.col("created_at") < F.lit(cutoff).cast("timestamp_ntz"), "before_reset")
+        .when(F.col("subs").isNull(), "no_class")
+        .when(~F.coalesce(F.array_contains("subs", F.col("_sub")), F.lit(False)), "no_sub_type")
+        .when(F.col("n_files") < 1, "no_photo")
         .otherwise("used")
     )
     return j.withColumn("reason", reason).withColumn("leaf", F.when(F.col("reason") == "used", F.concat_ws("__", "actual", "_sub"))).drop("_sub", "subs")
@@ -75,8 +75,8 @@ def derive(raw: DataFrame, children: DataFrame) -> DataFrame:
     j = j.join(bounded(c), "actual", "left").withColumn("actual_sub", F.when(F.size("subs") == 1, F.get("subs", F.lit(0))).otherwise(F.col("given")))
     error = (
         F.when(F.size("shas") < 1, "no image")
-        .when(F.col("actual").isNull(), "no label")
-        .when(F.col("given").isNotNull() & ~F.coalesce(F.array_contains("subs", F.col("given")), F.lit(False)), "sub-type of another type")
+        .when(F.col("actual").isNull(), "no_label")
+        .when(F.col("given").isNotNull() & ~F.coalesce(F.array_contains("subs", F.col("given")), F.lit(False)), "foreign_sub_type")
     )
     same = F.col("actual") == F.col("predicted")
     sub = F.when(F.col("actual_sub").isNotNull() & known(F.col("predicted_sub")), same & (F.col("actual_sub") == F.col("predicted_sub")))

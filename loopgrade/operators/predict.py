@@ -56,11 +56,11 @@ def reasons(conf: Column, knn: Column, thr: Column, far: Column, msp: Column, fa
     very = F.coalesce(knn > far, F.lit(False)) & ~familiar
     close = conf < msp
     return (
-        F.when(other_mass > conf, "resembles answers of another material")
-        .when(very, "far from all training data")
-        .when(odd & close, "unlike the training data; no clear winner")
-        .when(odd, "unlike the training data")
-        .when(close, "no clear winner")
+        F.when(other_mass > conf, "other_material")
+        .when(very, "very_far")
+        .when(odd & close, "odd+close")
+        .when(odd, "odd")
+        .when(close, "close")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,41 +29,129 @@ def split_types(column: Column) -> Column:
     return F.transform(F.split(column, ","), lambda x: F.trim(x))
 
 
-def _best(need: pd.DataFrame, recyclers: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best recyclers of every listing, by blocks of CELLS pairs; the recyclers of a type are in id order, which settles ties."""
+#: Recyclers of a cell of the grid, at most, degrees of a tile of listings that look at the same cells, and recyclers of a type that are few
+#: enough to be scored at once.
+CELL, TILE, FEW = 32, 0.05, 2048
+
+
+@dataclass
+class Grid:
+    """The recyclers of one type in cells: equal in the number of types they accept, near one another, in id order inside."""
+
+    rows: pd.DataFrame
+    start: np.ndarray  # of each cell in ``rows``, and the end
+    box: np.ndarray  # (cells, 4): lowest and highest latitude and longitude in radians; NaN with a place that is missing
+    capacity: np.ndarray  # largest of the cell
+    special: np.ndarray  # what the cell's recyclers get as specialists
+
+    def bounds(self, box: np.ndarray, quantity: float) -> np.ndarray:
+        """No recycler of a cell scores more for a listing of the tile ``box`` that holds at least ``quantity``."""
+        gap = lambda lo, hi: np.maximum(np.maximum(self.box[:, lo] - box[hi], box[lo] - self.box[:, hi]), 0)
+        cos = lambda lo, hi: np.minimum(np.cos(lo), np.cos(hi))
+        half = np.sin(np.minimum(gap(0, 1), np.pi) / 2) ** 2 + cos(box[0], box[1]) * cos(self.box[:, 0], self.box[:, 1]) * np.sin(np.minimum(gap(2, 3), np.pi) / 2) ** 2
+        # longitudes that wrap around are nearer than their difference
+        wraps = np.maximum(self.box[:, 3], box[3]) - np.minimum(self.box[:, 2], box[2]) > np.pi
+        km = np.where(wraps | np.isnan(half), 0.0, EARTH_KM * 2 * np.arcsin(np.minimum(1.0, np.sqrt(np.maximum(half, 0)))))
+        return RECYCLER_WEIGHTS["distance"] * np.exp(-km / DECAY_KM) + RECYCLER_WEIGHTS["capacity"] * np.fmin(1.0, self.capacity / max(quantity, 1.0)) + self.special + 1e-9
+
+
+def grid(recyclers: pd.DataFrame) -> Grid:
+    r = recyclers.sort_values("recycler_id", ignore_index=True)
+    lat, lon = np.radians(r["lat"].to_numpy(float)), np.radians(r["lon"].to_numpy(float))
+    n = r["n_types"].to_numpy(float)
+    strip = np.empty(len(r), np.int64)
+    for of_n in (np.flatnonzero(n == x) for x in np.unique(n)):  # about as many strips of latitude as cells in a strip
+        strip[of_n[np.argsort(lat[of_n], kind="stable")]] = np.arange(len(of_n)) * max(1, round((len(of_n) / CELL) ** 0.5)) // len(of_n)
+    order = np.lexsort((lon, strip, n))
+    # runs of CELL within the same strip and number of types
+    run = np.append(True, (np.diff(strip[order]) != 0) | (np.diff(n[order]) != 0))
+    place = np.arange(len(r)) - np.maximum.accumulate(np.where(run, np.arange(len(r)), 0))
+    cell = np.empty(len(r), np.int64)
+    cell[order] = np.cumsum(run | (place % CELL == 0)) - 1
+    order = np.lexsort((np.arange(len(r)), cell))
+    r, lat, lon = r.iloc[order].reset_index(drop=True), lat[order], lon[order]
+    start = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
+    low, high = lambda x: np.minimum.reduceat(x, start), lambda x: np.maximum.reduceat(x, start)
+    box = np.stack([low(lat), high(lat), low(lon), high(lon)], 1)
+    capacity = np.nan_to_num(high(r["capacity"].to_numpy(float)), nan=np.inf)
+    return Grid(r, np.append(start, len(r)), box, capacity, RECYCLER_WEIGHTS["specialist"] / r["n_types"].to_numpy(float)[start])
+
+
+def _scores(x: pd.DataFrame, r: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Kilometres and totals of listings (rows) and recyclers (columns); a pair without a place comes last."""
+    lat, lon, capacity = (r[c].to_numpy(float)[None, :] for c in ("lat", "lon", "capacity"))
+    own_lat, own_lon, quantity = (x[c].to_numpy(float)[:, None] for c in ("lat", "lon", "quantity_kg"))
+    lat, lon, own_lat, own_lon = np.radians(lat), np.radians(lon), np.radians(own_lat), np.radians(own_lon)
+    half = np.sin((lat - own_lat) / 2) ** 2 + np.cos(own_lat) * np.cos(lat) * np.sin((lon - own_lon) / 2) ** 2
+    km = EARTH_KM * 2 * np.arcsin(np.minimum(1.0, np.sqrt(half)))
+    special = RECYCLER_WEIGHTS["specialist"] / r["n_types"].to_numpy(float)
+    total = RECYCLER_WEIGHTS["distance"] * np.exp(-km / DECAY_KM) + RECYCLER_WEIGHTS["capacity"] * np.fmin(1.0, capacity / np.fmax(quantity, 1.0)) + special
+    return km, np.where(np.isnan(total), -np.inf, total)
+
+
+def _first(ids: np.ndarray, col: np.ndarray, km: np.ndarray, total: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n first columns of each row, by total, then id."""
+    if total.shape[1] > 4 * n:
+        floor = np.partition(total, total.shape[1] - n, axis=1)[:, total.shape[1] - n]
+        wide = int((total >= floor[:, None]).sum(axis=1).max())  # with those that tie with the last
+        near = np.argpartition(-total, wide - 1, axis=1)[:, :wide] if wide < total.shape[1] else np.broadcast_to(np.arange(total.shape[1]), total.shape)
+        col, km, total = (np.take_along_axis(a, near, 1) for a in (col, km, total))
+    first = np.lexsort((ids[col], -total), axis=1)[:, :n]
+    return tuple(np.take_along_axis(a, first, 1) for a in (col, km, total))
+
+
+def _best(need: pd.DataFrame, grids: dict[str, Grid], k: int, seen: dict | None = None) -> pd.DataFrame:
+    """The k best recyclers of every listing, by total, then recycler_id.
+
+    The listings of a type are taken by tiles of the map. A tile visits the cells of its type by their bounds, best first, until no
+    further cell can reach the k-th total of any of its listings. ``seen`` counts the pairs that are scored.
+    """
     out = []
-    of = dict(list(recyclers.sort_values("recycler_id").groupby("waste_type"))) if len(need) and len(recyclers) else {}
-    for kind, rows in need.groupby("waste_type"):
-        if kind not in of:
+    for kind, of_kind in need.groupby("waste_type"):
+        g = grids.get(kind)
+        if g is None:
             continue
-        r = of[kind]
-        lat, lon, capacity = (r[c].to_numpy(float)[None, :] for c in ("lat", "lon", "capacity"))
-        lat, lon = np.radians(lat), np.radians(lon)
-        cos, special = np.cos(lat), RECYCLER_WEIGHTS["specialist"] / r["n_types"].to_numpy(float)
-        n, step = min(k, len(r)), max(1, CELLS // len(r))
-        for i in range(0, len(rows), step):
-            x = rows.iloc[i : i + step]
-            own_lat, own_lon, quantity = (x[c].to_numpy(float)[:, None] for c in ("lat", "lon", "quantity_kg"))
-            own_lat, own_lon = np.radians(own_lat), np.radians(own_lon)
-            half = np.sin((lat - own_lat) / 2) ** 2 + np.cos(own_lat) * cos * np.sin((lon - own_lon) / 2) ** 2
-            km = EARTH_KM * 2 * np.arcsin(np.minimum(1.0, np.sqrt(half)))
-            total = RECYCLER_WEIGHTS["distance"] * np.exp(-km / DECAY_KM) + RECYCLER_WEIGHTS["capacity"] * np.fmin(1.0, capacity / np.fmax(quantity, 1.0)) + special
-            total = np.where(np.isnan(total), -np.inf, total)  # without a place: last
-            floor = np.partition(total, len(r) - n, axis=1)[:, len(r) - n]
-            row, col = np.nonzero(total >= floor[:, None])
-            order = np.lexsort((col, -total[row, col], row))
-            row, col = row[order], col[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row) + 1
-            row, col, place = row[place <= n], col[place <= n], place[place <= n]
-            out.append(x[["waste_id", "waste_type", "quantity_kg"]].iloc[row].reset_index(drop=True).join(r[["recycler_id", "capacity", "n_types"]].iloc[col].reset_index(drop=True)).assign(km=km[row, col], total=total[row, col], rank=place))
+        n = min(k, len(g.rows))
+        ids = np.argsort(np.argsort(g.rows["recycler_id"].to_numpy(), kind="stable"), kind="stable")  # the order of the ids
+        few = len(g.rows) <= FEW
+        tile = [np.zeros(len(of_kind))] if few else [*(np.floor(of_kind[c].to_numpy(float) / TILE) for c in ("lat", "lon")), np.floor(np.log2(np.fmax(of_kind["quantity_kg"].to_numpy(float), 1.0)))]
+        for _, rows in of_kind.groupby(tile, dropna=False):
+            step = max(1, CELLS // (len(g.rows) if few else 8 * CELL + n))
+            for i in range(0, len(rows), step):
+                x = rows.iloc[i : i + step]
+                lat, lon = (np.radians(x[c].to_numpy(float)) for c in ("lat", "lon"))
+                bound = g.bounds(np.array([lat.min(), lat.max(), lon.min(), lon.max()]), float(np.nanmin(np.append(x["quantity_kg"].to_numpy(float), np.inf))))
+                order = np.argsort(-bound, kind="stable")
+                col = np.zeros((len(x), 0), np.int64)
+                km, total, at = np.zeros((len(x), 0)), np.zeros((len(x), 0)), 0
+                while at < len(order):
+                    if col.shape[1] >= n and bound[order[at]] < total[:, n - 1].min():
+                        break
+                    cells = order if few else order[at : at + 8]
+                    at += len(cells)
+                    take = np.concatenate([np.arange(g.start[c], g.start[c + 1]) for c in cells])
+                    d, t = _scores(x, g.rows.iloc[take])
+                    if seen is not None:
+                        seen["pairs"] = seen.get("pairs", 0) + t.size
+                    col = np.concatenate([col, np.broadcast_to(take, t.shape)], axis=1)
+                    km, total = np.concatenate([km, d], axis=1), np.concatenate([total, t], axis=1)
+                    col, km, total = _first(ids, col, km, total, n)
+                row = np.repeat(np.arange(len(x)), n)
+                chosen = g.rows[["recycler_id", "capacity", "n_types"]].iloc[col.reshape(-1)].reset_index(drop=True)
+                out.append(x[["waste_id", "waste_type", "quantity_kg"]].iloc[row].reset_index(drop=True).join(chosen).assign(km=km.reshape(-1), total=total.reshape(-1), rank=np.tile(np.arange(1, n + 1), len(x))))
     names = [c.split()[0] for c in _BEST.split(", ")]
     return pd.concat(out)[names] if out else pd.DataFrame({c: pd.Series(dtype="object" if c == "waste_type" else "float64") for c in names})
 
 
+def grids(recyclers: pd.DataFrame) -> dict[str, Grid]:
+    return {kind: grid(rows) for kind, rows in recyclers.groupby("waste_type")}
+
+
 def rank_recyclers(listings: DataFrame, recyclers: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best recyclers that accept each listing's type, by unrounded score, then recycler_id.
 
-    A listing meets recyclers in numpy, and only its k best leave the task. While the recyclers are one block
+    Recyclers are kept in a grid of cells with a bound on what they can score, so a listing meets in numpy only the cells that can
+    hold one of its k best, and only these leave the task. While the recyclers are one block
     (counted), their columns are broadcast and no pair is shuffled; the listings are dealt to as many tasks as
     their pairs need, as a listing is small beside its pairs. A larger table is dealt into blocks, each block
     meets the listings in parts, and the k best of every block are merged: no type is gathered in one task.
@@ -76,7 +165,8 @@ def rank_recyclers(listings: DataFrame, recyclers: DataFrame, k: int = 5) -> Dat
         sent = spark.sparkContext.broadcast(each.toPandas())
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            return (_best(b, sent.value, k) for b in batches)
+            of_type = grids(sent.value)
+            return (_best(b, of_type, k) for b in batches)
 
         found = need.repartition(max(spark.sparkContext.defaultParallelism, -(-pairs // TASK_PAIRS))).mapInPandas(run, _BEST)
     else:
@@ -85,7 +175,7 @@ def rank_recyclers(listings: DataFrame, recyclers: DataFrame, k: int = 5) -> Dat
         every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
         left = need.withColumn("part", deal("waste_id", parts)).withColumn("block", every(blocks)).groupBy("part", "block")
         right = each.withColumn("block", deal("recycler_id", blocks)).withColumn("part", every(parts)).groupBy("part", "block")
-        found = left.cogroup(right).applyInPandas(lambda x, r: _best(x, r, k), _BEST)
+        found = left.cogroup(right).applyInPandas(lambda x, r: _best(x, grids(r), k), _BEST)
         row = F.struct((-F.col("total")).alias("minus"), "recycler_id", *[c.split()[0] for c in _BEST.split(", ") if c.split()[0] not in ("recycler_id", "rank")])
         merged = found.groupBy(F.col("waste_id").alias("_key")).agg(F.slice(F.array_sort(F.collect_list(row)), 1, k).alias("x"))  # k of each block
         found = merged.select(F.posexplode("x").alias("rank", "x")).select((F.col("rank") + 1).alias("rank"), "x.*")

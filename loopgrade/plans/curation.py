@@ -249,7 +249,7 @@ PRIO = "CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'test' THEN 2 ELSE
 DEDUP = f"""{GROUPS}, gg AS (SELECT grp, min(leaf) <> max(leaf) AS conflict FROM grouped GROUP BY 1),
     rep AS (SELECT grp, path AS rep_path, split AS rep_split FROM grouped QUALIFY row_number() OVER (PARTITION BY grp ORDER BY {PRIO}, path) = 1),
     own AS (SELECT grp, digest, path AS own_path FROM grouped QUALIFY row_number() OVER (PARTITION BY grp, digest ORDER BY {PRIO}, path) = 1),
-    deduped AS (SELECT g.*, CASE WHEN conflict THEN 'conflicting labels' WHEN path = rep_path THEN 'kept' WHEN path <> own_path THEN 'exact duplicate copy' WHEN rep_split IS NOT NULL AND split IS NOT NULL AND split <> rep_split THEN 'duplicate across official split' ELSE 'near-duplicate copy' END AS reason
+    deduped AS (SELECT g.*, CASE WHEN conflict THEN 'conflict' WHEN path = rep_path THEN 'kept' WHEN path <> own_path THEN 'exact_copy' WHEN rep_split IS NOT NULL AND split IS NOT NULL AND split <> rep_split THEN 'other_split' ELSE 'near_copy' END AS reason
         FROM grouped g JOIN gg USING (grp) JOIN rep USING (grp) JOIN own USING (grp, digest))"""
 
 
@@ -535,7 +535,7 @@ def f_09(spark: SparkSession, d: str) -> DataFrame:
 MAPPING = "VALUES ('AF', 'metal', 'mapped'), ('ao', 'glass', 'mapped'), ('NF', '', 'mapped'), ('rf', 'paper', 'unmapped')"
 
 
-@query("f_08_map_labels", f"WITH m(source_label, canonical_type, status) AS ({MAPPING}) SELECT coalesce(CASE WHEN status IS NULL THEN 'label not in the mapping' WHEN status = 'unmapped' THEN 'unmapped' WHEN canonical_type = '' THEN 'blank type' END, 'mapped') AS reason, count(*) AS n FROM boxes LEFT JOIN m ON lower(label) = lower(source_label) GROUP BY 1", "boxes")
+@query("f_08_map_labels", f"WITH m(source_label, canonical_type, status) AS ({MAPPING}) SELECT coalesce(CASE WHEN status IS NULL THEN 'not_in_mapping' WHEN status = 'unmapped' THEN 'unmapped' WHEN canonical_type = '' THEN 'blank_type' END, 'mapped') AS reason, count(*) AS n FROM boxes LEFT JOIN m ON lower(label) = lower(source_label) GROUP BY 1", "boxes")
 def f_08(spark: SparkSession, d: str) -> DataFrame:
     mapping = spark.sql(f"SELECT * FROM {MAPPING} AS m(source_label, canonical_type, status)")
     return curate.map_labels(bind(spark, d, "boxes"), mapping).groupBy(F.coalesce("reason", F.lit("mapped")).alias("reason")).agg(F.count("*").alias("n"))

@@ -45,7 +45,7 @@ def f_11(spark: SparkSession, d: str) -> DataFrame:
 
 CHILDREN = "children(actual, subs) AS (VALUES ('view', ['s0', 's1']), ('click', ['s1']), ('purchase', ['s0', 's1', 's2']))"
 USABLE = f"""{LATEST.rstrip()}, {CHILDREN}, st AS (SELECT l.*, subs, coalesce(nullif(actual_sub, ''), CASE WHEN len(subs) = 1 THEN subs[1] END, CASE WHEN is_correct AND predicted = l.actual THEN nullif(predicted_sub, '') END) AS st FROM latest l LEFT JOIN children USING (actual)),
-    why AS (SELECT *, CASE WHEN created_at < TIMESTAMP '{CUTOFF}' THEN 'before the reset' WHEN subs IS NULL THEN 'not a class' WHEN st IS NULL OR NOT list_contains(subs, st) THEN 'no sub-type' WHEN n_files = 0 THEN 'photo missing' ELSE 'used' END AS reason FROM st)"""
+    why AS (SELECT *, CASE WHEN created_at < TIMESTAMP '{CUTOFF}' THEN 'before_reset' WHEN subs IS NULL THEN 'no_class' WHEN st IS NULL OR NOT list_contains(subs, st) THEN 'no_sub_type' WHEN n_files = 0 THEN 'no_photo' ELSE 'used' END AS reason FROM st)"""
 
 
 @query("f_10_usability", USABLE + " SELECT reason, CASE WHEN reason = 'used' THEN concat(actual, '__', st) END AS leaf, count(*) AS n FROM why GROUP BY 1, 2", "answers")
@@ -86,7 +86,7 @@ def raw_answers(spark: SparkSession, d: str) -> DataFrame:
     c AS (SELECT *, CASE WHEN len(subs) = 1 THEN subs[1] ELSE given END AS actual_sub FROM b)
     SELECT id, substr(sha256(shas[1] || shas[2]), 1, 16) AS item_key, actual, actual_sub, actual = predicted AS type_correct,
     CASE WHEN actual_sub IS NOT NULL AND predicted_sub <> 'unknown' THEN actual = predicted AND actual_sub = predicted_sub END AS subtype_correct, round(confidence, 4) AS confidence,
-    CASE WHEN actual IS NULL THEN 'no label' WHEN given IS NOT NULL AND NOT coalesce(list_contains(subs, given), false) THEN 'sub-type of another type' END AS error FROM c""",
+    CASE WHEN actual IS NULL THEN 'no_label' WHEN given IS NOT NULL AND NOT coalesce(list_contains(subs, given), false) THEN 'foreign_sub_type' END AS error FROM c""",
 )
 def c_14(spark: SparkSession, d: str) -> DataFrame:
     children = spark.sql("SELECT * FROM VALUES ('view', array('s0', 's1')), ('click', array('s1')), ('error', array('s0', 's1', 's2')) AS t(waste_type, subs)")
@@ -133,7 +133,7 @@ STATUS_IN = f"""th(waste_type, k, f) AS (VALUES ('a', 0.5::DOUBLE, 0.9::DOUBLE),
     st AS (SELECT r.*, CASE WHEN id % 19 = 0 THEN NULL ELSE {KNN} END AS knn, coalesce(th.k, 0.6::DOUBLE) AS thr, coalesce(th.f, 0.95::DOUBLE) AS far, id % 7 = 0 AS familiar, (id % 11)::DOUBLE / 20 AS other_mass FROM rolled r LEFT JOIN th USING (waste_type)),
     flags AS (SELECT *, coalesce(knn > thr, false) AND NOT familiar AS odd, coalesce(knn > far, false) AND NOT familiar AS very, type_confidence < 0.4 AS close FROM st),
     stat AS (SELECT *, CASE WHEN other_mass > type_confidence THEN 'unknown' WHEN very THEN 'unknown' WHEN odd AND close THEN 'unknown' WHEN odd OR close THEN 'confirm' ELSE 'detected' END AS status,
-        CASE WHEN other_mass > type_confidence THEN 'resembles answers of another material' WHEN very THEN 'far from all training data' WHEN odd AND close THEN 'unlike the training data; no clear winner' WHEN odd THEN 'unlike the training data' WHEN close THEN 'no clear winner' END AS reasons FROM flags)"""
+        CASE WHEN other_mass > type_confidence THEN 'other_material' WHEN very THEN 'very_far' WHEN odd AND close THEN 'odd+close' WHEN odd THEN 'odd' WHEN close THEN 'close' END AS reasons FROM flags)"""
 
 
 def status_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopgrade.functions.session import ensure_checkpoint_dir
-from loopgrade.operators import dimensions, feedback
+from loopgrade.operators import dimensions, feedback, vectors
 from loopgrade.plans.bindings import bind, read, sql
-from loopgrade.plans.learning import LATEST
+from loopgrade.plans.learning import LATEST, MEMORY_T, NEAR
 from loopgrade.plans.market import PAIRS
 from loopgrade.sources import files
 from loopgrade.streaming import jobs
@@ -56,9 +56,8 @@ def st_01(spark: SparkSession, d: str) -> DataFrame:
 @query("st_02_summary_stream", LATEST + "SELECT count(*) AS n, count(*) FILTER (is_correct) AS correct, round(count(*) FILTER (is_correct) / count(*), 6) AS accuracy, count(*) FILTER (actual = 'other') AS n_other FROM latest", "answers")
 def st_02(spark: SparkSession, d: str) -> DataFrame:
     at = folder(spark)
-    put = lambda df, n: jobs.write_generation(df, f"{at}/summary", n)
-    jobs.summary_stream(answer_stream(spark, d), f"{at}/store", f"{at}/check", put).awaitTermination()
-    return jobs.read_last(spark, f"{at}/summary")
+    jobs.summary_stream(answer_stream(spark, d), f"{at}/store", f"{at}/check").awaitTermination()
+    return jobs.read_summary(spark, f"{at}/store")
 
 
 @query("st_03_new_photos", "SELECT DISTINCT user_id % 1000 AS sha FROM events")
@@ -81,12 +80,20 @@ def st_05(spark: SparkSession, d: str) -> DataFrame:
     return jobs.restore(spark, f"{folder(spark)}/missing", f"{d}/events.parquet", EVENTS).select("event_id", "event_type")
 
 
-@query("st_06_memory_join", LATEST + "SELECT a.seq, l.actual AS remembered FROM answers a JOIN latest l USING (item_key)", "answers")
+@query("st_06_memory_join", f"WITH {NEAR} SELECT id, count(*) AS n_similar, round(min(distance), 5) AS nearest, arg_min(label, struct_pack(d := round(distance, 9), m := mem_id)) AS remembered FROM near GROUP BY 1")
 def st_06(spark: SparkSession, d: str) -> DataFrame:
+    """Photos arrive as vectors and meet the confirmed ones within the memory's radius."""
     at = folder(spark)
-    memory = lambda s: feedback.latest(bind(s, d, "answers")).select("item_key", F.col("actual").alias("remembered"))
-    jobs.with_memory(answer_stream(spark, d).select("seq", "item_key"), memory, lambda b, m: b.join(m, "item_key").select("seq", "remembered"), f"{at}/out", f"{at}/check").awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("seq", "remembered")
+    v = read(spark, d, "embeddings").where("vec_id % 7 = 0").select(F.col("vec_id").alias("mem_id"), "label", "embedding")
+    jobs.write_generation(v, f"{at}/memory", 0)
+    photos = jobs.read_log(spark, f"{d}/embedding[s].parquet", "vec_id long, embedding array<float>, label int").where("vec_id % 7 <> 0").select(F.col("vec_id").alias("id"), "embedding")
+
+    def apply(batch: DataFrame, memory: DataFrame) -> DataFrame:
+        near = vectors.within(batch, memory, MEMORY_T)
+        return near.groupBy("id").agg(F.count("*").alias("n_similar"), F.round(F.min("distance"), 5).alias("nearest"), F.min_by("label", F.struct(F.round("distance", 9).alias("d"), "mem_id")).alias("remembered"))
+
+    jobs.with_memory(photos, lambda s: jobs.read_last(s, f"{at}/memory"), apply, f"{at}/out", f"{at}/check").awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("batch")
 
 
 TREND = "SELECT date_trunc('day', ts) AS start, count(*) AS n, count(*) FILTER (event_id % 3 <> 0) AS correct, round(count(*) FILTER (event_id % 3 <> 0) / count(*), 6) AS accuracy FROM events GROUP BY 1"

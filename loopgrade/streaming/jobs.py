@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from loopgrade.operators import feedback
 
@@ -62,14 +64,14 @@ def read_latest(spark: SparkSession, store: str) -> DataFrame:
     return feedback.latest(spark.read.parquet(*_folders(spark, store)))
 
 
-def _merge(batch: DataFrame, batch_id: int, store: str, every: int) -> None:
-    spark, rows = batch.sparkSession, feedback.latest(batch)
+def _merge(batch: DataFrame, batch_id: int, store: str, every: int, fold: Callable[[DataFrame], DataFrame] = feedback.latest) -> None:
+    spark, rows = batch.sparkSession, fold(batch)
     old = _folders(spark, store, batch_id)
     if 0 < len(old) < every:
         rows.write.mode("overwrite").parquet(f"{store}/new={batch_id}")
         return
     if old:
-        rows = feedback.latest(spark.read.schema(batch.schema).parquet(*old).unionByName(rows))
+        rows = fold(spark.read.schema(batch.schema).parquet(*old).unionByName(rows))
     write_generation(rows, store, batch_id)
 
 
@@ -83,15 +85,53 @@ def upsert_latest(answers: DataFrame, store: str, checkpoint: str, every: int =
     return answers.writeStream.foreachBatch(lambda batch, n: _merge(batch, n, store, every)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def summary_stream(answers: DataFrame, store: str, checkpoint: str, publish: Callable[[DataFrame, int], None], every: int = 16) -> StreamingQuery:
-    """A running summary that forgets superseded answers: upsert first, then summarise the latest answers."""
+#: What an answer adds to the summary, and takes away when a later one supersedes it.
+CHANGE = "n long, correct long, n_other long"
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        _merge(batch, batch_id, store, every)
-        spark = batch.sparkSession
-        publish(feedback.summary(spark.read.schema(batch.schema).parquet(*_folders(spark, store, batch_id + 1))), batch_id)
 
-    return answers.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def retractions(answers: DataFrame) -> DataFrame:
+    """Changes of the summary: plus one row for every answer that becomes its key's latest, minus one for the answer it supersedes.
+
+    The latest answer of every key is keyed state, so nothing is read but the micro-batch. Before the rows meet their key
+    each Arrow batch is cut to a row a key, so a key that sends a third of all answers sends few rows to its task.
+    """
+    rows = answers.select("item_key", "seq", "is_correct", "actual")
+    kinds = dict(rows.dtypes)
+    state = f"seq {kinds['seq']}, correct long, other long"
+
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.sort_values("seq").drop_duplicates("item_key", keep="last").assign(correct=lambda x: (x["is_correct"] == True).astype(int), other=lambda x: (x["actual"] == "other").astype(int))[["item_key", "seq", "correct", "other"]]  # noqa: E712
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], now: GroupState) -> Iterator[pd.DataFrame]:
+        old = now.getOption
+        new = old
+        for b in batches:
+            for seq, correct, other in zip(b["seq"], b["correct"], b["other"], strict=True):
+                if new is None or seq >= new[0]:
+                    new = (int(seq), int(correct), int(other))
+        if new != old:
+            now.update(new)
+            total = [new, *([old] if old else [])]
+            yield pd.DataFrame({"n": [1 if old is None else 0], "correct": [total[0][1] - sum(t[1] for t in total[1:])], "n_other": [total[0][2] - sum(t[2] for t in total[1:])]})
+
+    one = rows.mapInPandas(last, f"item_key {kinds['item_key']}, {state}")
+    return one.groupBy("item_key").applyInPandasWithState(step, CHANGE, state, "update", "NoTimeout")
+
+
+def _added(changes: DataFrame) -> DataFrame:
+    return changes.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "correct", "n_other")])
+
+
+def summary_stream(answers: DataFrame, store: str, checkpoint: str, every: int = 16) -> StreamingQuery:
+    """A running summary that forgets superseded answers: a micro-batch adds the sum of its :func:`retractions`, one row, to ``store``; :func:`read_summary` reads it."""
+    put = lambda batch, n: _merge(batch, n, store, every, _added)
+    return retractions(answers).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_summary(spark: SparkSession, store: str) -> DataFrame:
+    total = _added(spark.read.parquet(*_folders(spark, store)))
+    return total.select("n", "correct", F.round(F.try_divide("correct", "n"), 6).alias("accuracy"), "n_other")
 
 
 def trend_stream(answers: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -138,7 +178,11 @@ def restore(spark: SparkSession, log: str, backup: str, schema: str) -> DataFram
 
 
 def with_memory(predictions: DataFrame, memory: Callable[[SparkSession], DataFrame], apply: Callable[[DataFrame, DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
-    """Predictions adjusted by the memory as it stands when their micro-batch runs."""
+    """Predictions adjusted by the memory as it stands when their micro-batch runs.
+
+    ``memory`` reads a table that is published by version (:func:`write_generation`, :func:`read_last`), so a new version takes
+    effect with the next micro-batch and none is recomputed there.
+    """
 
     def put(batch: DataFrame, batch_id: int) -> None:
         apply(batch, memory(batch.sparkSession)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")

@@ -109,14 +109,14 @@ def test_streams_equal_batches(spark, tmp_path):
     for part in (df.where("seq < 50"), df.where("seq >= 50")):  # two arrivals, one run after each
         part.coalesce(1).write.mode("append").parquet(str(log))
         jobs.upsert_latest(jobs.read_log(spark, str(log), SCHEMA), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
+        jobs.summary_stream(jobs.read_log(spark, str(log), SCHEMA), str(tmp_path / "s2"), str(tmp_path / "c2")).awaitTermination()
     assert sorted(x.name for x in (tmp_path / "store").iterdir()) == ["gen=0", "new=1"]
     store = jobs.read_latest(spark, str(tmp_path / "store"))
     want = sorted(map(tuple, feedback.latest(df).select("item_key", "seq", "actual").collect()))
     assert sorted(map(tuple, store.select("item_key", "seq", "actual").collect())) == want
-    seen = []
-    publish = lambda s, n: seen.append(tuple(s.first()))
-    jobs.summary_stream(jobs.read_log(spark, str(log), SCHEMA), str(tmp_path / "s2"), str(tmp_path / "c2"), publish).awaitTermination()
-    assert seen[-1] == tuple(feedback.summary(df).first())
+    assert jobs.read_summary(spark, str(tmp_path / "s2")).collect() == feedback.summary(df).collect()
+    changes = [spark.read.parquet(str(tmp_path / "s2" / x)).first() for x in ("gen=0", "new=1")]
+    assert changes[0].n == 7 and changes[1].n == 0  # the second arrival only supersedes: what it adds it takes away
     for n, f in (("trend", jobs.trend), ("sessions", lambda x: jobs.sessions(x, "90 minutes"))):
         q = f(jobs.read_log(spark, str(log), SCHEMA)).writeStream.outputMode("complete").format("memory").queryName(n).trigger(availableNow=True).start()
         q.awaitTermination()

@@ -154,7 +154,7 @@ def test_duplicates(spark):
     items = spark.createDataFrame(rows, "id long, leaf string, digest string, path string, split string")
     near = spark.createDataFrame([(1, 3)], "src long, dst long")
     got = {r.id: r.reason for r in curate.dedup(curate.duplicate_groups(items, near)).collect()}
-    assert got == {1: "exact duplicate copy", 2: "duplicate across official split", 3: "kept", 4: "conflicting labels", 5: "conflicting labels", 6: "kept"}
+    assert got == {1: "exact_copy", 2: "other_split", 3: "kept", 4: "conflict", 5: "conflict", 6: "kept"}
 
 
 def test_no_group_spans_two_splits(spark):
@@ -279,7 +279,7 @@ def test_usable_feedback(spark):
     children = spark.createDataFrame([("a", ["x", "y"]), ("b", ["only"])], "waste_type string, subs array<string>")
     got = {r.item_key: (r.reason, r.leaf) for r in feedback.usability(df, children, "2024-01-03 00:00:00").collect()}
     assert got == {
-        "k1": ("not a class", None), "k2": ("before the reset", None), "k3": ("used", "b__only"), "k4": ("used", "a__y"), "k5": ("no sub-type", None), "k6": ("no sub-type", None), "k7": ("photo missing", None), "k8": ("not a class", None),
+        "k1": ("no_class", None), "k2": ("before_reset", None), "k3": ("used", "b__only"), "k4": ("used", "a__y"), "k5": ("no_sub_type", None), "k6": ("no_sub_type", None), "k7": ("no_photo", None), "k8": ("no_class", None),
     }
 
 
@@ -488,3 +488,69 @@ def test_near_groups_by_three_tests_with_a_forest(spark, monkeypatch, large):
     assert {(r.src, r.dst) for r in edges.collect()} <= set(near)
     if large == 3:
         assert edges.distinct().count() < vectors.near_images(df, mean_difference=0.001).count()
+
+
+def test_grid_of_recyclers_scores_few_pairs():
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    n = 6000
+    rec = pd.DataFrame({"waste_type": "a", "recycler_id": rng.permutation(n), "lat": 12 + rng.integers(0, 2001, n) / 1000, "lon": 77 + rng.integers(0, 2001, n) / 1000, "capacity": 10_000 + rng.integers(0, 190_000, n), "n_types": rng.integers(1, 5, n)})
+    rec.loc[3, "lat"] = np.nan
+    need = pd.DataFrame({"waste_id": range(300), "waste_type": rng.choice(list("az"), 300), "quantity_kg": rng.integers(1, 400_000, 300).astype(float), "lat": 12 + rng.integers(0, 2001, 300) / 1000, "lon": 77 + rng.integers(0, 2001, 300) / 1000})
+    need.loc[5, ["waste_type", "lon"]] = "a", np.nan
+    need.loc[6, "quantity_kg"] = np.nan
+    seen: dict = {}
+    got = ranking._best(need, ranking.grids(rec), 5, seen)
+    rec, mine = rec.sort_values("recycler_id", ignore_index=True), need[need["waste_type"] == "a"]
+    total = ranking._scores(mine, rec)[1]
+    want = [(w, k, rec["recycler_id"].iloc[c]) for w, t in zip(mine["waste_id"], total, strict=True) for k, c in enumerate(np.argsort(-t, kind="stable")[:5], 1)]
+    assert sorted(zip(got["waste_id"], got["rank"], got["recycler_id"], strict=True)) == want
+    assert seen["pairs"] < 0.35 * len(mine) * n
+
+
+def test_item_results(spark):
+    # item 1: two photos of three say b; mean distance 0.5, one near photo; item 2: a distance is missing, so nothing is tested; item 3: shown apart
+    probs = {1: (0.2, 0.8), 2: (0.3, 0.7), 3: (0.6, 0.4), 4: (0.1, 0.9), 5: (0.2, 0.8), 6: (0.9, 0.1), 7: (0.45, 0.55), 8: (0.3, 0.7), 9: (0.4, 0.6)}
+    leaves = spark.createDataFrame([(i, leaf, leaf[0], "p", p) for i, ps in probs.items() for leaf, p in zip(("a__p", "b__p"), ps, strict=True)], "id long, leaf string, waste_type string, sub_type string, p double")
+    rows = [(1, 1, True, "b", 0.3, True, 0.0, 2, 0.2, 0.5, ["z"]), (2, 1, True, "b", 0.5, True, 0.0, None, None, None, None), (3, 1, True, "a", 0.7, False, 0.0, None, None, None, None)]
+    rows += [(4, 2, True, "b", None, True, 0.0, None, None, None, None), (5, 2, True, "b", 9.0, True, 0.0, None, None, None, None)]
+    rows += [(6, 3, False, "a", 9.0, False, 0.0, None, None, None, None), (7, 3, False, "b", None, True, 0.7, 1, 0.1, 0.4, ["other"])]
+    rows += [(8, 4, True, "b", 0.1, False, 0.0, 1, 0.3, 0.2, ["other"]), (9, 4, True, "b", 0.1, False, 0.0, 3, 0.1, 0.9, ["y", "x"])]
+    photos = spark.createDataFrame(rows, "id long, item long, same_item boolean, best_type string, knn double, small boolean, other_mass double, n_similar long, nearest double, weight double, labels array<string>")
+    by_type = spark.createDataFrame([("a", 0.4, 1.0), ("b", 0.4, 1.0)], "waste_type string, knn_threshold double, far_threshold double")
+    got = {(r.item, r.id): r for r in predict.group_results(photos, leaves, by_type, 0.4, 0.5, 0.6, "b").collect()}
+    r = got[1, None]
+    assert (r.n_images, r.agreement, r.waste_type, r.status, r.is_confident, r.small_image, r.n_similar, r.labels) == (3, 2, "b", "detected", True, False, 2, "z")
+    assert r.type_confidence == pytest.approx(1.9 / 3) and r.knn == pytest.approx(0.5)
+    r = got[2, None]
+    assert (r.status, r.is_confident, r.small_image, r.knn, r.labels) == ("confirm", False, True, None, "")  # only the guard of small photos
+    assert (got[3, 6].status, got[3, 6].n_images, got[3, 7].status, got[3, 7].agreement) == ("unknown", 1, "unknown", 1)
+    r = got[4, None]
+    assert (r.status, r.n_similar, r.nearest, r.weight, r.labels) == ("unknown", 4, 0.1, 0.9, "other,x,y") and len(got) == 5  # all near, one to other alone
+
+
+def test_leakage_report(spark):
+    rows = [("1", "1", "a", "train", "d1", False), ("2", "2", "a", "val", "d1", False), ("3", "3", "a", "test", "d2", False), ("4", "3", "b", "train", "d2", False), ("5", "5_rep", "a", "train", "d1", True), ("6", "6_rep", "c", "val", "d9", True), ("7", "7", "a", "train", "d1", False)]
+    df = spark.createDataFrame(rows, "path string, stem string, leaf string, split string, digest string, is_copy boolean")
+    got = {r.check: (r.bad, r.verdict) for r in curate.leakage_checks(df, spark.createDataFrame([("a",)], "leaf string")).collect()}
+    assert got == {"class_in_every_split": (2, "FAIL"), "class_in_mapping": (1, "FAIL"), "copy_in_train": (1, "FAIL"), "stem_once": (1, "FAIL"), "digest_in_one_split": (2, "FAIL"), "files": (7, None), "unique_files": (5, None), "copies": (2, None), "repeated_digests": (3, None)}
+    clean = df.where("path in ('1', '3')").withColumn("split", F.lit("train"))
+    assert {r.verdict for r in curate.leakage_checks(clean, spark.createDataFrame([("a",)], "leaf string")).collect()} == {"PASS", None}
+    files_ = spark.createDataFrame([(1, "train", "a"), (1, "train", "a"), (1, "val", "a"), (2, "val", "b"), (3, "test", "b")], "cls long, split string, leaf string")
+    near = curate.near_between_splits(files_, spark.createDataFrame([(1, 2)], "a long, b long"))
+    assert sorted(map(tuple, near.collect())) == [("train", "train", "a", "a", 1), ("train", "val", "a", "a", 2), ("train", "val", "a", "b", 2), ("val", "val", "a", "b", 1)]
+
+
+def test_listing_search_from_text_to_ranking(spark):
+    listings = spark.createDataFrame([(i, "AB"[i % 2], "s", 100 * i, ("good", "fair")[i % 3 % 2], 12.9 + i / 100, 77.6) for i in range(1, 40)], "waste_id long, waste_type string, sub_type string, quantity_kg long, quality string, lat double, lon double")
+    text = F.concat(F.lit("bales of "), F.when(F.col("waste_id") % 5 == 0, "cotton scrap").otherwise("steel"), F.lit(" item"), F.col("waste_id"))
+    session = listings.where("waste_id = 5").withColumn("waste_id", F.lit(500).cast("long")).withColumn("text", F.lit("cotton scrap cotton scrap"))
+    needs = spark.createDataFrame([(1, "cotton scrap", 12.9, 77.6, None, None, None, None), (2, " ", 12.9, 77.6, "A", None, None, None), (3, "nothing known", None, None, None, None, 1000.0, ["good"]), (4, None, None, None, "C", None, None, None)], "need_id long, text string, lat double, lon double, waste_type string, sub_type string, min_quantity double, qualities array<string>")
+    index = inverted.build(listings.select(F.col("waste_id").alias("id"), text.alias("text")))
+    got: dict = {}
+    for r in search.find_listings(index, listings, needs, 5, session).orderBy("need_id", "rank").collect():
+        got.setdefault(r.need_id, []).append(r)
+    assert got[1][0].waste_id == 500 and got[1][0].is_session and {r.waste_id % 5 for r in got[1]} == {0}
+    assert [r.waste_id for r in got[2]] == [2, 4, 6, 8, 12] or all(r.waste_id % 2 == 0 and r.similarity == 0 for r in got[2])
+    assert all(r.distance_km is None and r.waste_id >= 10 for r in got[3]) and [r.waste_id for r in got[3]][0] == 39 and 4 not in got
