@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Weights of the grades, and of any other; display names of waste types and of sub-types whose name isn't their code.
 QUALITY = {"good": 1.0, "fair": 0.7, "poor": 0.4}
 OTHER_QUALITY = 0.5
-#: Display names of waste types and of sub-types whose name isn't their code.
 TYPE_LABELS = {
     "textile": "Textile", "plastic": "Plastic", "construction": "Construction", "e_waste": "E-waste",
     "paper": "Paper & cardboard", "glass": "Glass", "metal": "Metal", "biological": "Organic / food",

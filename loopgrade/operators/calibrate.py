@@ -46,3 +46,23 @@ def memory_threshold(nn: DataFrame, precision: float = 0.98, least: int = 50) ->
     """One row: the last distance with cumulative precision and rank high enough, else the 5 % quantile."""
     ok = cumulative_precision(nn).where((F.col("precision") >= precision) & (F.col("rank") >= least)).agg(F.max_by("distance", "rank").alias("t"))
     return ok.crossJoin(F.broadcast(quantiles(nn, [], "distance", {"q": 0.05}))).select(F.coalesce("t", "q").alias("memory_threshold"))
+
+
+def report(val: DataFrame, thresholds: DataFrame, msp: float, confident: float, nn: DataFrame) -> DataFrame:
+    """One row on all validation rows: n, accuracy, share flagged by the combined rule, right ones kept as confident, wrong ones below
+    that confidence; and of the memory: its threshold, the share of rows within it, and how often the neighbour there agrees.
+
+    ``val``: waste_type, knn, confidence, correct. ``nn``: id, distance, agree.
+    """
+    j = val.join(bounded(thresholds.select("waste_type", "knn_threshold")), "waste_type")
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    c = F.col("confidence")
+    rows = j.agg(
+        F.count("*").alias("n"), share(F.col("correct")).alias("accuracy"), share((F.col("knn") > F.col("knn_threshold")) | (c < msp)).alias("flagged"),
+        share(F.when(F.col("correct"), c >= confident)).alias("kept_confident"), share(F.when(~F.col("correct"), c < confident)).alias("wrong_below"),
+    )
+    inside = F.col("distance") <= F.col("memory_threshold")
+    memory = nn.crossJoin(F.broadcast(memory_threshold(nn))).agg(
+        F.round(F.max("memory_threshold"), 6).alias("memory_threshold"), share(inside).alias("memory_coverage"), share(F.when(inside, F.col("agree"))).alias("memory_precision"),
+    )
+    return rows.crossJoin(F.broadcast(memory))

@@ -48,6 +48,29 @@ def accuracy_sets(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.rollup(a, b).agg(F.count("*").alias("n"), share(F.col("truth") == F.col("pred")).alias("accuracy"), F.grouping(F.col(b)).cast("int").alias("all_of_b")).where(F.col(a).isNotNull())
 
 
+def top_accuracy(rolled: DataFrame, truths: DataFrame, k: int = 3) -> DataFrame:
+    """Per true leaf and of all (leaf null): n, shares whose leaf and type are first or among the ``k`` first, and the share flagged as unknown.
+
+    ``rolled``: of :func:`predict.roll_up`. ``truths``: id, true_leaf, true_type, unknown. One pass: the leaves of a row are in it.
+    """
+    order = F.array_sort(F.transform("leaves", lambda x: F.struct((-x["p"]).alias("minus"), x["leaf"].alias("leaf"))))
+    first = F.transform(F.slice(order, 1, k), lambda x: x["leaf"])
+    j = truths.join(rolled.select("id", first.alias("first"), "ranked_types"), "id")
+    in_ = lambda a, n, c: share(F.array_contains(F.slice(a, 1, n), F.col(c)))
+    return j.rollup("true_leaf").agg(
+        F.count("*").alias("n"), in_("first", 1, "true_leaf").alias("leaf_top1"), in_("first", k, "true_leaf").alias("leaf_top3"),
+        in_("ranked_types", 1, "true_type").alias("type_top1"), in_("ranked_types", k, "true_type").alias("type_top3"), share(F.col("unknown")).alias("flagged_unknown"),
+    )
+
+
+def new_types(rows: DataFrame, known: list[str]) -> DataFrame:
+    """Types that the old model doesn't know: n, what it calls them, as counts, and the new model's accuracy. ``rows``: truth, before, after."""
+    fresh = rows.where(~F.col("truth").isin(known))
+    called = _counted(fresh, "truth", F.col("before")).where(~F.col("_all")).select("_truth", F.col("text").alias("called_before"))
+    g = fresh.groupBy("truth").agg(F.count("*").alias("n"), share(F.col("truth") == F.col("after")).alias("accuracy_after"))
+    return g.join(bounded(called), F.col("truth") == F.col("_truth"), "left").drop("_truth")
+
+
 def frequent_confusions(rows: DataFrame, k: int) -> DataFrame:
     """The most frequent confusions, with the accepted ones and the share of the true class that went there."""
     every = rows.groupBy("truth").agg(F.count("*").alias("_all")).select(F.col("truth").alias("_t"), "_all")
@@ -83,7 +106,7 @@ def nll(true_p: DataFrame) -> DataFrame:
 def acceptance(rows: DataFrame, *by: str) -> DataFrame:
     ok = F.col("truth") == F.col("pred")
     return rows.groupBy(*by).agg(
-        share(ok).alias("accuracy"), share(F.col("accepted")).alias("acceptance"), share(ok & F.col("accepted")).alias("correct_acceptance"), share(~ok & F.col("accepted")).alias("false_acceptance"),
+        share(ok).alias("accuracy"), share(F.col("status") == "unknown").alias("unknown_rate"), share(F.col("accepted")).alias("acceptance"), share(ok & F.col("accepted")).alias("correct_acceptance"), share(~ok & F.col("accepted")).alias("false_acceptance"),
         F.round(F.try_divide(F.count_if(ok & F.col("accepted")), F.count_if("accepted")), 6).alias("precision_of_accepted"),
         F.round(F.avg(F.when(ok, F.col("confidence"))), 6).alias("confidence_right"), F.round(F.avg(F.when(~ok, F.col("confidence"))), 6).alias("confidence_wrong"),
     )

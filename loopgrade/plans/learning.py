@@ -368,6 +368,18 @@ def e_05(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("waste_type").agg(evaluate.share((F.col("knn") > F.col("knn_threshold")) | (c < 0.1)).alias("flagged"), evaluate.share(F.when(F.col("correct"), c >= 0.05)).alias("kept_confident"), evaluate.share(F.when(~F.col("correct"), c < 0.05)).alias("wrong_below"))
 
 
+@query(
+    "e_05_totals",
+    f"""WITH {VAL}, {THR}, {AGREE}, mt AS (SELECT coalesce(max_by(distance, rank) FILTER (agreed / rank >= 0.98 AND rank >= 50), quantile_cont(distance, 0.05)) AS t FROM cp), v AS (SELECT count(*) AS n, round(avg(correct::INT), 6) AS accuracy, round(avg((knn > k OR confidence < 0.1)::INT), 6) AS flagged,
+        round(avg(CASE WHEN correct THEN (confidence >= 0.05)::INT END), 6) AS kept_confident, round(avg(CASE WHEN NOT correct THEN (confidence < 0.05)::INT END), 6) AS wrong_below FROM val JOIN thr USING (waste_type)),
+    m AS (SELECT round(max(t), 6) AS memory_threshold, round(avg((distance <= t)::INT), 6) AS memory_coverage, round(avg(agree::INT) FILTER (distance <= t), 6) AS memory_precision FROM ag, mt) SELECT * FROM v, m""",
+    "classified",
+)
+def e_05b(spark: SparkSession, d: str) -> DataFrame:
+    v = val_rows(spark, d)
+    return calibrate.report(v, calibrate.knn_thresholds(v), 0.1, 0.05, agreeing(spark, d))
+
+
 @query("g_45_familiarity", f"WITH {VAL}, {THR} SELECT waste_type, round(quantile_cont(v.knn, 0.5), 6) AS median_knn, round(avg((knn > k)::INT), 6) AS unfamiliar, round(avg((knn > f)::INT), 6) AS far FROM val v JOIN thr USING (waste_type) GROUP BY 1", "classified")
 def g_45(spark: SparkSession, d: str) -> DataFrame:
     v = val_rows(spark, d)
@@ -427,6 +439,26 @@ def g_17(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("truth").agg(F.count("*").alias("n"), evaluate.share(F.get("x", F.lit(0))["leaf"] == F.col("truth")).alias("top1"), evaluate.share(F.exists("x", lambda e: e["leaf"] == F.col("truth"))).alias("top3"))
 
 
+TRUE_LEAVES = ("a__p", "a__q", "a__r", "b__p", "b__q", "c__p", "c__q", "c__r", "c__s", "d")
+
+
+@query(
+    "g_17_levels",
+    f"""WITH {TYPES}, {STATUS_IN}, lr AS (SELECT id, leaf, row_number() OVER (PARTITION BY id ORDER BY p DESC, leaf) AS r FROM leaf_probs), tr AS (SELECT id, waste_type, row_number() OVER (PARTITION BY id ORDER BY tp DESC, waste_type) AS r FROM types),
+    e AS (SELECT vec_id AS id, {list(TRUE_LEAVES)}[label + 1] AS true_leaf FROM embeddings),
+    x AS (SELECT e.id, true_leaf, lr.r AS l, tr.r AS t, coalesce(knn > far, false) OR (coalesce(knn > thr, false) AND close) AS unknown FROM e JOIN lr ON lr.id = e.id AND lr.leaf = true_leaf JOIN tr ON tr.id = e.id AND tr.waste_type = split_part(true_leaf, '__', 1) JOIN flags f ON f.id = e.id)
+    SELECT true_leaf, count(*) AS n, round(avg((l = 1)::INT), 6) AS leaf_top1, round(avg((l <= 3)::INT), 6) AS leaf_top3, round(avg((t = 1)::INT), 6) AS type_top1, round(avg((t <= 3)::INT), 6) AS type_top3, round(avg(unknown::INT), 6) AS flagged_unknown FROM x GROUP BY ROLLUP (true_leaf)""",
+    "leaf_probs",
+)
+def g_17b(spark: SparkSession, d: str) -> DataFrame:
+    r = cut(status_rows(spark, d))
+    args = (F.col("type_confidence"), F.col("knn"), F.col("thr"), F.col("far"), F.lit(0.4), F.lit(False), F.lit(0.0))
+    names = F.array(*[F.lit(x) for x in TRUE_LEAVES])
+    truth = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.element_at(names, F.col("label") + 1).alias("true_leaf"))
+    truth = truth.join(r.select("id", (predict.status(*args) == "unknown").alias("unknown")), "id").withColumn("true_type", F.split_part("true_leaf", F.lit("__"), F.lit(1)))
+    return evaluate.top_accuracy(r, truth)
+
+
 @query("g_18_accuracy_sets", "SELECT truth, split, count(*) AS n, round(avg((truth = pred)::INT), 6) AS accuracy, grouping(split)::INT AS all_of_b FROM classified GROUP BY GROUPING SETS ((truth), (truth, split))", "classified")
 def g_18(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.accuracy_sets(classified(spark, d), "truth", "split")
@@ -458,7 +490,7 @@ def g_23(spark: SparkSession, d: str) -> DataFrame:
     return ordered.auroc(bind(spark, d, "scored").withColumn("pos", F.col("truth") == 1), "score", "pos")
 
 
-ACC = "round(avg((truth = pred)::INT), 6) AS accuracy, round(avg(accepted::INT), 6) AS acceptance, round(avg((truth = pred AND accepted)::INT), 6) AS correct_acceptance, round(avg((truth <> pred AND accepted)::INT), 6) AS false_acceptance, round(count(*) FILTER (truth = pred AND accepted) / count(*) FILTER (accepted), 6) AS precision_of_accepted, round(avg(confidence) FILTER (truth = pred), 6) AS confidence_right, round(avg(confidence) FILTER (truth <> pred), 6) AS confidence_wrong"
+ACC = "round(avg((truth = pred)::INT), 6) AS accuracy, round(avg((status = 'unknown')::INT), 6) AS unknown_rate, round(avg(accepted::INT), 6) AS acceptance, round(avg((truth = pred AND accepted)::INT), 6) AS correct_acceptance, round(avg((truth <> pred AND accepted)::INT), 6) AS false_acceptance, round(count(*) FILTER (truth = pred AND accepted) / count(*) FILTER (accepted), 6) AS precision_of_accepted, round(avg(confidence) FILTER (truth = pred), 6) AS confidence_right, round(avg(confidence) FILTER (truth <> pred), 6) AS confidence_wrong"
 
 
 @query("g_24_acceptance", f"SELECT condition, {ACC} FROM classified GROUP BY 1", "classified")
@@ -588,6 +620,11 @@ def g_34(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.before_after(rows.join(seen, "id", "left_anti"), "truth").drop("fixed", "broken")
 
 
+@query("g_34_new_types", f"WITH {AFTER}, h AS (SELECT truth, before, count(*) AS n FROM ba GROUP BY ALL) SELECT truth, count(*) AS n, round(avg((truth = after)::INT), 6) AS accuracy_after, (SELECT string_agg(concat(before, '=', h.n), ',' ORDER BY before) FROM h WHERE h.truth = ba.truth) AS called_before FROM ba WHERE truth NOT IN ('view', 'click') GROUP BY truth", "classified")
+def g_34b(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.new_types(before_after(spark, d), ["view", "click"])
+
+
 @query("j_12_unseen", "SELECT id FROM classified WHERE NOT regexp_matches(concat('img_', id), '^img_[0-9]*7$')", "classified")
 def j_12(spark: SparkSession, d: str) -> DataFrame:
     rows = classified(spark, d).select("id")
