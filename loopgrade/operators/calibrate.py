@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopgrade.functions.session import bounded
+from loopgrade.functions.session import bounded, cut
 from loopgrade.operators.ordered import quantiles, running
 
 LEAST_ROWS = 20
@@ -21,15 +23,33 @@ def knn_thresholds(val: DataFrame, retention: float = 0.95, far_q: float = 0.995
     return per.crossJoin(F.broadcast(every)).select("waste_type", F.when(enough, F.col("k")).otherwise(F.col("g")).alias("knn_threshold"), F.when(enough, F.col("f")).otherwise(F.col("gf")).alias("far_threshold"), "n")
 
 
-def msp_floor(val: DataFrame, thresholds: DataFrame, retention: float = 0.95) -> DataFrame:
-    """One row ``msp_threshold``: the confidence at which the combined rule rejects 1 - retention of all rows."""
+def msp_floor(val: DataFrame, thresholds: DataFrame, retention: float = 0.95, cells: int = 1024) -> DataFrame:
+    """One row ``msp_threshold``: the confidence at which the combined rule rejects 1 - retention of all rows.
+
+    It is the row of one rank among those within the distance. Rows are counted per distinct confidence and per cell of
+    confidences; the cells, a thousand rows, say which holds the rank, and only that cell is ordered.
+    """
     j = val.join(bounded(thresholds.select("waste_type", "knn_threshold")), "waste_type")
-    passed = j.where(F.col("knn") <= F.col("knn_threshold"))
-    sizes = j.agg(((1 - retention) * F.count("*") - F.count_if(F.col("knn") > F.col("knn_threshold"))).alias("target"), F.count_if(F.col("knn") <= F.col("knn_threshold")).alias("n"))
-    ranked = running(passed.select("id", "confidence"), [F.col("confidence").asc(), F.col("id").asc()], {}).crossJoin(F.broadcast(sizes))
-    place = F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor("target"))) + 1
-    pick = ranked.where((F.col("rank") == place) & (F.col("target") > 0)).agg(F.max("confidence").alias("c"))
-    return pick.select(F.coalesce("c", F.lit(0.0)).alias("msp_threshold"))
+    inside = F.col("knn") <= F.col("knn_threshold")
+    c = F.col("confidence").cast("double")
+    cell = F.least(F.greatest(F.floor(c * cells), F.lit(-1)), F.lit(cells))
+    per = cut(j.groupBy(cell.alias("cell"), F.when(inside, c).alias("confidence"), inside.alias("inside")).agg(F.count("*").alias("n")))
+    of = lambda x, name: F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0)).alias(name)
+    found = per.where("cell is not null").groupBy("cell").agg(of(F.col("inside"), "within"), of(~F.col("inside"), "beyond"), F.sum("n").alias("rows")).collect()  # a row a cell
+    sums = {r["cell"]: r.within for r in found}
+    n, beyond, total = sum(sums.values()), sum(r.beyond for r in found), sum(r.rows for r in found)
+    rows = per.select(F.max(F.lit(0.0)).alias("msp_threshold")).select(F.coalesce("msp_threshold", F.lit(0.0)).alias("msp_threshold"))
+    target = (1 - retention) * total - beyond
+    if target <= 0 or not n:
+        return rows
+    place, before = max(0, min(n - 1, math.floor(target))), 0
+    for k in sorted(sums):
+        if before + sums[k] > place:
+            break
+        before += sums[k]
+    upto = F.sum("n").over(Window.partitionBy("cell").orderBy("confidence").rowsBetween(Window.unboundedPreceding, 0))
+    pick = per.where(F.col("inside") & (F.col("cell") == k)).withColumn("upto", upto).where(F.col("upto") > place - before)
+    return pick.agg(F.coalesce(F.min("confidence"), F.lit(0.0)).alias("msp_threshold"))
 
 
 def min_confidence(val: DataFrame) -> DataFrame:

@@ -59,6 +59,10 @@ _INDEXES: dict = {}
 def text_index(spark: SparkSession, d: str) -> inverted.Index:
     """The catalogue's block-max index, labelled by source: written once for a session and an input folder, then read by every search."""
     key = spark.sparkContext.applicationId, d
+    if key in _INDEXES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_INDEXES[key].blocks.inputFiles()[0])
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # the shared folder was cleared
+            del _INDEXES[key]
     if key not in _INDEXES:
         _INDEXES[key] = inverted.build(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source"), "source")
     return _INDEXES[key]

@@ -164,3 +164,26 @@ def io_17(spark: SparkSession, d: str) -> DataFrame:
     cache = cached.select(F.lit("now").alias("model"), "sha", vector(F.lit(-1))).unionByName(texts.select(F.lit("before").alias("model"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), vector(F.lit(-2))))
     got = files.embed_new(texts.select("id", "text"), cache, "now", lambda new: new.select("sha", vector(F.octet_length("text"))))
     return got.select("id", F.get("embedding", F.lit(0)).alias("x"))
+
+
+def manifests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The documents before and after: every 50th is new, every 60th is gone, every 70th says something else."""
+    rows = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256).alias("sha")
+    now = F.when(F.col("doc_id") % 70 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return rows.where("doc_id % 50 <> 1").select("path", sha(F.col("text"))), rows.where("doc_id % 60 <> 2").select("path", sha(now))
+
+
+TREE = """WITH m AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(coalesce(text, '')) AS sha FROM documents), l2 AS (SELECT substr(md5(path), 1, 2) AS node, sha256(string_agg(concat(path, ' ', sha), chr(10) ORDER BY concat(path, ' ', sha))) AS digest, count(*) AS n FROM m GROUP BY 1),
+    l1 AS (SELECT substr(node, 1, 1) AS node, sha256(string_agg(concat(node, ' ', digest), chr(10) ORDER BY node)) AS digest, sum(n)::BIGINT AS n FROM l2 GROUP BY 1), l0 AS (SELECT '' AS node, sha256(string_agg(concat(node, ' ', digest), chr(10) ORDER BY node)) AS digest, sum(n)::BIGINT AS n FROM l1)"""
+
+
+@query("io_17_digest_tree", TREE + " SELECT 2 AS level, * FROM l2 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 0, * FROM l0")
+def io_17b(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    return files.digest_tree(rows, 2)
+
+
+@query("io_17_changes", "WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS t FROM documents WHERE doc_id % 50 <> 1), b AS (SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 70 = 3 THEN concat(coalesce(text, ''), '!') ELSE coalesce(text, '') END AS t FROM documents WHERE doc_id % 60 <> 2) SELECT path, CASE WHEN a.t IS NULL THEN 'added' WHEN b.t IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (path) WHERE a.t IS DISTINCT FROM b.t")
+def io_17c(spark: SparkSession, d: str) -> DataFrame:
+    return files.changes(*manifests(spark, d))

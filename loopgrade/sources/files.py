@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loopgrade.functions.session import bounded, cut
 from loopgrade.operators.ranking import split_types
 
 
@@ -192,6 +193,76 @@ def folder_digest(table: DataFrame, buckets: int = 4096) -> DataFrame:
     return per.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
 
 
+#: Rows of a leaf of a digest tree, on average, and hexadecimal digits of its deepest level.
+LEAF_ROWS, DEEPEST = 256, 8
+
+
+def depth_for(rows: int) -> int:
+    """Levels below the root that keep leaves at about ``LEAF_ROWS``; two trees are compared at one depth."""
+    depth = 0
+    while rows > LEAF_ROWS * 16**depth and depth < DEEPEST:
+        depth += 1
+    return depth
+
+
+def _leaf(path: str, depth: int) -> Column:
+    return F.substring(F.md5(F.col(path).cast("string").cast("binary")), 1, depth)
+
+
+def digest_tree(manifest: DataFrame, depth: int) -> DataFrame:
+    """``level, node, digest, n`` of a Merkle tree over ``path, sha``: a node is a prefix of the paths' hashes, 16 to a parent.
+
+    A leaf's digest is of its lines "path sha" in order, a parent's of its children "node digest" in order. Leaves are
+    of bounded size by ``depth``, so nothing is ordered as a whole; the root stands for all rows.
+    """
+    line = F.concat_ws(" ", F.col("path").cast("string"), "sha")
+    rows = manifest.select(_leaf("path", depth).alias("node"), line.alias("line"))
+    sha = lambda lines: F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), "\n").cast("binary"), 256)
+    level = rows.groupBy("node").agg(sha(F.col("line")).alias("digest"), F.count("*").alias("n"))
+    tree = level = cut(level.select(F.lit(depth).alias("level"), "node", "digest", "n"))
+    for at in range(depth - 1, -1, -1):
+        up = level.groupBy(F.substring("node", 1, at).alias("node")).agg(sha(F.concat_ws(" ", "node", "digest")).alias("digest"), F.sum("n").alias("n"))
+        level = up.select(F.lit(at).alias("level"), "node", "digest", "n")
+        tree = tree.unionByName(level)
+    return tree
+
+
+def changed_leaves(old: DataFrame, new: DataFrame, depth: int) -> DataFrame:
+    """``node`` of the leaves that differ between two trees, top down: below a node of equal digest nothing is compared."""
+    side = lambda t, at, name: t.where(F.col("level") == at).select("node", F.col("digest").alias(name))
+    parents = None
+    for at in range(depth + 1):
+        a, b = side(old, at, "was"), side(new, at, "is")
+        if parents is not None:
+            inside = lambda t: t.withColumn("_up", F.substring("node", 1, at - 1)).join(parents, "_up", "left_semi").drop("_up")  # noqa: B023, E731
+            a, b = inside(a), inside(b)
+        parents = cut(a.join(b, "node", "full").where(~F.col("was").eqNullSafe(F.col("is"))).select(F.col("node").alias("_up")))
+    return parents.withColumnRenamed("_up", "node")
+
+
+def changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``path, change`` (added, removed, changed) between two manifests of ``path, sha``: only the rows of leaves that differ meet."""
+    depth = depth_for(max(old.count(), new.count()))
+    leaves = bounded(changed_leaves(digest_tree(old, depth), digest_tree(new, depth), depth))
+    rows = lambda m, name: m.select("path", F.col("sha").alias(name), _leaf("path", depth).alias("node")).join(leaves, "node", "left_semi").drop("node")
+    j = rows(old, "was").join(rows(new, "is"), "path", "full").where(~F.col("was").eqNullSafe(F.col("is")))
+    return j.select("path", F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").otherwise("changed").alias("change"))
+
+
+def cache_key(texts: DataFrame, model: str) -> DataFrame:
+    """One row ``key``: a vector cache holds while the model and the texts (id, text), in the order of their ids, are the same."""
+    rows = texts.select(F.col("id").alias("path"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("sha"))
+    root = digest_tree(rows, depth_for(rows.count())).where("level = 0").select("digest")
+    none = F.coalesce(F.max("digest"), F.lit(""))  # no texts
+    return root.agg(F.sha2(F.concat_ws("\n", F.lit(model), none).cast("binary"), 256).alias("key"))
+
+
+def cached_or_new(texts: DataFrame, cache: DataFrame, key: str, encode) -> DataFrame:
+    """``id, embedding``: the whole cache (key, id, embedding) where its key is the texts' :func:`cache_key`, else all texts encoded anew."""
+    mine = cache.where(F.col("key") == key).select("id", "embedding")
+    return mine if mine.limit(1).count() else encode(texts)
+
+
 def store_new(photos: DataFrame, store_path: str, budget_bytes: int) -> int:
     """Append every photo whose sha isn't stored yet; refuse when the store would exceed its budget. Returns the photos written."""
     spark = photos.sparkSession
@@ -234,10 +305,11 @@ def embed_new(texts: DataFrame, cache: DataFrame, model: str, encode) -> DataFra
 
 
 def append_listings(existing: DataFrame, new: DataFrame, order: str, most: int = 1000) -> DataFrame:
-    """New rows with the next ids in arrival order; at most ``most`` user listings are held (that limit is the rule)."""
+    """New rows with the next ids in arrival order; at most ``most`` user listings are held (that limit is the rule), counting those of ``existing`` (``is_user``)."""
+    held = existing.where("is_user").count() if "is_user" in existing.columns else 0
     top = existing.agg(F.coalesce(F.max("waste_id"), F.lit(0)).alias("_top"))
     place = F.row_number().over(Window.orderBy(order))
-    kept = new.orderBy(order).limit(most).withColumn("_n", place)
+    kept = new.orderBy(order).limit(max(0, most - held)).withColumn("_n", place)
     return kept.crossJoin(F.broadcast(top)).withColumn("waste_id", F.col("_top") + F.col("_n")).drop("_top", "_n")
 
 

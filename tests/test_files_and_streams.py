@@ -166,3 +166,30 @@ def test_voc_audit(spark, tmp_path):
     assert (r.missing_box, r.degenerate_box, r.objects, r.image_without_xml) == (2, 1, 1, 3)
     o = files.voc_objects(voc).where("problem is null and stem like '%/a'").first()
     assert (o.label, o.split, o.has_polygon, o.truncated, o.difficult, o.xmax) == ("brick", "val", True, True, False, 9.0)
+
+
+def test_digest_trees_find_changes_top_down(spark, monkeypatch):
+    monkeypatch.setattr(files, "LEAF_ROWS", 4)
+    old = spark.createDataFrame([(f"p{i}", f"s{i}") for i in range(300)], "path string, sha string")
+    new = spark.createDataFrame([(f"p{i}", "other" if i == 7 else f"s{i}") for i in range(301) if i != 9], "path string, sha string")
+    assert sorted(map(tuple, files.changes(old, new).collect())) == [("p300", "added"), ("p7", "changed"), ("p9", "removed")]
+    depth = files.depth_for(300)
+    leaves = files.changed_leaves(files.digest_tree(old, depth), files.digest_tree(new, depth), depth)
+    assert depth == 2 and leaves.count() <= 3 and files.changes(old, old).count() == 0
+    assert files.changes(old, old.limit(0)).count() == 300 and files.changes(old.limit(0), old.limit(0)).count() == 0
+
+
+def test_cache_holds_for_the_same_model_and_texts(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, text string")
+    key = lambda t, m="m": files.cache_key(t, m).first().key
+    assert key(texts) == key(texts.orderBy(F.desc("id"))) and len({key(texts), key(texts, "n"), key(texts.where("id < 3")), key(texts.withColumn("id", 3 - F.col("id"))), key(texts.limit(0))}) == 5
+    cache = texts.select(F.lit(key(texts)).alias("key"), "id", F.lit("old").alias("embedding"))
+    encode = lambda t: t.select("id", F.lit("new").alias("embedding"))
+    assert {r.embedding for r in files.cached_or_new(texts, cache, key(texts), encode).collect()} == {"old"}
+    assert {r.embedding for r in files.cached_or_new(texts, cache, key(texts, "n"), encode).collect()} == {"new"}
+
+
+def test_held_listings_count(spark):
+    have = spark.createDataFrame([(i, i > 2) for i in range(1, 6)], "waste_id long, is_user boolean")
+    new = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    assert [(r.name, r.waste_id) for r in files.append_listings(have, new, "name", most=5).orderBy("name").collect()] == [("a", 6), ("b", 7)]
