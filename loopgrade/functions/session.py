@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,16 +24,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as compressed Parquet in the shared folder, read again: for rows with long texts that several jobs need."""
-    import uuid
+_WRITTEN: dict[str, list[str]] = {}
+
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as compressed Parquet in the shared folder, read again: for rows with long texts that several jobs need. :func:`release` removes it."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes the tables that this session's operators wrote to the shared folder and returns their number; results that still read them are lost, so store those first."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, a plain scan, over all cores where its files make fewer tasks than these: for maps that cost far more than moving a row."""
     n = df.sparkSession.sparkContext.defaultParallelism

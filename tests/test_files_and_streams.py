@@ -193,3 +193,14 @@ def test_held_listings_count(spark):
     have = spark.createDataFrame([(i, i > 2) for i in range(1, 6)], "waste_id long, is_user boolean")
     new = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
     assert [(r.name, r.waste_id) for r in files.append_listings(have, new, "name", most=5).orderBy("name").collect()] == [("a", 6), ("b", 7)]
+
+
+def test_written_tables_can_be_released(spark):
+    import os
+
+    from loopgrade.functions import session
+
+    session.release(spark)
+    rows = session.written(spark.range(5))
+    path = rows.inputFiles()[0].removeprefix("file:").replace("//", "/")
+    assert rows.count() == 5 and os.path.exists(path) and session.release(spark) == 1 and not os.path.exists(path) and session.release(spark) == 0
