@@ -76,7 +76,7 @@ def test_bounds_prune_and_lose_nothing():
     asked = lexical_search.Asked(list(range(20)), [rng.choice(300, 12, replace=False) for _ in range(20)], {})
     asked.weigh(rng.integers(1, 400, 300), 500, 50_000)
     rows = [np.sort(rng.choice(300, rng.integers(1, 60), replace=False)) for _ in range(400)]
-    impact = [asked.weight[t] * rng.integers(1, 50_000, len(t)) for t in rows]
+    impact = [asked.weight[t] * rng.integers(1, 50_000, len(t)) // 10 ** int(rng.integers(0, 3)) for t in rows]  # of lengths that differ by much
     order = sorted(range(400), key=lambda r: -float((impact[r].astype(float) ** 2).sum()))
     score = np.array([[impact[r][np.isin(rows[r], t)].sum() for r in order] for t in asked.terms])
     least = np.sort(score, axis=1)[:, -10]
@@ -169,7 +169,7 @@ def test_rejection_is_calibrated():
     assert model.temperature == pytest.approx(2, rel=0.15)
     p = language_id.softmax(z / model.temperature)
     passed = p.max(1) >= model.threshold
-    assert 0.3 < passed.mean() < 0.95 and (p.argmax(1) == y)[passed].mean() >= 0.95
+    assert 0.2 < passed.mean() < 0.95 and (p.argmax(1) == y)[passed].mean() >= 0.95
 
 
 # ---- labelled samples ----
