@@ -17,10 +17,10 @@ from loopgrade.functions.session import bounded
 #: Weights of the two scores.
 RECYCLER_WEIGHTS = {"distance": 0.5, "capacity": 0.3, "specialist": 0.2}
 LISTING_WEIGHTS = {"similarity": 0.6, "distance": 0.25, "quality": 0.15}
-#: Rows (recycler, accepted type) of one block: its columns, 50 bytes a row, travel with a task.
-RECYCLER_ROWS = 50_000
-#: (listing, recycler) pairs that are scored at once, and that one task is given.
-CELLS, TASK_PAIRS = 1 << 17, 50_000_000
+#: Rows (recycler, accepted type) of one block: its columns, 60 bytes a row, travel with a task.
+RECYCLER_ROWS = 1_000_000
+#: Listings of a task, those that a task takes at once, and those of a chunk, which look at the same cells: at most, and where it is wide.
+TASK_ROWS, GATHERED, CHUNK, LEAST = 200_000, 1 << 16, 256, 4
 _BEST = "waste_id long, waste_type string, quantity_kg double, recycler_id long, km double, capacity double, n_types int, total double, rank int"
 
 
@@ -29,9 +29,8 @@ def split_types(column: Column) -> Column:
     return F.transform(F.split(column, ","), lambda x: F.trim(x))
 
 
-#: Recyclers of a cell of the grid, at most, degrees of a tile of listings that look at the same cells, and recyclers of a type that are few
-#: enough to be scored at once.
-CELL, TILE, FEW = 32, 0.05, 2048
+#: Recyclers of a cell of the grid, at most, degrees of a tile by which listings are dealt, and cells that a chunk visits at once, first and at most.
+CELL, TILE, FIRST, MOST = 32, 0.05, 8, 64
 
 
 @dataclass
@@ -39,16 +38,18 @@ class Grid:
     """The recyclers of one type in cells: equal in the number of types they accept, near one another, in id order inside."""
 
     rows: pd.DataFrame
+    values: np.ndarray  # (5, rows): latitude and longitude in radians, the cosine of the first, capacity, what a specialist gets
+    ids: np.ndarray  # place of each row in the order of the ids
     start: np.ndarray  # of each cell in ``rows``, and the end
     box: np.ndarray  # (cells, 4): lowest and highest latitude and longitude in radians; NaN with a place that is missing
+    cos: np.ndarray  # least cosine of a latitude of the cell
     capacity: np.ndarray  # largest of the cell
     special: np.ndarray  # what the cell's recyclers get as specialists
 
     def bounds(self, box: np.ndarray, quantity: float) -> np.ndarray:
         """No recycler of a cell scores more for a listing of the tile ``box`` that holds at least ``quantity``."""
         gap = lambda lo, hi: np.maximum(np.maximum(self.box[:, lo] - box[hi], box[lo] - self.box[:, hi]), 0)
-        cos = lambda lo, hi: np.minimum(np.cos(lo), np.cos(hi))
-        half = np.sin(np.minimum(gap(0, 1), np.pi) / 2) ** 2 + cos(box[0], box[1]) * cos(self.box[:, 0], self.box[:, 1]) * np.sin(np.minimum(gap(2, 3), np.pi) / 2) ** 2
+        half = np.sin(np.minimum(gap(0, 1), np.pi) / 2) ** 2 + min(np.cos(box[0]), np.cos(box[1])) * self.cos * np.sin(np.minimum(gap(2, 3), np.pi) / 2) ** 2
         # longitudes that wrap around are nearer than their difference
         wraps = np.maximum(self.box[:, 3], box[3]) - np.minimum(self.box[:, 2], box[2]) > np.pi
         km = np.where(wraps | np.isnan(half), 0.0, EARTH_KM * 2 * np.arcsin(np.minimum(1.0, np.sqrt(np.maximum(half, 0)))))
@@ -69,26 +70,39 @@ def grid(recyclers: pd.DataFrame) -> Grid:
     cell = np.empty(len(r), np.int64)
     cell[order] = np.cumsum(run | (place % CELL == 0)) - 1
     order = np.lexsort((np.arange(len(r)), cell))
-    r, lat, lon = r.iloc[order].reset_index(drop=True), lat[order], lon[order]
     start = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
+    r, values = r.iloc[order].reset_index(drop=True), _values(r.iloc[order])
     low, high = lambda x: np.minimum.reduceat(x, start), lambda x: np.maximum.reduceat(x, start)
-    box = np.stack([low(lat), high(lat), low(lon), high(lon)], 1)
-    capacity = np.nan_to_num(high(r["capacity"].to_numpy(float)), nan=np.inf)
-    return Grid(r, np.append(start, len(r)), box, capacity, RECYCLER_WEIGHTS["specialist"] / r["n_types"].to_numpy(float)[start])
+    box = np.stack([low(values[0]), high(values[0]), low(values[1]), high(values[1])], 1)
+    capacity = np.nan_to_num(high(values[3]), nan=np.inf)
+    return Grid(r[["recycler_id", "capacity", "n_types"]], values, order, np.append(start, len(r)), box, np.minimum(np.cos(box[:, 0]), np.cos(box[:, 1])), capacity, values[4][start])
 
 
-def _scores(x: pd.DataFrame, r: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Kilometres and totals of listings (rows) and recyclers (columns); a pair without a place comes last."""
-    lat, lon, capacity = (r[c].to_numpy(float)[None, :] for c in ("lat", "lon", "capacity"))
-    own_lat, own_lon, quantity = (x[c].to_numpy(float)[:, None] for c in ("lat", "lon", "quantity_kg"))
-    lat, lon, own_lat, own_lon = np.radians(lat), np.radians(lon), np.radians(own_lat), np.radians(own_lon)
-    half = np.sin((lat - own_lat) / 2) ** 2 + np.cos(own_lat) * np.cos(lat) * np.sin((lon - own_lon) / 2) ** 2
+def _values(r: pd.DataFrame) -> np.ndarray:
+    lat, lon, capacity = (r[c].to_numpy(float) for c in ("lat", "lon", "capacity"))
+    lat, lon = np.radians(lat), np.radians(lon)
+    return np.stack([lat, lon, np.cos(lat), capacity, RECYCLER_WEIGHTS["specialist"] / r["n_types"].to_numpy(float)])
+
+
+def _pairs(own_lat: np.ndarray, own_lon: np.ndarray, quantity: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kilometres and totals of listings (rows) and recyclers (columns of :attr:`Grid.values`); a pair without a place comes last."""
+    own_lat, own_lon, quantity = own_lat[:, None], own_lon[:, None], quantity[:, None]
+    lat, lon, cos, capacity, special = r
+    half = np.sin((lat - own_lat) / 2) ** 2 + np.cos(own_lat) * cos * np.sin((lon - own_lon) / 2) ** 2
     km = EARTH_KM * 2 * np.arcsin(np.minimum(1.0, np.sqrt(half)))
-    special = RECYCLER_WEIGHTS["specialist"] / r["n_types"].to_numpy(float)
-    total = RECYCLER_WEIGHTS["distance"] * np.exp(-km / DECAY_KM) + RECYCLER_WEIGHTS["capacity"] * np.fmin(1.0, capacity / np.fmax(quantity, 1.0)) + special
+    total = RECYCLER_WEIGHTS["distance"] * np.exp(-km / DECAY_KM) + RECYCLER_WEIGHTS["capacity"] * np.fmin(1.0, capacity / quantity) + special
     return km, np.where(np.isnan(total), -np.inf, total)
 
 
+def _asked(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lat, lon, quantity = (x[c].to_numpy(float) for c in ("lat", "lon", "quantity_kg"))
+    return np.radians(lat), np.radians(lon), np.fmax(quantity, 1.0)
+
+
+def _scores(x: pd.DataFrame, r: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return _pairs(*_asked(x), _values(r))
+
+
 def _first(ids: np.ndarray, col: np.ndarray, km: np.ndarray, total: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The n first columns of each row, by total, then id."""
     if total.shape[1] > 4 * n:
@@ -100,77 +114,115 @@ def _first(ids: np.ndarray, col: np.ndarray, km: np.ndarray, total: np.ndarray,
     return tuple(np.take_along_axis(a, first, 1) for a in (col, km, total))
 
 
-def _best(need: pd.DataFrame, grids: dict[str, Grid], k: int, seen: dict | None = None) -> pd.DataFrame:
-    """The k best recyclers of every listing, by total, then recycler_id.
+def _level(quantity: np.ndarray) -> np.ndarray:
+    return np.floor(2 * np.log2(quantity))
+
+
+def _chunks(lat: np.ndarray, lon: np.ndarray, quantity: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the listings in chunks: near in quantity, then halved on the map until ``CHUNK`` are left, or ``LEAST`` where they lie wider than a tile. Those without a place aren't there."""
+    level, wide = np.where(np.isnan(lat + lon), np.nan, _level(quantity)), np.radians(TILE)
+    held = [np.flatnonzero(level == x) for x in np.unique(level[~np.isnan(level)])]
+    while held:
+        rows = held.pop()
+        spans = np.ptp(lat[rows]), np.ptp(lon[rows])
+        if len(rows) <= LEAST or len(rows) <= CHUNK and max(spans) <= wide:
+            yield rows
+        else:
+            axis, half = lat if spans[0] > spans[1] else lon, len(rows) // 2
+            rows = rows[np.argpartition(axis[rows], half)]
+            held += [rows[:half], rows[half:]]
+
+
+def _visit(g: Grid, lat: np.ndarray, lon: np.ndarray, quantity: np.ndarray, n: int, seen: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``n`` best rows of the grid for a chunk of listings: cells by their bounds, best first, until none can reach the n-th total of any of the listings."""
+    bound = g.bounds(np.array([lat.min(), lat.max(), lon.min(), lon.max()]), float(quantity.min()))
+    order = np.argsort(-bound, kind="stable")
+    col, km, total, at, step = np.zeros((len(lat), 0), np.int64), np.zeros((len(lat), 0)), np.zeros((len(lat), 0)), 0, FIRST
+    while at < len(order):
+        full = col.shape[1] >= n
+        cells = order[at : at + step]
+        if full:
+            cells = cells[bound[cells] >= total[:, n - 1].min()]
+            if not len(cells):
+                break
+        at, step = at + len(cells), min(2 * step, MOST)
+        take = np.concatenate([np.arange(g.start[c], g.start[c + 1]) for c in cells])
+        d, t = _pairs(lat, lon, quantity, g.values[:, take])
+        if seen is not None:
+            seen["pairs"] = seen.get("pairs", 0) + t.size
+        if full:  # only those that are among the best of one of the listings
+            some = (t >= total[:, n - 1 :]).any(axis=0)
+            take, d, t = take[some], d[:, some], t[:, some]
+        if len(take):
+            col, km, total = np.concatenate([col, np.broadcast_to(take, t.shape)], axis=1), np.concatenate([km, d], axis=1), np.concatenate([total, t], axis=1)
+            col, km, total = _first(g.ids, col, km, total, n)
+    return col, km, total
 
-    The listings of a type are taken by tiles of the map. A tile visits the cells of its type by their bounds, best first, until no
-    further cell can reach the k-th total of any of its listings. ``seen`` counts the pairs that are scored.
-    """
+
+def _best(need: pd.DataFrame, grids: dict[str, Grid], k: int, seen: dict | None = None) -> pd.DataFrame:
+    """The k best recyclers of every listing, by total, then recycler_id. ``seen`` counts the pairs that are scored."""
     out = []
-    for kind, of_kind in need.groupby("waste_type"):
+    for kind, of_kind in need.groupby("waste_type", observed=True):
         g = grids.get(kind)
         if g is None:
             continue
         n = min(k, len(g.rows))
-        ids = np.argsort(np.argsort(g.rows["recycler_id"].to_numpy(), kind="stable"), kind="stable")  # the order of the ids
-        few = len(g.rows) <= FEW
-        tile = [np.zeros(len(of_kind))] if few else [*(np.floor(of_kind[c].to_numpy(float) / TILE) for c in ("lat", "lon")), np.floor(np.log2(np.fmax(of_kind["quantity_kg"].to_numpy(float), 1.0)))]
-        for _, rows in of_kind.groupby(tile, dropna=False):
-            step = max(1, CELLS // (len(g.rows) if few else 8 * CELL + n))
-            for i in range(0, len(rows), step):
-                x = rows.iloc[i : i + step]
-                lat, lon = (np.radians(x[c].to_numpy(float)) for c in ("lat", "lon"))
-                bound = g.bounds(np.array([lat.min(), lat.max(), lon.min(), lon.max()]), float(np.nanmin(np.append(x["quantity_kg"].to_numpy(float), np.inf))))
-                order = np.argsort(-bound, kind="stable")
-                col = np.zeros((len(x), 0), np.int64)
-                km, total, at = np.zeros((len(x), 0)), np.zeros((len(x), 0)), 0
-                while at < len(order):
-                    if col.shape[1] >= n and bound[order[at]] < total[:, n - 1].min():
-                        break
-                    cells = order if few else order[at : at + 8]
-                    at += len(cells)
-                    take = np.concatenate([np.arange(g.start[c], g.start[c + 1]) for c in cells])
-                    d, t = _scores(x, g.rows.iloc[take])
-                    if seen is not None:
-                        seen["pairs"] = seen.get("pairs", 0) + t.size
-                    col = np.concatenate([col, np.broadcast_to(take, t.shape)], axis=1)
-                    km, total = np.concatenate([km, d], axis=1), np.concatenate([total, t], axis=1)
-                    col, km, total = _first(ids, col, km, total, n)
-                row = np.repeat(np.arange(len(x)), n)
-                chosen = g.rows[["recycler_id", "capacity", "n_types"]].iloc[col.reshape(-1)].reset_index(drop=True)
-                out.append(x[["waste_id", "waste_type", "quantity_kg"]].iloc[row].reset_index(drop=True).join(chosen).assign(km=km.reshape(-1), total=total.reshape(-1), rank=np.tile(np.arange(1, n + 1), len(x))))
+        lat, lon, quantity = _asked(of_kind)
+        # without a place all totals are equal, so the first ids are the best
+        col = np.tile(np.argsort(g.ids, kind="stable")[:n], (len(of_kind), 1))
+        km, total = np.full(col.shape, np.nan), np.full(col.shape, -np.inf)
+        for x in _chunks(lat, lon, quantity):
+            col[x], km[x], total[x] = _visit(g, lat[x], lon[x], quantity[x], n, seen)
+        row = np.repeat(np.arange(len(of_kind)), n)
+        chosen = {c: g.rows[c].to_numpy()[col.reshape(-1)] for c in ("recycler_id", "capacity", "n_types")}
+        own = {c: of_kind[c].to_numpy()[row] for c in ("waste_id", "quantity_kg")}
+        out.append(pd.DataFrame(own | chosen | {"waste_type": pd.Categorical.from_codes(np.zeros(len(row), np.int8), [kind]), "km": km.reshape(-1), "total": total.reshape(-1), "rank": np.tile(np.arange(1, n + 1), len(of_kind))}))
     names = [c.split()[0] for c in _BEST.split(", ")]
-    return pd.concat(out)[names] if out else pd.DataFrame({c: pd.Series(dtype="object" if c == "waste_type" else "float64") for c in names})
+    return pd.concat([x.assign(waste_type=x["waste_type"].astype(object)) for x in out])[names] if out else pd.DataFrame({c: pd.Series(dtype="object" if c == "waste_type" else "float64") for c in names})
 
 
 def grids(recyclers: pd.DataFrame) -> dict[str, Grid]:
     return {kind: grid(rows) for kind, rows in recyclers.groupby("waste_type")}
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of ``GATHERED`` rows and more."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= GATHERED:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def rank_recyclers(listings: DataFrame, recyclers: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best recyclers that accept each listing's type, by unrounded score, then recycler_id.
 
-    Recyclers are kept in a grid of cells with a bound on what they can score, so a listing meets in numpy only the cells that can
-    hold one of its k best, and only these leave the task. While the recyclers are one block
-    (counted), their columns are broadcast and no pair is shuffled; the listings are dealt to as many tasks as
-    their pairs need, as a listing is small beside its pairs. A larger table is dealt into blocks, each block
-    meets the listings in parts, and the k best of every block are merged: no type is gathered in one task.
+    Recyclers are kept in a grid of cells with a bound on what they can score. Listings are dealt in the order of their type, quantity
+    and tile of the map, so that those of a task lie near one another: a chunk of them meets in numpy only the cells that can
+    hold one of its k best, and only these leave the task. While the recyclers are one block (counted), their grid is broadcast. A
+    larger table is dealt into blocks, each block meets the listings in parts, and the k best of every block are merged: no type is
+    gathered in one task.
     """
     spark = listings.sparkSession
     need = listings.select("waste_id", "waste_type", F.col("quantity_kg").cast("double").alias("quantity_kg"), "lat", "lon").where("waste_type is not null")
     each = recyclers.select(F.explode("types").alias("waste_type"), "recycler_id", "lat", "lon", "capacity", F.size("types").alias("n_types"))
     n, size = each.count(), max(1, RECYCLER_ROWS)
-    pairs = need.count() * min(n, size)
+    parts = max(1, -(-need.count() // TASK_ROWS))
     if n <= RECYCLER_ROWS:
-        sent = spark.sparkContext.broadcast(each.toPandas())
+        sent = spark.sparkContext.broadcast(grids(each.toPandas()))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            of_type = grids(sent.value)
-            return (_best(b, of_type, k) for b in batches)
+            return (_best(b, sent.value, k) for b in _gathered(batches))
 
-        found = need.repartition(max(spark.sparkContext.defaultParallelism, -(-pairs // TASK_PAIRS))).mapInPandas(run, _BEST)
+        near = [F.floor(2 * F.log2(F.greatest("quantity_kg", F.lit(1.0)))).alias("_level"), F.floor(F.col("lat") / TILE).alias("_lat"), F.floor(F.col("lon") / TILE).alias("_lon")]
+        by = ["waste_type", "_level", "_lat", "_lon", "waste_id"]
+        dealt = need.select("*", *near).repartitionByRange(max(spark.sparkContext.defaultParallelism, parts), *by).sortWithinPartitions(*by)
+        found = dealt.drop("_level", "_lat", "_lon").mapInPandas(run, _BEST)
     else:
-        blocks, parts = -(-n // size), max(1, -(-pairs // TASK_PAIRS))
+        blocks = -(-n // size)
         deal = lambda key, m: F.pmod(F.xxhash64(key), F.lit(m))
         every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
         left = need.withColumn("part", deal("waste_id", parts)).withColumn("block", every(blocks)).groupBy("part", "block")

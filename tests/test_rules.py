@@ -509,6 +509,27 @@ def test_grid_of_recyclers_scores_few_pairs():
     assert seen["pairs"] < 0.35 * len(mine) * n
 
 
+def test_many_recyclers_are_one_block_and_near_listings_share_cells(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    n, m = 60_000, 3000
+    rec = pd.DataFrame({"waste_type": "a", "recycler_id": np.arange(n), "lat": 12.8 + rng.integers(0, 401, n) / 1000, "lon": 77.5 + rng.integers(0, 301, n) / 1000, "capacity": 10_000 + rng.integers(0, 190_000, n), "n_types": 1})
+    need = pd.DataFrame({"waste_id": np.arange(m), "waste_type": "a", "quantity_kg": rng.integers(30_000, 250_000, m), "lat": 12.8 + rng.integers(0, 401, m) / 1000, "lon": 77.5 + rng.integers(0, 301, m) / 1000})
+    need.loc[7, "lat"] = np.nan  # without a place all are equal: the first ids
+    seen: dict = {}
+    got = ranking._best(need, ranking.grids(rec), 3, seen)
+    some = need[::100].index.union([7])
+    total = ranking._scores(need.loc[some], rec)[1]
+    want = {(w, k, c) for w, t in zip(some, total, strict=True) for k, c in enumerate(np.argsort(-t, kind="stable")[:3], 1)}
+    found = set(zip(got["waste_id"], got["rank"], got["recycler_id"], strict=True))
+    assert want <= found and len(found) == 3 * m and seen["pairs"] < 0.05 * m * n
+    types = spark.createDataFrame(rec.drop(columns=["waste_type", "n_types"])).withColumn("types", F.array(F.lit("a")))
+    ranked = ranking.rank_recyclers(spark.createDataFrame(need), types, 3)
+    assert "CoGroup" not in ranked._jdf.queryExecution().toString()
+    assert {(r.waste_id, r.rank, r.recycler_id) for r in ranked.collect()} == found
+
+
 def test_item_results(spark):
     # item 1: two photos of three say b; mean distance 0.5, one near photo; item 2: a distance is missing, so nothing is tested; item 3: shown apart
     probs = {1: (0.2, 0.8), 2: (0.3, 0.7), 3: (0.6, 0.4), 4: (0.1, 0.9), 5: (0.2, 0.8), 6: (0.9, 0.1), 7: (0.45, 0.55), 8: (0.3, 0.7), 9: (0.4, 0.6)}
