@@ -27,12 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
 _WRITTEN: dict[str, list[str]] = {}
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as compressed Parquet in the shared folder, read again: for rows with long texts that several jobs need. :func:`release` removes it."""
+def written(df: DataFrame, group: int | None = None) -> DataFrame:
+    """``df`` as compressed Parquet in the shared folder, read again: for rows with long texts that several jobs need. :func:`release` removes it.
+
+    ``group``: bytes of a row group, for rows so long that a reader couldn't hold many.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.option("parquet.block.size", group).option("parquet.enable.dictionary", "false") if group else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -47,12 +47,6 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
 
 
-def index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    counts = written(search.term_counts(catalogue(spark, d)))
-    idf = search.idf_table(counts, catalogue(spark, d).count())
-    return search.weigh(counts, idf), idf
-
-
 _INDEXES: dict = {}
 
 
@@ -60,7 +54,7 @@ def text_index(spark: SparkSession, d: str) -> inverted.Index:
     """The catalogue's block-max index, labelled by source: written once for a session and an input folder, then read by every search."""
     key = spark.sparkContext.applicationId, d
     if key in _INDEXES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_INDEXES[key].blocks.inputFiles()[0])
+        path = spark._jvm.org.apache.hadoop.fs.Path(_INDEXES[key].packed.inputFiles()[0])
         if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # the shared folder was cleared
             del _INDEXES[key]
     if key not in _INDEXES:
@@ -75,7 +69,9 @@ def searched(spark: SparkSession, d: str, k: int | None) -> DataFrame:
 
 @query("a_08_tfidf_index", INDEX + " SELECT id, count(*) AS terms, round(max(weight), 5) AS top_weight, round(sum(weight), 4) AS total_weight FROM cat GROUP BY 1")
 def a_08(spark: SparkSession, d: str) -> DataFrame:
-    return index(spark, d)[0].groupBy("id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 5).alias("top_weight"), F.round(F.sum("weight"), 4).alias("total_weight"))
+    docs = inverted.build(catalogue(spark, d), stats=True).docs
+    each = docs.select(F.explode(F.arrays_zip("ids", "counts", "tops", "sums")).alias("x")).where("x.counts > 0")
+    return each.select(F.col("x.ids").alias("id"), F.col("x.counts").cast("long").alias("terms"), F.round("x.tops", 5).alias("top_weight"), F.round("x.sums", 4).alias("total_weight"))
 
 
 @query("a_09_query_similarity", SCORES + " SELECT query_id, id, rank, round(similarity, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) AS rank FROM sim) WHERE rank <= 10")
@@ -86,7 +82,8 @@ def a_09(spark: SparkSession, d: str) -> DataFrame:
 @query("a_10_new_texts", INDEX + f", {_counts('q', 'pages', 'page_id').replace('lower(text)', 'lower(url)')}, {_weights('q')} SELECT id, count(*) AS terms, round(max(weight), 5) AS top_weight FROM q GROUP BY 1")
 def a_10(spark: SparkSession, d: str) -> DataFrame:
     fresh = read(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("text"))
-    return search.weigh(search.term_counts(fresh), index(spark, d)[1]).groupBy("id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 5).alias("top_weight"))
+    weighed = inverted.weigh(text_index(spark, d), fresh).where(F.size("terms") > 0)
+    return weighed.select("id", F.size("terms").cast("long").alias("terms"), F.round(F.array_max("weights"), 5).alias("top_weight"))
 
 
 @query("j_04_similarity_pairs", SCORES + " SELECT query_id, count(*) AS pairs, round(max(similarity), 5) AS best FROM sim GROUP BY 1")

@@ -350,6 +350,21 @@ def test_inverted_index_is_the_join(spark, monkeypatch):
     assert ranks[992] is None and ranks[993] > 10
 
 
+def test_postings_stay_packed_and_rows_of_one_id_are_one_document(spark, monkeypatch):
+    monkeypatch.setattr(inverted, "PIECE", 64)  # several rows a segment
+    docs = spark.createDataFrame([(i % 290, " ".join(f"w{(i * k) % 31}" for k in range(1, 9))) for i in range(300)] + [(990, None), (991, "a")], "id long, text string")
+    index = inverted.build(docs, stats=True)
+    n, counts = 292, search.term_counts(docs)
+    idf = search.idf_table(counts, n)
+    raw = counts.join(idf, "term").groupBy("id", "term").agg(F.sum((1 + F.ln(F.col("n").cast("double"))) * F.col("idf")).alias("w"))
+    want = {r.id: (r.n, r.top / r.norm, r.total / r.norm) for r in raw.groupBy("id").agg(F.count("*").alias("n"), F.max("w").alias("top"), F.sum("w").alias("total"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).collect()}
+    got = {i: (c, t, s) for r in index.docs.collect() for i, c, t, s in zip(r.ids, r.counts, r.tops, r.sums, strict=True)}
+    assert {i: x for i, x in got.items() if x[0]} == {i: pytest.approx(x) for i, x in want.items()} and got[990][0] == 0 and index.n == n == len(got)
+    postings = counts.count()
+    assert {r.n for r in index.frequencies.groupBy().agg(F.sum("df").alias("n")).collect()} == {postings}
+    assert index.docs.count() < index.packed.count() < postings / 20
+
+
 def test_ranges_are_skipped(spark):
     rng = np.random.default_rng(2)
     n = 2000
