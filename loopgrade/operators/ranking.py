@@ -20,7 +20,7 @@ LISTING_WEIGHTS = {"similarity": 0.6, "distance": 0.25, "quality": 0.15}
 #: Rows (recycler, accepted type) of one block: its columns, 60 bytes a row, travel with a task.
 RECYCLER_ROWS = 1_000_000
 #: Listings of a task, those that a task takes at once, and those of a chunk, which look at the same cells: at most, and where it is wide.
-TASK_ROWS, GATHERED, CHUNK, LEAST = 200_000, 1 << 16, 256, 4
+TASK_ROWS, GATHERED, CHUNK, LEAST = 200_000, 1 << 16, 128, 4
 _BEST = "waste_id long, waste_type string, quantity_kg double, recycler_id long, km double, capacity double, n_types int, total double, rank int"
 
 
@@ -29,53 +29,87 @@ def split_types(column: Column) -> Column:
     return F.transform(F.split(column, ","), lambda x: F.trim(x))
 
 
-#: Recyclers of a cell of the grid, at most, degrees of a tile by which listings are dealt, and cells that a chunk visits at once, first and at most.
-CELL, TILE, FIRST, MOST = 32, 0.05, 8, 64
+#: Recyclers of a cell of the grid and of a wide one, at most, degrees of a tile by which listings are dealt, how far apart in their scores
+#: listings of a chunk may be by place or quantity, wide cells that are opened first, and cells that a chunk visits at once, first and at most.
+CELL, WIDE, TILE, NEAR, OPENED, FIRST, MOST = 8, 512, 0.05, 0.1, 4, 16, 64
 
 
 @dataclass
-class Grid:
-    """The recyclers of one type in cells: equal in the number of types they accept, near one another, in id order inside."""
+class Cells:
+    """What the recyclers of cells can score at most."""
 
-    rows: pd.DataFrame
-    values: np.ndarray  # (5, rows): latitude and longitude in radians, the cosine of the first, capacity, what a specialist gets
-    ids: np.ndarray  # place of each row in the order of the ids
-    start: np.ndarray  # of each cell in ``rows``, and the end
     box: np.ndarray  # (cells, 4): lowest and highest latitude and longitude in radians; NaN with a place that is missing
     cos: np.ndarray  # least cosine of a latitude of the cell
     capacity: np.ndarray  # largest of the cell
     special: np.ndarray  # what the cell's recyclers get as specialists
 
-    def bounds(self, box: np.ndarray, quantity: float) -> np.ndarray:
-        """No recycler of a cell scores more for a listing of the tile ``box`` that holds at least ``quantity``."""
-        gap = lambda lo, hi: np.maximum(np.maximum(self.box[:, lo] - box[hi], box[lo] - self.box[:, hi]), 0)
-        half = np.sin(np.minimum(gap(0, 1), np.pi) / 2) ** 2 + min(np.cos(box[0]), np.cos(box[1])) * self.cos * np.sin(np.minimum(gap(2, 3), np.pi) / 2) ** 2
+    def bounds(self, box: np.ndarray, quantity: float, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """No recycler of a cell ``at`` scores more for a listing of the tile ``box`` that holds at least ``quantity``."""
+        own = self.box[at]
+        gap = lambda lo, hi: np.maximum(np.maximum(own[:, lo] - box[hi], box[lo] - own[:, hi]), 0)
+        half = np.sin(np.minimum(gap(0, 1), np.pi) / 2) ** 2 + min(np.cos(box[0]), np.cos(box[1])) * self.cos[at] * np.sin(np.minimum(gap(2, 3), np.pi) / 2) ** 2
         # longitudes that wrap around are nearer than their difference
-        wraps = np.maximum(self.box[:, 3], box[3]) - np.minimum(self.box[:, 2], box[2]) > np.pi
+        wraps = np.maximum(own[:, 3], box[3]) - np.minimum(own[:, 2], box[2]) > np.pi
         km = np.where(wraps | np.isnan(half), 0.0, EARTH_KM * 2 * np.arcsin(np.minimum(1.0, np.sqrt(np.maximum(half, 0)))))
-        return RECYCLER_WEIGHTS["distance"] * np.exp(-km / DECAY_KM) + RECYCLER_WEIGHTS["capacity"] * np.fmin(1.0, self.capacity / max(quantity, 1.0)) + self.special + 1e-9
+        return RECYCLER_WEIGHTS["distance"] * np.exp(-km / DECAY_KM) + RECYCLER_WEIGHTS["capacity"] * np.fmin(1.0, self.capacity[at] / max(quantity, 1.0)) + self.special[at] + 1e-9
 
 
-def grid(recyclers: pd.DataFrame) -> Grid:
-    r = recyclers.sort_values("recycler_id", ignore_index=True)
-    lat, lon = np.radians(r["lat"].to_numpy(float)), np.radians(r["lon"].to_numpy(float))
-    n = r["n_types"].to_numpy(float)
-    strip = np.empty(len(r), np.int64)
-    for of_n in (np.flatnonzero(n == x) for x in np.unique(n)):  # about as many strips of latitude as cells in a strip
-        strip[of_n[np.argsort(lat[of_n], kind="stable")]] = np.arange(len(of_n)) * max(1, round((len(of_n) / CELL) ** 0.5)) // len(of_n)
-    order = np.lexsort((lon, strip, n))
-    # runs of CELL within the same strip and number of types
-    run = np.append(True, (np.diff(strip[order]) != 0) | (np.diff(n[order]) != 0))
-    place = np.arange(len(r)) - np.maximum.accumulate(np.where(run, np.arange(len(r)), 0))
-    cell = np.empty(len(r), np.int64)
-    cell[order] = np.cumsum(run | (place % CELL == 0)) - 1
-    order = np.lexsort((np.arange(len(r)), cell))
-    start = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
-    r, values = r.iloc[order].reset_index(drop=True), _values(r.iloc[order])
+@dataclass
+class Grid:
+    """The recyclers of one type in cells: equal in the number of types they accept, near one another in place and capacity; wide cells hold whole ones."""
+
+    rows: pd.DataFrame
+    values: np.ndarray  # (5, rows): latitude and longitude in radians, the cosine of the first, capacity, what a specialist gets
+    ids: np.ndarray  # place of each row in the order of the ids
+    start: np.ndarray  # of each cell in ``rows``, and the end
+    cells: Cells
+    opens: np.ndarray  # of each wide cell in ``cells``, and the end
+    wide: Cells
+    least: float  # capacity
+
+
+def _cells(values: np.ndarray, start: np.ndarray) -> Cells:
     low, high = lambda x: np.minimum.reduceat(x, start), lambda x: np.maximum.reduceat(x, start)
     box = np.stack([low(values[0]), high(values[0]), low(values[1]), high(values[1])], 1)
-    capacity = np.nan_to_num(high(values[3]), nan=np.inf)
-    return Grid(r[["recycler_id", "capacity", "n_types"]], values, order, np.append(start, len(r)), box, np.minimum(np.cos(box[:, 0]), np.cos(box[:, 1])), capacity, values[4][start])
+    return Cells(box, np.minimum(np.cos(box[:, 0]), np.cos(box[:, 1])), np.nan_to_num(high(values[3]), nan=np.inf), values[4][start])
+
+
+def _reach(lat: np.ndarray, lon: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Columns by whose differences scores differ: a kilometre counts as it does nearby."""
+    km = EARTH_KM * RECYCLER_WEIGHTS["distance"] / DECAY_KM
+    return np.stack([km * lat, km * np.cos(lat) * lon, RECYCLER_WEIGHTS["capacity"] * rest], 1)
+
+
+def _halved(rows: np.ndarray, place: np.ndarray, most: int, near: float = np.inf, least: int = 0) -> Iterator[np.ndarray]:
+    """``rows`` in parts, halved across their widest column of ``place`` until at most ``most`` are left that lie within ``near``, or ``least``."""
+    held = [rows]
+    while held:
+        rows = held.pop()
+        x = place[rows]
+        spans = np.ptp(x, axis=0) if len(rows) > least else np.zeros(1)
+        if len(rows) <= least or len(rows) <= most and (near == np.inf or spans.max() <= near):
+            yield rows
+        else:
+            half = len(rows) // 2
+            rows = rows[np.argpartition(x[:, int(np.argmax(spans))], half)]
+            held += [rows[half:], rows[:half]]
+
+
+def grid(recyclers: pd.DataFrame) -> Grid:
+    r = recyclers.sort_values("recycler_id", ignore_index=True)
+    values = _values(r)
+    n, capacity = r["n_types"].to_numpy(float), np.nan_to_num(values[3])
+    place = _reach(values[0], values[1], capacity / max(1.0, capacity.max()))
+    missing = np.isnan(place).any(axis=1)
+    parts, opens = [], [0]
+    for of in (np.flatnonzero((n == x) & (missing == y)) for x in np.unique(n) for y in (False, True)):
+        for wide in _halved(of, place, WIDE) if len(of) else ():
+            parts += [np.sort(x) for x in _halved(wide, place, CELL)]
+            opens.append(len(parts))
+    order, start = np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+    values, opens = values[:, order], np.array(opens)
+    rows = r[["recycler_id", "capacity", "n_types"]].iloc[order].reset_index(drop=True)
+    return Grid(rows, values, order, start, _cells(values, start[:-1]), opens, _cells(values, start[opens[:-1]]), float(np.fmin.reduce(values[3])))
 
 
 def _values(r: pd.DataFrame) -> np.ndarray:
@@ -114,48 +148,49 @@ def _first(ids: np.ndarray, col: np.ndarray, km: np.ndarray, total: np.ndarray,
     return tuple(np.take_along_axis(a, first, 1) for a in (col, km, total))
 
 
-def _level(quantity: np.ndarray) -> np.ndarray:
-    return np.floor(2 * np.log2(quantity))
+def _chunks(lat: np.ndarray, lon: np.ndarray, quantity: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Numbers of the listings in chunks near in place and quantity, which matters above the least capacity. Those without a place aren't there."""
+    return _halved(np.flatnonzero(~np.isnan(lat + lon)), _reach(lat, lon, np.log(np.fmax(quantity, least))), CHUNK, NEAR, LEAST)
 
 
-def _chunks(lat: np.ndarray, lon: np.ndarray, quantity: np.ndarray) -> Iterator[np.ndarray]:
-    """Numbers of the listings in chunks: near in quantity, then halved on the map until ``CHUNK`` are left, or ``LEAST`` where they lie wider than a tile. Those without a place aren't there."""
-    level, wide = np.where(np.isnan(lat + lon), np.nan, _level(quantity)), np.radians(TILE)
-    held = [np.flatnonzero(level == x) for x in np.unique(level[~np.isnan(level)])]
-    while held:
-        rows = held.pop()
-        spans = np.ptp(lat[rows]), np.ptp(lon[rows])
-        if len(rows) <= LEAST or len(rows) <= CHUNK and max(spans) <= wide:
-            yield rows
-        else:
-            axis, half = lat if spans[0] > spans[1] else lon, len(rows) // 2
-            rows = rows[np.argpartition(axis[rows], half)]
-            held += [rows[:half], rows[half:]]
+def _spans(start: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... up to the next start, for every i of ``at``."""
+    lo, size = start[at], start[at + 1] - start[at]
+    return np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 def _visit(g: Grid, lat: np.ndarray, lon: np.ndarray, quantity: np.ndarray, n: int, seen: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``n`` best rows of the grid for a chunk of listings: cells by their bounds, best first, until none can reach the n-th total of any of the listings."""
-    bound = g.bounds(np.array([lat.min(), lat.max(), lon.min(), lon.max()]), float(quantity.min()))
-    order = np.argsort(-bound, kind="stable")
-    col, km, total, at, step = np.zeros((len(lat), 0), np.int64), np.zeros((len(lat), 0)), np.zeros((len(lat), 0)), 0, FIRST
-    while at < len(order):
-        full = col.shape[1] >= n
-        cells = order[at : at + step]
-        if full:
-            cells = cells[bound[cells] >= total[:, n - 1].min()]
-            if not len(cells):
-                break
-        at, step = at + len(cells), min(2 * step, MOST)
-        take = np.concatenate([np.arange(g.start[c], g.start[c + 1]) for c in cells])
-        d, t = _pairs(lat, lon, quantity, g.values[:, take])
-        if seen is not None:
-            seen["pairs"] = seen.get("pairs", 0) + t.size
-        if full:  # only those that are among the best of one of the listings
-            some = (t >= total[:, n - 1 :]).any(axis=0)
-            take, d, t = take[some], d[:, some], t[:, some]
-        if len(take):
-            col, km, total = np.concatenate([col, np.broadcast_to(take, t.shape)], axis=1), np.concatenate([km, d], axis=1), np.concatenate([total, t], axis=1)
-            col, km, total = _first(g.ids, col, km, total, n)
+    """The ``n`` best rows of the grid for a chunk of listings: cells by their bounds, best first, until none can reach the n-th total of any of the listings.
+
+    The best wide cells are opened first; of the others only those that can still hold one of the best.
+    """
+    box, least = np.array([lat.min(), lat.max(), lon.min(), lon.max()]), float(quantity.min())
+    wide = g.wide.bounds(box, least)
+    nodes = np.argsort(-wide, kind="stable")
+    col, km, total = np.zeros((len(lat), 0), np.int64), np.zeros((len(lat), 0)), np.zeros((len(lat), 0))
+    for opened in (nodes[:OPENED], nodes[OPENED:]):
+        bar = total[:, n - 1].min() if total.shape[1] >= n else -np.inf
+        cells = _spans(g.opens, opened[wide[opened] >= bar])
+        bound = g.cells.bounds(box, least, cells)
+        order, at, step = np.argsort(-bound, kind="stable"), 0, FIRST
+        while at < len(order):
+            full = total.shape[1] >= n
+            some = order[at : at + step]
+            if full:
+                some = some[bound[some] >= total[:, n - 1].min()]
+                if not len(some):
+                    break
+            at, step = at + len(some), min(2 * step, MOST)
+            take = _spans(g.start, cells[some])
+            d, t = _pairs(lat, lon, quantity, g.values[:, take])
+            if seen is not None:
+                seen["pairs"] = seen.get("pairs", 0) + t.size
+            if full:  # only those that are among the best of one of the listings
+                best = (t >= total[:, n - 1 :]).any(axis=0)
+                take, d, t = take[best], d[:, best], t[:, best]
+            if len(take):
+                col, km, total = np.concatenate([col, np.broadcast_to(take, t.shape)], axis=1), np.concatenate([km, d], axis=1), np.concatenate([total, t], axis=1)
+                col, km, total = _first(g.ids, col, km, total, n)
     return col, km, total
 
 
@@ -171,7 +206,7 @@ def _best(need: pd.DataFrame, grids: dict[str, Grid], k: int, seen: dict | None
         # without a place all totals are equal, so the first ids are the best
         col = np.tile(np.argsort(g.ids, kind="stable")[:n], (len(of_kind), 1))
         km, total = np.full(col.shape, np.nan), np.full(col.shape, -np.inf)
-        for x in _chunks(lat, lon, quantity):
+        for x in _chunks(lat, lon, quantity, g.least):
             col[x], km[x], total[x] = _visit(g, lat[x], lon[x], quantity[x], n, seen)
         row = np.repeat(np.arange(len(of_kind)), n)
         chosen = {c: g.rows[c].to_numpy()[col.reshape(-1)] for c in ("recycler_id", "capacity", "n_types")}

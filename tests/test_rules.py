@@ -536,6 +536,25 @@ def test_grid_of_recyclers_scores_few_pairs():
     assert seen["pairs"] < 0.35 * len(mine) * n
 
 
+def test_cells_of_recyclers_are_near_in_capacity_too():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    n, m = 40_000, 20_000
+    rec = pd.DataFrame({"waste_type": "a", "recycler_id": np.arange(n), "lat": 12.8 + rng.integers(0, 401, n) / 1000, "lon": 77.5 + rng.integers(0, 301, n) / 1000, "capacity": 10_000 + rng.integers(0, 190_000, n), "n_types": rng.integers(1, 5, n)})
+    need = pd.DataFrame({"waste_id": np.arange(m), "waste_type": "a", "quantity_kg": rng.integers(185_000, 262_000, m), "lat": 12.8 + rng.integers(0, 401, m) / 1000, "lon": 77.5 + rng.integers(0, 301, m) / 1000})
+    rec.loc[[9, 10], ["lat", "capacity"]] = np.nan  # no place, and no capacity: that counts as enough
+    rec.loc[11, "capacity"] = np.nan
+    seen: dict = {}
+    got = ranking._best(need, ranking.grids(rec), 5, seen)
+    some = need.index[::200]
+    total = ranking._scores(need.loc[some], rec)[1]
+    want = {(w, k, c) for w, t in zip(some, total, strict=True) for k, c in enumerate(np.argsort(-t, kind="stable")[:5], 1)}
+    got = got[got["waste_id"].isin(some)]
+    assert set(zip(got["waste_id"], got["rank"], got["recycler_id"], strict=True)) == want
+    assert seen["pairs"] < 400 * m
+
+
 def test_many_recyclers_are_one_block_and_near_listings_share_cells(spark):
     import pandas as pd
 
