@@ -621,3 +621,28 @@ def test_listing_search_from_text_to_ranking(spark):
     assert got[1][0].waste_id == 500 and got[1][0].is_session and {r.waste_id % 5 for r in got[1]} == {0}
     assert [r.waste_id for r in got[2]] == [2, 4, 6, 8, 12] or all(r.waste_id % 2 == 0 and r.similarity == 0 for r in got[2])
     assert all(r.distance_km is None and r.waste_id >= 10 for r in got[3]) and [r.waste_id for r in got[3]][0] == 39 and 4 not in got
+
+
+def test_needs_meet_listings_beside_the_index(spark, monkeypatch):
+    from loopgrade.operators import inverted, search
+
+    listings = spark.range(2000).selectExpr("id waste_id", "'A' waste_type", "'s' sub_type", "id * 10 % 7001 quantity_kg", "'good' quality", "12.9 + id / 10000 lat", "77.5D lon", "concat('old cotton w', id % 50, ' lot') text")
+    listings = listings.withColumns({c: F.col(c).cast("double") for c in ("lat", "lon")})
+    needs = spark.createDataFrame([(n, f"cotton w{n}", 12.9, 77.5, None, None, None, None) for n in range(3)], "need_id long, text string, lat double, lon double, waste_type string, sub_type string, min_quantity double, qualities array<string>")
+    index, sizes = inverted.build(listings.where("waste_id % 100 <> 7").select(F.col("waste_id").alias("id"), "text")), []
+    kept = search.written
+    monkeypatch.setattr(search, "written", lambda df, *more: sizes.append(kept(df, *more)) or sizes[-1])
+    got = search.find_listings(index, listings.where("waste_id % 100 <> 7"), needs, 4, listings.where("waste_id % 100 = 7")).collect()
+    assert {(r.need_id, r["rank"]) for r in got} == {(n, k) for n in range(3) for k in range(1, 5)} and all(r.waste_id % 50 == r.need_id for r in got)
+    assert [r.waste_id for r in sorted(got) if r.need_id == 1] == [1, 51, 101, 151] and not any(r.is_session for r in got)
+    assert max(x.count() for x in sizes) < 1000  # 6000 pairs share a word
+
+
+def test_texts_are_split_together_as_alone():
+    from loopgrade.operators import inverted
+
+    texts = ["a bb bb cc", None, "", "bb\0cc dd bb", "\0", "über 12 x_y bb bb bb", "zz"]
+    term, row, times = inverted._postings_of(texts)
+    alone = inverted._hasher()
+    want = sorted((int(t), i, int(n)) for i, text in enumerate(texts) for t, n in zip(*alone(text), strict=True))
+    assert list(zip(term.tolist(), row.tolist(), times.tolist(), strict=True)) == want
