@@ -83,6 +83,21 @@ def unit_split(rows: DataFrame, val: float, test: float, seed: str = "7", unit:
     return rows.withColumn("split", F.coalesce("split", F.when(x < val, "val").when(x < val + test, "test").otherwise("train")))
 
 
+#: Annotations of a task, on average.
+ANNOTATIONS = 400_000
+
+
+def annotations(objects: DataFrame, images: DataFrame, categories: DataFrame, image: str, category: str) -> DataFrame:
+    """``image, file, category, objects``: how many objects of each category an image has; ``images`` name the file, ``categories`` the category.
+
+    Objects are counted per image and category where they meet their image, in tasks whose number grows with the table: each holds a bounded part.
+    """
+    parts = max(int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-objects.count() // ANNOTATIONS))
+    named = objects.join(categories, category).select(image, "category")
+    found = named.repartition(parts, image).groupBy(image, "category").agg(F.count("*").alias("n"))
+    return found.join(images.repartition(parts, image), image).groupBy(image, "file", "category").agg(F.sum("n").alias("objects"))
+
+
 def drop_cross_split(grouped: DataFrame) -> DataFrame:
     """Rows of the first split of their group; members in other splits go."""
     best = grouped.groupBy("grp").agg(F.min(priority(F.col("split"))).alias("_best"))

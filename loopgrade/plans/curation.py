@@ -547,7 +547,7 @@ def j_10(spark: SparkSession, d: str) -> DataFrame:
     ann = read(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     images = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("file"))
     cats = read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("category"))
-    return ann.join(images, "l_orderkey").join(cats, "l_partkey").groupBy(F.col("l_orderkey").alias("scene"), "file", "category").agg(F.count("*").alias("objects"))
+    return curate.annotations(ann, images, cats, "l_orderkey", "l_partkey").withColumnRenamed("l_orderkey", "scene")
 
 
 @query("j_11_images_without_annotation", "SELECT o_orderkey AS image FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")

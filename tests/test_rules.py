@@ -646,3 +646,20 @@ def test_texts_are_split_together_as_alone():
     alone = inverted._hasher()
     want = sorted((int(t), i, int(n)) for i, text in enumerate(texts) for t, n in zip(*alone(text), strict=True))
     assert list(zip(term.tolist(), row.tolist(), times.tolist(), strict=True)) == want
+
+
+def test_annotations_meet_in_parts_that_grow(spark, monkeypatch):
+    objects = spark.range(3000).selectExpr("id % 100 image", "id % 7 cat")
+    images = spark.range(90).selectExpr("id image", "concat('f', id % 3) file").unionByName(spark.createDataFrame([(5, "g")], "image long, file string"))
+    cats = spark.range(6).selectExpr("id cat", "concat('c', id % 4) category")
+    monkeypatch.setattr(curate, "ANNOTATIONS", 100)
+    out = curate.annotations(objects, images, cats, "image", "cat")
+    assert out.rdd.getNumPartitions() == 30
+    want: dict = {}
+    for i in range(3000):
+        image, cat = i % 100, i % 7
+        for file in ([f"f{image % 3}"] if image < 90 else []) + (["g"] if image == 5 else []):
+            if cat < 6:
+                key = image, file, f"c{cat % 4}"
+                want[key] = want.get(key, 0) + 1
+    assert {(r.image, r.file, r.category): r.objects for r in out.collect()} == want
