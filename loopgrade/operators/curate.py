@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopgrade.functions.session import bounded
+from loopgrade.functions.session import bounded, cut
 from loopgrade.operators.components import connected_components
 from loopgrade.operators.ordered import quantiles
 
@@ -40,6 +40,7 @@ def dedup(grouped: DataFrame) -> DataFrame:
     (train, val, test, none) and then the smallest path. Counts and firsts are combined per group before
     the shuffle; only equi-joins bring them back, so a group of any size stays spread.
     """
+    grouped = cut(grouped)  # read three times
     lead = F.struct(priority(F.col("split")).alias("prio"), "path", "split")
     g = grouped.groupBy("grp").agg(F.min("leaf").alias("l1"), F.max("leaf").alias("l2"), F.min(lead).alias("rep"))
     first = grouped.groupBy("grp", "digest").agg(F.min(lead).alias("own"))
@@ -112,7 +113,7 @@ def viable_leaves(rows: DataFrame, least: int = 30) -> DataFrame:
 
 def oversample(rows: DataFrame, most: float = 3.0, seed: str = "7") -> DataFrame:
     """Train rows with ``copies``: leaves below the median count are repeated round-robin in hash order, up to ``most`` times."""
-    train = rows.where("split = 'train'")
+    train = cut(rows.where("split = 'train'"))  # read four times
     counts = train.groupBy("leaf").agg(F.count("*").alias("n"))
     median = counts.agg(F.floor(F.percentile("n", 0.5)).alias("median"))
     plan = counts.crossJoin(F.broadcast(median)).select(F.col("leaf"), "n", F.greatest(F.lit(0), F.least("median", F.floor(F.col("n") * most)) - F.col("n")).alias("extra"))
@@ -145,6 +146,7 @@ def holdout(rows: DataFrame, key: str, least: int = 10) -> DataFrame:
 def shadow_copies(rows: DataFrame, fraction: float, limit: int, seed: str = "7") -> DataFrame:
     """A hash-chosen fraction of the large train rows, again as low-detail rows, after all rows."""
     x = F.conv(F.substring(hash_order(seed, "path"), 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)
+    rows = cut(rows)  # read twice
     chosen = rows.where((F.col("split") == "train") & (F.col("n_chars") > limit) & (x < fraction))
     return rows.withColumn("low_detail", F.lit(False)).unionByName(chosen.withColumn("low_detail", F.lit(True)))
 

@@ -67,7 +67,8 @@ def pairs(rows: DataFrame, limit: int, width: int, payload: DataFrame | None = N
         return F.concat(F.array(item(own, False)), F.transform(flips, lambda m: item(own.bitwiseOR(m), True))) if radius else F.array(item(own, False))
 
     every = rows.select("id", "words", F.explode(F.concat(*[entries(k, *b) for k, b in enumerate(plan)])).alias("x")).select("id", "words", "x.band", "x.value", "x.probe")
-    count = every.where("not probe").groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1 or band in (%s)" % ",".join(["-1", *[str(k) for k, b in enumerate(plan) if b[2]]]))
+    own_values = F.array(*[F.struct(F.lit(k).alias("band"), _band(F.col("words"), low, high).alias("value")) for k, (low, high, _) in enumerate(plan)])
+    count = rows.select(F.explode(own_values).alias("x")).groupBy("x.band", "x.value").agg(F.count("*").alias("n")).where("n > 1 or band in (%s)" % ",".join(["-1", *[str(k) for k, b in enumerate(plan) if b[2]]]))
     met = cut(every.join(count, ["band", "value"]))
 
     # small buckets: a join of probes and entries with the entries

@@ -286,7 +286,7 @@ SPLIT = DEDUP + """, unsplit AS (SELECT *, row_number() OVER (PARTITION BY leaf
 
 
 def assigned(spark: SparkSession, d: str) -> DataFrame:
-    kept = curate.dedup(grouped(spark, d)).where("reason = 'kept'").drop("reason")
+    kept = cut(curate.dedup(grouped(spark, d)).where("reason = 'kept'").drop("reason"))  # read three times
     return curate.stratified_split(kept.where("split is null"), 0.15, 0.1).unionByName(kept.where("split is not null"))
 
 

@@ -663,3 +663,15 @@ def test_annotations_meet_in_parts_that_grow(spark, monkeypatch):
                 key = image, file, f"c{cat % 4}"
                 want[key] = want.get(key, 0) + 1
     assert {(r.image, r.file, r.category): r.objects for r in out.collect()} == want
+
+
+def test_curation_computes_its_input_once(spark):
+    def slow(batches):
+        yield from batches
+
+    rows = [(i, i // 2, f"d{i % 40}", "ab"[i % 3 > 0], (None, "train")[i % 2], f"p{i}", 2000) for i in range(60)]
+    rows = spark.createDataFrame(rows, "id long, grp long, digest string, leaf string, split string, path string, n_chars long")
+    rows = rows.mapInPandas(slow, rows.schema)
+    for of in (curate.dedup, curate.oversample, lambda r: curate.shadow_copies(r, 0.5, 1000)):
+        out = of(rows)
+        assert "MapInPandas" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() >= 30
