@@ -366,7 +366,7 @@ def c_09b(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c_10_extend_domain", SPLIT + """, k AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY md5(concat('7:', path)), path) AS p FROM assigned WHERE id % 9 <> 0) SELECT id, unnest(range(1, CASE WHEN leaf = 'l3' AND split = 'train' THEN 4 ELSE 2 END))::INT AS copy FROM k WHERE p <= CASE leaf WHEN 'l0' THEN 100 WHEN 'l3' THEN 40 WHEN 'l5' THEN 60 WHEN 'l7' THEN 50 END""")
 def c_10(spark: SparkSession, d: str) -> DataFrame:
-    rows = assigned(spark, d)
+    rows = cut(assigned(spark, d))  # read twice
     return curate.extend_domain(rows, rows.where("id % 9 = 0"), {"l0": 100, "l3": 40, "l5": 60, "l7": 50}, "l3").select("id", "copy")
 
 
