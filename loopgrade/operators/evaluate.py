@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loopgrade.functions.labels import wilson
 from loopgrade.functions.session import bounded, cut
 from loopgrade.operators.ordered import quantiles, running
-from loopgrade.operators.predict import blend_weighted, memory_weight
+from loopgrade.operators.predict import CURVES, blend_weighted, memory_weight
 
 
 def share(c: Column) -> Column:
@@ -217,10 +217,6 @@ def before_after(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), share(a).alias("accuracy_before"), share(b).alias("accuracy_after"), F.count_if(~a & b).alias("fixed"), F.count_if(a & ~b).alias("broken"))
 
 
-#: The curves a memory's weight may follow, in the order that decides between equal ones.
-CURVES = ("linear", "quadratic", "step")
-
-
 def _best(leaves: DataFrame, name: str, *more: str) -> DataFrame:
     """Best type and leaf per id at 9 digits; equal ones go to the name that sorts first. The leaves of an id, a bounded hierarchy, are folded per id."""
     exact = F.col("p").cast("decimal(28,9)")
@@ -232,15 +228,25 @@ def _best(leaves: DataFrame, name: str, *more: str) -> DataFrame:
 def memory_curves(leaves: DataFrame, near: DataFrame, truths: DataFrame, threshold: float) -> DataFrame:
     """What a memory does to accuracy under each curve: per ``phase`` and ``curve``, accuracy of type and leaf before and after, fixed and broken.
 
-    ``leaves``: id, leaf, waste_type, sub_type, p. ``near``: id, mem_type, mem_sub, distance. ``truths``: id, phase, true_type, true_leaf.
-    All curves go through one blend, told apart by a struct id.
+    ``near``: id, mem_type, mem_sub, distance. For more see :func:`folded_curves`.
+    """
+    of = lambda c: memory_weight(F.col("distance"), threshold, c)
+    folded = near.groupBy("id", "mem_type", "mem_sub").agg(*[f(of(c)).alias(f"{name}_{c}") for c in CURVES for name, f in (("w", F.sum), ("top", F.max))])
+    return folded_curves(leaves, folded, truths)
+
+
+def folded_curves(leaves: DataFrame, near: DataFrame, truths: DataFrame) -> DataFrame:
+    """:func:`memory_curves` of matches that are folded per id and label.
+
+    ``leaves``: id, leaf, waste_type, sub_type, p. ``near``: id, mem_type, mem_sub, and for each curve ``w_`` and ``top_``, the sum and the largest
+    of the weights. ``truths``: id, phase, true_type, true_leaf. All curves go through one blend, told apart by a struct id.
     """
     every = F.explode(F.array(*[F.lit(c) for c in CURVES]))
     key = F.struct(F.col("curve"), F.col("id").alias("row")).alias("id")
     mine = cut(leaves.join(truths.select("id"), "id", "left_semi"))  # the blend reads them several times
     wide = mine.withColumn("curve", every).select(key, "leaf", "waste_type", "sub_type", "p")
-    weight = F.coalesce(*[F.when(F.col("curve") == c, memory_weight(F.col("distance"), threshold, c)) for c in CURVES])
-    w = near.withColumn("curve", every).withColumn("w", weight).select(key, "mem_type", "mem_sub", "w")
+    weights = F.explode(F.array(*[F.struct(F.lit(c).alias("curve"), F.col(f"w_{c}").alias("w"), F.col(f"top_{c}").alias("top")) for c in CURVES]))
+    w = near.select("id", "mem_type", "mem_sub", weights.alias("x")).select("id", "mem_type", "mem_sub", "x.*").select(key, "mem_type", "mem_sub", "w", "top")
     after = _best(blend_weighted(wide, w), "after", "familiar").select(F.col("id.row").alias("id"), F.col("id.curve").alias("curve"), "type_after", "leaf_after", F.col("familiar").alias("matched"))
     j = truths.join(_best(mine, "before"), "id").join(after, "id")
     out = [F.count("*").alias("n"), F.count_if("matched").alias("matched")]

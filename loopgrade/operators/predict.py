@@ -70,9 +70,12 @@ def small_guard(df: DataFrame, guarded_type: str) -> DataFrame:
     return df.withColumn("status", F.when(hit, "confirm").otherwise(F.col("status"))).withColumn("small_image", F.col("short_side") < SMALL_SIDE)
 
 
+#: The weight of a match at a share of the threshold, a column or numpy values, in the order that decides between equal curves.
+CURVES = {"linear": lambda x: 1 - x, "quadratic": lambda x: 1 - x * x, "step": lambda x: 1.0 + 0 * x}
+
+
 def memory_weight(distance: Column, threshold: float, curve: str = "linear") -> Column:
-    x = F.least(F.greatest(distance / threshold, F.lit(0.0)), F.lit(1.0))
-    return {"linear": 1 - x, "quadratic": 1 - x * x, "step": F.lit(1.0) + 0 * x}[curve]
+    return CURVES[curve](F.least(F.greatest(distance / threshold, F.lit(0.0)), F.lit(1.0)))
 
 
 def blend(leaves: DataFrame, near: DataFrame, threshold: float, curve: str = "linear") -> DataFrame:
@@ -83,11 +86,12 @@ def blend(leaves: DataFrame, near: DataFrame, threshold: float, curve: str = "li
 def blend_weighted(leaves: DataFrame, w: DataFrame) -> DataFrame:
     """Leaf probabilities pulled towards confirmed labels: ``id, leaf, waste_type, sub_type, p, other_mass, familiar``.
 
-    ``w``: id, mem_type, mem_sub (nullable), w, the weight of a match within the threshold. A label of a type only keeps the
+    ``w``: id, mem_type, mem_sub (nullable), w, the weight of a match within the threshold; a row may stand for several matches by their
+    sum ``w`` and their largest ``top``. A label of a type only keeps the
     row's own split over the type's leaves; ``other`` moves mass out of all leaves. A row whose matches all
     lie at the threshold has total weight 0 and counts as without match.
     """
-    tot = w.groupBy("id").agg(F.sum("w").alias("w_sum"), F.max("w").alias("w_max"), F.sum(F.when(F.col("mem_type") == OTHER, F.col("w")).otherwise(F.lit(0.0))).alias("w_other")).where("w_sum > 0")
+    tot = w.groupBy("id").agg(F.sum("w").alias("w_sum"), F.max("top" if "top" in w.columns else "w").alias("w_max"), F.sum(F.when(F.col("mem_type") == OTHER, F.col("w")).otherwise(F.lit(0.0))).alias("w_other")).where("w_sum > 0")
     labels = w.where(F.col("mem_type") != OTHER).groupBy("id", "mem_type", "mem_sub").agg(F.sum("w").alias("w"))
     in_type = leaves.groupBy("id", "waste_type").agg(F.sum("p").alias("p_type"))
     known = leaves.select("id", F.col("waste_type").alias("mem_type"), F.col("sub_type").alias("mem_sub"), F.lit(True).alias("known")).where("mem_sub is not null")

@@ -606,11 +606,11 @@ def g_33b(spark: SparkSession, d: str) -> DataFrame:
     v = read(spark, d, "embeddings")
     truths = spark.sql(CURVE.replace("FROM embeddings", "FROM {e}") + " SELECT id, phase, true_type, sub, true_leaf, embedding FROM truths JOIN {e} ON vec_id = id", e=v)
     vec = lambda where, name: truths.where(where).select(F.col("id").alias(name), "embedding")
-    bank = lambda where: vec(where, "mem_id").withColumn("label", F.lit(0))
-    near = vectors.within(vec("phase = 'validation'", "id"), bank("phase = 'memory'"), CURVE_T).unionByName(vectors.within(vec("phase = 'test'", "id"), bank("phase <> 'test'"), CURVE_T))
-    near = cut(near.join(truths.select(F.col("id").alias("mem_id"), F.col("true_type").alias("mem_type"), F.col("sub").alias("mem_sub")), "mem_id").select("id", "mem_type", "mem_sub", "distance"))
+    bank = lambda where: truths.where(where).select(F.col("id").alias("mem_id"), F.col("true_type").alias("mem_type"), F.col("sub").alias("mem_sub"), "embedding")
+    near = lambda asks, holds: vectors.within_folded(vec(asks, "id"), bank(holds), CURVE_T, predict.CURVES, ["mem_type", "mem_sub"])
+    met = cut(near("phase = 'validation'", "phase = 'memory'").unionByName(near("phase = 'test'", "phase <> 'test'")))
     asked = truths.where("phase <> 'memory'").select("id", "phase", "true_type", "true_leaf")
-    return evaluate.choose_curve(cut(evaluate.memory_curves(leaves(spark, d), near, asked, CURVE_T)))
+    return evaluate.choose_curve(cut(evaluate.folded_curves(leaves(spark, d), met, asked)))
 
 
 @query("g_34_old_new", f"WITH {AFTER} SELECT truth, count(*) AS n, round(avg((truth = before)::INT), 6) AS accuracy_before, round(avg((truth = after)::INT), 6) AS accuracy_after FROM ba WHERE id NOT IN (SELECT id FROM classified WHERE regexp_matches(concat('img_', id), '^img_[0-9]*7$')) GROUP BY 1", "classified")

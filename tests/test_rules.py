@@ -1,6 +1,7 @@
 """Hand-worked cases of the rule tables."""
 
 import math
+import tempfile
 
 import numpy as np
 import pytest
@@ -675,3 +676,41 @@ def test_curation_computes_its_input_once(spark):
     for of in (curate.dedup, curate.oversample, lambda r: curate.shadow_copies(r, 0.5, 1000)):
         out = of(rows)
         assert "MapInPandas" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() >= 30
+
+
+def test_matches_are_folded_where_they_meet(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    q, b = rng.normal(size=(40, 6)), rng.normal(size=(90, 6))
+    q[0] = b[0]
+    names = [("a", "p"), ("b", "q"), ("d", None)]
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id long, embedding array<double>")
+    ms = spark.createDataFrame([(i, *names[i % 3], v.tolist()) for i, v in enumerate(b)], "mem_id long, mem_type string, mem_sub string, embedding array<double>")
+    x = 1 - (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+    want = {}
+    for i, j in zip(*np.nonzero(x <= 0.75), strict=True):
+        share = min(max(x[i, j] / 0.75, 0.0), 1.0)
+        cell = want.setdefault((i, *names[j % 3]), {c: [] for c in predict.CURVES})
+        for c, w in (("linear", 1 - share), ("quadratic", 1 - share * share), ("step", 1.0)):
+            cell[c].append(w)
+    for block, step, blocks in ((16_384, 2048, (2, 3)), (32, 7, None), (16_384, 2048, None)):  # blocks of both sides, the metric index, one block
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        monkeypatch.setattr(vectors, "STEP", step)
+        out = vectors.within_folded(qs, ms, 0.75, predict.CURVES, ["mem_type", "mem_sub"], blocks)
+        got = {(r.id, r.mem_type, r.mem_sub): r for r in out.collect()}
+        assert got.keys() == want.keys()
+        for k, cell in want.items():
+            for c, w in cell.items():
+                assert got[k][f"w_{c}"] == pytest.approx(sum(w)) and got[k][f"top_{c}"] == pytest.approx(max(w))
+    assert vectors.within_folded(qs.where("id < 0"), ms, 0.75, predict.CURVES, ["mem_type", "mem_sub"]).count() == 0
+
+
+def test_pairs_of_a_curve_choice_do_not_leave_their_task(spark):
+    from loopgrade.plans import learning
+
+    rows = spark.createDataFrame([(i, [1.0, 0.001 * i], i % 10) for i in range(900)], "vec_id long, embedding array<float>, label int")
+    met, kept = [], learning.cut
+    with pytest.MonkeyPatch.context() as m, tempfile.TemporaryDirectory() as d:
+        rows.write.parquet(f"{d}/embeddings.parquet")
+        m.setattr(learning, "cut", lambda df: met.append(kept(df)) or met[-1])
+        assert learning.QUERIES["g_33_curve_choice"](spark, d).count() == 6
+    assert met[0].count() <= 4 * 900  # all vectors are near one another: 135,000 pairs
