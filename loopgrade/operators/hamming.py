@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopgrade.functions.session import cut
+from loopgrade.functions.session import bounded, cut
 
 #: Strings of one band value that meet by a join; more are compared by blocks of BLOCK.
 LARGE, BLOCK = 64, 1024
@@ -68,21 +68,28 @@ def pairs(rows: DataFrame, limit: int, width: int, payload: DataFrame | None = N
 
     every = rows.select("id", "words", F.explode(F.concat(*[entries(k, *b) for k, b in enumerate(plan)])).alias("x")).select("id", "words", "x.band", "x.value", "x.probe")
     own_values = F.array(*[F.struct(F.lit(k).alias("band"), _band(F.col("words"), low, high).alias("value")) for k, (low, high, _) in enumerate(plan)])
-    count = rows.select(F.explode(own_values).alias("x")).groupBy("x.band", "x.value").agg(F.count("*").alias("n")).where("n > 1 or band in (%s)" % ",".join(["-1", *[str(k) for k, b in enumerate(plan) if b[2]]]))
-    met = cut(every.join(count, ["band", "value"]))
+    table = rows.select(F.col("id").alias("oid"), F.col("words").alias("other"), F.explode(own_values).alias("x")).select("oid", "other", "x.band", "x.value")
+    large = cut(table.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") > LARGE))
+    hot = bounded(large)
 
     # small buckets: a join of probes and entries with the entries
     x, y = F.col("words"), F.col("other")
     differ = lambda p, q, low, high: F.bit_count(_band(p, low, high).bitwiseXOR(_band(q, low, high)))
     first = F.coalesce(*[F.when(differ(x, y, lo, hi) <= r, F.lit(k)) for k, (lo, hi, r) in enumerate(plan)])
     bits = sum((F.bit_count(F.get(x, F.lit(w)).bitwiseXOR(F.get(y, F.lit(w)))) for w in range(size)), F.lit(0))
-    few = met.where(F.col("n") <= LARGE)
-    other = few.where("not probe").select("band", "value", F.col("id").alias("oid"), F.col("words").alias("other"))
-    near = few.join(other, ["band", "value"]).where((F.col("probe") | (F.col("id") < F.col("oid"))) & (bits <= limit) & (first == F.col("band")))
+    near = every.join(hot, ["band", "value"], "left_anti").join(table, ["band", "value"]).where((F.col("probe") | (F.col("id") < F.col("oid"))) & (bits <= limit) & (first == F.col("band")))
     near = near.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b"), bits.alias("bits"))
 
     # large buckets: blocks of the entries with one another, and with blocks of the probes
-    many = met.where(F.col("n") > LARGE).withColumn("nb", F.ceil(F.col("n") / BLOCK))
+    # who asks for a large bucket follows from its value: its own strings, and those of the values with one bit less
+    masks = F.array(*[F.lit(1 << b).cast("long") for b in range(max(high - low for low, high, _ in plan))])
+    ask = lambda own, probe: F.struct(own.alias("own"), F.lit(probe).alias("probe"))
+    less = F.transform(F.filter(masks, lambda m: F.col("value").bitwiseAND(m) != 0), lambda m: ask(F.col("value").bitwiseXOR(m), True))
+    asks = F.concat(F.array(ask(F.col("value"), False)), F.filter(less, lambda _: F.col("band").isin([k for k, b in enumerate(plan) if b[2]])))
+    asks = large.select(F.col("band").alias("of"), F.col("value").alias("to"), "n", F.explode(asks).alias("x")).select("of", "to", "n", "x.own", "x.probe")
+    met = table.join(bounded(asks), (F.col("band") == F.col("of")) & (F.col("value") == F.col("own")))
+    met = cut(met.select(F.col("oid").alias("id"), F.col("other").alias("words"), "band", F.col("to").alias("value"), "probe", "n"))
+    many = met.withColumn("nb", F.ceil(F.col("n") / BLOCK))
     many = many.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     if payload is not None:
         many = many.join(payload, "id")

@@ -714,3 +714,11 @@ def test_pairs_of_a_curve_choice_do_not_leave_their_task(spark):
         m.setattr(learning, "cut", lambda df: met.append(kept(df)) or met[-1])
         assert learning.QUERIES["g_33_curve_choice"](spark, d).count() == 6
     assert met[0].count() <= 4 * 900  # all vectors are near one another: 135,000 pairs
+
+
+def test_small_buckets_are_not_stored_before_they_meet(spark, monkeypatch):
+    stored, kept = [], hamming.cut
+    monkeypatch.setattr(hamming, "cut", lambda df: stored.append(kept(df)) or stored[-1])
+    df = spark.createDataFrame([(i, [i * 0x9E3779B97F4A7C15 % (1 << 62)]) for i in range(200)] + [(900, [0x9E3779B97F4A7C15 % (1 << 62) ^ 5])], "id long, words array<long>")
+    assert [tuple(r) for r in hamming.pairs(df, 4, 63).where("b = 900").collect()] == [(1, 900, 2)]
+    assert sum(df.count() for df in stored) == 0
